@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, token_count, url_filter
+from . import byte_bpe, exact_dedup, simhash_dedup, source_mix, token_count, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_source_mix": source_mix.op6_source_mix,
+    "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_token_count": token_count.op9_token_count,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op4_url_filter": url_filter.SQL,
+    "op10_exact_dedup": exact_dedup.SQL,
 }
