@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, simhash_dedup, source_mix, token_count, url_filter
+from . import byte_bpe, exact_dedup, language_id, simhash_dedup, source_mix, token_count, toxicity, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": language_id.op3_language_id,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
