@@ -25,11 +25,17 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Pre-tokens kept by each Python worker; the memo is emptied when it is full.
-MEMO = 200_000
+MEMO = 100_000
+
+#: Texts whose new pre-tokens are encoded in one call.
+TOGETHER = 100
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
-#: The character for byte b.
-_CHARS = {b: 0x100 + b for b in range(256)}
+#: The characters for bytes: a visible byte stands for itself, others for a letter beyond Latin-1.
+_CHARS = "".join(chr(b if 0x21 <= b <= 0x7E or 0xA1 <= b else 0x100 + b) for b in range(256))
+
+#: A byte that UTF-8 never uses, so it can separate pre-tokens.
+_APART = b"\xff"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -76,28 +82,28 @@ class Encoder:
 
         self.pieces, self.memo, self.known = sentencepiece.SentencePieceProcessor(model_proto=model), memo, {}
         self.split = regex.compile(pattern).findall
-        self.unknown = self.pieces.unk_id()
+        self.whole = {self.pieces.id_to_piece(i): array("i", (i,)).tobytes() for i in range(self.pieces.get_piece_size()) if i != self.pieces.unk_id()}
 
-    def learn(self, pretokens: set[str]) -> None:
+    def learn(self, pretokens: list[str]) -> None:
+        pieces = as_piece(_APART.join(map(str.encode, pretokens))).split(as_piece(_APART))
         rest = []
-        for p in pretokens:
-            piece = as_piece(p.encode())
-            whole = self.pieces.piece_to_id(piece)
-            if whole == self.unknown:
+        for p, piece in zip(pretokens, pieces):
+            if (one := self.whole.get(piece)) is None:
                 rest.append((p, piece))
             else:
-                self.known[p] = array("i", (whole,)).tobytes()
+                self.known[p] = one
         for (p, _), ids in zip(rest, self.pieces.encode([x for _, x in rest], num_threads=1) if rest else ()):
             self.known[p] = array("i", ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        pretokens = self.split(text)
-        if new := set(pretokens).difference(self.known):
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.split(t) for t in texts]
+        if new := set().union(*split).difference(self.known):
             if len(self.known) + len(new) > self.memo:
                 self.known.clear()
-                new = set(pretokens)
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, pretokens))
+                new = set().union(*split)
+            self.learn(list(new))
+        one = self.known.__getitem__
+        return [b"".join(map(one, pretokens)) for pretokens in split]
 
 
 @cache
@@ -117,7 +123,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(digest, pattern, MEMO, held)
         for batch in batches:
-            coded = [encoder.encode(x) if x else b"" for x in batch.column(len(keep)).to_pylist()]
+            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+            coded = [x for at in range(0, len(texts), TOGETHER) for x in encoder.encode(texts[at : at + TOGETHER])]
             ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int64).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(coded), np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, ids])
