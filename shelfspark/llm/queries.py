@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, simhash_dedup, source_mix, token_count, toxicity, url_filter
+from . import byte_bpe, exact_dedup, language_id, quality_rules, secret_scan, simhash_dedup, source_mix, token_count, toxicity, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_language_id": language_id.op3_language_id,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_secret_scan": secret_scan.SQL,
     "op4_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

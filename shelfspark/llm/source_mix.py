@@ -45,11 +45,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "rows", "weight", "target")
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, whole: bool = False, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, whole: bool = False, seed: int = SEED, key: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``: id, size, source, source_size, target, taken. With ``whole`` the document at the
-    cut is taken whole if more than half of it is within the budget, and not at all otherwise."""
-    keyed = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size")))
-    keyed = keyed.withColumn("key", F.xxhash64(F.lit(seed), F.col("id")).bitwiseAND((1 << 62) - 1))
+    cut is taken whole if more than half of it is within the budget, and not at all otherwise. ``key`` is what the random
+    order is made from, the id unless given."""
+    order = F.xxhash64(F.lit(seed), F.col(id_col) if key is None else key).bitwiseAND((1 << 62) - 1)
+    keyed = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), order.alias("key")))
     shares = cut(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, share, most))
     shares = shares.withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS).cast("long"))
     n_sources = shares.count()
