@@ -19,7 +19,7 @@ from .common import BROADCAST_ROWS, WORD, cut, sized, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS, SEED = 1.5, 2.0, 17
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def n_words(text: Column) -> Column:

@@ -34,7 +34,7 @@ def reshared(sizes):
     return target
 
 
-@pytest.mark.parametrize("rows_in_range", [7, 20_000])
+@pytest.mark.parametrize("rows_in_range", [7, 4_000])
 def test_mix(spark, monkeypatch, rows_in_range):
     monkeypatch.setattr(M, "RANGE_ROWS", rows_in_range)
     rows = documents()
