@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search_queries
+from . import build_queries, extract_queries, search_queries
 
-_ALL = search_queries.QUERIES
+_ALL = search_queries.QUERIES | extract_queries.QUERIES | build_queries.QUERIES
 
 QUERIES = {name: run for name, (run, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
