@@ -86,7 +86,7 @@ def osa_distance(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         older, old = old, row
-    return old[-1]
+    return min(old[-1], most + 1)
 
 
 @F.pandas_udf(IntegerType())
