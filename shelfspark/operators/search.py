@@ -206,21 +206,21 @@ def fuzzy_gate(queries: DataFrame, bounded: DataFrame) -> DataFrame:
 _OUT = ["query_id", "title", "url", "section", "programming_language", "docs_locale", "source_id", "source_name", "source_kind", "document_kind", "proposal_status", "score"]
 
 
-def search(requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True, plan: str = "auto", extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(results with place, facets). ``records`` may carry a column query_scope, an array of the query ids that may see them."""
+def search(requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True, plan: str = "auto", extra: tuple[str, ...] = (), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results with place, facets). ``scope`` (query_id, source_id and optionally docs_locale) says what a query may see."""
+
+    def seen_by(pairs: DataFrame) -> DataFrame:
+        return pairs if scope is None else pairs.join(scope, scope.columns, "left_semi")
+
     queries, hay = tokenized(requests, limit), prepared(records)
-    exact = score(match_exact(queries, hay, plan))
-    if "query_scope" in records.columns:
-        exact = exact.where(F.array_contains("query_scope", F.col("query_id")))
+    exact = score(seen_by(match_exact(queries, hay, plan)))
     seen = dedupe_matches(exact)
     kept = bounded_per_language(seen, collation)
     out = diversify(kept, collation).select(*_OUT, *extra, "place")
     found = exact
     if fuzzy:
         wanted = fuzzy_gate(queries, kept)
-        near = score(match_fuzzy(wanted, hay))
-        if "query_scope" in records.columns:
-            near = near.where(F.array_contains("query_scope", F.col("query_id")))
+        near = score(seen_by(match_fuzzy(wanted, hay)))
         fresh = dedupe_matches(near.join(seen.select("query_id", "url"), ["query_id", "url"], "left_anti"))
         taken = out.groupBy("query_id").agg(F.max("place").alias("_taken"))
         rest = bounded_per_language(fresh, collation).join(taken, "query_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0))).withColumn("_left", F.col("limit") - F.col("_taken"))
@@ -232,8 +232,7 @@ def search(requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT,
 
 def refine(requests: DataFrame, records: DataFrame, sources: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Search again over the chosen sources of each request: (query_id, source_id)."""
-    scope = sources.groupBy("source_id").agg(F.collect_set("query_id").alias("query_scope"))
-    return search(requests, records.join(scope, "source_id"), **options)
+    return search(requests, records, scope=sources.select("query_id", "source_id").distinct(), **options)
 
 
 def suggest(requests: DataFrame, records: DataFrame, fuzzy: bool = True, collation: str | None = None) -> DataFrame:

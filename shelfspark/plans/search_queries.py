@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..functions.query_text import parse_query
 from ..operators import results as r
 from ..operators import search as s
+from ..operators.runtime import run_requests as run_request_tables
 from . import base as b
 
 _R = ("query_id", "title", "url", "source_id", "programming_language", "place")
@@ -110,6 +111,26 @@ def refine(spark, d):
 REFINE = f"{_FACETS}{_FILTERED}, scored2 AS (SELECT s.* FROM scored s JOIN passed p USING (query_id, source_id)), seen2 AS (SELECT * FROM scored2 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1), kept2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, programming_language ORDER BY score DESC, title, url, catalog_pos, pos) AS lang_rank FROM seen2 QUALIFY lang_rank <= \"limit\"), {b.DIVERSE.replace('FROM kept)', 'FROM kept2)')} SELECT query_id, url, source_id, place FROM results"
 
 
+def run_requests(spark, d):
+    """Requests for two sites in a locale; one index is faulty, some are not built."""
+    records = b.page_records(spark, d)
+    q = F.col("query_id")
+    asked = b.requests(spark, d).withColumn("docs_locale", F.element_at(F.array(F.lit("en"), F.lit("ja"), F.lit("")), (q % 3 + 1).cast("int"))).withColumn("source_ids", F.array(F.lit("en-com"), F.lit("en-net"), F.lit("de-net")))
+    manifest = records.groupBy("source_id", "docs_locale").agg(F.count("*").alias("record_count"), F.min("pos").alias("manifest_pos")).select("*", F.when(F.col("source_id") == "de-net", "blocked").otherwise("supported").alias("status"), F.lit(None).cast("string").alias("reason"), F.col("source_id").alias("path"))
+    faults = manifest.where("source_id = 'en-net'").select("source_id", "docs_locale", F.lit("count").alias("reason"))
+    out = run_request_tables(asked, manifest, records, faults, fuzzy=False)
+    row = lambda kind, df, *c: df.select("query_id", F.lit(kind).alias("kind"), F.concat_ws("|", *c).alias("what"))
+    parts = [row("record", out["records"], "url", F.col("place").cast("string")), row("facet", out["facets"], "source_id"), row("unavailable", out["unavailable"], "source_id", "status"), row("fallback", out["fallback"], "source_id", "actual_locale"), row("failed", out["failed"], "source_id", "reason")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+RUN = f"""WITH {b.PAGE_RECORDS}, {b.REQUESTS}, {b.SCORED}, scored2 AS (SELECT * FROM scored WHERE source_id = 'en-com'), seen2 AS (SELECT * FROM scored2 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1), kept2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, programming_language ORDER BY score DESC, title, url, catalog_pos, pos) AS lang_rank FROM seen2 QUALIFY lang_rank <= "limit"), {b.DIVERSE.replace('FROM kept)', 'FROM kept2)')},
+have AS (SELECT DISTINCT source_id FROM records WHERE source_id IN ('en-com', 'en-net', 'de-net')), asked AS (SELECT query_id, s AS source_id FROM requests, (VALUES ('en-com'), ('en-net'), ('de-net')) v(s))
+SELECT query_id, 'record' AS kind, url || '|' || place AS what FROM results UNION ALL SELECT DISTINCT query_id, 'facet', source_id FROM scored2
+UNION ALL SELECT query_id, 'unavailable', source_id || '|' || CASE WHEN source_id = 'de-net' AND source_id IN (FROM have) THEN 'blocked' ELSE 'planned' END FROM asked WHERE source_id = 'de-net' OR source_id NOT IN (FROM have)
+UNION ALL SELECT query_id, 'fallback', source_id || '|en' FROM asked WHERE query_id % 3 = 1 AND source_id <> 'de-net' AND source_id IN (FROM have) UNION ALL SELECT query_id, 'failed', source_id || '|count' FROM asked WHERE source_id = 'en-net' AND source_id IN (FROM have)"""
+
+
 def _symbols(spark, d):
     """Results with symbol titles, out of parts: each query is a size, ranked by key."""
     p = b.table(spark, d, "part")
@@ -177,6 +198,7 @@ QUERIES = {
     "suggest": (suggest, SUGGEST),
     "filter_sources": (filter_sources, f"{_FACETS}{_FILTERED} SELECT * FROM passed"),
     "refine_search": (refine, REFINE),
+    "run_requests": (run_requests, RUN),
     "facet_choices": (facet_choices, f"{_FACETS}, c AS (SELECT DISTINCT query_id, 'language' AS facet, programming_language AS value, programming_language AS label FROM facets UNION SELECT DISTINCT query_id, 'site', source_id, source_name FROM facets) SELECT *, row_number() OVER (PARTITION BY query_id, facet ORDER BY label, value) AS place FROM c QUALIFY count(*) OVER (PARTITION BY query_id, facet) > 1"),
     "group_results": (group_results, f"WITH {_SYMBOLS} SELECT query_id, place, group_rank, row_number() OVER (PARTITION BY query_id, group_rank ORDER BY place) AS member_rank FROM grouped"),
     "order_groups": (order_groups, f"WITH {_SYMBOLS} SELECT query_id, place, dense_rank() OVER (PARTITION BY query_id ORDER BY programming_language DESC, group_rank) AS group_place FROM grouped"),
