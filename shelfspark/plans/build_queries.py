@@ -208,7 +208,7 @@ def manifest(spark, d):
 
 MANIFEST = f"""{_BUNDLES}, f AS (SELECT source_id, docs_locale, sha256(string_agg(records.url || chr(0) || sha256(html), chr(10) ORDER BY records.url)) AS input_sha256 FROM records JOIN pages ON page_id = pos GROUP BY source_id, docs_locale), i AS (SELECT source_id, docs_locale, min(pos) AS index_pos FROM records GROUP BY ALL)
 SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE WHEN docs_locale = 'es' THEN 'planned' ELSE 'supported' END AS status, CASE WHEN docs_locale = 'es' THEN 'later' END AS reason, CASE WHEN docs_locale <> 'es' THEN record_count END AS record_count, CASE WHEN docs_locale <> 'es' THEN strlen(body) END AS raw_bytes,
- CASE WHEN docs_locale <> 'es' THEN sha256(body) END AS output_sha256, CASE WHEN docs_locale <> 'es' THEN input_sha256 END AS input_sha256 FROM i LEFT JOIN p USING (source_id, docs_locale) LEFT JOIN f USING (source_id, docs_locale)"""
+ CASE WHEN docs_locale <> 'es' THEN sha256(body) END AS output_sha256, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN input_sha256 END AS input_sha256 FROM i LEFT JOIN p USING (source_id, docs_locale) LEFT JOIN f USING (source_id, docs_locale)"""
 
 
 def projection(spark, d):
@@ -329,7 +329,8 @@ def equivalence(spark, d):
 def selected_jobs(spark, d):
     frequency = F.when(F.col("s_suppkey") % 2 == 0, "weekly").otherwise("monthly")
     jobs = b.catalog(spark, d)["source_indexes"].join(b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("index_pos"), frequency.alias("update_frequency")), "index_pos")
-    return ref.select_jobs(jobs, None, ["nation_3", "nation_4/en"], ["weekly"]).select("index_pos", "source_id", "docs_locale")
+    first = jobs.orderBy("index_pos").first()
+    return ref.select_jobs(jobs, None, [f"{first.source_id}/{first.docs_locale}"], ["weekly"]).select("index_pos", "source_id", "docs_locale")
 
 
 QUERIES = {
@@ -360,5 +361,5 @@ QUERIES = {
     "known_query_check": (known_queries, f"{_KNOWN} SELECT a.source_id, a.docs_locale, a.query, h.title, h.url FROM asked a LEFT JOIN hits h USING (source_id, docs_locale, query) WHERE h.title IS NOT NULL OR a.query IN (SELECT query FROM asked)"),
     "live_check_rows": (live_links, f"{_KNOWN} SELECT url, source_id, docs_locale, query FROM hits WHERE docs_locale <> 'es' QUALIFY row_number() OVER (PARTITION BY url ORDER BY source_id, docs_locale, query) = 1"),
     "projection_equivalence": (equivalence, None),
-    "select_jobs": (selected_jobs, f"WITH {b.CATALOG} SELECT index_pos, source_id, docs_locale FROM indexes WHERE source_id <> 'nation_3' AND NOT (source_id = 'nation_4' AND docs_locale = 'en') AND index_pos % 2 = 0"),
+    "select_jobs": (selected_jobs, f"WITH {b.CATALOG} SELECT i.index_pos, i.source_id, i.docs_locale FROM indexes i, (SELECT * FROM indexes ORDER BY index_pos LIMIT 1) f WHERE NOT (i.source_id = f.source_id AND i.docs_locale = f.docs_locale) AND i.index_pos % 2 = 0"),
 }
