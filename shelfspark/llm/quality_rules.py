@@ -40,9 +40,10 @@ _X = list(SPREAD)
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words for ``text``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keep = [c for c in docs.columns if c.lower() != text.lower()]
+    own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), *own)]
     rows = docs.select(
-        *keep,
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_doc"),
         F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"),
         F.filter(F.split(body, "\n"), lambda line: F.rlike(line, F.lit(WORD))).alias("_lines"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -55,7 +56,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     rows = rows.withColumn("_windows", F.when(n >= SHINGLE, windows).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select(
-        *keep, "n_symbols",
+        "_doc", "n_symbols",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -67,7 +68,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_places", F.array_sort(F.array_distinct(F.flatten(pairs))))
     covered = F.zip_with("_places", F.slice("_places", 2, F.size("_places")), lambda p, q: F.least(F.lit(SHINGLE), F.coalesce(q - p, F.lit(SHINGLE))))
     repeated = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    return rows.withColumn("n_repeat_words", repeated).drop("_sorted", "_places")
+    return rows.withColumn("n_repeat_words", repeated).select("_doc.*", *own)
 
 
 def base_failed() -> Column:
@@ -160,20 +161,22 @@ def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP, steps:
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``docs`` without ``text``, with the counts, base_failed, distance (null where there is no estimate) and kept."""
-    counted = counts(docs.select(*(c for c in docs.columns if c.lower() not in {"distance", "kept", "base_failed", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"})), text)
-    rows = cut(counted.withColumn("base_failed", base_failed()).withColumns(statistics()))
-    one = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"), F.lit(False).alias("pooled"))
-    pool = F.struct(F.col(lang).alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("pooled"))
-    sizes = cut(rows.where(~F.col("base_failed")).groupBy(F.col(lang).alias("of_lang"), F.col(source).alias("of_source")).agg(F.count("*").alias("n")))
+    own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), *own)]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = cut(counts(packed).withColumn("base_failed", base_failed()).withColumns(statistics()))
+    one = F.struct("lang", "source", F.lit(False).alias("pooled"))
+    pool = F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(True).alias("pooled"))
+    sizes = cut(rows.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(F.count("*").alias("n")))
     n_sizes = sizes.count()
-    named = rows.join(sized(sizes, n_sizes, BROADCAST_ROWS), F.col(lang).eqNullSafe(F.col("of_lang")) & F.col(source).eqNullSafe(F.col("of_source")), "left").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, one).otherwise(pool)).drop("n", "of_lang", "of_source")
+    named = rows.join(sized(sizes, n_sizes, BROADCAST_ROWS), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, one).otherwise(pool)).drop("n", "of_lang", "of_source")
     passed = named.where(~F.col("base_failed")).select("g", *_X)
     groups = cut(passed.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS))
     n_groups = groups.count()
     estimates = robust_estimates(passed.join(sized(groups, n_groups, BROADCAST_ROWS), "g"), n_groups)
     judged = named.join(sized(estimates, n_groups, BROADCAST_ROWS), "g", "left").withColumn("distance", F.when(F.col("rows").isNotNull(), _distance()))
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - alpha, len(_X)), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(*(c for c in rows.columns if c not in _X), "distance", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select("doc.*", *own)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

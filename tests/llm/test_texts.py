@@ -166,7 +166,8 @@ def test_outliers(spark):
     data = [(i, ordinary(rng, rng.randint(60, 400)), "en", "s" if i % 3 else None, 5) for i in range(900)]
     odd = {1000 + i: " ".join(w + "#$%|" for w in ordinary(rng, 200).split()) for i in range(20)}
     data += [(i, t, "en", "s", 5) for i, t in odd.items()] + [(2000, None, None, None, 5), (2001, "w " * 100, "en", "s", 5), (2002, ordinary(rng, 100), "xx", "few", 5)]
-    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, kept long").repartition(4)).collect()}
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, kept long").withColumns({c: F.lit("clash") for c in ("g", "n", "x_word", "of_lang", "_words", "m_0", "doc", "rows")}).repartition(4)).collect()}
+    assert got[0].g == got[0].doc == got[0].rows == "clash"
     assert [i for i, r in got.items() if r.kept and i in odd] == []
     assert all(got[i].kept for i in range(900))
     assert not got[2000].kept and got[2000].base_failed and got[2001].base_failed and got[2002].kept and got[2002].distance is None
