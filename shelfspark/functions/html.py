@@ -27,6 +27,7 @@ class _Reader(HTMLParser):
     def __init__(self, wanted: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.wanted, self.open, self.found, self.silent = wanted, [], [], 0
+        self.live: list[dict] = []  # open elements whose text is wanted
 
     def handle_starttag(self, tag, attrs):
         if ends := _ENDS.get(tag):
@@ -34,11 +35,15 @@ class _Reader(HTMLParser):
                 if self.open[i]["tag"] in _SCOPES.get(tag, ()):
                     break
                 if self.open[i]["tag"] in ends:
-                    del self.open[i:]
+                    self.cut(i)
                     break
-        node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": [], "parents": tuple(self.open), "pos": len(self.found)}
         if tag in self.wanted:
+            node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": [], "parents": tuple(self.open), "pos": len(self.found)}
             self.found.append(node)
+            if tag not in _VOID:
+                self.live.append(node)
+        else:
+            node = {"tag": tag, "attrs": dict(attrs)}
         if tag in _VOID:
             if tag == "br":
                 self.handle_data(" ")
@@ -54,15 +59,22 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
-                self.silent -= sum(x["tag"] in _SILENT for x in self.open[i:])
-                del self.open[i:]
+                self.cut(i)
                 break
 
+    def cut(self, i):
+        """Elements from the i-th on are closed."""
+        gone = self.open[i:]
+        del self.open[i:]
+        self.silent -= sum(x["tag"] in _SILENT for x in gone)
+        wanted = sum(x["tag"] in self.wanted for x in gone)
+        if wanted:
+            del self.live[-wanted:]
+
     def handle_data(self, data):
         if not self.silent:
-            for node in self.open:
-                if node["tag"] in self.wanted:
-                    node["text"].append(data)
+            for node in self.live:
+                node["text"].append(data)
 
 
 def elements(body: str | None, *tags: str) -> list[dict]:
@@ -128,7 +140,7 @@ def toc_parts(body: str | None, list_class: str, part_class: str) -> list[dict]:
         classes = n["attrs"].get("class", "").split()
         if n["tag"] == "li" and part_class in classes:
             part = squeeze("".join(n["text"]))
-        elif n["tag"] == "a" and "href" in n["attrs"] and any(list_class in p["attrs"].get("class", "").split() for p in n["parents"]):
+        elif n["tag"] == "a" and "href" in n["attrs"] and any(list_class in (p["attrs"].get("class") or "").split() for p in n["parents"]):
             out.append({"pos": len(out), "href": n["attrs"]["href"], "text": re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", squeeze("".join(n["text"]))), "part": part})
     return out
 
