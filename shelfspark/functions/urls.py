@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words that titles write in another case.
-ACRONYMS = {"Api": "API", "Cli": "CLI", "Css": "CSS", "Faq": "FAQ", "Html": "HTML", "Http": "HTTP", "Id": "ID", "Io": "IO", "Json": "JSON", "Sdk": "SDK", "Sql": "SQL", "Ui": "UI", "Url": "URL", "Xml": "XML", "Yaml": "YAML"}
+# Words that titles write in another way.
+NAMES = {"Fsharp": "F#", "Otp": "OTP", "Iex": "IEx", "Ets": "ETS"}
 
 
 def _dots(path: str) -> str:
@@ -63,12 +63,15 @@ def percent_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
+def spaced(c: Column) -> Column:
+    """Dashes, underscores and white space to single spaces, trimmed."""
+    return F.trim(F.regexp_replace(c, r"[-_\s]+", " "))
+
+
 def humanize_slug(c: Column) -> Column:
-    """``a-b_c`` to ``A B C``: dashes and underscores to spaces, first letters in upper case, known acronyms."""
-    spaced = F.trim(F.regexp_replace(c, r"[-_\s]+", " "))
-    fix = F.create_map(*(F.lit(x) for pair in ACRONYMS.items() for x in pair))
-    upper = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))
-    return F.array_join(F.transform(F.split(spaced, " "), lambda w: F.coalesce(F.try_element_at(fix, upper(w)), upper(w))), " ")
+    """``a-b_c`` to ``A B C``: spaced, and the first ASCII letter of each word in upper case."""
+    starts = F.split(spaced(c), "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
+    return F.array_join(F.transform(starts, lambda w: F.when(F.rlike(w, F.lit("^[A-Za-z0-9_]")), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))).otherwise(w)), "")
 
 
 def path_segments(c: Column) -> Column:
@@ -77,10 +80,22 @@ def path_segments(c: Column) -> Column:
 
 
 def title_from_url(c: Column) -> Column:
-    """The last path segment (its parent for an index page) without extension, humanized."""
-    kept = F.filter(path_segments(c), lambda s: ~F.rlike(s, F.lit(r"(?i)^index\.[a-z]+$")))
-    last = F.regexp_replace(F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("")), r"\.[A-Za-z0-9]{1,5}$", "")
-    return humanize_slug(percent_decoded(last))
+    """The last path segment (its parent for an index page) without ``.html``, humanized; empty if there is none."""
+    segments = path_segments(c)
+    last, parent = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")), F.coalesce(F.get(segments, F.size(segments) - 2), F.lit(""))
+    raw = F.when(F.rlike(last, F.lit(r"(?i)^index\.html?$")), parent).otherwise(F.regexp_replace(last, r"(?i)\.html?$", ""))
+    title = humanize_slug(percent_decoded(raw))
+    for word, name in NAMES.items():
+        title = F.regexp_replace(title, rf"\b{word}\b", name)
+    return title
+
+
+def slug_from_url(c: Column, fallback: str = "Documentation") -> Column:
+    """As ``title_from_url``, but letters keep their case; the host, or else the fallback, where there is no segment."""
+    segments = path_segments(c)
+    last = F.coalesce(F.try_element_at(segments, F.lit(-1)), url_parts(c)["host"])
+    raw = F.when(F.rlike(last, F.lit(r"(?i)^index\.html?$")), F.coalesce(F.get(segments, F.size(segments) - 2), last)).otherwise(last)
+    return F.coalesce(F.nullif(spaced(percent_decoded(F.regexp_replace(raw, r"(?i)\.(?:html?|xml)$", ""))), F.lit("")), F.lit(fallback))
 
 
 def section_from_path(c: Column, i: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import window as w
 
 from ..functions import html as h
 from ..functions.text import collapse, decode_entities, plain_markdown
-from ..functions.urls import humanize_slug, path_segments, percent_decoded, title_from_url, url_parts, url_resolve
+from ..functions.urls import humanize_slug, path_segments, percent_decoded, slug_from_url, url_parts, url_resolve
 
 _LINK = "pos int, href string, text string"
 
@@ -117,14 +117,14 @@ def paper_rows(rows: DataFrame, identifier: str = r"^P\d{4}R\d+$") -> DataFrame:
 # Sitemaps and feeds ----------------------------------------------------------------------------------------------
 
 
-def extract_sitemap(df: DataFrame, prefixes: Iterable[str], fallback_title: str = "") -> DataFrame:
+def extract_sitemap(df: DataFrame, prefixes: Iterable[str], fallback_title: str = "Documentation") -> DataFrame:
     """(doc_id, pos, link, title) of the locations under the prefixes; the title comes from the slug."""
     found = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("pos", "raw"))
     rows = found.select("doc_id", "pos", decode_entities(F.col("raw")).alias("link"))
     inside = F.lit(False)
     for p in prefixes:
         inside = inside | F.startswith("link", F.lit(p))
-    return rows.where(inside).withColumn("title", F.coalesce(F.nullif(title_from_url(F.col("link")), F.lit("")), F.lit(fallback_title)))
+    return rows.where(inside).withColumn("title", slug_from_url(F.col("link"), fallback_title))
 
 
 def extract_rss(df: DataFrame, prefix: str = "") -> DataFrame:

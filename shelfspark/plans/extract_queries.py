@@ -64,7 +64,7 @@ def page_titles(spark, d):
 PAGE_TITLES = r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(url, '^([a-z]+):', 1)) AS protocol, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,
  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path0, regexp_extract(url, '(\?[^#]*)', 1) AS query, regexp_extract(url, '(#.*)$', 1) AS fragment FROM pages),
 q AS (SELECT *, CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path, list_filter(string_split(path0, '/'), lambda s: s <> '') AS segs FROM p)
-SELECT page_id, title, protocol, host, path, query, fragment, coalesce(regexp_replace(segs[-1], '\.[A-Za-z0-9]{1,5}$', ''), '') AS url_title,
+SELECT page_id, title, protocol, host, path, query, fragment, coalesce(regexp_replace(segs[-1], '\.html?$', ''), '') AS url_title,
  CASE WHEN segs[1] IS NULL THEN '' ELSE upper(segs[1][1:1]) || segs[1][2:] END AS section, 't — ' || CASE WHEN regexp_extract(path, '/([0-9]+)', 1) = '' THEN 'none' ELSE regexp_extract(path, '/([0-9]+)', 1) END AS channel FROM q"""
 
 
@@ -76,7 +76,7 @@ def slug_titles(spark, d):
 
 
 SLUG_TITLES = r"""WITH p AS (SELECT *, string_split(p_name, ' ') AS w, replace(p_name, ' ', '-') || CASE WHEN p_size % 3 = 0 THEN '_json-api' ELSE '' END AS slug FROM part)
-SELECT p_partkey, upper(w[1][1:1]) || w[1][2:] || ' ' || upper(w[2][1:1]) || w[2][2:] || CASE WHEN p_size % 3 = 0 THEN ' JSON API' ELSE '' END AS title,
+SELECT p_partkey, upper(w[1][1:1]) || w[1][2:] || ' ' || upper(w[2][1:1]) || w[2][2:] || CASE WHEN p_size % 3 = 0 THEN ' Json Api' ELSE '' END AS title,
  CASE WHEN p_size % 5 <> 0 THEN 'https://d.example/' || slug || CASE WHEN p_size % 4 = 0 THEN '/' ELSE '.html' END || CASE WHEN p_size % 2 = 0 THEN '#' || replace(p_name, ' ', '%20') || '!(x)' ELSE '' END END AS url,
  'lib/' || upper(w[1][1:1]) || w[1][2:] || '/' || upper(w[2][1:1]) || w[2][2:] AS cased, (['cpp', 'javascript', 'go', 'ruby', 'zig'])[p_partkey % 5 + 1] AS language, (['not-current', 'draft', 'current', NULL, 'draft'])[p_partkey % 5 + 1] AS status FROM p"""
 
@@ -109,7 +109,7 @@ def sitemap(spark, d):
 
 
 SITEMAP = r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*?([a-z]+)(?:/|$)', 1) AS doc_id, url AS link, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages WHERE starts_with(url, 'https://www.') OR starts_with(url, 'https://m.'))
-SELECT doc_id, link, regexp_replace(segs[-1], '\.[A-Za-z0-9]{1,5}$', '') AS title FROM p"""
+SELECT doc_id, link, regexp_replace(segs[-1], '\.html?$', '') AS title FROM p"""
 
 
 def feed(spark, d):

@@ -63,12 +63,17 @@ def test_resolve(base, href, want):
 
 @pytest.mark.parametrize(
     ("value", "want"),
-    [("https://a.example/guide/json-api_v2.html", "JSON API V2"), ("https://a.example/getting-started/index.html?x", "Getting Started"), ("https://a.example/iOS%20app/", "IOS App"), ("https://a.example/a+b%zz", "A+b%zz"), ("https://a.example/", "")],
+    [("https://a.example/guide/json-api_v2.html", "Json Api V2"), ("https://a.example/getting-started/index.html?x", "Getting Started"), ("https://a.example/iOS%20app/", "IOS App"), ("https://a.example/a+b%zz", "A+B%Zz"), ("https://a.example/", ""), ("https://a.example/otp-fsharp.HTML", "OTP F#"), ("https://a.example/index.html", "")],
 )
 def test_title_from_url(spark, value, want):
     assert one(spark, value, u.title_from_url) == want
 
 
+@pytest.mark.parametrize(("value", "want"), [("https://a.example/x/my-page_1.xml", "my page 1"), ("https://a.example/", "a.example"), ("https://a.example/index.html", "index"), ("https://a.example/q/index.htm", "q"), ("https://a.example/-", "Documentation")])
+def test_slug_from_url(spark, value, want):
+    assert one(spark, value, u.slug_from_url) == want
+
+
 def test_doc_urls(spark):
     rows = spark.createDataFrame([("a/b.md", "x y"), ("a/index", None), ("../a", None), ("/a", None), ("index", "q"), ("c.html", "")], "p string, f string")
     got = [r[0] for r in rows.select(u.build_doc_url("https://d.example/", F.col("p"), F.col("f"))).collect()]
