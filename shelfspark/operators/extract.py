@@ -17,7 +17,7 @@ from pyspark.sql import window as w
 
 from ..functions import html as h
 from ..functions.text import collapse, decode_entities, plain_markdown
-from ..functions.urls import humanize_slug, path_segments, percent_decoded, slug_from_url, url_parts, url_resolve
+from ..functions.urls import fragment_encoded, humanize_slug, path_segments, percent_decoded, slug_from_url, url_parts, url_resolve
 
 _LINK = "pos int, href string, text string"
 
@@ -94,12 +94,12 @@ def extract_html_headings(df: DataFrame) -> DataFrame:
     """(doc_id, url, pos, level, id, text, section, link): headings with an id; section is the latest level-1 text up to it."""
     rows = _mapped(df, h.headings, "pos int, level int, id string, text string")
     upto = w.Window.partitionBy("doc_id", "url").orderBy("pos")
-    return rows.withColumn("section", F.last(F.when(F.col("level") == 1, F.col("text")), ignorenulls=True).over(upto)).withColumn("link", F.concat("url", F.lit("#"), "id"))
+    return rows.withColumn("section", F.last(F.when(F.col("level") == 1, F.col("text")), ignorenulls=True).over(upto)).withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
 
 
 def extract_clauses(df: DataFrame, tags: tuple[str, ...] = ("emu-intro", "emu-clause", "emu-annex")) -> DataFrame:
-    rows = _mapped(df, lambda body: h.clauses(body, tags), "pos int, id string, text string")
-    return rows.withColumn("link", F.concat("url", F.lit("#"), "id"))
+    rows = _mapped(df, lambda body: h.clauses(body, tags), "pos int, id string, text string").where("text <> ''")
+    return rows.withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
 
 
 def extract_table_rows(df: DataFrame, min_cells: int = 8) -> DataFrame:
@@ -135,12 +135,13 @@ def extract_rss(df: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def slug_kind_records(links: DataFrame, kinds: Iterable[str]) -> DataFrame:
-    """Links whose last segment ends in ``_kind``: the rest in upper case, joined by `` / ``, and the kind as section."""
-    slug = F.regexp_replace(F.coalesce(F.try_element_at(path_segments(F.col("link")), F.lit(-1)), F.lit("")), r"\.html?$", "")
+    """Titles of links by their last segment: if that ends in a known ``_kind``, the rest in upper case joined by `` / `` and the
+    kind as section, else the humanized segment."""
+    slug = F.regexp_replace(percent_decoded(F.coalesce(F.try_element_at(path_segments(F.col("link")), F.lit(-1)), F.lit(""))), r"\.html$", "")
     kind = F.get(F.filter(F.array(*(F.lit(k) for k in kinds)), lambda k: F.endswith(slug, F.concat(F.lit("_"), k))), F.lit(0))
-    rows = links.withColumn("section", kind).where("section is not null")
-    stem = F.left(slug, F.length(slug) - F.length("section") - 1)
-    return rows.withColumn("title", F.array_join(F.transform(F.split(stem, "_"), lambda s: F.upper(s)), " / "))
+    names = F.filter(F.split(F.left(slug, F.length(slug) - F.length(kind) - 1), "_"), lambda s: s != "")
+    title = F.when(kind.isNotNull(), F.array_join(F.transform(names, lambda s: F.upper(s)), " / ")).otherwise(humanize_slug(slug))
+    return links.where(slug != "").withColumns({"title": title, "section": humanize_slug(kind)})
 
 
 # JSON ------------------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from . import search as s
 
 # Ratios of the gates, and the fields that a search needs of a manifest row.
 RECORD_DROP, SIZE_CHANGE = 0.2, 0.5
-RUNTIME_FIELDS = ("source_id", "source_name", "source_kind", "document_kind", "programming_language", "docs_locale", "status", "reason", "path", "record_count", "brotli_bytes", "qualification", "qualification_ja", "url_prefix")
+RUNTIME_FIELDS = ("source_id", "source_name", "source_kind", "document_kind", "programming_language", "docs_locale", "status", "reason", "path", "record_count", "gzip_bytes", "brotli_bytes", "qualification", "qualification_ja")
 
 
 @F.pandas_udf(LongType())
@@ -105,16 +105,17 @@ def keep_retrieved_at(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def change_gates(previous: DataFrame, current: DataFrame, jobs: DataFrame | None = None, accepted: list[str] = ()) -> DataFrame:
     """(source_id, docs_locale, gate, before, after) of indexes that lose too many records or change size too much."""
-    b = previous.select("source_id", "docs_locale", F.col("record_count").alias("n0"), F.col("gzip_bytes").alias("s0"))
-    rows = current.select("source_id", "docs_locale", F.col("record_count").alias("n1"), F.col("gzip_bytes").alias("s1")).join(b, ["source_id", "docs_locale"])
+    sizes = [c for c in ("gzip_bytes", "brotli_bytes") if c in previous.columns and c in current.columns]
+    b = previous.select("source_id", "docs_locale", F.col("record_count").alias("n0"), *(F.col(c).alias(f"{c}0") for c in sizes))
+    rows = current.select("source_id", "docs_locale", F.col("record_count").alias("n1"), *sizes).join(b, ["source_id", "docs_locale"])
     drop, change = F.lit(RECORD_DROP), F.lit(SIZE_CHANGE)
     if jobs is not None:
         rows = rows.join(F.broadcast(jobs.select("source_id", "docs_locale", "maximum_record_drop_ratio", "maximum_size_change_ratio")), ["source_id", "docs_locale"], "left")
         drop, change = F.coalesce("maximum_record_drop_ratio", drop), F.coalesce("maximum_size_change_ratio", change)
     fewer = F.when((F.col("n0") > 0) & ((F.col("n0") - F.col("n1")) / F.col("n0") > drop), F.struct(F.lit("records").alias("gate"), F.col("n0").alias("before"), F.col("n1").alias("after")))
-    resized = F.when((F.col("s0") > 0) & (F.abs(F.col("s1") - F.col("s0")) / F.col("s0") > change), F.struct(F.lit("size").alias("gate"), F.col("s0").alias("before"), F.col("s1").alias("after")))
+    resized = [F.when((F.col(f"{c}0") > 0) & (F.abs(F.col(c) - F.col(f"{c}0")) / F.col(f"{c}0") > change), F.struct(F.lit(c).alias("gate"), F.col(f"{c}0").cast("long").alias("before"), F.col(c).cast("long").alias("after"))) for c in sizes]
     rows = rows.where(~F.concat_ws("/", "source_id", "docs_locale").isin(*accepted)) if accepted else rows
-    return rows.select("source_id", "docs_locale", F.explode(F.array_compact(F.array(fewer, resized))).alias("g")).select("source_id", "docs_locale", "g.*")
+    return rows.select("source_id", "docs_locale", F.explode(F.array_compact(F.array(fewer, *resized))).alias("g")).select("source_id", "docs_locale", "g.*")
 
 
 def partial_refresh(selected: DataFrame, previous: DataFrame, fresh: DataFrame, artifacts: DataFrame, metadata: tuple[str, ...]) -> DataFrame:

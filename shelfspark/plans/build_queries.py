@@ -82,7 +82,7 @@ def pack_bundles(spark, d):
 
 _BUNDLES = f"""WITH {b.PAGE_RECORDS}, r AS (SELECT source_id, docs_locale, pos, CASE WHEN proposal_status IS NOT NULL THEN [title, url[9:], section, proposal_status] WHEN section <> '' THEN [title, url[9:], section] ELSE [title, url[9:]] END AS rec FROM records WHERE starts_with(url, 'https://')),
 l AS (SELECT source_id, docs_locale, count(*) AS record_count, list(rec ORDER BY pos) AS recs FROM r GROUP BY source_id, docs_locale),
-p AS (SELECT source_id, docs_locale, record_count, '{{"schemaVersion":2,"sourceId":"' || source_id || '","docsLocale":"' || docs_locale || '","urlPrefix":"https://","records":' || to_json(recs)::VARCHAR || '}}' AS body FROM l)"""
+p AS (SELECT source_id, docs_locale, record_count, '{{"schemaVersion":2,"sourceId":"' || source_id || '","docsLocale":"' || docs_locale || '","urlPrefix":"https://","records":' || to_json(recs)::VARCHAR || '}}' || chr(10) AS body FROM l)"""
 
 
 def expand_bundles(spark, d):
@@ -212,12 +212,12 @@ SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE W
 
 
 def projection(spark, d):
-    return ref.runtime_projection(manifest_rows(spark, d).withColumn("brotli_bytes", F.col("raw_bytes")))
+    return ref.runtime_projection(manifest_rows(spark, d).withColumn("brotli_bytes", F.col("raw_bytes")).withColumn("gzip_bytes", F.lit(None).cast("long")))
 
 
 PROJECTION = f"""{_BUNDLES}, i AS (SELECT source_id, docs_locale, min(pos) AS index_pos, min(source_name) AS source_name, min(source_kind) AS source_kind FROM records GROUP BY ALL), j AS (SELECT *, docs_locale <> 'es' AND body IS NOT NULL AS ok FROM i LEFT JOIN p USING (source_id, docs_locale))
 SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, '{{"source_id":"' || source_id || '","source_name":"' || source_name || '","source_kind":"' || source_kind || '","document_kind":"reference","programming_language":"' || docs_locale || '","docs_locale":"' || docs_locale || '","status":"' || CASE WHEN docs_locale = 'es' THEN 'planned","reason":"later' ELSE 'supported' END || '"' ||
- CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"brotli_bytes":' || strlen(body) || ',"url_prefix":"https://"' ELSE '' END || '}}' AS entry FROM j"""
+ CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"brotli_bytes":' || strlen(body) ELSE '' END || '}}' AS entry FROM j"""
 
 
 def _fetches(spark, d):
@@ -253,7 +253,7 @@ def gates(spark, d):
 
 
 GATES = f"""{_OLD_NEW}, j AS (SELECT source_id, docs_locale, o.record_count AS n0, n.record_count AS n1, o.gzip_bytes AS s0, n.gzip_bytes AS s1 FROM o JOIN n USING (source_id, docs_locale) WHERE source_id || '/' || docs_locale <> 'click/1')
-SELECT source_id, docs_locale, 'records' AS gate, n0 AS before, n1 AS after FROM j WHERE (n0 - n1) / n0::DOUBLE > 0.2 UNION ALL SELECT source_id, docs_locale, 'size', s0, s1 FROM j WHERE s0 > 0 AND abs(s1 - s0) / s0::DOUBLE > 0.5"""
+SELECT source_id, docs_locale, 'records' AS gate, n0 AS before, n1 AS after FROM j WHERE (n0 - n1) / n0::DOUBLE > 0.2 UNION ALL SELECT source_id, docs_locale, 'gzip_bytes', s0, s1 FROM j WHERE s0 > 0 AND abs(s1 - s0) / s0::DOUBLE > 0.5"""
 
 
 def carried(spark, d):

@@ -330,6 +330,6 @@ QUERIES = {
     "zip_summary_with_sitemap": (summary_zip, "SELECT n_regionkey::BIGINT AS doc_id, 'N ' || n_nationkey AS title, 'https://z.example/' || lower(n_name) AS link, 'N ' || n_nationkey AS section, true AS sound FROM nation"),
     "heading_anchor_lookup": (anchors, "SELECT 'p' || page_id AS path, 'Page No. ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'own' WHEN page_id % 2 = 0 THEN 't' ELSE 'page-no-' || page_id END AS fragment FROM pages"),
     "assert_edition": (editions, """SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS found FROM pages WHERE regexp_extract(html, '<html lang="([a-z]+)"', 1) <> 'en'"""),
-    "slug_kind_records": (slug_kinds, "SELECT p_partkey, replace(upper(p_name), ' ', ' / ') AS title, CASE p_size % 3 WHEN 0 THEN 'func' ELSE 'type' END AS section FROM part WHERE p_size % 3 < 2"),
+    "slug_kind_records": (slug_kinds, "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN replace(upper(p_name), ' ', ' / ') ELSE upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] END AS title, CASE p_size % 3 WHEN 0 THEN 'Func' WHEN 1 THEN 'Type' END AS section FROM part"),
     "canonical_urls": (moved_urls, MOVED),
 }

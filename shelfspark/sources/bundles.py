@@ -49,14 +49,14 @@ def validate_bundles(bundles: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def pack_bundles(records: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row for each (source, locale): the bundle's JSON, its sizes, hash and name. URLs lose the job's prefix, trailing
+    """One row for each (source, locale): the bundle's JSON line, its sizes, hash and name. URLs lose the job's prefix, trailing
     empty fields go. A bundle is one published file, so it is one row; jobs keep it to some ten thousand short records."""
     fields = F.array(F.col("title"), F.substr("url", F.length("url_prefix") + 1), F.coalesce("section", F.lit("")), F.coalesce("proposal_status", F.lit("")))
     used = F.when(F.coalesce("proposal_status", F.lit("")) != "", 4).when(F.coalesce("section", F.lit("")) != "", 3).otherwise(2)
     rows = records.join(F.broadcast(jobs.select("source_id", "docs_locale", "url_prefix")), ["source_id", "docs_locale"])
     packed = rows.groupBy("source_id", "docs_locale", "url_prefix").agg(F.array_sort(F.collect_list(F.struct("pos", F.slice(fields, F.lit(1), used).alias("rec")))).alias("sorted"))
     body = F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("source_id").alias("sourceId"), F.col("docs_locale").alias("docsLocale"), F.col("url_prefix").alias("urlPrefix"), F.transform("sorted", lambda x: x["rec"]).alias("records"))
-    packed = packed.withColumn("body", F.to_json(body)).withColumn("output_sha256", F.sha2("body", 256))
+    packed = packed.withColumn("body", F.concat(F.to_json(body), F.lit("\n"))).withColumn("output_sha256", F.sha2("body", 256))
     return packed.select("source_id", "docs_locale", "url_prefix", F.size("sorted").cast("long").alias("record_count"), "body", F.octet_length("body").cast("long").alias("raw_bytes"), "output_sha256", F.concat_ws(".", "source_id", "docs_locale", F.left("output_sha256", F.lit(16)), F.lit("json")).alias("path"))
 
 
