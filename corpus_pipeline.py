@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from shelfspark.llm import byte_bpe, exact_dedup, simhash_dedup, source_mix, toxicity
 from shelfspark.llm.common import columns_free_of, cut, sized, table
 
+#: Near copies: Jaccard similarity of the sets of runs of so many words.
+NEAR_WORDS, NEAR = 5, 0.8
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is under the threshold. Learned from the labels of the input's own documents."""
@@ -43,9 +46,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the smallest doc_id."""
+    """Of each component of similar documents, the one with the smallest doc_id."""
     rows, own = _numbered(docs)
-    return _without(rows, own, simhash_dedup.near_duplicates(rows, own).where(F.col(own) != F.col("component_id")))
+    return _without(rows, own, simhash_dedup.near_duplicates(rows, own, size=NEAR_WORDS, similarity=NEAR).where(F.col(own) != F.col("component_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

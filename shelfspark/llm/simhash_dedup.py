@@ -8,6 +8,12 @@ segments with the fewest errors each differs in one bit at most, so the decoded
 other: joining on (segment pair, index, index) finds every link, and the join verifies the distance. Components are the
 fixed point of alternating star contraction over the links between classes; each round is cut, so lost executors cost one.
 
+Where a Jaccard similarity is asked for, fingerprints only propose. Links are then pairs of shingle sets of at least that
+similarity, all of them: two such sets share one of their first shingles in any common order, so that the sets that share
+one are compared. Shingles that a sample of texts shows to be common come last in the order; in a key that is common all
+the same, sets that linked fingerprints or the key's least set have already joined are not compared again. A pair whose
+first shingles differ too much for the similarity is dropped, and the rest are counted exactly.
+
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other. Repeated
 rows belong to one class. A null doc_id counts only where its component has no other.
 """
@@ -23,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sized, table
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -31,6 +37,13 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 
+#: One text in so many is sampled for common shingles; those in so many sampled texts are common, up to a number of them.
+#: They decide the order only, so any set of them gives the same links.
+SAMPLED, COMMON, MOST_COMMON = 16, 5, 500_000
+
+#: Keys with more sets than this first join them to the least one.
+CROWD = 40
+
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -171,16 +184,148 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, fp (long), component_id."""
-    prints = cut(fingerprints(docs, id_col, text))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = components(links(classes))
-    rooted = classes.join(linked, classes["fp"] == linked["node"])
+# Verified similarity ---------------------------------------------------------------------------------------------
+
+
+def _mapped(df: DataFrame, text: str, kind: str, each, id_col: str | None = None) -> DataFrame:
+    """The columns ``kind`` that ``each`` makes of a batch's texts, after the id if one is named."""
+    ids = [] if id_col is None else [F.col(id_col).alias("id")]
+    names = ["id"] * len(ids) + [x.split()[0] for x in kind.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *each(batch.columns[-1])], names)
+
+    first = [f"id {df.schema[id_col].dataType.simpleString()}"] if ids else []
+    return df.select(*ids, F.col(text).cast("binary").alias("text")).mapInArrow(run, ", ".join([*first, kind]))
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
+
+
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def classes_of(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
+    """(id, fp, node) of each row: fingerprint and hash of the set of shingles."""
+
+    def each(texts):
+        hashes = [shingle_hashes(x.as_py(), size) for x in texts]
+        return _longs([simhash(h) for h in hashes]), _longs([_node(np.unique(h)) for h in hashes])
+
+    return _mapped(df, text, "fp long, node long", each, id_col)
+
+
+def _common(docs: DataFrame, text: str, size: int) -> np.ndarray:
+    """Hashes of shingles in many of the sampled texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([_longs(shingle_set(x.as_py(), size))], ["key"])
+
+    sample = docs.select(F.col(text).cast("binary").alias("text")).where(F.xxhash64("text") % SAMPLED == 0)
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
+    found = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def first_shingles(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set, the first shingles in the common order: a set of at least ``similarity`` has one of its own first among them."""
+    late = np.zeros(len(found), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+    return found[np.argsort(late, kind="stable")][: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
+
+
+def _keys(docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+    """(key, node, at, n): the first shingles of each set, their places and the set's size."""
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, text, size))  # at most MOST_COMMON hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                sets = [shingle_set(x.as_py(), size) for x in batch.column(0).slice(at, 200)]
+                first = [first_shingles(x, held.value, similarity) for x in sets]
+                ends = [len(x) for x in first]
+                columns = np.concatenate(first), np.repeat(np.array([_node(x) for x in sets], np.uint64), ends)
+                places = np.concatenate([np.arange(x) for x in ends]).astype(np.int32), np.repeat(np.array([len(x) for x in sets], np.int32), ends)
+                yield pa.RecordBatch.from_arrays([*map(_longs, columns), *map(pa.array, places)], ["key", "node", "at", "n"])
+
+    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "key long, node long, at int, n int")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have the similarity; only sets of pairs are moved."""
+
+    def each(texts):
+        sets = [shingle_set(x.as_py(), size) for x in texts]
+        return _longs([_node(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct())
+    sets = _mapped(docs, text, "node long, found binary", each)
+    sets = cut(sets.join(sized(wanted, wanted.count()), F.col("node") == F.col("of"), "left_semi").dropDuplicates(["node"]))
+    left, right = (sets.select(F.col("node").alias(c + "_of"), F.col("found").alias(c + "_found")) for c in "ab")
+    joined = pairs.join(left, F.col("a") == F.col("a_of")).join(right, F.col("b") == F.col("b_of"))
+    return joined.select("a", "b", "a_found", "b_found").mapInArrow(run, "a long, b long")
+
+
+def similar_sets(docs: DataFrame, classes: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between nodes of ``classes`` (fp, node) whose components are those of all pairs of the similarity."""
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    most = (1 - similarity) / (1 + similarity)  # of the sets' sizes together, the share in one set alone
+    a, b = F.col("a"), F.col("b")
+    heads = cut(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    golay = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(*ordered(F.col("x"), F.col("y")))
+    equal = classes.join(heads, "fp").where("node != head").select(*ordered(F.col("node"), F.col("head")))
+
+    buckets = cut(_keys(docs, text, size, similarity).groupBy("key").agg(F.collect_set(F.struct("node", "at", "n")).alias("sets")).where(F.size("sets") > 1))
+    crowded = buckets.where(F.size("sets") > CROWD)
+    star = crowded.select(F.array_min("sets").alias("x"), F.explode("sets").alias("y")).where((F.col("x.node") != F.col("y.node")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9))
+    near = cut(_verified(golay.unionByName(equal).unionByName(star.select(*ordered(F.col("x.node"), F.col("y.node")))).distinct(), docs, text, size, similarity))
+
+    joined = cut(components(near))
+    members = crowded.select("key", F.explode("sets").alias("x")).join(joined, F.col("x.node") == F.col("node"), "left")
+    members = cut(members.groupBy("key", F.coalesce("root", "x.node").alias("root")).agg(F.collect_list("x").alias("sets")))
+    other = members.select(F.col("key").alias("of"), F.col("root").alias("other"), F.col("sets").alias("others"))
+    apart = members.join(other, (F.col("key") == F.col("of")) & (F.col("root") < F.col("other"))).select(F.explode("sets").alias("x"), "others").select("x", F.explode("others").alias("y"))
+    few = buckets.where(F.size("sets") <= CROWD).select(F.explode("sets").alias("x"), "sets").select("x", F.explode("sets").alias("y")).where("x.node < y.node")
+    pairs = few.unionByName(apart).where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("both"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
+    pairs = pairs.where(F.expr("i + j + 2 - 2 * both") <= most * (F.col("m") + F.col("n")) + 1e-9).select(a, b)
+    return near.unionByName(_verified(pairs, docs, text, size, similarity))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row for each row of ``docs``: id, fp (long), component_id. Links are fingerprints within three bits, or with
+    ``similarity`` all pairs of shingle sets with at least that Jaccard similarity."""
+    if similarity is None:
+        prints, node = cut(fingerprints(docs, id_col, text, size)), "fp"
+    else:
+        prints, node = cut(classes_of(docs, id_col, text, size)), "node"
+    classes = cut(prints.groupBy(node).agg(F.min("id").alias("least")))
+    linked = components(links(classes) if similarity is None else similar_sets(docs, prints.select("fp", "node").distinct(), text, size, similarity))
+    rooted = classes.join(linked.withColumnRenamed("node", "of"), F.col(node) == F.col("of"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = cut(rooted.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"))
-    classes = classes.join(joined, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    joined = cut(rooted.join(smallest, "root").select("of", "component_id"))
+    classes = classes.join(joined, F.col(node) == F.col("of"), "left").select(F.col(node).alias("of"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(classes, F.col(node) == F.col("of"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
