@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the one before kept: toxic documents go, then all but one of equal texts, then all but one
 of each group of near duplicates; the sources are mixed to target weights, whole documents at a time and twice where an
-epoch repeats; and the texts are encoded with byte-level BPE. Stages 1 to 4 return the columns of ``documents``.
+epoch repeats; and the texts are encoded with byte-level BPE and decoded again. Stages 1 to 4 return the columns of ``documents``.
 
 ``run`` writes each stage's rows to the shared checkpoint folder and reads them again, as a lost executor must not cost the
 stages before.
@@ -61,9 +61,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids."""
-    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, lang, source, n_tokens, the token ids and the hash of the bytes that they decode to."""
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

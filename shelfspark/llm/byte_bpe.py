@@ -111,14 +111,26 @@ def _encoder(digest: str, pattern: str, memo: int, model) -> Encoder:
     return Encoder(model.value, pattern, memo)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` with column ``ids`` (array of int) instead of ``text``."""
+def _bytes_of(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    """The bytes that each row's ids stand for. A slice of rows at a time, so memory stays bounded."""
+    ends, back = column.offsets.to_pylist(), []
+    for at in range(0, len(column), TOGETHER):
+        part = ends[at : at + TOGETHER + 1]
+        flat = column.values[part[0] : part[-1]].to_pylist()
+        back += [b"".join(map(tokens.__getitem__, flat[a - part[0] : b - part[0]])) for a, b in zip(part, part[1:])]
+    return pa.array(back, pa.binary())
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` with column ``ids`` (array of int) instead of ``text``; with ``decoded``, also as decode() in the same worker."""
     import public_tokenizers
 
     pattern, spark = pattern or public_tokenizers.PATTERN, df.sparkSession
     model = serialise_model(read_ranks(path or vocabulary_path()))
     digest, held = hashlib.sha256(model).hexdigest(), spark.sparkContext.broadcast(model)  # bounded by the vocabulary file
-    keep = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower())]
+    keep = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower(), (decoded or ids).lower())]
+    tokens = spark.sparkContext.broadcast(read_ranks(path or vocabulary_path())) if decoded else None
+    more = [decoded] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(digest, pattern, MEMO, held)
@@ -127,10 +139,12 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
             coded = [x for at in range(0, len(texts), TOGETHER) for x in encoder.encode(texts[at : at + TOGETHER])]
             ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int64).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, ids])
+            column = pa.ListArray.from_arrays(pa.array(ends), values)
+            back = [_bytes_of(column, tokens.value)] if tokens else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column, *back], [*keep, ids, *more])
 
     out = df.select(*keep, text)
-    return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]), f"`{ids}` array<int>"]))
+    return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]), f"`{ids}` array<int>", *(f"`{c}` binary" for c in more)]))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
@@ -143,10 +157,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = held.value
         for batch in batches:
-            column = batch.column(at)
-            flat, ends = column.values.to_pylist(), column.offsets.to_pylist()
-            back = [b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*keep, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(batch.column(at), tokens)], [*keep, decoded])
 
     out = df.select(*keep)
     return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields), f"`{decoded}` binary"]))
