@@ -3,24 +3,30 @@
 Equal fingerprints form a class. A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. The perfect Golay code
 puts every 23-bit word within three bits of exactly one codeword; a segment is decoded to that codeword's index, and a
 probe also to the codewords next to it, which are those that decode any word one bit away: one key where the segment lies
-within two bits of its codeword, six keys otherwise. If two fingerprints differ in up to three bits, then in the two
-segments with the fewest errors each differs in one bit at most, so the decoded pair of one is among the key pairs of the
-other: joining on (segment pair, index, index) finds every link, and the join verifies the distance. Components are the
-fixed point of alternating star contraction over the links between classes; each round is cut, so lost executors cost one.
+within two bits of its codeword, six keys otherwise. Up to three errors fall on the segments in one of two ways:
+
+- a segment has none, and of the other two one has one at most: keys of that segment's bits and the other's codeword index,
+- each has one: keys of the indices of the first two, and of a half of the third, of which one half has no error.
+
+One side of the join has its decoded keys and the other its probes, so each link meets in a key of 30 to 35 bits, and the
+join verifies the distance. In a key of more than ``CROWD`` fingerprints all are first held against the least one, and only
+those that are still in different components against each other. Components are the fixed point of alternating star
+contraction over the links between classes; each round is cut, so lost executors cost one.
 
 Where a Jaccard similarity is asked for, fingerprints only propose. Links are then pairs of shingle sets of at least that
 similarity, all of them: two such sets share one of their first shingles in any common order, so that the sets that share
-one are compared. Shingles that a sample of texts shows to be common come last in the order; in a key that is common all
-the same, sets that linked fingerprints or the key's least set have already joined are not compared again. A pair whose
-first shingles differ too much for the similarity is dropped, and the rest are counted exactly.
+one are compared. Shingles that a sample of texts shows to be common come last in the order; in a shingle that many sets
+have among their first all the same, sets that linked fingerprints or the least set have already joined are not compared
+again. A pair whose first shingles differ too much for the similarity is dropped, and the rest are counted exactly.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other. Repeated
-rows belong to one class. A null doc_id counts only where its component has no other.
+rows belong to one class. A null doc_id counts only where its component has no other. An empty table gives an empty result;
+extra columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -28,20 +34,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import cut, sized, table
+from .common import BROADCAST_ROWS, cut, look_up, parts_of, quoted, sized, table
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
 #: (shift, bits) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+
+#: Keys of an exact segment and a decoded one, and the (shift, bits) of the third segment's halves.
+EXACT = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+HALVES = ((46, 9), (55, 9))
 
 #: One text in so many is sampled for common shingles; those in so many sampled texts are common, up to a number of them.
 #: They decide the order only, so any set of them gives the same links.
 SAMPLED, COMMON, MOST_COMMON = 16, 5, 500_000
 
-#: Keys with more sets than this first join them to the least one.
+#: Keys with more members than this first join them to the least one.
 CROWD = 40
 
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -57,7 +67,8 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     one, join = xxhash.xxh64_intdigest, b" ".join
-    return np.array([one(join(x), SEED) for x in zip(*(words[i:] for i in range(size)))] or [one(join(words), SEED)], np.uint64)
+    hashes = (one(join(x), SEED) for x in zip(*(words[i:] for i in range(size))))
+    return np.fromiter(hashes, np.uint64, len(words) - size + 1) if len(words) >= size else np.array([one(join(words), SEED)], np.uint64)
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -69,16 +80,31 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp) of each row."""
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate(values)))
+
+
+def _of_texts(docs: DataFrame, id_col: str, text: str, each: Callable[[list[np.ndarray]], list[pa.Array]], size: int, **kinds) -> DataFrame:
+    """id, and the columns ``kinds`` that ``each`` makes of some texts' shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(shingle_hashes(x.as_py(), size)) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            for part in parts_of(batch, 1):
+                made = each([shingle_hashes(x.as_py(), size) for x in part.column(1)])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["id", *kinds])
+
+    out = docs.select(quoted(id_col).alias("id"), quoted(text).cast("binary").alias("text"))
+    return out.mapInArrow(run, StructType([out.schema["id"], *(StructField(name, kind) for name, kind in kinds.items())]))
+
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(id, fp) of each row."""
+    return _of_texts(docs, id_col, text, lambda all_hashes: [_longs([simhash(h) for h in all_hashes])], size, fp=LongType())
 
 
 # Golay keys ------------------------------------------------------------------------------------------------------
@@ -93,20 +119,18 @@ def _remainder(words: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Syndromes of bytes at their three places; the error pattern of each syndrome; its weight."""
+def _golay() -> tuple[np.ndarray, np.ndarray]:
+    """Syndromes of bytes at their three places; the error pattern of each syndrome."""
     places = np.stack([_remainder((np.arange(256) << s) & (2**23 - 1)) for s in (0, 8, 16)])
-    bits = 1 << np.arange(23)
-    patterns = [0, *bits.tolist()]
-    patterns += [a | b for i, a in enumerate(bits.tolist()) for b in bits.tolist()[:i]]
-    patterns += [a | b | c for i, a in enumerate(bits.tolist()) for j, b in enumerate(bits.tolist()[:i]) for c in bits.tolist()[:j]]
+    bits = (1 << np.arange(23)).tolist()
+    patterns = [0, *bits]
+    patterns += [a | b for i, a in enumerate(bits) for b in bits[:i]]
+    patterns += [a | b | c for i, a in enumerate(bits) for j, b in enumerate(bits[:i]) for c in bits[:j]]
     patterns = np.array(patterns, np.int64)
     table = np.zeros(2048, np.int64)
     table[_remainder(patterns)] = patterns
-    weight = np.zeros(2048, np.int64)
-    weight[_remainder(patterns)] = [int(x).bit_count() for x in patterns]
     assert len(set(_remainder(patterns).tolist())) == 2048
-    return places, table, weight
+    return places, table
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -119,64 +143,97 @@ def nearest(words: np.ndarray) -> np.ndarray:
     return (words ^ _golay()[1][_syndrome(words)]) >> 11
 
 
-def probes(words: np.ndarray) -> list[np.ndarray]:
-    """For each word the sorted indices of the codewords nearest to it and to the words one bit away."""
+def probes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and indices: for each word those of the codewords nearest to it and to the words one bit away."""
     around = np.sort(np.stack([nearest(words), *(nearest(words ^ (1 << b)) for b in range(23))], 1), 1)
     fresh = np.c_[np.ones(len(words), bool), around[:, 1:] != around[:, :-1]]
-    ends = np.cumsum(fresh.sum(1))
-    return np.split(around[fresh], ends[:-1])
+    return np.nonzero(fresh)[0], around[fresh]
+
+
+def _bits(fps: np.ndarray, shift: int, n: int) -> np.ndarray:
+    return ((fps >> np.uint64(shift)) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+
+def keys_of(fps: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and keys: of each fingerprint its decoded keys, or its probes."""
+    parts = [_bits(fps, s, n) for s, n in SEGMENTS]
+    every = np.arange(len(fps))
+    index = [probes(p) for p in parts] if probing else [(every, nearest(p)) for p in parts]
+    owners, keys = [], []
+    for case, (exact, near) in enumerate(EXACT):
+        owner, decoded = index[near]
+        owners.append(owner)
+        keys.append(case << 48 | parts[exact][owner] << 12 | decoded)
+    # All pairs of an index of the first segment and one of the second, of the same fingerprint.
+    counts = np.bincount(index[1][0], minlength=len(fps))
+    starts = np.cumsum(counts) - counts
+    first, a = index[0]
+    owner, a = np.repeat(first, counts[first]), np.repeat(a, counts[first])
+    run = counts[first]
+    b = index[1][1][np.repeat(starts[first], run) + np.arange(len(owner)) - np.repeat(np.cumsum(run) - run, run)]
+    for case, (shift, n) in enumerate(HALVES, len(EXACT)):
+        owners.append(owner)
+        keys.append(case << 48 | a << 24 | b << 12 | _bits(fps, shift, n)[owner])
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 def golay_keys(classes: DataFrame, probing: bool) -> DataFrame:
-    """(key, fp): for each class its three decoded keys, or its probe keys."""
+    """(key, fp): for each class its decoded keys, or its probe keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = np.asarray(batch.column(0)).view(np.uint64)
-            for at in range(0, len(every), 2000):
-                fps = every[at : at + 2000]
-                parts = [((fps >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in SEGMENTS]
-                if probing:
-                    near = [probes(p) for p in parts]
-                    keys, owner = [], []
-                    for k, (i, j) in enumerate(PAIRS):
-                        found = [((a[:, None] << 12) | b[None, :]).ravel() for a, b in zip(near[i], near[j])]
-                        keys.append(np.concatenate(found) | k << 24)
-                        owner.append(np.repeat(fps, [len(x) for x in found]))
-                else:
-                    index = [nearest(p) for p in parts]
-                    keys = [(index[i] << 12 | index[j]) | k << 24 for k, (i, j) in enumerate(PAIRS)]
-                    owner = [fps] * len(PAIRS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(owner).view(np.int64))], ["key", "fp"])
-
-    return classes.select("fp").mapInArrow(run, "key int, fp long")
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints within three bits, each pair once or more."""
-    left, right = golay_keys(classes, False).withColumnRenamed("fp", "a"), golay_keys(classes, True).withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return left.join(right, (left["key"] == right["key"]) & near).select("a", "b")
+            for at in range(0, len(every), 500):
+                fps = every[at : at + 500]
+                owners, keys = keys_of(fps, probing)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[owners].view(np.int64))], ["key", "fp"])
+
+    return classes.select("fp").mapInArrow(run, "key long, fp long")
+
+
+def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Pairs (a, b) of different fingerprints within three bits, whose components are those of all such pairs."""
+    a, b = F.col("a"), F.col("b")
+    near = (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
+    left, right = cut(golay_keys(classes, False).withColumnRenamed("fp", "a")), golay_keys(classes, True).withColumnRenamed("fp", "b")
+    crowded = cut(left.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("least")).where(F.col("n") > CROWD))
+    n_crowded = crowded.count()
+    if not n_crowded:
+        return left.join(right, "key").where(near & (a < b)).select("a", "b")
+    hint = lambda df: sized(df, n_crowded, most)
+    few = cut(left.join(hint(crowded.select("key")), "key", "left_anti").join(right, "key").where(near & (a < b)).select("a", "b"))
+    members = left.join(hint(crowded), "key"), cut(right.join(hint(crowded), "key"))
+    stars = [m.select(F.col(c).alias("a"), F.col("least").alias("b")).where(near) for m, c in zip(members, "ab")]
+    first = cut(few.unionByName(stars[0]).unionByName(stars[1]).distinct())
+    roots = cut(components(first, most))
+    n_roots = roots.count()
+    rooted = [look_up(cut(m.select("key", F.col(c).alias("node"))), roots, "node", n_roots, most).select("key", F.col("node").alias(c), F.coalesce("root", "node").alias("root_" + c)) for m, c in zip(members, "ab")]
+    apart = rooted[0].join(rooted[1], "key").where((F.col("root_a") != F.col("root_b")) & near).select("a", "b")
+    return first.unionByName(apart)
 
 
 # Components ------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """(node, root): the smallest node of each node's component, for all nodes of ``edges`` (a, b).
 
     A large-star step links each node's larger neighbours to its smallest neighbour, a small-star step does so for the
-    smaller ones; both keep components, and repeated in turn they end in stars. Minima are partially aggregated.
+    smaller ones; both keep components, and repeated in turn they end in stars. Minima are partially aggregated, and hot
+    nodes are looked up by broadcast.
     """
     edges = cut(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    seen = None
-    while True:
+    seen = edges.agg(F.count("*"), F.lit(None).cast("long")).first()
+    while seen[0]:
+        small = 2 * seen[0] <= most  # then all joins are broadcast, and nothing needs to be written in between
+        held = (lambda df: df) if small else cut
         both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = edges.join(least, edges["lo"] == least["node"]).select("hi", F.col("m").alias("lo")).unionByName(least.select(F.col("node").alias("hi"), F.col("m").alias("lo")).where("hi != lo")).distinct()
-        root = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-        small = large.join(root, large["hi"] == root["node"]).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").unionByName(root.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct()
-        edges = cut(small)
+        least = held(both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("lo"), F.least("hi", "m").alias("m")))
+        large = look_up(edges, least, "lo", 2 * seen[0], most).select("hi", F.col("m").alias("lo"))
+        large = held(large.unionByName(least.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")).distinct())
+        root = held(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        stars = look_up(large, root, "hi", 2 * seen[0], most).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
+        edges = cut(stars.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").bitwiseAND((1 << 40) - 1))).first()
         if now == seen:
             break
@@ -187,51 +244,15 @@ def components(edges: DataFrame) -> DataFrame:
 # Verified similarity ---------------------------------------------------------------------------------------------
 
 
-def _mapped(df: DataFrame, text: str, kind: str, each, id_col: str | None = None) -> DataFrame:
-    """The columns ``kind`` that ``each`` makes of a batch's texts, after the id if one is named."""
-    ids = [] if id_col is None else [F.col(id_col).alias("id")]
-    names = ["id"] * len(ids) + [x.split()[0] for x in kind.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *each(batch.columns[-1])], names)
-
-    first = [f"id {df.schema[id_col].dataType.simpleString()}"] if ids else []
-    return df.select(*ids, F.col(text).cast("binary").alias("text")).mapInArrow(run, ", ".join([*first, kind]))
-
-
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, size))
-
-
 def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def _longs(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
-
-
-def classes_of(df: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """(id, fp, node) of each row: fingerprint and hash of the set of shingles."""
-
-    def each(texts):
-        hashes = [shingle_hashes(x.as_py(), size) for x in texts]
-        return _longs([simhash(h) for h in hashes]), _longs([_node(np.unique(h)) for h in hashes])
-
-    return _mapped(df, text, "fp long, node long", each, id_col)
-
-
-def _common(docs: DataFrame, text: str, size: int) -> np.ndarray:
+def _common(docs: DataFrame, id_col: str, text: str, size: int) -> np.ndarray:
     """Hashes of shingles in many of the sampled texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([_longs(shingle_set(x.as_py(), size))], ["key"])
-
-    sample = docs.select(F.col(text).cast("binary").alias("text")).where(F.xxhash64("text") % SAMPLED == 0)
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
+    sample = docs.where(F.xxhash64(quoted(text)) % SAMPLED == 0)
+    sets = _of_texts(sample, id_col, text, lambda all_hashes: [_lists([np.unique(h) for h in all_hashes])], size, keys=ArrayType(LongType()))
+    counts = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
     return np.sort(found.view(np.uint64))
 
@@ -244,88 +265,96 @@ def first_shingles(found: np.ndarray, common: np.ndarray, similarity: float) ->
     return found[np.argsort(late, kind="stable")][: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
 
 
-def _keys(docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
-    """(key, node, at, n): the first shingles of each set, their places and the set's size."""
-    held = docs.sparkSession.sparkContext.broadcast(_common(docs, text, size))  # at most MOST_COMMON hashes
+def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(id, fp, node, n, first) of each row: the fingerprint; hash, size and first shingles of the set of shingles."""
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, size))  # at most MOST_COMMON hashes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                sets = [shingle_set(x.as_py(), size) for x in batch.column(0).slice(at, 200)]
-                first = [first_shingles(x, held.value, similarity) for x in sets]
-                ends = [len(x) for x in first]
-                columns = np.concatenate(first), np.repeat(np.array([_node(x) for x in sets], np.uint64), ends)
-                places = np.concatenate([np.arange(x) for x in ends]).astype(np.int32), np.repeat(np.array([len(x) for x in sets], np.int32), ends)
-                yield pa.RecordBatch.from_arrays([*map(_longs, columns), *map(pa.array, places)], ["key", "node", "at", "n"])
+    def each(all_hashes: list[np.ndarray]) -> list[pa.Array]:
+        sets = [np.unique(h) for h in all_hashes]
+        first = _lists([first_shingles(x, held.value, similarity) for x in sets])
+        return [_longs([simhash(h) for h in all_hashes]), _longs([_node(x) for x in sets]), pa.array(list(map(len, sets)), pa.int32()), first]
 
-    return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "key long, node long, at int, n int")
+    return _of_texts(docs, id_col, text, each, size, fp=LongType(), node=LongType(), n=IntegerType(), first=ArrayType(LongType()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets have the similarity; only sets of pairs are moved."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets have the similarity. Only texts of pairs are read for their sets."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    n_wanted = wanted.count()
+    ids = sized(classes.join(sized(wanted, n_wanted, most), "node").select(F.col("least").alias("of")).distinct(), n_wanted, most)
 
-    def each(texts):
-        sets = [shingle_set(x.as_py(), size) for x in texts]
-        return _longs([_node(x) for x in sets]), pa.array([x.tobytes() for x in sets], pa.binary())
+    def each(all_hashes: list[np.ndarray]) -> list[pa.Array]:
+        sets = [np.unique(h) for h in all_hashes]
+        return [_longs([_node(x) for x in sets]), _lists(sets)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct())
-    sets = _mapped(docs, text, "node long, found binary", each)
-    sets = cut(sets.join(sized(wanted, wanted.count()), F.col("node") == F.col("of"), "left_semi").dropDuplicates(["node"]))
-    left, right = (sets.select(F.col("node").alias(c + "_of"), F.col("found").alias(c + "_found")) for c in "ab")
-    joined = pairs.join(left, F.col("a") == F.col("a_of")).join(right, F.col("b") == F.col("b_of"))
-    return joined.select("a", "b", "a_found", "b_found").mapInArrow(run, "a long, b long")
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    sets = _of_texts(texts, "id", "text", each, size, node=LongType(), found=ArrayType(LongType()))
+    sets = cut(sets.join(sized(wanted, n_wanted, most), "node", "left_semi").select("node", "found").dropDuplicates(["node"]))
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    return joined.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def similar_sets(docs: DataFrame, classes: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes of ``classes`` (fp, node) whose components are those of all pairs of the similarity."""
+def similar_sets(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int) -> DataFrame:
+    """Edges (a, b) between nodes of ``prints`` whose components are those of all pairs of the similarity."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    most = (1 - similarity) / (1 + similarity)  # of the sets' sizes together, the share in one set alone
-    a, b = F.col("a"), F.col("b")
-    heads = cut(classes.groupBy("fp").agg(F.min("node").alias("head")))
-    golay = links(heads.select("fp")).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(*ordered(F.col("x"), F.col("y")))
-    equal = classes.join(heads, "fp").where("node != head").select(*ordered(F.col("node"), F.col("head")))
-
-    buckets = cut(_keys(docs, text, size, similarity).groupBy("key").agg(F.collect_set(F.struct("node", "at", "n")).alias("sets")).where(F.size("sets") > 1))
-    crowded = buckets.where(F.size("sets") > CROWD)
-    star = crowded.select(F.array_min("sets").alias("x"), F.explode("sets").alias("y")).where((F.col("x.node") != F.col("y.node")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9))
-    near = cut(_verified(golay.unionByName(equal).unionByName(star.select(*ordered(F.col("x.node"), F.col("y.node")))).distinct(), docs, text, size, similarity))
-
-    joined = cut(components(near))
-    members = crowded.select("key", F.explode("sets").alias("x")).join(joined, F.col("x.node") == F.col("node"), "left")
-    members = cut(members.groupBy("key", F.coalesce("root", "x.node").alias("root")).agg(F.collect_list("x").alias("sets")))
-    other = members.select(F.col("key").alias("of"), F.col("root").alias("other"), F.col("sets").alias("others"))
-    apart = members.join(other, (F.col("key") == F.col("of")) & (F.col("root") < F.col("other"))).select(F.explode("sets").alias("x"), "others").select("x", F.explode("others").alias("y"))
-    few = buckets.where(F.size("sets") <= CROWD).select(F.explode("sets").alias("x"), "sets").select("x", F.explode("sets").alias("y")).where("x.node < y.node")
-    pairs = few.unionByName(apart).where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9)
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("both"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
-    pairs = pairs.where(F.expr("i + j + 2 - 2 * both") <= most * (F.col("m") + F.col("n")) + 1e-9).select(a, b)
-    return near.unionByName(_verified(pairs, docs, text, size, similarity))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    alike = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
+    spare = (1 - similarity) / (1 + similarity)  # of the sets' sizes together, the share in one set alone
+
+    # Sets that fingerprints propose: of linked ones the least of each, and all of one fingerprint with its least.
+    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
+    n_heads = heads.count()
+    head_of = lambda c: sized(heads.toDF(c, "head_" + c), n_heads, most)
+    golay = links(heads.select("fp"), most).join(head_of("a"), "a").join(head_of("b"), "b").select(*ordered(F.col("head_a"), F.col("head_b")))
+    equal = look_up(prints.select("fp", "node"), heads, "fp", n_heads, most).where("node != head").select(*ordered(F.col("node"), F.col("head")))
+
+    # The first shingles of each set. A crowded one proposes its least set.
+    sets = cut(prints.select("node", "n", "first").dropDuplicates(["node"]))
+    keys = sets.select(F.posexplode("first").alias("i", "key"), F.col("node").alias("a"), F.col("n").alias("m"))
+    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("a", "m")).alias("least")).where(F.col("rows") > CROWD).select("key", F.col("least.a").alias("b"), F.col("least.m").alias("n")))
+    n_crowded = crowded.count()
+    members = cut(keys.join(sized(crowded, n_crowded, most), "key"))
+    star = members.where(alike & (F.col("a") != F.col("b"))).select(*ordered(F.col("a"), F.col("b")))
+    near = cut(_verified(golay.unionByName(equal).unionByName(star).distinct(), docs, classes, id_col, text, size, similarity, most))
+
+    # Pairs that share a first shingle and are not in one component yet, if it is crowded.
+    roots = cut(components(near, most))
+    rooted = look_up(members.select("i", "key", F.col("a").alias("node"), "m"), roots, "node", roots.count(), most)
+    rooted = cut(rooted.select("i", "key", F.col("node").alias("a"), "m", F.coalesce("root", "node").alias("root")))
+    few = keys.join(sized(crowded.select("key"), n_crowded, most), "key", "left_anti")
+    other = lambda df: df.withColumnsRenamed({"i": "j", "a": "b", "m": "n", "root": "other"})
+    apart = rooted.join(other(rooted), "key").where((F.col("root") != F.col("other")) & (F.col("a") < F.col("b")) & alike)
+    pairs = few.join(other(few), "key").where((F.col("a") < F.col("b")) & alike).unionByName(apart.drop("root", "other"))
+    shared = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("both"), F.max("i").alias("i"), F.max("j").alias("j"))
+    enough = F.col("i") + F.col("j") + 2 - 2 * F.col("both") <= spare * (F.col("m") + F.col("n")) + 1e-9
+    return near.unionByName(_verified(shared.where(enough).select("a", "b"), docs, classes, id_col, text, size, similarity, most))
+
+
+# Groups ----------------------------------------------------------------------------------------------------------
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs``: id, fp (long), component_id. Links are fingerprints within three bits, or with
     ``similarity`` all pairs of shingle sets with at least that Jaccard similarity."""
     if similarity is None:
-        prints, node = cut(fingerprints(docs, id_col, text, size)), "fp"
+        prints = cut(fingerprints(docs, id_col, text, size).withColumn("node", F.col("fp")))
+    else:
+        prints = cut(shingle_sets(docs, id_col, text, size, similarity))
+    classes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    if similarity is None:
+        edges = links(classes.select(F.col("node").alias("fp")), most)
     else:
-        prints, node = cut(classes_of(docs, id_col, text, size)), "node"
-    classes = cut(prints.groupBy(node).agg(F.min("id").alias("least")))
-    linked = components(links(classes) if similarity is None else similar_sets(docs, prints.select("fp", "node").distinct(), text, size, similarity))
-    rooted = classes.join(linked.withColumnRenamed("node", "of"), F.col(node) == F.col("of"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = cut(rooted.join(smallest, "root").select("of", "component_id"))
-    classes = classes.join(joined, F.col(node) == F.col("of"), "left").select(F.col(node).alias("of"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, F.col(node) == F.col("of"), "left").select(F.col("id").alias(id_col), "fp", "component_id")
+        edges = similar_sets(docs, prints, classes, id_col, text, size, similarity, most)
+    linked = cut(components(edges, most))
+    n_linked = linked.count()
+    rooted = cut(linked.join(sized(classes.select("node", "least"), classes.count(), most), "node"))
+    smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    joined = cut(look_up(rooted.select("node", "root"), smallest, "root", smallest.count(), most).select("node", "component_id"))
+    # A class of one row without links needs no look-up.
+    known = look_up(classes, joined, "node", n_linked, most).where("rows > 1 or component_id is not null")
+    known = cut(known.select("node", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("known")))
+    found = look_up(prints.select("id", "fp", "node"), known, "node", known.count(), most)
+    return found.select(F.col("id").alias(id_col), "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from shelfspark.llm import common
 from shelfspark.llm import exact_dedup as X
 from shelfspark.llm import simhash_dedup as S
 
@@ -75,7 +76,10 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("most", "crowd"), [(1000, 40), (0, 1), (1000, 1)])
+def test_near_duplicates(spark, monkeypatch, most, crowd):
+    monkeypatch.setattr(S, "CROWD", crowd)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     rows = documents()
     prints = [fingerprint(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
@@ -93,7 +97,7 @@ def test_near_duplicates(spark):
     for i, r in enumerate(rows):
         least[find(i)].append(r[0])
     want = sorted(str((r[0], prints[i], min((x for x in least[find(i)] if x is not None), default=None))) for i, r in enumerate(rows))
-    got = S.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    got = S.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), most=most).collect()
     assert sorted(str((r.doc_id, r.fp % 2**64, r.component_id)) for r in got) == want
     assert len({find(i) for i in range(len(rows))}) < len(set(prints))  # some links join different fingerprints
 
@@ -105,8 +109,24 @@ def test_golay_keys_meet(spark):
         b = a
         for bit in rng.sample(range(64), rng.randint(0, 3)):
             b ^= 1 << bit
-        part = lambda x, k: np.array([x >> S.SEGMENTS[k][0] & (1 << S.SEGMENTS[k][1]) - 1])
-        assert any(all(S.nearest(part(a, k))[0] in S.probes(part(b, k))[0] for k in pair) for pair in S.PAIRS)
+        decoded, probed = (set(S.keys_of(np.array([x], np.uint64), probing)[1].tolist()) for x, probing in ((a, False), (b, True)))
+        assert decoded & probed
+
+
+def test_keys_of_many_at_once():
+    fps = np.random.default_rng(3).integers(0, 2**64, 50, dtype=np.uint64)
+    for probing in (False, True):
+        owners, keys = S.keys_of(fps, probing)
+        for i, fp in enumerate(fps):
+            assert sorted(keys[owners == i]) == sorted(S.keys_of(fps[i : i + 1], probing)[1])
+
+
+def test_crowded_keys_make_no_pairs_within_components(spark):
+    """Fingerprints that differ in one bit of a few share keys; the edges stay far under all pairs."""
+    fps = [(1 << a | 1 << b) for a in range(46, 64) for b in range(46, a)]
+    edges = S.links(spark.createDataFrame([(x - (x >> 63 << 64),) for x in fps], "fp long"))
+    roots = dict(S.components(edges).collect())
+    assert len(set(roots.values())) == 1 and len(roots) == len(fps)
 
 
 def test_components_of_chains(spark):
@@ -118,3 +138,14 @@ def test_components_of_chains(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert X.exact_groups(empty).count() == 0 and S.near_duplicates(empty).count() == 0
+    assert S.near_duplicates(empty, size=5, similarity=0.8).count() == 0
+
+
+def test_look_up_of_hot_keys(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, None if i % 7 == 0 else 5 if i % 3 else i) for i in range(300)]
+    spark.createDataFrame(rows, "i long, k long").write.parquet(f"{tmp_path}/left")
+    left, right = spark.read.parquet(f"{tmp_path}/left"), spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 2)] + [(5, "v5")], "k long, v string")
+    want = sorted((i, None if k is None or (k % 2 and k != 5) else f"v{k}") for i, k in rows)
+    for most in (0, 1000):
+        assert sorted((r.i, r.v) for r in common.look_up(left, right, "k", 151, most).collect()) == want

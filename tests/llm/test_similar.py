@@ -53,14 +53,14 @@ def least_ids(rows):
     return [min(least[find(i)]) for i in range(len(rows))], far
 
 
-@pytest.mark.parametrize("crowd, sampled", [(40, 16), (2, 1)])
-def test_all_similar_pairs(spark, monkeypatch, crowd, sampled):
+@pytest.mark.parametrize("crowd, sampled, most", [(40, 16, 1000), (2, 1, 1000), (2, 1, 0)])
+def test_all_similar_pairs(spark, monkeypatch, crowd, sampled, most):
     monkeypatch.setattr(S, "CROWD", crowd)
     monkeypatch.setattr(S, "SAMPLED", sampled)
     rows = documents()
     want, far = least_ids(rows)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, size=5, similarity=0.8).collect()}
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, size=5, similarity=0.8, most=most).collect()}
     assert got == {r[0]: w for r, w in zip(rows, want)} and far > 50
 
 
