@@ -4,11 +4,14 @@
    filters, one for each block of the hash range: a quotient's remainders stand sorted in one run, each with its count.
 2. The filters of a block, one from each partition, merge without loss: equal (quotient, remainder) add their counts.
    Blocks hold about ``BLOCK_ROWS`` rows at any input size. A text that a third of all rows share is one entry of each filter.
-3. Texts whose hash counts above one go to byte verification: they are grouped by hash and all their bytes, which partial
-   aggregation collapses before the shuffle, so hot groups stay small. All other texts are unique.
+3. Texts whose hash counts above one go to byte verification: they are grouped by hash and all their bytes. Partial
+   aggregation collapses a task's copies before the shuffle, so hot groups stay small. All other texts are unique.
+   Few repeated hashes are broadcast, and no text that is unique moves; too many are met after the grouping, so that
+   each task's different texts cross the network once, dealt by their bytes.
 
 Defined results: a null text counts as empty. The row with the largest doc_id of its group stays; a null doc_id is the
-smallest; of rows that repeat both text and doc_id, one stays. An empty table gives an empty result.
+smallest; of rows that repeat both text and doc_id, one stays. An empty table gives an empty result; extra columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as w
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, cut, sized, table
+from .common import BROADCAST_ROWS, cut, look_up, parts_of, quoted, sized, table
 
 #: Rows to a block of the filter, about.
 BLOCK_ROWS = 50_000
@@ -82,16 +85,17 @@ def fingerprints(df: DataFrame, id_col: str, text: str, keep_text: bool = False)
     """(id, fp, sha256) of each row, or (fp, norm) with the normalised text itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_normalised(x) for x in batch.column(1).to_pylist()]
+        for part in (part for batch in batches for part in parts_of(batch, 1)):
+            texts = [_normalised(x) for x in part.column(1).to_pylist()]
             fps = pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64))
             if keep_text:
                 yield pa.RecordBatch.from_arrays([fps, pa.array(texts, pa.binary())], ["fp", "norm"])
             else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), fps, pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["id", "fp", "sha"])
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["id", "fp", "sha"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "fp long, norm binary" if keep_text else f"id {kind}, fp long, sha binary")
+    rows = df.select(quoted(id_col).alias("id"), quoted(text).cast("binary").alias("text"))
+    light = StructType([rows.schema["id"], StructField("fp", LongType()), StructField("sha", BinaryType())])
+    return rows.mapInArrow(run, "fp long, norm binary" if keep_text else light)
 
 
 def repeated_fingerprints(light: DataFrame, n_rows: int) -> DataFrame:
@@ -128,27 +132,29 @@ def repeated_fingerprints(light: DataFrame, n_rows: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
-    light = cut(fingerprints(docs, id_col, text))
+    light = cut(fingerprints(docs, id_col, text).withColumn("row", F.monotonically_increasing_id()))
     n_rows = light.count()
     repeated = cut(repeated_fingerprints(light, n_rows))
     n_repeated = repeated.count()
 
     # Byte verification: one group for each different text among those whose fingerprints repeat.
-    suspects = fingerprints(docs, id_col, text, keep_text=True).join(sized(repeated.select("fp"), n_repeated, most), "fp", "left_semi")
-    groups = cut(suspects.groupBy("fp", "norm").agg(F.count("*").alias("group_size")).where("group_size > 1").select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size"))
+    texts = fingerprints(docs, id_col, text, keep_text=True)
+    if n_repeated <= most:
+        texts = texts.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
+    groups = texts.groupBy("fp", "norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    groups = cut(groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size").join(sized(repeated.select("fp"), n_repeated, most), "fp", "left_semi"))
     n_groups = groups.count()
 
-    # The ids of a group's members meet as partial maxima, one for each task and group.
-    largest = light.join(sized(groups, n_groups, most), ["fp", "sha"]).groupBy("fp", "sha", "group_size").agg(F.max("id").alias("keep_id"))
-    known = light.join(sized(largest, n_groups, most), ["fp", "sha"], "left")
-    one = w.Window.partitionBy("sha", "id").orderBy(F.lit(1))
-    copies = known.where(F.col("group_size").isNotNull() & F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(one) == 1)
-    others = known.where(F.col("group_size").isNull() | ~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.col("group_size").isNull())
-    return copies.unionByName(others).select(
+    # The members of a group meet as partial maxima, one for each task and group; of equal ids the last row counts.
+    members = light.join(sized(groups.select("fp", "sha"), n_groups, most), ["fp", "sha"], "left_semi")
+    last = members.groupBy("fp", "sha").agg(F.max(F.struct("id", "row")).alias("last"))
+    largest = cut(groups.join(sized(last, n_groups, most), ["fp", "sha"]).select(F.struct("fp", "sha").alias("text"), "last", "group_size"))
+    known = look_up(light.withColumn("text", F.struct("fp", "sha")), largest, "text", n_groups, most)
+    return known.select(
         F.col("id").alias(id_col),
-        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("last.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        "kept",
+        (F.col("group_size").isNull() | (F.col("row") == F.col("last.row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
