@@ -7,13 +7,14 @@
 3. ``candidates`` intersects the postings: a document that has all trigrams of a clause is a candidate for the clause's rule.
 4. ``scan`` verifies candidates with the expression itself, which also gives the spans. Rules without mandatory trigrams
    (a run of hexadecimal digits) scan every document. The candidates (id and rules, no text) are broadcast while their count
-   is within the bound, and joined by id beyond it.
+   is within the bound; beyond it only texts that are in the index meet them by a shuffle, and all others stay where they are.
 
 Spans are (kind, start, end) in code points, end exclusive; a kind's matches are leftmost and don't overlap, and a match whose
 length or group is too short is dropped after matching, so it still uses up its characters.
 
-Defined results: a null text counts as empty and has no spans. Ids may repeat or be null: rows are verified one by one, so
-a shared id only makes more candidates. One text's spans take time with the square of its number of matches.
+Defined results: a null text counts as empty and has no spans. Ids may repeat or be null: a document is known by its id and
+a hash of its text, and rows are verified one by one. An empty table gives an empty result; extra columns are kept, whatever
+their names. A text's matches are placed by running sums in blocks, so a text of many matches takes time in proportion.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, columns_free_of, cut, sized, table
+from .common import BROADCAST_ROWS, all_but, columns_free_of, cut, quoted, sized, table
 
 
 @dataclass(frozen=True)
@@ -114,18 +115,18 @@ def query_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (trigram, id) of the given trigrams over whole folded texts; one row for each pair that occurs."""
-    folded = docs.select(F.col(id_col).alias("id"), F.lower(text).alias("folded"))
+    """Postings (trigram, id, h) of the given trigrams over whole folded texts; h is a hash of the text."""
+    folded = docs.select(quoted(id_col).alias("id"), F.xxhash64(quoted(text)).alias("h"), F.lower(quoted(text)).alias("folded"))
     present = F.filter(F.array(*(F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams)), F.isnotnull)
-    return folded.select("id", F.explode(present).alias("trigram"))
+    return folded.select("id", "h", F.explode(present).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, kinds): the rules whose trigram query holds in the postings of an id."""
+    """(id, h, kinds): the rules whose trigram query holds in the postings of a document."""
     queries = [(r.kind, n, len(clause), t) for r in rules for n, clause in enumerate(trigram_query(r.pattern)) for t in sorted(clause)]
     wanted = index.sparkSession.createDataFrame(queries, "kind string, clause int, size int, trigram string")  # bounded by the rules
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("id", "kind", "clause", "size").agg(F.count_distinct("trigram").alias("n")).where("n = size")
-    return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("id", "h", "kind", "clause", "size").agg(F.count_distinct("trigram").alias("n")).where("n = size")
+    return met.groupBy("id", "h").agg(F.collect_set("kind").alias("kinds"))
 
 
 # Verification ----------------------------------------------------------------------------------------------------
@@ -133,42 +134,77 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 _SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
-def spans_of(text: Column, rule: Rule, place: int) -> Column:
-    """Spans of a rule's matches: the text's parts between matches, and the matches, give their offsets by summing lengths."""
-    parts = F.zip_with(
+#: Numbers that one running sum goes over; longer lists are summed by blocks, and these by blocks again.
+BLOCK = 128
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(numbers: Column, levels: int = 2) -> Column:
+    """For each number of an int array, the sum of those before it."""
+    if not levels:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+        return F.aggregate(numbers, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")), lambda a: a["before"])
+    size = BLOCK**levels
+    offsets = lambda blocks: running_sums(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)), 0)
+    placed = lambda blocks: F.zip_with(blocks, offsets(blocks), lambda x, base: F.transform(running_sums(x, levels - 1), lambda y: y + base))
+    cut_up = lambda every: F.transform(F.sequence(F.lit(0), F.greatest(F.size(every) - 1, F.lit(0)), F.lit(size)), lambda at: F.slice(every, at + 1, size))
+    return F.flatten(bound(bound(numbers, cut_up), placed))
+
+
+def matches_of(text: Column, rule: Rule) -> Column:
+    """Each match's size, the length of the text between it and the one before, and whether it counts."""
+    none = F.array().cast("array<struct<gap:int,size:int,counts:boolean>>")
+    found = F.zip_with(
         F.split(text, rule.pattern, -1),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), (F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least).alias("counts")),
     )
-    none = F.array().cast(_SPAN)
+    return F.when(F.rlike(text, F.lit(rule.pattern)), F.filter(found, lambda x: x["size"].isNotNull())).otherwise(none)
+
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + x["gap"]
-        end = (start + F.coalesce(x["size"], F.lit(0))).cast("int")
-        span = F.struct(start.cast("int").alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["counts"], F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"]).alias("spans"))
+def spans_of(matches: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans of the counted matches of each rule, in order of place in the text. ``matches`` has those of each rule."""
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda seen: seen["spans"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), found).otherwise(none)
+    def of_rule(own: Column, place: Column) -> Column:
+        kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), place + 1)
+        before = running_sums(F.transform(own, lambda x: x["gap"] + x["size"]))
+        with_place = F.zip_with(own, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), x["size"].alias("size"), x["counts"].alias("counts")))
+        return F.transform(F.filter(with_place, lambda x: x["counts"]), lambda x: F.struct(x["start"], place.alias("place"), kind.alias("kind"), (x["start"] + x["size"]).alias("end")))
+
+    return F.array_sort(F.flatten(F.transform(matches, of_rule)))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` and column ``secrets``: array of (start, place, kind, end), in order; place is the rule's number."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    found = cut(candidates(trigram_index(docs, query_trigrams(rules), id_col, text), tuple(indexed))) if indexed else None
     own = columns_free_of(docs, "candidate")
-    docs = docs.drop("secrets")
-    if found is None:
-        docs = docs.withColumn(f"{own}_kinds", F.array().cast("array<string>"))
+    docs = docs.select(*map(quoted, all_but(docs, "secrets")))
+    none = F.array().cast("array<string>")
+    if not indexed:
+        docs = docs.withColumn(f"{own}_kinds", none)
     else:
-        renamed = found.select(F.col("id").alias(f"{own}_id"), F.col("kinds").alias(f"{own}_kinds"))
-        docs = docs.join(sized(renamed, found.count(), most), F.col(id_col).eqNullSafe(F.col(f"{own}_id")), "left").drop(f"{own}_id")
-    body = F.coalesce(F.col(text), F.lit(""))
-    each = []
-    for place, rule in enumerate(rules):
-        spans = spans_of(body, rule, place)
-        each.append(F.when(F.array_contains(f"{own}_kinds", rule.kind), spans).otherwise(F.array().cast(_SPAN)) if rule in indexed else spans)
-    return docs.withColumn("secrets", F.array_sort(F.concat(*each))).drop(f"{own}_kinds")
+        trigrams = query_trigrams(rules)
+        found = cut(candidates(trigram_index(docs, trigrams, id_col, text), tuple(indexed)))
+        n_found = found.count()
+        found = sized(found.select(F.col("id").alias(f"{own}_id"), F.col("h").alias(f"{own}_h"), F.col("kinds").alias(f"{own}_kinds")), n_found, most)
+        same = quoted(id_col).eqNullSafe(F.col(f"{own}_id")) & (F.xxhash64(quoted(text)) == F.col(f"{own}_h"))
+        meet = lambda rows: rows.join(found, same, "left").drop(f"{own}_id", f"{own}_h")
+        if n_found <= most:
+            docs = meet(docs)
+        else:
+            known = F.coalesce(F.exists(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.lower(quoted(text)), t)), F.lit(False))
+            docs = meet(docs.where(known)).unionByName(docs.where(~known).withColumn(f"{own}_kinds", none))
+    body = F.coalesce(quoted(text), F.lit(""))
+    matches = [matches_of(body, r) if r not in indexed else F.when(F.array_contains(f"{own}_kinds", r.kind), matches_of(body, r)) for r in rules]
+    each = F.array(*(F.coalesce(m, F.array().cast("array<struct<gap:int,size:int,counts:boolean>>")) for m in matches))
+    # The matches are a column of their own, as texts without any need no placing.
+    docs = docs.withColumn(f"{own}_matches", each)
+    some = F.exists(f"{own}_matches", lambda m: F.size(m) > 0)
+    return docs.withColumn("secrets", F.when(some, spans_of(F.col(f"{own}_matches"), rules)).otherwise(F.array().cast(_SPAN))).drop(f"{own}_kinds", f"{own}_matches")
 
 
 def joined(spans: Column) -> Column:
