@@ -6,15 +6,17 @@ leading and trailing letters. The fit is L1-penalised (accelerated proximal grad
 and long clean texts gather no noise. The output is the expected severity, the sum over k of P(grade > k).
 
 The fit reads a sample of labelled rows bounded by ``SAMPLE`` (documented parameter; the rows of smallest hashed id, whole
-texts); the executors extract their features and the driver gets the ``FEATURES`` that tell grades best (chi-square), of
-those in ``LEAST_DOCS`` sampled rows or more, scaled by their rarity. Every
-document is scored over its whole text, on the executors, with a memo of bounded size.
+texts). All features of the sample take part, scaled by their rarity; they stay on the executors, and the driver holds a
+working set: the features of greatest slope enter, the fit runs, and an aggregate over all features then gives every slope at
+the fit. Features whose slope exceeds the penalty enter in turn, until none does: all others have weight 0 at the optimum
+over all features. Every document is scored over its whole text, on the executors, with a memo of bounded size.
 
 Grades of op2, from the two labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
 Defined results: a null, empty or wordless text has no features, so its severity is that of the thresholds alone. Repeated
-labels of a document must agree, else the highest grade counts; labels that are null are left out. Without any labelled
-row, or with one grade only, all severities are 0. Extra columns are kept; rows are independent.
+labels of a document must agree, else the highest grade counts; labels or ids that are null are left out, and of rows that
+share an id one is learned from, that of the least text hash. Without any labelled row, or with one grade only, all severities
+are 0; an empty table gives an empty result. Extra columns are kept, whatever their names; rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -27,10 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as w
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, table
+from .common import all_but, cut, hash_sample, map_batches, parts_of, quoted, table
 
-SAMPLE, LEAST_DOCS, FEATURES, STEPS, PENALTY = 6000, 8, 4000, 300, 1e-3
+SAMPLE, STEPS, PENALTY = 6000, 300, 1e-3
+
+#: Features that enter the working set in one round, and the part of the penalty by which a slope may exceed it at the end.
+ROUND, SLACK = 4000, 0.05
 
 #: Expected severity from which a document is rejected.
 REJECT = 0.4
@@ -58,7 +65,8 @@ def _counts(text: str | None) -> Counter:
 def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, grade) from columns toxic and quality."""
     grade = F.when(F.col("toxic") == 0, F.lit(0)).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, F.lit(2)).otherwise(F.lit(1)))
-    return labels.select(F.col(id_col), grade.cast("int").alias("grade")).where("grade is not null").groupBy(id_col).agg(F.max("grade").alias("grade"))
+    known = labels.select(quoted(id_col), grade.cast("int").alias("grade")).where(F.col("grade").isNotNull() & quoted(id_col).isNotNull())
+    return known.groupBy(quoted(id_col)).agg(F.max("grade").alias("grade"))
 
 
 class Model:
@@ -68,13 +76,36 @@ class Model:
         self.weights, self.thresholds = weights, thresholds
 
 
-def fit(rows: list[int], cols: list[int], values: np.ndarray, grade: np.ndarray, n_features: int, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+def slopes(score: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean log likelihood: its derivative by each row's score, and by each threshold."""
+    n, top = len(grade), len(cuts)
+    edge = np.c_[np.ones(n), _logistic(score[:, None] - cuts), np.zeros(n)]  # P(grade > k), for k from -1
+    i = np.arange(n)
+    hi, lo = edge[i, grade], edge[i, grade + 1]
+    mass = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
+    by_cut = np.zeros(top + 2)
+    np.add.at(by_cut, grade, -d_hi / n)
+    np.add.at(by_cut, grade + 1, d_lo / n)
+    return (d_hi - d_lo) / n, by_cut[1 : top + 1]
+
+
+def first_cuts(grade: np.ndarray) -> np.ndarray:
+    """Thresholds that give the grades' shares without any feature."""
+    above = np.array([(grade > k).mean() for k in range(int(grade.max()))]).clip(1e-3, 1 - 1e-3)
+    return np.maximum.accumulate(np.log((1 - above) / above) + 1e-3 * np.arange(len(above)))
+
+
+def fit(rows, cols, values: np.ndarray, grade: np.ndarray, n_features: int, steps: int = STEPS, penalty: float = PENALTY, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the penalised likelihood. Thresholds are a first one and positive gaps (as exponents)."""
-    n, top = len(grade), int(grade.max())
+    n = len(grade)
     rows, cols, values = np.asarray(rows), np.asarray(cols), np.asarray(values)
-    above = np.array([(grade > k).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
-    cuts = np.maximum.accumulate(np.log((1 - above) / above) + 1e-3 * np.arange(top))
-    w, z, t = np.zeros(n_features), np.zeros(n_features), 1.0
+    w, cuts = start or (np.zeros(n_features), first_cuts(grade))
+    w, z, t = w.copy(), w.copy(), 1.0
     theta = np.r_[cuts[0], np.log(np.maximum(np.diff(cuts), 1e-2))]
     theta_z = theta.copy()
     # The likelihood's curvature in w is at most that of the squared feature rows; a power iteration bounds it.
@@ -85,22 +116,10 @@ def fit(rows: list[int], cols: list[int], values: np.ndarray, grade: np.ndarray,
         norm = np.linalg.norm(v) or 1.0
         v /= norm
     rate, rate_t = 2.0 / (norm / n + 1e-9), 0.3
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
     for _ in range(steps):
-        score = np.bincount(rows, values * z[cols], n)
-        at = np.cumsum(np.r_[theta_z[0], np.exp(theta_z[1:])])
-        edge = np.c_[np.ones(n), logistic(score[:, None] - at), np.zeros(n)]  # P(grade > k), for k from -1
-        i = np.arange(n)
-        hi, lo = edge[i, grade], edge[i, grade + 1]
-        mass = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
-        g_score = (d_hi - d_lo) / n
-        g_cut = np.zeros(top + 2)
-        np.add.at(g_cut, grade, -d_hi / n)
-        np.add.at(g_cut, grade + 1, d_lo / n)
-        g_cut = g_cut[1 : top + 1]
-        tail = np.cumsum(g_cut[::-1])[::-1]
-        new = z + rate * np.bincount(cols, values * g_score[rows], n_features)
+        by_score, by_cut = slopes(np.bincount(rows, values * z[cols], n), np.cumsum(np.r_[theta_z[0], np.exp(theta_z[1:])]), grade)
+        tail = np.cumsum(by_cut[::-1])[::-1]
+        new = z + rate * np.bincount(cols, values * by_score[rows], n_features)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         theta_new = theta_z + rate_t * np.r_[tail[0], tail[1:] * np.exp(theta_z[1:])]
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
@@ -109,42 +128,62 @@ def fit(rows: list[int], cols: list[int], values: np.ndarray, grade: np.ndarray,
     return w, np.cumsum(np.r_[theta[0], np.exp(theta[1:])])
 
 
-def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, least_docs: int = LEAST_DOCS, features: int = FEATURES) -> Model:
-    picked = graded.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("id"), "grade")  # the documented bound
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("id", "grade", "text")
+def sampled(docs: DataFrame, graded: DataFrame, id_col: str, text: str, sample: int) -> DataFrame:
+    """(row, grade, feature, n): the features of the sampled rows, ``row`` from 0 on; one row without feature for each."""
+    ids = hash_sample(graded, quoted(id_col), graded.count(), sample)
+    picked = ids.orderBy(F.xxhash64(quoted(id_col)), quoted(id_col)).limit(sample).select(quoted(id_col).alias("id"), "grade")  # the documented bound
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(F.broadcast(picked), "id")
+    rows = cut(rows.groupBy("id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    number = F.row_number().over(w.Window.orderBy(F.xxhash64("id"), "id")) - 1  # of the bounded sample
+    rows = rows.drop("grade").join(F.broadcast(rows.select("id", "grade", number.alias("row"))), "id").select("row", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, grade, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for row, grade, body in zip(*(c.to_pylist() for c in batch.columns)):
                 found = _counts(body)
-                k = len(found) + 1  # one row without feature, so that no document is lost
-                yield pa.RecordBatch.from_arrays([pa.array([key] * k, batch.schema.field(0).type), pa.array([grade] * k, pa.int32()), pa.array(["", *found]), pa.array([0, *found.values()], pa.int32())], ["id", "grade", "feature", "n"])
+                k = len(found) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int32()), pa.array([grade] * k, pa.int32()), pa.array(["", *found]), pa.array([0, *found.values()], pa.int32())], ["row", "grade", "feature", "n"])
+
+    return cut(rows.mapInArrow(run, "row int, grade int, feature string, n int"))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = cut(rows.mapInArrow(run, f"id {kind}, grade int, feature string, n int"))
-    n_docs, n_high = found.where("feature = ''").agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
-    if not n_high or n_high == n_docs:
+def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, together: int = ROUND, penalty: float = PENALTY) -> Model:
+    spark = docs.sparkSession
+    found = sampled(docs, graded, id_col, text, sample)
+    by_row = sorted((r.row, r.grade) for r in found.where("feature = ''").select("row", "grade").toLocalIterator())
+    grade = np.array([g for _, g in by_row])
+    n = len(grade)
+    if n == 0 or grade.min() == grade.max():
         return Model({}, [])
-    share, docs_of, high = n_high / n_docs, F.count("*"), F.sum((F.col("grade") > 0).cast("long"))
-    in_docs = found.where("feature <> ''").groupBy("feature").agg(docs_of.alias("docs"), high.alias("high")).where(F.col("docs") >= least_docs)
-    # Chi-square of having the feature against having a grade above 0.
-    telling = F.pow(F.col("high") - share * F.col("docs"), 2) / (F.col("docs") * (1 - F.col("docs") / (n_docs + 1)))
-    best = in_docs.orderBy(telling.desc(), "feature").limit(features).select("feature", F.sqrt(F.log(n_docs / F.col("docs")) + 0.1).alias("rarity"))
-    nonzero = found.join(F.broadcast(best), "feature", "left").where("feature = '' or rarity is not null").groupBy("id", "grade").agg(F.collect_list(F.struct("feature", "n", "rarity")).alias("found"))
+    rare = found.where("feature <> ''").groupBy("feature").agg(F.sqrt(F.log(F.lit(n) / F.count("*")) + 0.1).alias("rarity"))
+    scaled = cut(found.where("feature <> ''").join(rare, "feature").select("row", "feature", "rarity", (F.log1p("n") * F.col("rarity")).alias("x")))
+
     known: dict[str, int] = {}
-    rarity: dict[str, float] = {}
-    r, c, v, grade = [], [], [], []
-    for i, row in enumerate(nonzero.orderBy(F.xxhash64("id"), "id").toLocalIterator()):
-        grade.append(row.grade)
-        for f, n, scale in sorted(x for x in row.found if x.feature):
-            r.append(i)
-            c.append(known.setdefault(f, len(known)))
-            v.append(np.log1p(n) * scale)
-            rarity[f] = scale
+    rarity: list[float] = []
+    rows, cols, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    weights, cuts, score = np.zeros(0), first_cuts(grade), np.zeros(n)
+    while True:
+        by_score = spark.createDataFrame(enumerate(slopes(score, cuts, grade)[0].tolist()), StructType([StructField("row", IntegerType()), StructField("slope", DoubleType())]))
+        slope = scaled.join(F.broadcast(by_score), "row").groupBy("feature").agg(F.abs(F.sum(F.col("x") * F.col("slope"))).alias("slope"))
+        over = slope.where(F.col("slope") > penalty * (1 + SLACK))
+        if known:
+            over = over.join(F.broadcast(spark.createDataFrame([(f,) for f in known], "feature string")), "feature", "left_anti")
+        entering = cut(over.orderBy(F.desc("slope"), "feature").limit(together).select("feature"))  # the others come later
+        more = scaled.join(F.broadcast(entering), "feature").orderBy("feature", "row").toArrow()
+        if not more.num_rows:
+            break
+        names = more["feature"].to_pylist()
+        for name, scale in zip(names, more["rarity"].to_pylist()):
+            if name not in known:
+                known[name] = len(known)
+                rarity.append(scale)
+        rows, values = np.r_[rows, more["row"].to_numpy()], np.r_[values, more["x"].to_numpy()]
+        cols = np.r_[cols, np.array([known[x] for x in names])]
+        weights, cuts = fit(rows, cols, values, grade, len(known), penalty=penalty, start=(np.r_[weights, np.zeros(len(known) - len(weights))], cuts))
+        score = np.bincount(rows, values * weights[cols], n)
     if not known:
         return Model({}, [])
-    w, cuts = fit(r, c, np.array(v), np.array(grade), len(known))
-    return Model({f: float(w[i] * rarity[f]) for f, i in known.items() if w[i]}, cuts.tolist())
+    return Model({f: float(weights[i] * rarity[i]) for f, i in known.items() if weights[i]}, cuts.tolist())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -152,8 +191,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     whole text are counted before the logarithm."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's features
 
-    def run(texts: list[str | None], own: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """``own`` is the memo from word to those of its features that have weights."""
+    def run(texts: list[str | None], own: dict[str, tuple]) -> np.ndarray:
+        """Probabilities by text. ``own`` is the memo from word to those of its features that have weights."""
         weights, cuts = held.value.weights, np.array(held.value.thresholds)
         sums = np.zeros(len(texts))
         for i, body in enumerate(texts):
@@ -166,20 +205,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 for f in telling:
                     found[f] = found.get(f, 0) + n
             sums[i] = sum(weights[f] * np.log1p(n) for f, n in sorted(found.items()))
-        p = 1 / (1 + np.exp(-np.clip(sums[:, None] - cuts, -35, 35)))
-        return p.sum(1), p
+        return _logistic(sums[:, None] - cuts)
 
-    keep = [c for c in docs.columns if c.lower() not in ("severity", "p_above")]
-    out = docs.select(*keep)
+    keep = all_but(docs, "severity", "p_above")
     at = keep.index(text)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         own: dict[str, tuple] = {}
-        for batch in batches:
-            severity, p = run(batch.column(at).to_pylist(), own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(severity), pa.array(p.tolist(), pa.list_(pa.float64()))], [*keep, "severity", "p_above"])
+        for part in (part for batch in batches for part in parts_of(batch, at)):
+            p = run(part.column(at).to_pylist(), own)
+            yield [*part.columns, pa.array(p.sum(1)), pa.array(p.tolist(), pa.list_(pa.float64()))]
 
-    return out.mapInArrow(scored, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields), "severity double, p_above array<double>"]))
+    return map_batches(docs.select(*map(quoted, keep)), keep, scored, severity=DoubleType(), p_above=ArrayType(DoubleType()))
 
 
 def toxic(severity: Column) -> Column:
