@@ -7,11 +7,14 @@ Forward-backward gives each word's language probabilities, so code-switched text
 language is the one of the largest probability mass over all words of the whole text, and the score is its share.
 
 The fit reads a bounded sample (``SAMPLE`` rows at most, taken evenly from all languages in hash order, whole texts) of rows
-with a non-null language whose crc32(id) mod 4 is not 2. Some training chains join segments of several documents, so that
+with a non-null language whose crc32(id) mod 4 is not 2. Languages are counted first, so that of each only rows of small hash
+are ranked. Some training chains join segments of several documents, so that
 transitions between languages are learned. Adam on the driver maximises the likelihood; features hash into ``WIDTH`` rows.
 
 Defined results: ``und`` and score 0 for a null text, one without letters, or if nothing could be learned. A null id is
-neither learned from nor held out. Repeated rows get equal results; ties go to the first language in code-point order.
+neither learned from nor held out; of labelled rows that share an id, one is learned from, with its own label and text.
+Repeated rows get equal results; ties go to the first language in code-point order. Extra columns are kept, whatever their
+names; an empty table gives an empty result. Texts of any length are labelled some ``TOGETHER`` words at a time.
 """
 
 from __future__ import annotations
@@ -26,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from .common import cut, table
+from .common import BROADCAST_ROWS, all_but, cut, map_batches, parts_of, quoted, sized, table
 
 SAMPLE, WIDTH, STEPS, DECAY, SEED = 800, 1 << 16, 40, 2e-6, 11
 
 #: Words of a chain, and of a training segment, at most.
 CHAIN, SEGMENT = 64, 20
+
+#: Words that are labelled at a time, whole chains of them.
+TOGETHER = 1 << 15
 MEMO = 200_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -204,71 +212,86 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model | None:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    ids = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    by_hash = w.Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # Spark keeps the first rows of each language in every task before the shuffle.
-    even = ids.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample)
-    picked = cut(even.orderBy("n", "lang").limit(sample).select("id", F.col("lang").alias("gold")))  # the documented bound
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id").select("gold", "text").where("text is not null")
-    return fit(sorted((r.gold, r.text) for r in rows.toLocalIterator()))
-
-
-def _labelled(docs: DataFrame, model: Model | None, text: str, out: list[tuple[str, str, pa.DataType]], build) -> DataFrame:
-    """``docs`` with the columns ``out``, which build(model, texts, posteriors) gives for some texts at a time."""
+    rows = docs.select(quoted(id_col).alias("id"), quoted(lang).alias("gold"), quoted(text).alias("text")).where(F.col("gold").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    sizes = cut(rows.groupBy(F.col("gold").alias("of")).agg(F.count("*").alias("rows")))
+    share = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40)) / (1 << 40)
+    few = rows.select("id", "gold").join(sized(sizes, sizes.count(), BROADCAST_ROWS), F.col("gold") == F.col("of")).where((F.col("rows") <= 4 * sample) | (share < 2 * sample / F.col("rows")))
+    one = few.groupBy("id").agg(F.min("gold").alias("gold"))
+    even = one.withColumn("n", F.row_number().over(w.Window.partitionBy("gold").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= sample)
+    picked = cut(even.orderBy("n", "gold").limit(sample).select("id", "gold"))  # the documented bound
+    learned = rows.join(F.broadcast(picked), ["id", "gold"]).groupBy("id", "gold").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return fit(sorted((r.gold, r.text) for r in learned.toLocalIterator()))
+
+
+def _pieces(texts: list[list[str]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """The words of the texts in lists of about ``TOGETHER`` words; a text is cut between its chains."""
+    held, n = [], 0
+    for i, words in enumerate(texts):
+        for at in range(0, len(words), TOGETHER):
+            held.append((i, words[at : at + TOGETHER]))
+            n += len(held[-1][1])
+            if n >= TOGETHER:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _labelled(docs: DataFrame, model: Model | None, text: str, kinds: dict, build) -> DataFrame:
+    """``docs`` with the columns ``kinds``, which build(model, texts, pieces) gives for some texts at a time; pieces are
+    (place of the text, word posteriors), in order."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH times the number of languages
-    keep = [c for c in docs.columns if c.lower() not in {name for name, _, _ in out}]
-    rows = docs.select(*keep)
+    keep = all_but(docs, *kinds)
     at = keep.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 250):
-                part = batch.slice(start, 250)
-                texts = [words_of(x) for x in part.column(at).to_pylist()]
-                p = held.value.posteriors(texts, memo) if held.value else None
-                columns = build(held.value, texts, p)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, kind) for c, (_, _, kind) in zip(columns, out))], [*keep, *(name for name, _, _ in out)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        memo, model = Memo(), held.value
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{name} {kind}" for name, kind, _ in out)]))
+        def labelled(texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+            for piece in _pieces(texts):
+                p, start = model.posteriors([words for _, words in piece], memo), 0
+                for i, words in piece:
+                    yield i, p[start : start + len(words)]
+                    start += len(words)
+
+        for part in (part for batch in batches for part in parts_of(batch, at)):
+            texts = [words_of(x) for x in part.column(at).to_pylist()]
+            columns = build(model, texts, labelled(texts) if model else ())
+            yield [*part.columns, *(pa.array(c, to_arrow_type(kind)) for c, kind in zip(columns, kinds.values()))]
+
+    return map_batches(docs.select(*map(quoted, keep)), keep, run, **kinds)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
 
-    def build(model, texts, p):
-        langs, scores, at = [], [], 0
-        for own in texts:
-            n = len(own)
-            if model is None or not has_letter(own):
-                langs.append("und")
-                scores.append(0.0)
-            else:
-                mass = p[at : at + n].sum(0)
-                best = int(mass.argmax())
-                langs.append(model.langs[best])
-                scores.append(min(1.0, float(mass[best] / n)))
-            at += n
-        return langs, scores
+    def build(model, texts, pieces):
+        mass = np.zeros((len(texts), len(model.langs) if model else 1))
+        for i, p in pieces:
+            mass[i] += p.sum(0)
+        known = [bool(model) and has_letter(words) for words in texts]
+        best = mass.argmax(1)
+        return (
+            [model.langs[k] if ok else "und" for k, ok in zip(best, known)],
+            [min(1.0, float(m[k] / len(words))) if ok else 0.0 for m, k, ok, words in zip(mass, best, known, texts)],
+        )
 
-    return _labelled(docs, model, text, [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())], build)
+    return _labelled(docs, model, text, {"lang_pred": StringType(), "score": DoubleType()}, build)
 
 
 def label_words(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with arrays words (lower-cased, in order), word_langs and word_scores."""
 
-    def build(model, texts, p):
-        words, langs, scores, at = [], [], [], 0
-        for own in texts:
-            words.append(own)
-            part = p[at : at + len(own)] if model else np.zeros((len(own), 1))
-            langs.append([model.langs[i] for i in part.argmax(1)] if model else ["und"] * len(own))
-            scores.append(part.max(1).tolist() if len(own) else [])
-            at += len(own)
-        return words, langs, scores
-
-    texts = pa.list_(pa.string())
-    return _labelled(docs, model, text, [("words", "array<string>", texts), ("word_langs", "array<string>", texts), ("word_scores", "array<double>", pa.list_(pa.float64()))], build)
+    def build(model, texts, pieces):
+        langs, scores = ([[] for _ in texts] for _ in range(2))
+        for i, p in pieces:
+            langs[i] += [model.langs[k] for k in p.argmax(1)]
+            scores[i] += p.max(1).tolist()
+        if model is None:
+            langs, scores = [["und"] * len(words) for words in texts], [[0.0] * len(words) for words in texts]
+        return texts, langs, scores
+
+    return _labelled(docs, model, text, {"words": ArrayType(StringType()), "word_langs": ArrayType(StringType()), "word_scores": ArrayType(DoubleType())}, build)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
