@@ -1,18 +1,21 @@
 """Operator 5: quality rules. DataFrame functions only.
 
-Each text's counts give base rules (too short, too repetitive) and a vector of transformed statistics. Within each language
-and source the vectors that pass the base rules get a minimum-covariance-determinant estimate: from coordinate-wise medians
-and deviations, concentration steps keep the share ``KEEP`` of rows of least Mahalanobis distance and re-estimate mean and
-covariance from them; a last step re-weights by a chi-square cut. A row whose distance exceeds the chi-square quantile at
-``1 - ALPHA`` is rejected. A group's distance quantile comes from a histogram of logarithms, so no step gathers or sorts
-a group in one task: hot groups reduce to partial sums, and only one row of estimates for each group is joined back.
-
-Groups under ``LEAST_ROWS`` rows pool with the others of their language; where the pool is still as small, only the base
-rules decide. ``SPREAD`` is the least deviation of each statistic that matters, added to the variances: statistics that are
-0 in nearly all texts of a group would have none.
+Each text's counts give base rules (too short, too repetitive) and a vector of transformed statistics. Three levels of groups,
+all rows, each language, each language and source, get minimum-covariance-determinant estimates from their vectors that pass
+the base rules. From several starts (medians and quartiles, covariances of bounded transforms, spatial signs) concentration
+steps keep the share ``KEEP`` of rows of least Mahalanobis distance and re-estimate mean and covariance from them, until no
+determinant falls any more; the least one wins, and a last step re-weights by a chi-square cut. A group of n rows takes its
+language's estimate with the weight of ``PRIOR`` rows, and a language that of all rows, so every row has an estimate and
+small groups lean on the larger ones without a switch. A row whose distance exceeds the chi-square quantile at
+``1 - ALPHA`` is rejected. Groups reduce to quantile sketches and partial sums, so no step gathers or sorts a group in one
+task; only one row of estimates for each group is joined back.
+
+``SPREAD`` is the least deviation of each statistic that matters, added to the variances: statistics that are 0 in nearly all
+texts of a group would have none. Lines and windows of words count as equal by the text and by a 64-bit hash.
 
 Defined results: a null or wordless text has only zeros and fails the base rules. Null languages and sources are groups of
-their own. Rows are counted one by one, repeated ones too; extra columns don't matter.
+their own. Rows are counted one by one, repeated ones too. Without any row that passes the base rules there is no estimate
+and no other rule; an empty table gives an empty result. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from .common import BROADCAST_ROWS, WORD, cut, sized, table
+from .common import BROADCAST_ROWS, WORD, all_but, cut, look_up, quoted, table
 
 LEAST_WORDS, MOST_REPEATED, SHINGLE = 50, 0.5, 3
-KEEP, STEPS, LEAST_ROWS, ALPHA = 0.75, 3, 200, 1e-9
+KEEP, PRIOR, ALPHA = 0.75, 50, 1e-9
+
+#: Concentration ends where no log determinant falls by more than this, or after so many steps.
+FALL, MOST_STEPS = 1e-3, 30
+
+#: Relative accuracy of quantiles: one in so many rows; exact for smaller groups.
+ACCURACY = 5000
 SYMBOLS = r"[#*$%&|<>]"
 
 #: The statistics and their least spread.
@@ -39,21 +48,18 @@ _X = list(SPREAD)
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines and n_repeat_words for ``text``."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(quoted(text), F.lit(""))
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    keep = [c for c in docs.columns if c.lower() not in (text.lower(), *own)]
+    keep = all_but(docs, text, *own)
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_doc"),
+        F.struct(F.lit(0).alias("_"), *map(quoted, keep)).alias("_doc"),
         F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"),
         F.filter(F.split(body, "\n"), lambda line: F.rlike(line, F.lit(WORD))).alias("_lines"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     n = F.size("_words")
-    windows = F.zip_with(
-        F.zip_with(F.slice("_words", 1, n - 2), F.slice("_words", 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice("_words", 3, n - 2),
-        lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
-    )
+    word = lambda i: F.get("_words", i)
+    windows = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(word(i + k) for k in range(SHINGLE))))
     rows = rows.withColumn("_windows", F.when(n >= SHINGLE, windows).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select(
         "_doc", "n_symbols",
@@ -68,7 +74,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_places", F.array_sort(F.array_distinct(F.flatten(pairs))))
     covered = F.zip_with("_places", F.slice("_places", 2, F.size("_places")), lambda p, q: F.least(F.lit(SHINGLE), F.coalesce(q - p, F.lit(SHINGLE))))
     repeated = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    return rows.withColumn("n_repeat_words", repeated).select("_doc.*", *own)
+    return rows.withColumn("n_repeat_words", repeated).select(*(F.col("_doc").getField(c).alias(c) for c in keep), *own)
 
 
 def base_failed() -> Column:
@@ -111,72 +117,125 @@ def chi_square_quantile(p: float, k: int) -> float:
     return hi
 
 
-def _whitened(groups: DataFrame, factor: float) -> DataFrame:
-    """From (g, rows, s_i, s_ij) with sums of products: g, rows, means m_i and the inverse Cholesky factor w_ij of the covariance."""
-    d = len(_X)
-    out = groups.select("g", "rows", *((F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(d)), *(F.col(f"s_{i}_{j}") for i in range(d) for j in range(i + 1)), "n")
-    for i in range(d):
-        for j in range(i + 1):
-            cov = F.greatest(F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}"), F.lit(0.0)) if i == j else F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            cov = factor * cov + (SPREAD[_X[i]] ** 2 if i == j else 0)
-            for k in range(j):
-                cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l_{j}_{j}"))
-    for i in range(d):
-        for j in range(i + 1):
-            entry = F.lit(1.0) if i == j else sum((-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0))
-            out = out.withColumn(f"w_{i}_{j}", entry / F.col(f"l_{i}_{i}"))
-    return out.select("g", "rows", *(f"m_{i}" for i in range(d)), *(f"w_{i}_{j}" for i in range(d) for j in range(i + 1)))
+_D = range(len(_X))
+_LOWER = [(i, j) for i in _D for j in range(i + 1)]
+_ESTIMATE = ["n", *(f"m_{i}" for i in _D), *(f"c_{i}_{j}" for i, j in _LOWER)]
 
 
-def _distance() -> Column:
-    d = len(_X)
-    lengths = (sum((F.col(f"w_{i}_{j}") * (F.col(_X[j]) - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(d))
-    return sum((y * y for y in lengths), F.lit(0.0))
+def _sums(x: list[Column], when: Column | None = None) -> list[Column]:
+    """Number, sums and sums of products of vectors."""
+    held = (lambda v: v) if when is None else (lambda v: F.when(when, v))
+    return [F.count(held(F.lit(1))).alias("n"), *(F.sum(held(x[i])).alias(f"s_{i}") for i in _D), *(F.sum(held(x[i] * x[j])).alias(f"s_{i}_{j}") for i, j in _LOWER)]
 
 
-def _sums() -> list[Column]:
-    d = len(_X)
-    return [F.count("*").alias("n"), F.first("rows").alias("rows"), *(F.sum(_X[i]).alias(f"s_{i}") for i in range(d)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s_{i}_{j}") for i in range(d) for j in range(i + 1))]
+def _moments(sums: DataFrame, *keep: str) -> DataFrame:
+    """Means m_i and covariances c_i_j from sums."""
+    mean = lambda i: F.col(f"s_{i}") / F.col("n")
+    cov = lambda i, j: F.greatest(F.col(f"s_{i}_{j}") / F.col("n") - mean(i) * mean(j), F.lit(0.0) if i == j else F.lit(-1e300))
+    return sums.select(*keep, "n", *(mean(i).alias(f"m_{i}") for i in _D), *(cov(i, j).alias(f"c_{i}_{j}") for i, j in _LOWER))
+
+
+def _whitened(estimates: DataFrame, factor: float, *keep: str) -> DataFrame:
+    """From means and covariances: means m_i, the inverse Cholesky factor w_i_j of the covariance, times ``factor`` and with
+    the least spread, and the log determinant."""
+    out = estimates
+    for i, j in _LOWER:
+        cov = factor * F.col(f"c_{i}_{j}") + (SPREAD[_X[i]] ** 2 if i == j else 0)
+        for k in range(j):
+            cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1e-12))) if i == j else cov / F.col(f"l_{j}_{j}"))
+    for i, j in _LOWER:
+        entry = F.lit(1.0) if i == j else sum((-F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0))
+        out = out.withColumn(f"w_{i}_{j}", entry / F.col(f"l_{i}_{i}"))
+    volume = sum((2 * F.log(f"l_{i}_{i}") for i in _D), F.lit(0.0))
+    return out.select(*keep, *(f"m_{i}" for i in _D), *(f"w_{i}_{j}" for i, j in _LOWER), volume.alias("volume"))
+
+
+def _distance() -> Column:
+    lengths = (sum((F.col(f"w_{i}_{j}") * (F.col(_X[j]) - F.col(f"m_{j}")) for j in range(i + 1)), F.lit(0.0)) for i in _D)
+    return sum((y * y for y in lengths), F.lit(0.0))
 
 
-def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """From (g, rows, x...) with the group's row count: one row of mean and whitening matrix for each g."""
+def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
+    """(g, start, means and covariances) from medians and quartiles: a diagonal, and two kinds of bounded covariances."""
+    quartiles = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{i}") for i, x in enumerate(_X)))
+    scale = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(SPREAD[_X[i]]))
+    middle = cut(quartiles.select("g", *(F.col(f"q_{i}")[1].alias(f"mid_{i}") for i in _D), *(scale(i).alias(f"scale_{i}") for i in _D)))
+    z = look_up(rows, middle, "g", n_groups).withColumns({f"z_{i}": (F.col(x) - F.col(f"mid_{i}")) / F.col(f"scale_{i}") for i, x in enumerate(_X)})
+    length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in _D), F.lit(1e-12)))
+    squashed = [F.tanh(f"z_{i}") for i in _D]
+    signs = [F.col(f"z_{i}") / length for i in _D]
+    product = lambda x, name: [F.avg(x[i] * x[j]).alias(f"{name}_{i}_{j}") for i, j in _LOWER]
+    found = cut(z.groupBy("g").agg(*product(squashed, "a"), *product(signs, "b")).join(middle, "g"))
+    like = lambda name, i, j: F.col(f"{name}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"), F.lit(1e-12)))
+    start = lambda k, cor: found.select("g", F.lit(k).alias("start"), *(F.col(f"mid_{i}").alias(f"m_{i}") for i in _D), *((cor(i, j) * F.col(f"scale_{i}") * F.col(f"scale_{j}")).alias(f"c_{i}_{j}") for i, j in _LOWER))
+    return start(0, lambda i, j: F.lit(float(i == j))).unionByName(start(1, lambda i, j: like("a", i, j))).unionByName(start(2, lambda i, j: like("b", i, j)))
+
+
+def concentrated(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFrame:
+    """From (g, x...): the whitening estimate of least volume for each g. ``rows`` must be read from files."""
     d = len(_X)
-    middle = rows.groupBy("g").agg(F.first("rows").alias("rows"), *(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(x) for x in _X))
-    start = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(SPREAD[x])) for x in _X]
-    estimate = cut(middle.select("g", "rows", *(F.col(x)[1].alias(f"m_{i}") for i, x in enumerate(_X)), *((1 / start[i] if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in range(d) for j in range(i + 1))))
-    quantile = chi_square_quantile(keep, d)
-    shrunk = keep / chi_square(quantile, d + 2)  # the covariance of the nearest share of a normal sample is too small by this
-    for _ in range(steps):
-        apart = rows.drop("rows").join(sized(estimate, n_groups, BROADCAST_ROWS), "g").withColumn("bin", F.floor(40 * F.log(_distance() + 1e-9)).cast("int"))
-        upto = w.Window.partitionBy("g").orderBy("bin")
-        edges = apart.groupBy("g", "bin").agg(F.count("*").alias("n"), F.first("rows").alias("rows")).withColumn("sofar", F.sum("n").over(upto)).where(F.col("sofar") >= F.ceil(keep * F.col("rows"))).groupBy("g").agg(F.min("bin").alias("edge"))
-        nearest = apart.join(sized(edges, n_groups, BROADCAST_ROWS), "g").where("bin <= edge")
-        estimate = cut(_whitened(nearest.groupBy("g").agg(*_sums()), shrunk))
-    cutoff = 0.975
-    inside = rows.drop("rows").join(sized(estimate, n_groups, BROADCAST_ROWS), "g").where(_distance() <= chi_square_quantile(cutoff, d))
-    return cut(_whitened(inside.groupBy("g").agg(*_sums()), cutoff / chi_square(chi_square_quantile(cutoff, d), d + 2)))
+    key = F.struct("g", "start").alias("of")
+    estimate = cut(_whitened(_starts(rows, n_groups), 1.0, "g", "start").select(key, "*").drop("g", "start"))
+    n_starts = 3 * n_groups
+    # The covariance of the nearest share of a normal sample is too small by this.
+    shrunk = keep / chi_square(chi_square_quantile(keep, d), d + 2)
+    each = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3))))).withColumn("of", key).select("of", *_X)
+    for _ in range(MOST_STEPS):
+        apart = look_up(each, estimate, "of", n_starts).withColumn("distance", _distance())
+        edges = cut(apart.groupBy("of").agg(F.percentile_approx("distance", keep, ACCURACY).alias("edge")))
+        nearest = look_up(apart, edges, "of", n_starts).where("distance <= edge")
+        new = cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"))
+        falls = new.alias("a").join(estimate.alias("b"), "of").agg(F.max(F.col("b.volume") - F.col("a.volume")), F.min(F.col("b.volume") - F.col("a.volume"))).first()
+        estimate = new
+        if falls[0] is None or max(falls[0], -falls[1]) < FALL:
+            break
+    best = F.min_by(F.struct(*(c for c in estimate.columns if c != "of")), F.struct("volume", "of.start"))
+    return cut(estimate.groupBy("of.g").agg(best.alias("best")).select("g", "best.*"))
+
+
+def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFrame:
+    """From (g, x...): one row of n, means and covariances for each g. ``rows`` must be read from files."""
+    d, cutoff = len(_X), 0.975
+    best = concentrated(rows, n_groups, keep)
+    inside = look_up(rows, best, "g", n_groups).withColumn("near", _distance() <= chi_square_quantile(cutoff, d))
+    sums = inside.groupBy("g").agg(F.count("*").alias("rows"), *_sums([F.col(x) for x in _X], F.col("near")))
+    factor = cutoff / chi_square(chi_square_quantile(cutoff, d), d + 2)
+    moments = _moments(sums, "g", "rows").withColumns({f"c_{i}_{j}": factor * F.col(f"c_{i}_{j}") for i, j in _LOWER})
+    return cut(moments.drop("n").withColumnRenamed("rows", "n").select("g", *_ESTIMATE))
+
+
+def leaning(own: DataFrame, prior: DataFrame, prior_key: Column, n_prior: int, weight: float = PRIOR) -> DataFrame:
+    """``own`` estimates, each with that of ``prior`` as of ``weight`` more rows."""
+    renamed = prior.select(F.col("g").alias("above"), *(F.col(c).alias("above_" + c) for c in _ESTIMATE[1:]))
+    both = look_up(cut(own.withColumn("above", prior_key)), renamed, "above", n_prior)
+    mixed = lambda c: ((F.col("n") * F.col(c) + weight * F.col("above_" + c)) / (F.col("n") + weight)).alias(c)
+    return cut(both.select("g", "n", *map(mixed, _ESTIMATE[1:])))
 
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``docs`` without ``text``, with the counts, base_failed, distance (null where there is no estimate) and kept."""
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
-    keep = [c for c in docs.columns if c.lower() not in (text.lower(), *own)]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    keep = all_but(docs, text, *own)
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *map(quoted, keep)).alias("doc"), F.struct(quoted(lang).alias("lang"), quoted(source).alias("source")).alias("g"), quoted(text).alias("text"))
     rows = cut(counts(packed).withColumn("base_failed", base_failed()).withColumns(statistics()))
-    one = F.struct("lang", "source", F.lit(False).alias("pooled"))
-    pool = F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(True).alias("pooled"))
-    sizes = cut(rows.where(~F.col("base_failed")).groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source")).agg(F.count("*").alias("n")))
-    n_sizes = sizes.count()
-    named = rows.join(sized(sizes, n_sizes, BROADCAST_ROWS), F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left").withColumn("g", F.when(F.col("n") >= LEAST_ROWS, one).otherwise(pool)).drop("n", "of_lang", "of_source")
-    passed = named.where(~F.col("base_failed")).select("g", *_X)
-    groups = cut(passed.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") >= LEAST_ROWS))
-    n_groups = groups.count()
-    estimates = robust_estimates(passed.join(sized(groups, n_groups, BROADCAST_ROWS), "g"), n_groups)
-    judged = named.join(sized(estimates, n_groups, BROADCAST_ROWS), "g", "left").withColumn("distance", F.when(F.col("rows").isNotNull(), _distance()))
+    passed = rows.where(~F.col("base_failed")).select("g", *_X)
+    # Groups of the three levels have keys of one shape.
+    level = lambda k, *parts: F.struct(F.lit(k).alias("level"), *parts)
+    no_lang, no_source = F.lit(None).cast(rows.schema["g"].dataType["lang"].dataType).alias("lang"), F.lit(None).cast(rows.schema["g"].dataType["source"].dataType).alias("source")
+    whole, of_lang, of_source = level(0, no_lang, no_source), level(1, F.col("g.lang").alias("lang"), no_source), level(2, F.col("g.lang").alias("lang"), F.col("g.source").alias("source"))
+    leveled = passed.select(F.explode(F.array(whole, of_lang, of_source)).alias("g"), *_X)
+    n_groups = leveled.select("g").distinct().count()
+    estimates = robust_estimates(leveled, n_groups)
+    at = lambda k: estimates.where(F.col("g.level") == k)
+    langs = leaning(at(1), at(0), whole, 1)
+    sources = leaning(at(2), langs, level(1, F.col("g.lang").alias("lang"), no_source), n_groups)
+    # Of groups without a row that passes the base rules no row can be kept, so they need no estimate.
+    final = cut(_whitened(sources.withColumn("g", F.struct("g.lang", "g.source")), 1.0, "g"))
+    judged = look_up(rows, final, "g", n_groups).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - alpha, len(_X)), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select("doc.*", *own)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~far)
+    return judged.select(*(F.col("doc").getField(c).alias(c) for c in keep), *own)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
