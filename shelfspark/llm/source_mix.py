@@ -1,12 +1,14 @@
 """Operator 6: mixing sources to target weights.
 
-Every document gets a random key, a hash of its id. Within a source the keys are range-partitioned into equal ranges, as
-many as the source's rows need (``RANGE_ROWS`` each); a range is sorted in one task, and the prefix sums of the ranges'
-totals give every document the number of words before it in its source. A source's budget is a number of full epochs and a
-rest; the rest is cut out of the key order at the exact word. No range, whatever the source's share, grows with the input.
-
-Defined results: a null text has size 0; a null source is a source of its own and comes last. Repeated rows take adjacent
-places in the order. Reruns agree, as keys depend on ids alone. If all sizes are 0, so are targets and words taken.
+Every document gets a random key, a hash of its id and text. Within a source the keys are range-partitioned into equal
+ranges, as many as the source's rows need (``RANGE_ROWS`` each); a range is sorted in one task, and the prefix sums of the
+ranges' totals, by ``RANGES`` of them and then within, give every document the number of words before it in its source.
+A source's budget is a number of full epochs and a rest; the rest is cut out of the key order at the exact word. No range,
+whatever the source's share, grows with the input. The table of sources, one row each, is ordered in one task.
+
+Defined results: a null text has size 0; a null source is a source of its own and comes last. Ids may repeat or be null;
+rows that repeat id and text take adjacent places in the order. Reruns agree, as keys depend on ids and texts alone. If all
+sizes are 0, so are targets and words taken. An empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from .common import BROADCAST_ROWS, WORD, cut, sized, table
+from .common import BROADCAST_ROWS, WORD, cut, quoted, sized, table
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS, SEED = 1.5, 2.0, 17
-RANGE_ROWS = 4_000
+RANGE_ROWS, RANGES = 4_000, 1_000
 
 
 def n_words(text: Column) -> Column:
@@ -45,21 +47,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "rows", "weight", "target")
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, whole: bool = False, seed: int = SEED, key: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, size: Column, id_col: str = "doc_id", text: str = "text", source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, whole: bool = False, seed: int = SEED, key: Column | None = None,
+) -> DataFrame:
     """One row for each row of ``docs``: id, size, source, source_size, target, taken. With ``whole`` the document at the
-    cut is taken whole if more than half of it is within the budget, and not at all otherwise. ``key`` is what the random
-    order is made from, the id unless given."""
-    order = F.xxhash64(F.lit(seed), F.col(id_col) if key is None else key).bitwiseAND((1 << 62) - 1)
-    keyed = cut(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), size.cast("long").alias("size"), order.alias("key")))
+    cut is taken whole if more than half of it is within the budget, and not at all otherwise. ``key`` stands for the id in
+    the random order."""
+    order = F.xxhash64(F.lit(seed), quoted(id_col) if key is None else key, quoted(text)).bitwiseAND((1 << 62) - 1)
+    keyed = cut(docs.select(quoted(id_col).alias("id"), quoted(source).alias("source"), size.cast("long").alias("size"), order.alias("key")))
     shares = cut(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, share, most))
     shares = shares.withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS).cast("long"))
     n_sources = shares.count()
     same = F.col("k.source").eqNullSafe(F.col("s.source"))
     placed = keyed.alias("k").join(sized(shares.alias("s"), n_sources, BROADCAST_ROWS), same).select("k.*", "source_size", "target", F.floor(F.col("key") / (1 << 62) * F.col("ranges")).alias("range"))
 
-    sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    earlier = w.Window.partitionBy("source").orderBy("range").rowsBetween(w.Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    sums = placed.groupBy(F.col("source").alias("of"), F.col("range").alias("at")).agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("at") / RANGES))
+    upto = lambda by, *of: F.coalesce(F.sum("words").over(w.Window.partitionBy(*of).orderBy(by).rowsBetween(w.Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("of", "block").agg(F.sum("words").alias("words")).select(F.col("of").alias("block_of"), F.col("block").alias("number"), upto("block", "of").alias("earlier"))
+    same_block = F.col("of").eqNullSafe(F.col("block_of")) & (F.col("block") == F.col("number"))
+    sums = sums.withColumn("base", upto("at", "of", "block")).join(blocks, same_block).select("of", "at", (F.col("base") + F.col("earlier")).alias("base"))
     inside = w.Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(w.Window.unboundedPreceding, -1)
     before = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     ordered = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))).withColumn("before", before)
