@@ -5,8 +5,9 @@ mapped to one character, its score is ``-r`` and normalisation is the identity,
 Texts are split by the pre-token pattern and each match is encoded on its own (a match that is itself a token is that
 token); decoding maps ids back to bytes.
 
-Defined results: a null or empty text has no ids and decodes to no bytes. Rows are independent, so repeated rows, ties and
-extra columns do not matter; all columns of the input are kept. Memory holds one Arrow batch and a memo of bounded size.
+Defined results: a null or empty text has no ids and decodes to no bytes; null ids decode to no bytes. Rows are independent,
+so repeated rows and ties do not matter; all columns of the input are kept, whatever their names, but for those named like
+a result. An empty table gives an empty result. Memory holds one Arrow batch and a memo of bounded size.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .common import table
+from .common import all_but, map_batches, parts_of, quoted, table
+
+#: Bytes of texts whose new pre-tokens are encoded in one call.
+TOGETHER = 1 << 18
 
 #: Pre-tokens kept by each Python worker; the memo is emptied when it is full.
 MEMO = 100_000
 
-#: Texts whose new pre-tokens are encoded in one call.
-TOGETHER = 100
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: The characters for bytes: a visible byte stands for itself, others for a letter beyond Latin-1.
@@ -111,14 +115,24 @@ def _encoder(digest: str, pattern: str, memo: int, model) -> Encoder:
     return Encoder(model.value, pattern, memo)
 
 
-def _bytes_of(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
-    """The bytes that each row's ids stand for. A slice of rows at a time, so memory stays bounded."""
-    ends, back = column.offsets.to_pylist(), []
-    for at in range(0, len(column), TOGETHER):
-        part = ends[at : at + TOGETHER + 1]
-        flat = column.values[part[0] : part[-1]].to_pylist()
-        back += [b"".join(map(tokens.__getitem__, flat[a - part[0] : b - part[0]])) for a, b in zip(part, part[1:])]
-    return pa.array(back, pa.binary())
+def _bytes_of(column: pa.ListArray, tokens: pa.BinaryArray) -> pa.Array:
+    """The bytes that each row's ids stand for: those of all ids stand one after the other, so rows only need their ends."""
+    flat = tokens.take(column.flatten())
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
+    starts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset) if len(flat) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(starts[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+
+
+@cache
+def _token_array(digest: str, tokens) -> pa.BinaryArray:
+    return pa.array(tokens.value, pa.binary())
+
+
+def _held_tokens(spark: SparkSession, path: str | None):
+    """The vocabulary on the executors (bounded by its file), as a function to call there."""
+    tokens = read_ranks(path or vocabulary_path())
+    digest, held = hashlib.sha256(b"\0".join(tokens)).hexdigest(), spark.sparkContext.broadcast(tokens)
+    return lambda: _token_array(digest, held)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
@@ -128,39 +142,33 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     pattern, spark = pattern or public_tokenizers.PATTERN, df.sparkSession
     model = serialise_model(read_ranks(path or vocabulary_path()))
     digest, held = hashlib.sha256(model).hexdigest(), spark.sparkContext.broadcast(model)  # bounded by the vocabulary file
-    keep = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower(), (decoded or ids).lower())]
-    tokens = spark.sparkContext.broadcast(read_ranks(path or vocabulary_path())) if decoded else None
-    more = [decoded] if decoded else []
+    keep = all_but(df, text, ids, decoded or ids)
+    tokens = _held_tokens(spark, path) if decoded else None
+    more = {decoded: BinaryType()} if decoded else {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         encoder = _encoder(digest, pattern, MEMO, held)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            coded = [x for at in range(0, len(texts), TOGETHER) for x in encoder.encode(texts[at : at + TOGETHER])]
-            ends = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int64).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-            column = pa.ListArray.from_arrays(pa.array(ends), values)
-            back = [_bytes_of(column, tokens.value)] if tokens else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column, *back], [*keep, ids, *more])
+        for part in (part for batch in batches for part in parts_of(batch, len(keep), TOGETHER)):
+            coded = encoder.encode([x or "" for x in part.column(len(keep)).to_pylist()])
+            ends = np.cumsum([0, *(len(x) // 4 for x in coded)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            back = [_bytes_of(column, tokens())] if tokens else []
+            yield [*part.columns[: len(keep)], column, *back]
 
-    out = df.select(*keep, text)
-    return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]), f"`{ids}` array<int>", *(f"`{c}` binary" for c in more)]))
+    return map_batches(df.select(*map(quoted, keep), quoted(text)), keep, run, **{ids: ArrayType(IntegerType())}, **more)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` and column ``decoded`` (binary), the bytes that ``ids`` stand for. An id outside the vocabulary is an error."""
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(read_ranks(path or vocabulary_path()))
-    keep = [c for c in df.columns if c.lower() != decoded.lower()]
+    tokens = _held_tokens(df.sparkSession, path)
+    keep = all_but(df, decoded)
     at = keep.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes_of(batch.column(at), tokens)], [*keep, decoded])
+            yield [*batch.columns, _bytes_of(batch.column(at), tokens())]
 
-    out = df.select(*keep)
-    return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields), f"`{decoded}` binary"]))
+    return map_batches(df.select(*map(quoted, keep)), keep, run, **{decoded: BinaryType()})
 
 
 def digests(coded: DataFrame) -> DataFrame:
@@ -174,4 +182,4 @@ def digests(coded: DataFrame) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded"))

@@ -7,7 +7,8 @@ crosses two neighbouring characters that no piece holds side by side; the tokens
 depend on the other side. If the overlap has no such offset it is widened, at last to the whole text, so the count is
 always that of the whole text. Memory for one text is bound by the chunk unless it has no stable place at all.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens. Rows are independent; all columns of the input are kept.
+Defined results: a null or empty text has 0 bytes and 0 tokens. Rows are independent; all columns of the input are kept,
+whatever their names, but for one that is named like the result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import table
+from .common import all_but, map_batches, parts_of, quoted, table
 
 MODEL = "piece_bpe_32k.model"
 CHUNK, OVERLAP, LIMIT = 16_384, 256, 4096
@@ -85,18 +87,15 @@ def count_tokens(df: DataFrame, text: str = "text", n_tokens: str = "n_tokens",
         import public_tokenizers
 
         path = public_tokenizers.path(MODEL)
-    keep = [c for c in df.columns if c.lower() not in (text.lower(), n_tokens.lower())]
+    keep = all_but(df, text, n_tokens)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         counter = _counter(path, size, overlap)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # sentencepiece holds the ids of one call at a time
-                part = batch.slice(at, 64)
-                counts = counter([x or "" for x in part.column(len(keep)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(counts, pa.int64())], [*keep, n_tokens])
-
-    out = df.select(*keep, text)
-    return out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]), f"`{n_tokens}` long"]))
+        for part in (part for batch in batches for part in parts_of(batch, len(keep))):  # sentencepiece holds the ids of one call at a time
+            counts = counter([x or "" for x in part.column(len(keep)).to_pylist()])
+            yield [*part.columns[: len(keep)], pa.array(counts, pa.int64())]
+
+    return map_batches(df.select(*map(quoted, keep), quoted(text)), keep, run, **{n_tokens: LongType()})
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

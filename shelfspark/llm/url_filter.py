@@ -7,7 +7,8 @@ the trie once; the deepest rule that it meets decides. The trie is broadcast, so
 Defined results: a null URL, or one without ``://``, has an empty host and path and meets only the default. Hosts compare
 after lower-casing A-Z, paths as they are. A rule with an empty path holds for every URL of its host; other rule paths end
 with ``/``. Among rules that fit, the one with more host labels wins, then the longer path; a repeated (host, path) with
-different verdicts is an error.
+different verdicts is an error. Rows are independent, repeated ones too; an empty table gives an empty result, and extra
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_free_of, table
+from .common import columns_free_of, quoted, table
 
 #: Rules: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -93,7 +94,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str,
     rules = list(dict.fromkeys(rules))
     trie = build_trie(rules)
     spark = df.sparkSession
-    df = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    df = df.withColumns({"host": host_of(quoted(url)), "path": path_of(quoted(url))})
     if len(rules) <= most:
         held = spark.sparkContext.broadcast(trie)
 

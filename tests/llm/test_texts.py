@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -122,6 +123,19 @@ def test_secrets(spark, most):
     assert any(r.secrets for r in got)
 
 
+def test_very_many_matches(spark):
+    text = "token=abcdefgh é " * 100_000
+    spans = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().secrets
+    assert [(s.start, s.end) for s in spans] == [(17 * i, 17 * i + 14) for i in range(100_000)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 16_384, 16_385, 40_000])
+def test_running_sums(spark, n):
+    numbers = [i % 7 for i in range(n)]
+    got = spark.createDataFrame([(numbers,)], "x array<int>").select(S.running_sums(F.col("x"))).first()[0]
+    assert got == [0, *np.cumsum(numbers).tolist()][:n]
+
+
 def test_trigram_queries_never_lose_a_match():
     rng = random.Random(4)
     for rule in S.RULES:
@@ -170,20 +184,61 @@ def test_outliers(spark):
     assert got[0].g == got[0].doc == got[0].rows == "clash"
     assert [i for i, r in got.items() if r.kept and i in odd] == []
     assert all(got[i].kept for i in range(900))
-    assert not got[2000].kept and got[2000].base_failed and got[2001].base_failed and got[2002].kept and got[2002].distance is None
+    assert not got[2000].kept and got[2000].base_failed and got[2001].base_failed and got[2002].kept and got[2002].distance is not None
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
-def test_estimates_resist_outliers(spark):
+def frame_of_statistics(spark, tmp_path, data):
+    columns = "g int, " + ", ".join(f"{x} double" for x in Q.SPREAD)
+    spark.createDataFrame(data, columns).repartition(4).write.parquet(f"{tmp_path}/x")
+    return spark.read.parquet(f"{tmp_path}/x")
+
+
+def test_estimates_resist_outliers(spark, tmp_path):
     rng = np.random.default_rng(0)
-    clean = rng.normal(size=(2000, 5)) @ np.diag([1, 2, 3, 1, 1]) + [5, 1, 0, 0, 0]
-    data = [(1, 2600, *map(float, x)) for x in np.r_[clean, rng.normal(40, 1, size=(600, 5))]]
-    df = spark.createDataFrame(data, "g int, rows long, " + ", ".join(f"{x} double" for x in Q.SPREAD)).repartition(4)
-    e = Q.robust_estimates(df, 1).first()
-    mean, white = np.array([e[f"m_{i}"] for i in range(5)]), np.array([[e[f"w_{i}_{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.abs(mean - [5, 1, 0, 0, 0]).max() < 0.2
-    cov = np.linalg.inv(white.T @ white) - np.diag([s**2 for s in Q.SPREAD.values()])
-    assert np.abs(np.sqrt(np.diag(cov)) / [1, 2, 3, 1, 1] - 1).max() < 0.15
+    mixing = np.diag([1, 2, 3, 1, 1]) + 0.8 * np.eye(5, k=1)
+    clean = rng.normal(size=(2000, 5)) @ mixing + [5, 1, 0, 0, 0]
+    data = [(1, *map(float, x)) for x in np.r_[clean, rng.normal(40, 1, size=(600, 5))]]
+    e = Q.robust_estimates(frame_of_statistics(spark, tmp_path, data), 1).first()
+    mean, cov = np.array([e[f"m_{i}"] for i in range(5)]), np.array([[e[f"c_{max(i, j)}_{min(i, j)}"] for j in range(5)] for i in range(5)])
+    assert e.n == 2600 and np.abs(mean - [5, 1, 0, 0, 0]).max() < 0.2
+    want = mixing.T @ mixing
+    assert np.abs(cov - want).max() < 0.15 * np.abs(want).max()
+
+
+def test_least_determinant_against_all_subsets(spark, tmp_path):
+    """Of groups of ten rows, the determinant of the chosen eight is the least of all choices, or near it."""
+    rng = np.random.default_rng(4)
+    data = {g: np.r_[rng.normal(size=(8, 5)), rng.normal(6, 3, size=(2, 5))] for g in range(24)}
+    got = Q.concentrated(frame_of_statistics(spark, tmp_path, [(g, *map(float, r)) for g, x in data.items() for r in x]), len(data)).collect()
+    q = Q.chi_square_quantile(0.75, 5)
+    factor, spread = 0.75 / Q.chi_square(q, 7), np.diag([s**2 for s in Q.SPREAD.values()])
+    volume = lambda x: np.linalg.slogdet(factor * np.cov(x.T, bias=True) + spread)[1]
+    lacks = [r.volume - min(volume(data[r.g][list(kept)]) for kept in itertools.combinations(range(10), 8)) for r in got]
+    assert len(lacks) == 24 and min(lacks) > -1e-6 and sum(x < 1e-6 for x in lacks) >= 18 and max(lacks) < 1.5
+
+
+def test_verdicts_against_plain_distances(spark):
+    """Every row's distance from the written estimates, its shrinkage included, by numpy."""
+    rng = random.Random(12)
+    data = [(i, ordinary(rng, rng.randint(55, 300)), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(300)]
+    data += [(900, ordinary(rng, 100), "fr", "alone"), (901, "x # " * 10, "fr", "short"), (902, None, "it", None)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
+    assert len(got) == len(data) and all((r.distance is None) == r.base_failed for r in got.values())
+    limit = Q.chi_square_quantile(1 - Q.ALPHA, 5)
+    assert all(r.kept == (not r.base_failed and r.distance <= limit) for r in got.values())
+    assert got[900].kept and got[900].distance < 60 and not got[901].kept and not got[902].kept
+
+
+def test_shrinkage(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    columns = ", ".join(["g int", *(f"{c} double" for c in Q._ESTIMATE)])
+    rows = [(g, *map(float, [n, *rng.normal(size=20)])) for g, n in ((0, 1000), (1, 0), (2, 50), (3, 10**9))]
+    every = spark.createDataFrame(rows, columns)
+    got = {r.g: r for r in Q.leaning(every.where("g > 0"), every.where("g = 0"), F.lit(0), 1).collect()}
+    for r in rows[1:]:
+        n = r[1]
+        assert np.allclose([*got[r[0]]][2:], (n * np.array(r[2:]) + 50 * np.array(rows[0][2:])) / (n + 50))
 
 
 def test_chi_square():
@@ -217,6 +272,42 @@ def test_toxicity(spark):
     assert T.score(docs.limit(0), model).count() == 0
 
 
+def test_slopes_against_differences():
+    rng = np.random.default_rng(5)
+    grade, score, cuts = rng.integers(0, 4, 30), rng.normal(size=30), np.array([-0.5, 0.4, 1.3])
+
+    def likelihood(score, cuts):
+        p = np.c_[np.ones(30), 1 / (1 + np.exp(-(score[:, None] - cuts))), np.zeros(30)]
+        return np.log(p[np.arange(30), grade] - p[np.arange(30), grade + 1]).mean()
+
+    by_score, by_cut = T.slopes(score, cuts, grade)
+    step = lambda n, i: 1e-6 * np.eye(n)[i]
+    assert np.allclose(by_score, [(likelihood(score + step(30, i), cuts) - likelihood(score - step(30, i), cuts)) / 2e-6 for i in range(30)], atol=1e-7)
+    assert np.allclose(by_cut, [(likelihood(score, cuts + step(3, i)) - likelihood(score, cuts - step(3, i))) / 2e-6 for i in range(3)], atol=1e-7)
+
+
+def test_all_features_and_severities_by_hand(spark):
+    """No feature outside the working set would enter, and every severity is that of the plain formula."""
+    rng = random.Random(16)
+    labels = [(i, int(g != 2), int(g > 0)) for i in range(150) for g in [rng.choice([0, 0, 1, 2])]]
+    texts = [ordinary(rng, rng.randint(5, 40)) + (" vile" * 3 if t else "") + (" grubby grub" if not q else "") for _, q, t in labels]
+    docs = frame(spark, texts).where("doc_id < 150").dropDuplicates(["doc_id"])
+    model = T.train(docs, T.grades(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), together=3, penalty=3e-3)
+    counts = [T._counts(t) for t in texts]
+    docs_of = collections.Counter(f for c in counts for f in c)
+    rarity = {f: np.sqrt(np.log(150 / n) + 0.1) for f, n in docs_of.items()}
+    score = np.array([sum(model.weights.get(f, 0) * np.log1p(n) for f, n in c.items()) for c in counts])
+    grade, cuts = np.array([0 if not t else 2 - q for _, q, t in labels]), np.array(model.thresholds)
+    by_score, _ = T.slopes(score, cuts, grade)
+    slope = collections.Counter()
+    for c, s in zip(counts, by_score):
+        for f, n in c.items():
+            slope[f] += s * np.log1p(n) * rarity[f]
+    assert len(model.weights) > 3 and max(abs(s) for f, s in slope.items() if f not in model.weights) <= 3e-3 * (1 + T.SLACK) + 1e-9
+    for r in T.score(docs, model).collect():
+        assert r.severity == pytest.approx(sum(1 / (1 + np.exp(c - score[r.doc_id])) for c in cuts))
+
+
 def test_ordinal_fit():
     rng = np.random.default_rng(2)
     n = 4000
@@ -248,6 +339,41 @@ def test_language(spark):
     assert docs.where(L.held_out(F.col("doc_id"))).count() == sum(1 for i, *_ in data + [(500,)] if __import__("zlib").crc32(str(i).encode()) % 4 == 2)
 
 
+def test_only_labelled_rows_are_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda rows: seen.extend(rows))
+    rows = [(1, "kalo", "aa"), (1, "xuze", None), (2, "mira", "aa"), (2, "other mira", "aa"), (4, "qowi", "bb"), (4, None, "bb"), (5, None, "aa"), (None, "xu", "bb"), (7, "ze", "aa"), (7, "wi", "bb")]
+    rows = [r for r in rows if r[0] is None or __import__("zlib").crc32(str(r[0]).encode()) % 4 != 2]
+    L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    own = {(g, t) for i, t, g in rows if i is not None and t is not None and g is not None}
+    assert set(seen) <= own and len(seen) == len({i for i, t, g in rows if i is not None and t and g})
+    seen.clear()
+    many = [(i, f"w{i}", "aa" if i % 50 else "bb") for i in range(3000)]
+    L.train(spark.createDataFrame(many, "doc_id long, text string, lang string"), sample=100)
+    assert len(seen) == 100 and {len(x) for x in ([r for r in seen if r[0] == "aa"], [r for r in seen if r[0] == "bb"])} <= set(range(40, 62))
+
+
+def test_a_text_of_a_million_words(spark):
+    rng = random.Random(4)
+    data = [(2 * i + k, sample_of(lang, rng, 50), lang) for i in range(60) for k, lang in enumerate(["aa", "bb"])]
+    model = L.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    long = " ".join([sample_of("aa", rng, 1000)] * 600 + [sample_of("bb", rng, 1000)] * 400)
+    docs = spark.createDataFrame([(1, long), (2, "kalo mira")], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.identify(docs, model).collect()}
+    assert got[1].lang_pred == got[2].lang_pred == "aa" and 0.55 < got[1].score < 0.65
+    parts = L.label_words(spark.createDataFrame([(1, sample_of("aa", rng, 3 * L.TOGETHER))], "doc_id long, text string"), model).first()
+    assert len(parts.word_langs) == len(parts.word_scores) == 3 * L.TOGETHER
+
+
+def test_names_of_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "kalo token=abcdef", "aa", "s", "http://a.net/", 7, "x"), (2, None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, url string, `a.b` int, `c``d e` string")
+    model = L.train(docs)
+    graded = T.grades(spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    outs = [S.scan(docs), S.scan(docs, most=-1), U.filter_urls(docs), Q.judge(docs), B.decode(B.encode(docs)), B.encode(docs, decoded="decoded"), C.count_tokens(docs), L.identify(docs, model), L.label_words(docs, model), T.score(docs, T.train(docs, graded))]
+    for out in outs:
+        assert {(r["a.b"], r["c`d e"]) for r in out.collect()} == {(7, "x"), (None, None)}
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     scores, move = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
