@@ -12,7 +12,7 @@ from . import search as s
 def failed_sources(chosen: DataFrame, faults: DataFrame) -> DataFrame:
     """(query_id, source_id, docs_locale, reason) of chosen indexes whose bundle is faulty (source_id, docs_locale, reason)."""
     bad = faults.select("source_id", F.col("docs_locale").alias("actual_locale"), F.col("reason").alias("fault")).distinct()
-    met = chosen.where("outcome = 'index'").join(F.broadcast(bad), ["source_id", "actual_locale"])
+    met = chosen.where("outcome = 'index'").join(bad, ["source_id", "actual_locale"])
     return met.select("query_id", "source_id", F.col("actual_locale").alias("docs_locale"), F.col("fault").alias("reason"))
 
 

@@ -6,18 +6,19 @@ proposal_status, catalog_pos, pos. requests: query_id, query and optionally limi
 Every token of a query must be contained in a record's title and section. ``plan="broadcast"`` compares each record with a
 broadcast table of queries: no shuffle of records, for up to ``MOST_BROADCAST`` queries. ``plan="trigrams"`` joins on one
 trigram of each query, the rarest, since a record that contains a token contains its trigrams; queries whose tokens are all
-shorter go the broadcast way. Both give the same rows; ``auto`` counts the queries and chooses.
+shorter join on a run of one or two characters. Both give the same rows; ``auto`` counts the queries and chooses.
+
+A search writes the normalised records once, and the scored matches once; later steps read the columns they need.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
-from pyspark.sql.types import IntegerType
 
 from ..functions.text import DRAFT_LIKE, NOT_CURRENT, normalize_text, tokens_of, words_of
+from ..shared import cut
 
 # Weights of the score, and limits.
 BASE, EQUAL, STARTS, CONTAINS = 40.0, 100.0, 75.0, 55.0
@@ -26,13 +27,13 @@ PER_DISTANCE, OFFICIAL, PROPOSAL, DEAD, DRAFT, LENGTH, MOST_LENGTH = 18.0, 5.0,
 LEAST_EXACT, ROUNDS = 12, 3
 RUNTIME_LIMIT, LIBRARY_LIMIT, SUGGEST_LIMIT, SUGGESTIONS, SUGGEST_CHARS = 60, 50, 12, 8, 3
 
-MOST_BROADCAST = 2_000
+MOST_BROADCAST, GRAM = 2_000, 3
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """Records with normalised ``t`` (title), ``s`` (section) and ``hay`` (both). To be kept if searched repeatedly."""
-    rows = records.withColumn("t", normalize_text(F.col("title"))).withColumn("s", normalize_text(F.coalesce("section", F.lit(""))))
-    return rows.withColumn("hay", F.trim(F.concat_ws(" ", "t", "s")))
+    """Records with a number ``_row`` and normalised ``t`` (title), ``s`` (section) and ``hay`` (both), written once."""
+    rows = records.withColumns({"t": normalize_text(F.col("title")), "s": normalize_text(F.coalesce("section", F.lit("")))})
+    return cut(rows.withColumns({"hay": F.trim(F.concat_ws(" ", "t", "s")), "_row": F.monotonically_increasing_id()}))
 
 
 def tokenized(requests: DataFrame, limit: int = RUNTIME_LIMIT) -> DataFrame:
@@ -42,60 +43,70 @@ def tokenized(requests: DataFrame, limit: int = RUNTIME_LIMIT) -> DataFrame:
     return rows.withColumn("tokens", tokens_of(F.col("q"))).where(F.size("tokens") > 0)
 
 
-def _grams(c: Column) -> Column:
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-
-
-def _contains_all(tokens: Column, hay: Column) -> Column:
-    return F.forall(tokens, lambda t: F.contains(hay, t))
+def _grams(c: Column, size: Column | int) -> Column:
+    """Distinct runs of so many characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    runs = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
+    return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def match_exact(queries: DataFrame, records: DataFrame, plan: str = "auto") -> DataFrame:
-    """Pairs of tokenized queries and prepared records that hold all tokens."""
+def contained(needles: DataFrame, rows: DataFrame, key: str, parts: str, plan: str = "auto", same: dict[str, str] | None = None) -> DataFrame:
+    """Pairs of needles and rows (of prepared records) whose ``hay`` contains all the strings in the needle's ``parts``, and
+    that are equal in the columns ``same`` (of rows: of needles). ``key`` is unique among the needles."""
     if plan == "auto":
-        plan = "broadcast" if queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "trigrams"
+        plan = "broadcast" if needles.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "trigrams"
+    fits = F.forall(parts, lambda p: F.contains("hay", p))
+    for of_row, of_needle in (same or {}).items():
+        fits = fits & (F.col(of_row) == F.col(of_needle))
     if plan == "broadcast":
-        return records.join(F.broadcast(queries), _contains_all(F.col("tokens"), F.col("hay")))
-    rows = records.withColumn("_row", F.struct(*(F.col(c) for c in ("catalog_pos", "source_id", "docs_locale", "pos"))))
-    grams = rows.select("_row", F.explode(_grams(F.col("hay"))).alias("gram"))
-    asked = queries.select("query_id", F.explode("tokens").alias("token")).select("query_id", F.explode(_grams(F.col("token"))).alias("gram")).distinct()
-    wanted = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+        return rows.join(F.broadcast(needles), fits)
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(parts, F.length)))
+    asked = needles.select(key, parts, size.alias("size"))
+    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # three at most
+    asked = asked.select(key, F.explode(F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, F.col("size")))))).alias("gram"))
+    every = F.concat(F.array().cast("array<string>"), *(_grams(F.col("hay"), n) for n in sizes))
+    wanted = rows.select("_row", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
     counted = wanted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counted, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
-    pairs = wanted.join(rarest, "gram").select("_row", "query_id")
-    long = pairs.join(queries, "query_id").join(rows, "_row").where(_contains_all(F.col("tokens"), F.col("hay"))).drop("_row")
-    short = queries.join(rarest.select("query_id"), "query_id", "left_anti")
-    return long.unionByName(records.join(F.broadcast(short), _contains_all(F.col("tokens"), F.col("hay"))))
+    cost = F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))
+    rarest = asked.join(counted, "gram", "left").groupBy(key).agg(F.min_by("gram", cost).alias("gram"))
+    return wanted.join(rarest, "gram").select("_row", key).join(needles, key).join(rows, "_row").where(fits)
+
+
+def match_exact(queries: DataFrame, rows: DataFrame, plan: str = "auto", same: dict[str, str] | None = None) -> DataFrame:
+    """Pairs of tokenized queries and prepared records that hold all tokens."""
+    return contained(queries, rows, "query_id", "tokens", plan, same)
 
 
 # Typos -----------------------------------------------------------------------------------------------------------
 
 
-def osa_distance(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap neighbours, none twice) from a to b; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    older, old = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
-        older, old = old, row
-    return min(old[-1], most + 1)
+def _swapped(a: Column, i: Column) -> Column:
+    """The string with the characters at i and i + 1 in each other's place."""
+    return F.concat(F.left(a, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a)))
+
+
+def osa_distance(a: Column, b: Column, most: int) -> Column:
+    """Up to ``most`` (1 or 2) inserted, deleted or replaced characters or swapped neighbours, none touched twice, that lead
+    from a to b; null if it takes more. Plain edits are Spark's own distance. A swap cuts both strings in two parts before and
+    after it, and what is left for these decides: nothing, one edit, or one more swap."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    rest = lambda c, i: F.substring(c, i + 2, F.length(c))
+    after_swap = F.exists(places, lambda i: (F.length(a) > 1) & (_swapped(a, i) == b))
+    plain = F.levenshtein(a, b, most)
+    if most == 1:
+        return F.when(plain >= 0, plain).when(after_swap, 1)
 
+    def one_edit(i: Column) -> Column:
+        pair = lambda j: (j >= 1) & (F.substring(b, j, F.lit(1)) == F.substring(a, i + 1, F.lit(1))) & (F.substring(b, j + 1, F.lit(1)) == F.substring(a, i, F.lit(1)))
+        left = lambda j: F.levenshtein(F.left(a, i - 1), F.left(b, j - 1)) + F.levenshtein(rest(a, i), rest(b, j))
+        return F.exists(F.array(i - 1, i, i + 1), lambda j: pair(j) & (left(j) <= 1))
 
-@F.pandas_udf(IntegerType())
-def _osa(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([osa_distance(x, y, m) for x, y, m in zip(a, b, most, strict=True)], dtype="int32")
+    two_swaps = F.exists(places, lambda i: F.exists(places, lambda j: (j >= i + 2) & (_swapped(_swapped(a, i), j) == b)))
+    return F.when(F.length(a) < 2, F.when(plain >= 0, plain)).when(plain.between(0, 1), plain).when(after_swap, 1).when(plain == 2, 2).when(F.exists(places, one_edit) | two_swaps, 2)
 
 
 def _without_one(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.lit(1 << 20))))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))
 
 
 def _deletions(word: Column, most: int) -> Column:
@@ -110,32 +121,31 @@ def _deletions(word: Column, most: int) -> Column:
 
 def close_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, word, distance): close pairs of distinct tokens and words, found by shared deletions and then verified."""
-    plain = r"^[\p{L}\p{N}]+$"
-    t = tokens.select("token").distinct().where((F.length("token") >= 4) & F.rlike("token", F.lit(plain))).withColumn("most", F.when(F.length("token") >= 8, 2).otherwise(1))
-    v = words.select("word").distinct().where((F.length("word") >= 4) & F.rlike("word", F.lit(plain)))
+    plain = F.lit(r"^[\p{L}\p{N}]+$")
+    t = tokens.select("token").distinct().where((F.length("token") >= 4) & F.rlike("token", plain)).withColumn("most", F.when(F.length("token") >= 8, 2).otherwise(1))
+    v = words.select("word").distinct().where((F.length("word") >= 4) & F.rlike("word", plain))
+    lengths = (F.abs(F.length("word") - F.length("token")) <= F.col("most")) & ((F.length("token") >= 7) | (F.length("word") == F.length("token")))
     parts = []
     for most in (1, 2):
         left = t.where(F.col("most") == most).select("token", "most", F.explode(_deletions(F.col("token"), most)).alias("key"))
         right = v.where(F.length("word") >= (4 if most == 1 else 6)).select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
-        parts.append(left.join(right, "key").select("token", "word", "most").distinct())
-    lengths = (F.abs(F.length("word") - F.length("token")) <= F.col("most")) & ((F.length("token") >= 7) | (F.length("word") == F.length("token")))
-    pairs = parts[0].unionByName(parts[1]).where(lengths)
-    return pairs.withColumn("distance", _osa("token", "word", "most")).where(F.col("distance") <= F.col("most")).select("token", "word", "distance")
+        pairs = left.join(right, "key").where(lengths).select("token", "word").distinct()
+        parts.append(pairs.withColumn("distance", osa_distance(F.col("token"), F.col("word"), most)))
+    return parts[0].unionByName(parts[1]).where("distance is not null")
 
 
-def match_fuzzy(queries: DataFrame, records: DataFrame) -> DataFrame:
+def match_fuzzy(queries: DataFrame, rows: DataFrame, plan: str = "auto") -> DataFrame:
     """Pairs where each token is contained (distance 0) or close to a word, with ``distances`` by token. Distances are worked
     out on distinct words and come back to records through an inverted word index."""
-    rows = records.withColumn("_row", F.struct(*(F.col(c) for c in ("catalog_pos", "source_id", "docs_locale", "pos"))))
     asked = queries.select("query_id", F.explode("tokens").alias("token"))
     tokens = asked.select("token").distinct()
     index = rows.select("_row", F.explode(words_of(F.col("hay"))).alias("word"))
     near = close_words(tokens, index.select("word")).join(index, "word").groupBy("_row", "token").agg(F.min("distance").alias("distance"))
-    contained = rows.select("_row", "hay").join(F.broadcast(tokens), F.contains("hay", F.col("token"))).select("_row", "token", F.lit(0).alias("distance"))
-    best = near.unionByName(contained).groupBy("_row", "token").agg(F.min("distance").alias("distance"))
+    inside = contained(tokens.withColumn("parts", F.array("token")), rows.select("_row", "hay"), "token", "parts", plan)
+    best = near.unionByName(inside.select("_row", "token", F.lit(0).alias("distance"))).groupBy("_row", "token").agg(F.min("distance").alias("distance"))
     met = best.join(asked, "token").groupBy("query_id", "_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "distance"))).alias("distances"))
     full = met.join(queries, "query_id").where(F.size("distances") == F.size("tokens"))
-    return full.join(rows, "_row").drop("_row")
+    return full.join(rows, "_row")
 
 
 # Scores and ranks ------------------------------------------------------------------------------------------------
@@ -203,30 +213,35 @@ def fuzzy_gate(queries: DataFrame, bounded: DataFrame) -> DataFrame:
     return queries.join(counted, "query_id", "left").where(few).drop("_exact")
 
 
-_OUT = ["query_id", "title", "url", "section", "programming_language", "docs_locale", "source_id", "source_name", "source_kind", "document_kind", "proposal_status", "score"]
+_OUT = [
+    "query_id", "title", "url", "section", "programming_language", "docs_locale", "source_id", "source_name", "source_kind",
+    "document_kind", "proposal_status", "score",
+]
 
 
-def search(requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True, plan: str = "auto", extra: tuple[str, ...] = (), scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(
+    requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True,
+    plan: str = "auto", extra: tuple[str, ...] = (), scope: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(results with place, facets). ``scope`` (query_id, source_id and optionally docs_locale) says what a query may see."""
 
-    def seen_by(pairs: DataFrame) -> DataFrame:
-        return pairs if scope is None else pairs.join(scope, scope.columns, "left_semi")
+    def scored(pairs: DataFrame) -> DataFrame:
+        seen = pairs if scope is None else pairs.join(scope, scope.columns, "left_semi")
+        return cut(score(seen).select(*_OUT, *extra, "limit", "catalog_pos", "pos"))
 
-    queries, hay = tokenized(requests, limit), prepared(records)
-    exact = score(seen_by(match_exact(queries, hay, plan)))
-    seen = dedupe_matches(exact)
-    kept = bounded_per_language(seen, collation)
+    queries, rows = tokenized(requests, limit), prepared(records)
+    exact = scored(match_exact(queries, rows, plan))
+    kept = cut(bounded_per_language(dedupe_matches(exact), collation))
     out = diversify(kept, collation).select(*_OUT, *extra, "place")
     found = exact
     if fuzzy:
-        wanted = fuzzy_gate(queries, kept)
-        near = score(seen_by(match_fuzzy(wanted, hay)))
-        fresh = dedupe_matches(near.join(seen.select("query_id", "url"), ["query_id", "url"], "left_anti"))
+        near = scored(match_fuzzy(cut(fuzzy_gate(queries, kept)), rows, plan))
+        fresh = dedupe_matches(near.join(exact.select("query_id", "url"), ["query_id", "url"], "left_anti"))
         taken = out.groupBy("query_id").agg(F.max("place").alias("_taken"))
-        rest = bounded_per_language(fresh, collation).join(taken, "query_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0))).withColumn("_left", F.col("limit") - F.col("_taken"))
-        more = diversify(rest, collation, "_left").withColumn("place", F.col("place") + F.col("_taken"))
-        out = out.unionByName(more.select(*_OUT, *extra, "place"))
-        found = exact.select("query_id", "source_id", "source_name", "programming_language", "catalog_pos", "pos").unionByName(near.select("query_id", "source_id", "source_name", "programming_language", "catalog_pos", "pos"))
+        rest = bounded_per_language(fresh, collation).join(taken, "query_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+        more = diversify(rest.withColumn("_left", F.col("limit") - F.col("_taken")), collation, "_left")
+        out = out.unionByName(more.withColumn("place", F.col("place") + F.col("_taken")).select(*_OUT, *extra, "place"))
+        found = exact.unionByName(near)
     return out, facets(found, collation)
 
 

@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfspark.operators import results as r
@@ -120,15 +118,22 @@ def test_search(spark, plan):
         assert sides.get(i, []) == sources, q
 
 
-word = st.text(alphabet="abcd", min_size=4, max_size=10)
-
-
-@settings(max_examples=200, deadline=None)
-@given(word, word)
-def test_distance(a, b):
-    for most in (1, 2):
-        want = osa(a, b)
-        assert s.osa_distance(a, b, most) == (want if want <= most else most + 1)
+def test_distance(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9)))
+    pairs = [(word(), word()) for _ in range(400)]
+    for _ in range(2500):
+        a = b = word()
+        for _ in range(rng.randint(0, 3)):
+            k, kind = rng.randint(0, len(b)), rng.randint(0, 3)
+            b = [b[:k] + rng.choice("abcd") + b[k:], b[:k] + b[k + 1 :], b[:k] + rng.choice("abcd") + b[k + 1 :], b[:k] + b[k + 1 : k + 2] + b[k : k + 1] + b[k + 2 :]][kind]
+        pairs.append((a, b))
+    pairs += [("ca", "abc"), ("abc", "ca"), ("abcd", "badc"), ("ab", "ba"), ("a", ""), ("", "")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", *(s.osa_distance(F.col("a"), F.col("b"), most).alias(f"d{most}") for most in (1, 2))).collect()
+    for x in got:
+        want = osa(x.a, x.b)
+        assert (x.d1, x.d2) == (want if want <= 1 else None, want if want <= 2 else None), (x.a, x.b)
 
 
 def test_close_words_are_complete(spark):
@@ -165,7 +170,23 @@ def test_grouping(spark):
     assert got == {1: (1, 1), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (7, 1), 8: (7, 2), 9: (9, 1)}
 
 
-def test_blocked_plan_has_no_cartesian_product(spark):
-    q = s.tokenized(spark.createDataFrame([(1, "sorted map", 3)], "query_id int, query string, limit int"))
-    pairs = s.match_exact(q, s.prepared(spark.createDataFrame(library(2), SCHEMA)), "trigrams").where(F.length("q") > 0)
-    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+def test_symbol_keys(spark):
+    cases = {"std :: sort ( )": "std::sort", " a.b": "a.b", "a . b()": "a.b", "A#b": "A#b", "go to  x()": "go to x", "x)": None, "plain title": None, "3. item": None, "f(x)": None, "()": None, "ns::f(x)": "ns::f(x)", "é.ü": "é.ü", None: None}
+    got = spark.createDataFrame([(x,) for x in cases], "t string").select("t", r.symbol_key(F.col("t")).alias("k")).collect()
+    assert {x.t: x.k for x in got} == cases
+
+
+@pytest.mark.parametrize("match", [s.match_exact, s.match_fuzzy])
+def test_blocked_plan_compares_no_all_pairs(spark, match):
+    q = s.tokenized(spark.createDataFrame([(1, "sorted map", 3), (2, "x", 3)], "query_id int, query string, limit int"))
+    pairs = match(q, s.prepared(spark.createDataFrame(library(2), SCHEMA)), "trigrams").where(F.length("q") > 0)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_short_queries_and_repeated_rows_by_trigrams(spark):
+    records = library(5) + library(5)
+    q = s.tokenized(spark.createDataFrame([(1, "o", 3), (2, "ma", 3), (3, "o rt", 3), (4, "sort o", 3)], "query_id int, query string, limit int"))
+    rows = s.prepared(spark.createDataFrame(records, SCHEMA).repartition(3))
+    got = [sorted((x.query_id, x.title, x.pos) for x in s.match_exact(q, rows, plan).collect()) for plan in ("broadcast", "trigrams")]
+    assert got[0] == got[1] and len(got[0]) > 100
