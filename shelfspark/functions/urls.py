@@ -44,8 +44,23 @@ def resolve(base: str | None, href: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def url_resolve(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None else resolve(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+
+
+_ORIGIN = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*(?=[/?#]|$)"
+_SAFE = r"[\p{L}\p{N}_~!$&'()*+,=@%.:-]"
+_PLAIN = rf"(?:/{_SAFE}+)*/?(?:\?{_SAFE}+)?(?:#{_SAFE}+)?$"
+
+
+def url_resolve(base: Column, href: Column) -> Column:
+    """An absolute http(s) URL of a reference, or null. Root-relative and absolute references without dots to resolve, and of
+    plain characters, stay in the JVM."""
+    dots = F.rlike(href, F.lit(r"/\.{1,2}(?:[/?#]|$)"))
+    rooted = F.rlike(href, F.lit("^(?=/)" + _PLAIN)) & F.rlike(base, F.lit(_ORIGIN)) & ~dots
+    absolute = F.rlike(href, F.lit(_ORIGIN + "(?=/)" + _PLAIN)) & ~dots
+    other = ~F.coalesce(rooted, F.lit(False)) & ~F.coalesce(absolute, F.lit(False))
+    return F.when(rooted, F.concat(F.regexp_extract(base, _ORIGIN, 0), href)).when(absolute, href).otherwise(_resolved(base, F.when(other, href)))
 
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -139,6 +154,6 @@ def restore_path_case(path: Column, name: Column) -> Column:
 
 
 def canonical_urls(records: DataFrame, moved: DataFrame) -> DataFrame:
-    """Known moved URLs (old, new) are replaced. The list is a catalog table, so it is broadcast."""
-    names = moved.select(F.col("old").alias("_old"), F.col("new").alias("_new")).dropDuplicates(["_old"])
-    return records.join(F.broadcast(names), F.col("url") == F.col("_old"), "left").withColumn("url", F.coalesce("_new", "url")).drop("_old", "_new")
+    """Known moved URLs (old, new) are replaced; of an old one with several new ones, the first in order counts."""
+    names = moved.groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
+    return records.join(names, F.col("url") == F.col("_old"), "left").withColumn("url", F.coalesce("_new", "url")).drop("_old", "_new")

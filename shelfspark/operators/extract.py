@@ -22,17 +22,37 @@ from ..functions.urls import fragment_encoded, humanize_slug, path_segments, per
 _LINK = "pos int, href string, text string"
 
 
+#: Documents whose rows leave a Python worker together.
+TOGETHER = 64
+
+# What the formats write. Locations of a sitemap; items of a feed; identifiers of papers; release numbers;
+# stage headings of a proposals list; reference definitions of Markdown.
+SITEMAP_LOCATION = r"(?i)<loc>\s*([^<]+?)\s*</loc>"
+FEED_ITEM = r"(?is)<item\b[^>]*>(.*?)</item>"
+PAPER_IDENTIFIER = r"^P\d{4}R\d+$"
+RELEASE = r"^\d+\.\d+\.\d+$"
+STAGE_HEADING = r"(?i)^###\s+Stage\s+([0-9.]+)"
+DEFINITION = r"^\s*\[([^\]]+)\]:\s*(\S+)"
+
+
 def _mapped(df: DataFrame, run: Callable[[str | None], list[dict]], schema: str, columns: Iterable[str] = ("doc_id", "url")) -> DataFrame:
-    """One row for each item that ``run`` finds in a body, with the document's columns. Rows leave as they are found, so memory
-    holds one batch of bodies."""
+    """One row for each item that ``run`` finds in a body, with the document's columns. Rows leave for some documents at a
+    time, so memory holds one batch of bodies and the rows of these."""
     keep = [c for c in columns if c in df.columns]
     fields = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for row in part.itertuples(index=False):
-                if found := run(row[-1]):
-                    yield pd.DataFrame({**{c: [row[i]] * len(found) for i, c in enumerate(keep)}, **{f: [x.get(f) for x in found] for f in fields}})
+            for at in range(0, len(part), TOGETHER):
+                out: dict[str, list] = {c: [] for c in [*keep, *fields]}
+                for row in part.iloc[at : at + TOGETHER].itertuples(index=False):
+                    found = run(row[-1])
+                    for i, c in enumerate(keep):
+                        out[c] += [row[i]] * len(found)
+                    for f in fields:
+                        out[f] += [x.get(f) for x in found]
+                if out[fields[0]]:
+                    yield pd.DataFrame(out)
 
     held = df.select(*keep, "body")
     return held.mapInPandas(batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]), schema]))
@@ -79,6 +99,16 @@ def discover_partitions(links: DataFrame, pattern: str) -> DataFrame:
     return rows.select(F.regexp_replace("link", r"[?#].*$", "").alias("link")).distinct().orderBy("link")
 
 
+def discover_script(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
+    """(doc_id, link, sound) of the first script of a page whose file name matches; ``sound`` is whether the page has one and it
+    is under ``scope``, the page's own URL unless given."""
+    sources = F.concat(F.regexp_extract_all("body", F.lit(r'(?i)\bsrc="([^"]*)"'), F.lit(1)), F.regexp_extract_all("body", F.lit(r"(?i)\bsrc='([^']*)'"), F.lit(1)))
+    first = F.get(F.filter(sources, lambda x: F.rlike(F.substring_index(x, "/", -1), F.lit(name))), F.lit(0))
+    under = F.col("url") if scope is None else F.lit(scope)
+    found = df.select("doc_id", under.alias("under"), F.when(first.isNotNull(), url_resolve(F.col("url"), first)).alias("link"))
+    return found.select("doc_id", "link", F.coalesce(F.startswith("link", "under"), F.lit(False)).alias("sound"))
+
+
 def subtree_links(df: DataFrame, marker: str) -> DataFrame:
     return _mapped(df, lambda body: h.subtree_links(body, marker), _LINK)
 
@@ -90,11 +120,18 @@ def toc_parts(df: DataFrame, list_class: str, part_class: str) -> DataFrame:
 # Headings, clauses, tables ---------------------------------------------------------------------------------------
 
 
+def _headings_with_section(body: str | None) -> list[dict]:
+    section, out = None, []
+    for x in h.headings(body):
+        section = x["text"] if x["level"] == 1 else section
+        out.append({**x, "section": section})
+    return out
+
+
 def extract_html_headings(df: DataFrame) -> DataFrame:
     """(doc_id, url, pos, level, id, text, section, link): headings with an id; section is the latest level-1 text up to it."""
-    rows = _mapped(df, h.headings, "pos int, level int, id string, text string")
-    upto = w.Window.partitionBy("doc_id", "url").orderBy("pos")
-    return rows.withColumn("section", F.last(F.when(F.col("level") == 1, F.col("text")), ignorenulls=True).over(upto)).withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
+    rows = _mapped(df, _headings_with_section, "pos int, level int, id string, text string, section string")
+    return rows.withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
 
 
 def extract_clauses(df: DataFrame, tags: tuple[str, ...] = ("emu-intro", "emu-clause", "emu-annex")) -> DataFrame:
@@ -107,7 +144,7 @@ def extract_table_rows(df: DataFrame, min_cells: int = 8) -> DataFrame:
     return _mapped(df, lambda body: h.table_rows(body, min_cells), "pos int, cells array<struct<text:string,href:string,spans:array<string>>>")
 
 
-def paper_rows(rows: DataFrame, identifier: str = r"^P\d{4}R\d+$") -> DataFrame:
+def paper_rows(rows: DataFrame, identifier: str = PAPER_IDENTIFIER) -> DataFrame:
     """Typed columns of table rows: identifier, title, author, date, group, status, link."""
     cell = lambda i: F.get("cells", F.lit(i))
     name = F.upper(cell(0)["text"])
@@ -119,7 +156,7 @@ def paper_rows(rows: DataFrame, identifier: str = r"^P\d{4}R\d+$") -> DataFrame:
 
 def extract_sitemap(df: DataFrame, prefixes: Iterable[str], fallback_title: str = "Documentation") -> DataFrame:
     """(doc_id, pos, link, title) of the locations under the prefixes; the title comes from the slug."""
-    found = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("pos", "raw"))
+    found = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(SITEMAP_LOCATION), F.lit(1))).alias("pos", "raw"))
     rows = found.select("doc_id", "pos", decode_entities(F.col("raw")).alias("link"))
     inside = F.lit(False)
     for p in prefixes:
@@ -129,7 +166,7 @@ def extract_sitemap(df: DataFrame, prefixes: Iterable[str], fallback_title: str
 
 def extract_rss(df: DataFrame, prefix: str = "") -> DataFrame:
     """(doc_id, pos, title, link) of a feed's items with a title and a link under the prefix."""
-    items = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("pos", "item"))
+    items = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(FEED_ITEM), F.lit(1))).alias("pos", "item"))
     text = lambda tag: collapse(decode_entities(F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), numeric=True, cdata=True))
     return items.select("doc_id", "pos", text("title").alias("title"), text("link").alias("link")).where((F.col("title") != "") & (F.col("link") != "") & F.startswith("link", F.lit(prefix)))
 
@@ -153,39 +190,81 @@ def unwrapped(c: Column) -> Column:
     return F.when(start > 0, F.substring(c, start, end - start + 1))
 
 
-def flatten_toc(df: DataFrame, children: str = "children", title: str = "title", path: str = "path", marker: str = "groupMarker", roots: str | None = None) -> DataFrame:
-    """(doc_id, url, pos, title, path, section) of a nested JSON table of contents of any depth. Section is the latest group
-    marker among the siblings, else the nearest titled ancestor."""
+def _outline(body: str | None) -> list[dict]:
+    """The YAML of a table of contents: lists of entries, each with plain ``key: value`` lines, nested by indentation."""
+    top: list[dict] = []
+    open_lists: list[tuple[int, list[dict]]] = []  # with the column of their dashes
+    entry, below = None, top  # the entry that lines go to, and the list that a deeper dash starts
+    for raw in (body or "").splitlines():
+        line = raw.split(" #")[0].rstrip()
+        column, text = len(line) - len(line.lstrip()), line.lstrip()
+        if not text or text.startswith(("#", "---")):
+            continue
+        if text.startswith("- "):
+            while open_lists and open_lists[-1][0] > column:
+                open_lists.pop()
+            if not open_lists or open_lists[-1][0] < column:
+                if below is None:
+                    continue
+                open_lists.append((column, below))
+            entry, below, text = {}, None, text[2:].lstrip()
+            open_lists[-1][1].append(entry)
+        name, mark, value = text.partition(":")
+        value = value.strip()
+        if mark and entry is not None:
+            if value:
+                entry[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
+            else:
+                below = entry[name.strip()] = []
+    return top
+
+
+def _tree(body: str | None, form: str):
+    try:
+        return _outline(body) if form == "yaml" else json.loads(body or "null")
+    except ValueError:
+        return None
+
+
+def flatten_toc(
+    df: DataFrame, children: str = "children", title: str = "title", path: str = "path", marker: str = "groupMarker",
+    roots: str | None = None, form: str = "json",
+) -> DataFrame:
+    """(doc_id, url, pos, title, path, section) of a nested table of contents of any depth, JSON or the YAML of outlines. Section
+    is the latest group marker among the siblings, else the nearest titled ancestor. What can't be read has no rows."""
 
     def walk(body: str | None) -> list[dict]:
-        try:
-            tree = json.loads(body or "null")
-        except ValueError:
-            return []
+        tree = _tree(body, form)
         top = tree.get(roots) if roots and isinstance(tree, dict) else tree
         if isinstance(top, dict):
             top = [x for v in top.values() for x in (v if isinstance(v, list) else [v])] if roots else [top]
         out: list[dict] = []
-        stack = [(iter(top or []), None)]
+        stack = [(iter(top or []), None, None)]
         while stack:
-            items, section = stack.pop()
+            items, group, ancestor = stack.pop()
             for item in items:
                 if not isinstance(item, dict):
                     continue
                 name = str(item.get(title) or "").strip()
                 if item.get("type") == marker and name:
-                    section = name
+                    group = name
                 elif name and isinstance(item.get(path), str):
-                    out.append({"pos": len(out), "title": name, "path": item[path], "section": section})
+                    out.append({"pos": len(out), "title": name, "path": item[path], "section": group or ancestor})
                 if below := item.get(children):
-                    stack.append((items, section))
-                    stack.append((iter(below), section if section or not name else name))
+                    stack.append((items, group, ancestor))
+                    stack.append((iter(below), group, name or ancestor))
                     break
         return out
 
     return _mapped(df, walk, "pos int, title string, path string, section string")
 
 
+def locale_prefixed(path: Column, locale: str) -> Column:
+    """A root-relative path under its locale's folder; others, and those that are there already, stay."""
+    inside = F.startswith(path, F.lit(f"/{locale}/"))
+    return F.when(F.startswith(path, F.lit("/")) & ~inside, F.concat(F.lit(f"/{locale}"), path)).otherwise(path)
+
+
 def localized_share(rows: DataFrame, pattern: str = r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]") -> DataFrame:
     """(doc_id, share) of titles in the locale's script; a table of contents counts as localized from one half."""
     return rows.groupBy("doc_id").agg(F.avg(F.rlike("title", F.lit(pattern)).cast("int")).alias("share"))
@@ -242,7 +321,7 @@ def json_entry_records(df: DataFrame, entry: str, title: Callable[[Column], Colu
     return rows.where(ok & accept(F.col("x")) if accept else ok).drop("x")
 
 
-def latest_version_records(df: DataFrame, pattern: str = r"^\d+\.\d+\.\d+$") -> DataFrame:
+def latest_version_records(df: DataFrame, pattern: str = RELEASE) -> DataFrame:
     """(doc_id, name, version): the last of each name's versions, where it is a plain release."""
     rows = df.select("doc_id", F.explode(F.from_json("body", "map<string,array<string>>")).alias("name", "versions"))
     return rows.select("doc_id", "name", F.try_element_at("versions", F.lit(-1)).alias("version")).where(F.rlike("version", F.lit(pattern)))
@@ -256,59 +335,82 @@ def json_path_lists(df: DataFrame, pattern: str = r"^[A-Za-z0-9._/-]+$") -> Data
 
 
 # Markdown --------------------------------------------------------------------------------------------------------
+# A document is one row, so what its lines say about later lines is found in the array of its lines, without a shuffle.
 
 
-def _lines(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", F.posexplode(F.split("body", r"\r?\n")).alias("pos", "line"))
+def _marked_lines(df: DataFrame, row: Callable[[Column], Column], **marks: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, pos, line, and of each mark the latest value up to the line, or null) of the lines that ``row`` accepts. A mark
+    gives a line's value, or null."""
+    lines = F.transform(F.split("body", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    rows = df.select("doc_id", lines.alias("lines"))
+    at = lambda mark: F.filter(F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), mark(x["line"]).alias("value"))), lambda x: x["value"].isNotNull())
+    found = rows.select("doc_id", *(at(mark).alias(name) for name, mark in marks.items()), F.explode(F.filter("lines", lambda x: row(x["line"]))).alias("x"))
+    latest = [F.try_element_at(F.filter(name, lambda m: m["pos"] <= F.col("x.pos")), F.lit(-1))["value"].alias(name) for name in marks]
+    return found.select("doc_id", "x.pos", "x.line", *latest)
 
 
-def _running(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(w.Window.partitionBy("doc_id").orderBy("pos"))
+def _title_of(pattern: str, group: int = 1) -> Callable[[Column], Column]:
+    return lambda line: F.when(F.rlike(line, F.lit(pattern)), plain_markdown(F.regexp_extract(line, pattern, group)))
 
 
 def markdown_links(df: DataFrame) -> DataFrame:
-    """(doc_id, pos, depth, title, href, section) of list items that are links; section is the latest ``#`` heading."""
-    heading = F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*?)\s*#*\s*$", 1), F.lit(""))
-    link = r"^(\s*)[-*+]\s+\[([^\]]+)\]\(([^)\s]+)[^)]*\)"
-    rows = _lines(df).withColumn("section", _running(plain_markdown(heading))).withColumn("href", F.regexp_extract("line", link, 3)).where("href <> ''")
-    return rows.select("doc_id", "pos", F.length(F.regexp_extract("line", link, 1)).alias("depth"), plain_markdown(F.regexp_extract("line", link, 2)).alias("title"), "href", "section")
+    """(doc_id, pos, depth, title, href, section) of lines that begin with a list mark and a link, or are nothing but a link;
+    section is the latest ``#`` heading."""
+    link = r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)"
+    item, alone = rf"^(\s*)[-*+]\s+{link}", rf"^(\s*){link}\s*$"
+    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(item)) | F.rlike(x, F.lit(alone)), section=_title_of(r"^#{1,6}\s+(.*?)\s*#*\s*$"))
+    of = lambda i: F.when(F.rlike("line", F.lit(item)), F.regexp_extract("line", item, i)).otherwise(F.regexp_extract("line", alone, i))
+    return rows.select("doc_id", "pos", F.length(of(1)).alias("depth"), plain_markdown(of(2)).alias("title"), of(3).alias("href"), F.nullif("section", F.lit("")).alias("section"))
+
+
+def markdown_inline_links(df: DataFrame, pattern: str = "") -> DataFrame:
+    """(doc_id, pos, title, href) of every link in running text whose target matches; pos counts links, images are none."""
+    link = r"(?<!!)\[([^\]\n]+)\]\(([^)\s]+)[^)\n]*\)"
+    both = F.arrays_zip(F.regexp_extract_all("body", F.lit(link), F.lit(1)).alias("title"), F.regexp_extract_all("body", F.lit(link), F.lit(2)).alias("href"))
+    rows = df.select("doc_id", F.posexplode(both).alias("pos", "x")).where(F.rlike("x.href", F.lit(pattern)))
+    return rows.select("doc_id", "pos", plain_markdown(F.col("x.title")).alias("title"), "x.href")
 
 
 def markdown_anchored_headings(df: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, anchor, section): ``# <a name=...></a> title`` lines; section is the latest level-1 title."""
     pattern = r"""^(#{1,6})\s*<a\s+(?:name|id)=["']?([^"'>\s]+)["']?\s*>\s*</a>\s*(.*?)\s*#*\s*$"""
-    rows = _lines(df).withColumn("level", F.length(F.regexp_extract("line", pattern, 1))).where("level > 0")
-    rows = rows.select("doc_id", "pos", "level", plain_markdown(F.regexp_extract("line", pattern, 3)).alias("title"), F.regexp_extract("line", pattern, 2).alias("anchor"))
-    return rows.withColumn("section", _running(F.when(F.col("level") == 1, F.col("title"))))
+    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(pattern)), section=_title_of(pattern.replace("{1,6}", "{1}(?!#)"), 3))
+    level = F.length(F.regexp_extract("line", pattern, 1))
+    return rows.select("doc_id", "pos", level.alias("level"), plain_markdown(F.regexp_extract("line", pattern, 3)).alias("title"), F.regexp_extract("line", pattern, 2).alias("anchor"), "section")
 
 
 def zip_summary_with_sitemap(summary: DataFrame, sitemap: DataFrame) -> DataFrame:
     """(doc_id, title, link, section, sound): the i-th summary entry (doc_id, pos, depth, title) gets the (i+1)-th location
-    (doc_id, pos, link). ``sound`` is whether there is one location more than entries; section is the latest top title."""
-    place = w.Window.partitionBy("doc_id").orderBy("pos")
-    everything = w.Window.partitionBy("doc_id")
-    a = summary.withColumn("i", F.row_number().over(place)).withColumn("n", F.count("*").over(everything)).withColumn("section", _running(F.when(F.col("depth") == 0, F.col("title"))))
-    b = sitemap.withColumn("i", F.row_number().over(place) - 1).withColumn("m", F.count("*").over(everything)).select("doc_id", "i", "m", "link")
-    return a.join(b, ["doc_id", "i"], "left").select("doc_id", "title", "link", "section", F.coalesce(F.col("m") == F.col("n") + 1, F.lit(False)).alias("sound"))
+    (doc_id, pos, link). ``sound`` is whether there is one location more than entries; section is the latest top title. A
+    summary is one document's, so its entries meet in one place."""
+    of_doc = w.Window.partitionBy("doc_id")
+    place = of_doc.orderBy("pos")
+    top = F.last(F.when(F.col("depth") == 0, F.col("title")), ignorenulls=True).over(place)
+    a = summary.withColumns({"i": F.row_number().over(place), "n": F.count("*").over(of_doc), "section": top})
+    b = sitemap.withColumns({"i": F.row_number().over(place) - 1, "m": F.count("*").over(of_doc)}).select("doc_id", "i", "m", "link")
+    sound = F.coalesce(F.max("m").over(of_doc) == F.col("n") + 1, F.lit(False))
+    return a.join(b, ["doc_id", "i"], "left").select("doc_id", "title", "link", "section", sound.alias("sound"))
 
 
 def markdown_status_tables(df: DataFrame, default_status: str = "") -> DataFrame:
-    """(doc_id, pos, title, link, status) of pipe tables' rows. Status is the latest ``### Stage N`` or the default, with an
-    ``inactive`` reason from the last cell; reference links resolve through the document's definitions, the last of a label."""
-    lines = _lines(df)
-    label = r"^\s*\[([^\]]+)\]:\s*(\S+)"
-    definitions = lines.where(F.rlike("line", F.lit(label))).groupBy("doc_id", F.lower(F.regexp_extract("line", label, 1)).alias("label")).agg(F.max_by(F.regexp_extract("line", label, 2), "pos").alias("target"))
-    stage = F.regexp_extract("line", r"(?i)^###\s+Stage\s+([0-9.]+)", 1)
-    rows = lines.withColumn("status", F.coalesce(_running(F.when(stage != "", F.concat(F.lit("stage-"), stage))), F.lit(default_status)))
-    rows = rows.where(F.rlike("line", F.lit(r"^\s*\|.*\|\s*$")) & ~F.rlike("line", F.lit(r"^\s*\|[\s:|-]+\|\s*$")))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), F.trim)
-    rows = rows.withColumn("cells", cells).withColumn("first", F.get("cells", F.lit(0)))
-    rows = rows.withColumn("direct", F.regexp_extract("first", r"\[[^\]]*\]\(([^)\s]+)", 1)).withColumn("label", F.lower(F.coalesce(F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\[([^\]]+)\]", 1), F.lit("")), F.regexp_extract("first", r"\[([^\]]+)\]", 1))))
-    met = rows.where(F.contains("first", F.lit("["))).join(definitions, ["doc_id", "label"], "left")
-    link = F.coalesce(F.nullif("direct", F.lit("")), "target", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("pos").cast("string")))
+    """(doc_id, pos, title, link, status) of pipe tables' rows. Status is the latest stage heading or the default, with an
+    ``inactive`` reason from the last cell; reference links resolve through the document's definitions, the last of a label,
+    and a link without any is the document and line."""
+    lines = F.split("body", r"\r?\n")
+    defined = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(DEFINITION))), lambda x: F.struct(F.lower(F.regexp_extract(x, DEFINITION, 1)).alias("label"), F.regexp_extract(x, DEFINITION, 2).alias("target")))
+    table = lambda x: F.rlike(x, F.lit(r"^\s*\|.*\|\s*$")) & ~F.rlike(x, F.lit(r"^\s*\|[\s:|-]+\|\s*$"))
+    stage = lambda x: F.when(F.rlike(x, F.lit(STAGE_HEADING)), F.concat(F.lit("stage-"), F.regexp_extract(x, STAGE_HEADING, 1)))
+    rows = _marked_lines(df.select(F.struct("doc_id", defined.alias("defined")).alias("doc_id"), "body"), table, status=stage)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
+    rows = rows.select("doc_id.doc_id", "doc_id.defined", "pos", F.coalesce("status", F.lit(default_status)).alias("status"), cells.alias("cells")).withColumn("first", F.get("cells", F.lit(0)))
+    direct = F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\(([^)\s]+)", 1), F.lit(""))
+    label = F.lower(F.coalesce(F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\[([^\]]+)\]", 1), F.lit("")), F.regexp_extract("first", r"\[([^\]]+)\]", 1)))
+    rows = rows.where(F.contains("first", F.lit("["))).withColumns({"direct": direct, "label": label})
+    target = F.try_element_at(F.filter("defined", lambda x: x["label"] == F.col("label")), F.lit(-1))["target"]
+    link = F.coalesce("direct", target, F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("pos").cast("string")))
     reason = plain_markdown(F.element_at("cells", -1))
     status = F.when((F.col("status") == "inactive") & (reason != ""), F.concat("status", F.lit(": "), reason)).otherwise(F.col("status"))
-    return met.select("doc_id", "pos", plain_markdown(F.col("first")).alias("title"), link.alias("link"), status.alias("status"))
+    return rows.select("doc_id", "pos", plain_markdown(F.col("first")).alias("title"), link.alias("link"), status.alias("status"))
 
 
 # Look-ups and gates ----------------------------------------------------------------------------------------------
