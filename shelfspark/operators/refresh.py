@@ -39,17 +39,19 @@ def select_jobs(jobs: DataFrame, sources: list[str] | None = None, excluded: lis
 
 
 def build_manifest(catalog: dict[str, DataFrame], bundles: DataFrame, provenance: DataFrame) -> DataFrame:
-    """One row for each catalog index, in catalog order. Sizes and hashes only where the index is supported and was built."""
+    """One row for each catalog index, in catalog order. Sizes and hashes only where the index is supported and was built. Brotli
+    sizes are those that ``bundles`` bring, if they do."""
     indexes, sources = catalog["source_indexes"], catalog["sources"].drop("catalog_pos", "source_pos")
-    built = bundles.withColumn("gzip_bytes", gzip_size("body")).drop("body").join(provenance, ["source_id", "docs_locale"], "left")
+    brotli = F.col("brotli_bytes").cast("long") if "brotli_bytes" in bundles.columns else F.lit(None).cast("long")
+    sizes = bundles.withColumns({"gzip_bytes": gzip_size("body"), "brotli_bytes": brotli}).drop("body")
+    built = sizes.join(provenance, ["source_id", "docs_locale"], "left")
     rows = indexes.join(F.broadcast(sources), "source_id").join(built, ["source_id", "docs_locale"], "left")
     ready = F.col("status") == "supported"
-    kept = ("path", "url_prefix", "record_count", "raw_bytes", "gzip_bytes", "output_sha256", "input_sha256", "retrieved_at")
-    rows = rows.select(
+    kept = ("path", "url_prefix", "record_count", "raw_bytes", "gzip_bytes", "brotli_bytes", "output_sha256", "input_sha256", "retrieved_at")
+    return rows.select(
         F.row_number().over(w.Window.orderBy("catalog_pos", "source_pos", "index_pos")).alias("manifest_pos"), "source_id", "source_name", "source_kind", "document_kind",
         F.col("language_id").alias("programming_language"), "docs_locale", "status", "reason", "qualification", "qualification_ja", *(F.when(ready, F.col(c)).alias(c) for c in kept),
     )
-    return rows.withColumn("brotli_bytes", F.lit(None).cast("long"))
 
 
 def runtime_projection(manifest: DataFrame) -> DataFrame:
@@ -81,6 +83,15 @@ def manifest_diff(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("sour
     return met.withColumn("fields", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), differing).otherwise(F.array().cast("array<string>"))).withColumn("change", change).where("change is not null").select(*keys, "change", "fields")
 
 
+def header_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(field) of the top-level fields of two manifests (schema_version, generator_version, catalog_sha256; a row each) that
+    differ. None is a build's precondition for reusing artifacts of the other."""
+    fields = ("schema_version", "generator_version", "catalog_sha256")
+    met = old.select(*(F.col(c).alias(f"old_{c}") for c in fields)).join(new.select(*fields), F.lit(True), "full")
+    differing = F.array_compact(F.array(*(F.when(~F.col(f"old_{c}").eqNullSafe(F.col(c)), F.lit(c)) for c in fields)))
+    return met.select(F.explode(differing).alias("field"))
+
+
 def artifact_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change) of (path, sha256): missing, changed, obsolete."""
     met = old.select("path", F.col("sha256").alias("o")).join(new.select("path", F.col("sha256").alias("n")), "path", "full")
@@ -118,10 +129,17 @@ def change_gates(previous: DataFrame, current: DataFrame, jobs: DataFrame | None
     return rows.select("source_id", "docs_locale", F.explode(F.array_compact(F.array(fewer, *resized))).alias("g")).select("source_id", "docs_locale", "g.*")
 
 
-def partial_refresh(selected: DataFrame, previous: DataFrame, fresh: DataFrame, artifacts: DataFrame, metadata: tuple[str, ...]) -> DataFrame:
+def partial_refresh(selected: DataFrame, previous: DataFrame, fresh: DataFrame, artifacts: DataFrame, metadata: tuple[str, ...], headers: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The next manifest when only ``selected`` (source_id, docs_locale) was built: those rows from ``fresh``, the others from
     ``previous`` if their metadata still equals the catalog's (as in ``fresh``) and their artifact (path, sha256, record_count,
-    raw_bytes) is sound. ``origin`` says which; ``fault`` why a row can't be reused."""
+    raw_bytes) is sound. ``origin`` says which; ``fault`` why a row can't be reused. With the ``headers`` of both manifests, a
+    difference between these is an error, and so is a selected index that is not supported."""
+    if headers is not None:
+        if changed := [r.field for r in header_diff(*headers).collect()]:
+            raise ValueError(f"nothing can be reused after changes of {', '.join(sorted(changed))}")
+        ready = fresh.where("status = 'supported'").select("source_id", "docs_locale")
+        if odd := selected.join(ready, ["source_id", "docs_locale"], "left_anti").take(5):
+            raise ValueError(f"not supported: {[tuple(r) for r in odd]}")
     key = ["source_id", "docs_locale"]
     built = fresh.join(selected.select(*key), key, "left_semi").withColumn("origin", F.lit("built")).withColumn("fault", F.lit(None).cast("string"))
     now = fresh.select(*key, F.struct(*metadata).alias("_now"))
@@ -150,7 +168,8 @@ def known_query_check(jobs: DataFrame, records: DataFrame) -> tuple[DataFrame, D
     """(hits, failures): for each job's known query the record to check, with that very title or else the first that has all
     its tokens; and the known queries that hit nothing in their index."""
     asked = jobs.select(F.col("source_id").alias("j_source"), F.col("docs_locale").alias("j_locale"), F.explode("known_queries").alias("query")).withColumn("query_id", F.concat_ws("\0", "j_source", "j_locale", "query")).distinct()
-    pairs = s.match_exact(s.tokenized(asked), s.prepared(records)).join(F.broadcast(asked), "query_id").where((F.col("source_id") == F.col("j_source")) & (F.col("docs_locale") == F.col("j_locale")))
+    queries = s.tokenized(asked).join(asked, "query_id")
+    pairs = s.match_exact(queries, s.prepared(records), same={"source_id": "j_source", "docs_locale": "j_locale"})
     best = F.min_by(F.struct("title", "url"), F.struct(F.when(F.col("t") == F.col("q"), 0).otherwise(1), F.col("pos")))
     hits = pairs.groupBy("j_source", "j_locale", "query").agg(best.alias("hit"))
     named = lambda df, *more: df.select(F.col("j_source").alias("source_id"), F.col("j_locale").alias("docs_locale"), "query", *more)

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_resolve
 
 BUNDLE = "schemaVersion int, sourceId string, docsLocale string, urlPrefix string, records array<array<string>>"
-SCHEMA_VERSION = 2
+SCHEMA_VERSION, GENERATOR_VERSION = 2, 1
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each bundle file: its fields in snake case and path."""
-    raw = spark.read.schema(BUNDLE).json(path, multiLine=True)
-    return raw.select(F.col("schemaVersion").alias("schema_version"), F.col("sourceId").alias("source_id"), F.col("docsLocale").alias("docs_locale"), F.col("urlPrefix").alias("url_prefix"), "records", F.col("_metadata.file_name").alias("path"))
+    """One row for each bundle file: its fields in snake case and path, the file's name, or its folder's where publish_bundles()
+    wrote it."""
+    raw = spark.read.schema(BUNDLE + ", path string").json(path, multiLine=True)
+    name = F.coalesce("path", F.col("_metadata.file_name"))
+    return raw.select(F.col("schemaVersion").alias("schema_version"), F.col("sourceId").alias("source_id"), F.col("docsLocale").alias("docs_locale"), F.col("urlPrefix").alias("url_prefix"), "records", name.alias("path"))
 
 
 def explode_records(bundles: DataFrame) -> DataFrame:
@@ -66,4 +68,23 @@ def publish_records(records: DataFrame, path: str) -> None:
 
 
 def publish_bundles(bundles: DataFrame, path: str) -> None:
-    bundles.select("path", "body").write.mode("overwrite").parquet(path)
+    """One JSON file for each bundle, in a folder of its name. Spark's commit puts all of them in place at once."""
+    bundles.select("path", F.rtrim("body").alias("body")).write.mode("overwrite").partitionBy("path").text(path)
+
+
+def publish_manifest(manifest: DataFrame, path: str, catalog_sha256: str, schema_version: int = SCHEMA_VERSION, generator_version: int = GENERATOR_VERSION) -> None:
+    """One JSON document: versions, the catalog's hash, and the rows as entries in their order. A manifest has a row for each
+    index of the catalog, some hundreds."""
+    fields = [c for c in manifest.columns if c != "manifest_pos"]
+    entries = F.array_sort(F.collect_list(F.struct("manifest_pos", F.struct(*fields).alias("entry"))))
+    whole = manifest.agg(F.transform(entries, lambda x: x["entry"]).alias("entries"))
+    head = F.struct(F.lit(schema_version).alias("schemaVersion"), F.lit(generator_version).alias("generatorVersion"), F.lit(catalog_sha256).alias("catalogSha256"), "entries")
+    whole.select(F.to_json(head).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, entry: str) -> tuple[DataFrame, DataFrame]:
+    """(header, entries) of a published manifest; ``entry`` is the schema of its entries."""
+    raw = spark.read.schema(f"schemaVersion int, generatorVersion int, catalogSha256 string, entries array<struct<{entry}>>").json(path, multiLine=True)
+    header = raw.select(F.col("schemaVersion").alias("schema_version"), F.col("generatorVersion").alias("generator_version"), F.col("catalogSha256").alias("catalog_sha256"))
+    rows = raw.select(F.posexplode("entries").alias("pos", "entry"))
+    return header, rows.select((F.col("pos") + 1).alias("manifest_pos"), "entry.*")
