@@ -36,19 +36,22 @@ records AS (SELECT title, url, split_part(host, '.', 1) AS section, lang AS prog
 
 
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search records of ``documents``: the first line's start as title, language and source as given."""
-    first = F.regexp_extract("text", r"^\s*([^.\n]{1,90})", 1)
-    return table(spark, sf_dir, "documents").select(
-        F.trim(first).alias("title"), F.concat(F.lit("https://docs.example/"), "lang", F.lit("/"), "source", F.lit("/"), (F.col("doc_id") % 400).cast("string")).alias("url"), F.col("source").alias("section"),
-        F.col("lang").alias("programming_language"), F.col("lang").alias("docs_locale"), F.col("source").alias("source_id"), F.upper("source").alias("source_name"), F.when(F.col("source").isin("src1", "src2"), "official").otherwise("conventional").alias("source_kind"),
-        F.lit("reference").alias("document_kind"), F.lit(None).cast("string").alias("proposal_status"), F.substring("source", 4, 4).try_cast("int").alias("catalog_pos"), F.col("doc_id").alias("pos"),
+    """Search records of ``documents``: every sentence of every text is a title, language and source as given."""
+    sentences = F.filter(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(sentences).alias("n", "title"))
+    return rows.select(
+        "title", F.concat(F.lit("https://docs.example/"), "lang", F.lit("/"), "source", F.lit("/"), (F.col("doc_id") % 400).cast("string")).alias("url"), F.col("source").alias("section"),
+        F.col("lang").alias("programming_language"), F.col("lang").alias("docs_locale"), F.col("source").alias("source_id"), F.upper("source").alias("source_name"),
+        F.when(F.col("source").isin("src1", "src2"), "official").otherwise("conventional").alias("source_kind"),
+        F.lit("reference").alias("document_kind"), F.lit(None).cast("string").alias("proposal_status"), F.substring("source", 4, 4).try_cast("int").alias("catalog_pos"), (F.col("doc_id") * 1_000_000 + F.col("n")).alias("pos"),
     )
 
 
 DOCUMENT_RECORDS = r"""
-records AS (SELECT trim(regexp_extract(text, '^\s*([^.\n]{1,90})', 1)) AS title, 'https://docs.example/' || lang || '/' || source || '/' || (doc_id % 400) AS url, source AS section, lang AS programming_language, lang AS docs_locale,
+sentences AS (SELECT doc_id, lang, source, unnest(x) AS title, unnest(range(len(x))) AS n FROM (SELECT *, list_filter(list_transform(string_split_regex(text, '[.\n]'), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents)),
+records AS (SELECT title, 'https://docs.example/' || lang || '/' || source || '/' || (doc_id % 400) AS url, source AS section, lang AS programming_language, lang AS docs_locale,
   source AS source_id, upper(source) AS source_name, CASE WHEN source IN ('src1', 'src2') THEN 'official' ELSE 'conventional' END AS source_kind, 'reference' AS document_kind, NULL::VARCHAR AS proposal_status,
-  try_cast(substr(source, 4, 4) AS INT) AS catalog_pos, doc_id AS pos FROM documents)"""
+  try_cast(substr(source, 4, 4) AS INT) AS catalog_pos, doc_id * 1000000 + n AS pos FROM sentences)"""
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,25 @@ def normal_sql(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(nfc_normalize({c})), '[_-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def osa_sql(a: str, b: str) -> str:
+    """Whether two strings are within one edit or, from eight characters of the first on, two: DuckDB's distance also counts an
+    insertion between swapped neighbours, which is a third edit here, so a swap with an insertion or deletion is looked at."""
+    apart = f"len(list_filter(range(1, length({a})), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j >= 1 AND substr({b}, j, 1) = substr({a}, i + 1, 1) AND substr({b}, j + 1, 1) = substr({a}, i, 1) AND levenshtein(substr({a}, 1, i - 1), substr({b}, 1, j - 1)) + levenshtein(substr({a}, i + 2), substr({b}, j + 2)) <= 1)) > 0)) > 0"
+    return f"CASE WHEN damerau_levenshtein({a}, {b}) < 2 THEN damerau_levenshtein({a}, {b}) WHEN damerau_levenshtein({a}, {b}) = 2 AND length({a}) >= 8 AND (levenshtein({a}, {b}) = 2 OR length({a}) = length({b}) OR {apart}) THEN 2 END"
+
+
+def one_byte_sql(c: str) -> str:
+    """DuckDB's distances count bytes; lower-case words have no capitals, so these stand for the letters of more bytes."""
+    return f"translate({c}, 'àâäáçéèêëíîïñóôöœßúùûüÿ', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+#: From tokens (token) and words (word): close pairs by comparing all of the right lengths.
+CLOSE = rf"""
+close0 AS (SELECT token, word, {one_byte_sql("token")} AS a, {one_byte_sql("word")} AS b FROM (SELECT DISTINCT token FROM tokens) JOIN (SELECT DISTINCT word FROM words) ON abs(length(word) - length(token)) <= CASE WHEN length(token) >= 8 THEN 2 ELSE 1 END AND (length(token) >= 7 OR length(word) = length(token))
+  WHERE length(token) >= 4 AND length(word) >= 4 AND regexp_full_match(token, '[\p{{L}}\p{{N}}]+') AND regexp_full_match(word, '[\p{{L}}\p{{N}}]+') AND damerau_levenshtein({one_byte_sql("token")}, {one_byte_sql("word")}) <= 2),
+close AS (SELECT * FROM (SELECT token, word, {osa_sql("a", "b")} AS distance FROM close0) WHERE distance IS NOT NULL)"""
+
+
 #: From records and requests: all scored exact matches, with normalised columns.
 SCORED = rf"""
 queries AS (SELECT *, list_distinct(string_split(q, ' ')) AS toks FROM (SELECT query_id, {normal_sql("query")} AS q, "limit" FROM requests) WHERE q <> ''),

@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import window as w
 
 from ..operators import records as rec
 from ..operators import refresh as ref
 from ..operators import scope as sc
+from ..operators import search as s
+from ..shared import cut, shared_folder
 from ..sources import bundles as bun
 from ..sources import catalog as cat
 from . import base as b
 
 
 def _titled(spark, d):
-    """Records with ambiguous titles: the first word of each document."""
-    return b.table(spark, d, "documents").select(F.coalesce(F.regexp_extract("text", r"^\s*(\S+)", 1), F.lit("")).alias("title"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("section"), F.concat(F.lit("https://d.example/"), "lang", F.lit("/s-"), (F.col("doc_id") % 10).cast("string"), F.lit("/p")).alias("url"), F.col("lang").alias("docs_locale"), F.lit("docs").alias("source_id"), F.col("doc_id").alias("pos"))
+    """Records with ambiguous titles: every line of every document."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = b.table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(lines).alias("n", "title"))
+    url = F.concat(F.lit("https://d.example/"), "lang", F.lit("/s-"), (F.col("doc_id") % 10).cast("string"), F.lit("/p"))
+    return rows.select("title", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("section"), url.alias("url"), F.col("lang").alias("docs_locale"), F.lit("docs").alias("source_id"), (F.col("doc_id") * 1_000_000 + F.col("n")).alias("pos"))
 
 
-_TITLED = r"""recs AS (SELECT regexp_extract(text, '^\s*(\S+)', 1) AS title, CASE WHEN doc_id % 3 = 0 THEN source END AS section, lang AS docs_locale, doc_id AS pos, 's ' || (doc_id % 10) AS parent FROM documents)"""
+_TITLED = r"""recs AS (SELECT title, CASE WHEN doc_id % 3 = 0 THEN source END AS section, lang AS docs_locale, doc_id * 1000000 + n AS pos, 's ' || (doc_id % 10) AS parent
+ FROM (SELECT doc_id, lang, source, unnest(x) AS title, unnest(range(len(x))) AS n FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents)))"""
 
 
 def qualify_titles(spark, d):
-    return rec.qualify_titles(_titled(spark, d)).select("pos", "title")
+    return rec.qualify_titles(_titled(spark, d)).select("pos", F.sha2("title", 256).alias("title_sha256"))
 
 
 QUALIFIED = rf"""WITH {_TITLED}, c AS (SELECT *, lower(trim(title)) AS k, CASE WHEN title = '' THEN NULL WHEN section IS NOT NULL AND NOT contains(lower(title), lower(section)) THEN title || ' — ' || section ELSE title || ' — ' || parent END AS ctx FROM recs),
 g AS (SELECT *, count(*) OVER w AS n, min(coalesce(ctx, title)) OVER w <> max(coalesce(ctx, title)) OVER w AS apart FROM c WINDOW w AS (PARTITION BY docs_locale, k))
-SELECT pos, CASE WHEN n > 1 AND apart AND ctx IS NOT NULL THEN ctx ELSE title END AS title FROM g"""
+SELECT pos, sha256(CASE WHEN n > 1 AND apart AND ctx IS NOT NULL THEN ctx ELSE title END) AS title_sha256 FROM g"""
 
 
 def explicit_titles(spark, d):
@@ -98,6 +107,44 @@ def expand_bundles(spark, d):
 
 EXPANDED = f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, url, title, nullif(section, '') AS section, proposal_status, 'reference' AS document_kind, upper(source_id) AS source_name FROM records WHERE starts_with(url, 'https://') AND docs_locale <> 'fr'"
 
+
+
+def _bundle_manifest(packed):
+    """A manifest row for each bundle."""
+    return packed.select("source_id", "docs_locale", "path", "record_count", F.upper("source_id").alias("source_name"), F.lit("official").alias("source_kind"), F.lit(None).cast("string").alias("document_kind"), F.col("docs_locale").alias("programming_language"), F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"))
+
+
+def publish(spark, d):
+    """Bundles and their manifest published to the shared folder, read back, validated and expanded."""
+    records = b.page_records(spark, d)
+    jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
+    packed = cut(bun.pack_bundles(records.where("url like 'https://%'"), jobs))
+    folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    bun.publish_bundles(packed, f"{folder}/bundles")
+    manifest = _bundle_manifest(packed).withColumn("manifest_pos", F.row_number().over(w.Window.orderBy("path")))
+    bun.publish_manifest(manifest, f"{folder}/manifest", "c0ffee")
+    bundles = bun.read_bundles(spark, f"{folder}/bundles")
+    header, entries = bun.read_manifest(spark, f"{folder}/manifest", "source_id string, docs_locale string, path string, record_count bigint, source_name string, source_kind string, document_kind string, programming_language string, qualification string, qualification_ja string")
+    sound = bundles.join(bun.validate_bundles(bundles, entries).select("path"), "path", "left_anti")
+    rows = bun.expand_bundles(sound, entries).select("source_id", "docs_locale", "pos", "url", "title", "section", "proposal_status", "source_name")
+    return rows.crossJoin(F.broadcast(header.select("schema_version", "catalog_sha256")))  # the header is one row
+
+
+PUBLISHED = f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY pos) - 1 AS pos, url, title, nullif(section, '') AS section, proposal_status, upper(source_id) AS source_name, 2 AS schema_version, 'c0ffee' AS catalog_sha256 FROM records WHERE starts_with(url, 'https://')"
+
+
+def combined(spark, d):
+    """Records of pages' titles and of their menus as one index, the first of each URL."""
+    pages = b.page_records(spark, d).select("source_id", "docs_locale", "url", "title", "pos")
+    site = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), F.lit("/"))
+    hosts = pages.select("source_id", "docs_locale", site.alias("url"), F.lit("Home").alias("title"), "pos")
+    again = pages.where("pos % 3 = 0").select("source_id", "docs_locale", "url", F.lit("Again").alias("title"), "pos")
+    return rec.combine(hosts, pages, again).select("source_id", "docs_locale", "url", "title", "pos")
+
+
+COMBINED = f"""WITH {b.PAGE_RECORDS}, p AS (SELECT source_id, docs_locale, regexp_extract(url, '^https?://[^/?#]+') || '/' AS url, 'Home' AS title, pos, 0 AS part FROM records UNION ALL SELECT source_id, docs_locale, url, title, pos, 1 FROM records WHERE title <> '' UNION ALL SELECT source_id, docs_locale, url, 'Again', pos, 2 FROM records WHERE pos % 3 = 0)
+SELECT source_id, docs_locale, url, title, pos FROM p QUALIFY row_number() OVER (PARTITION BY source_id, docs_locale, url ORDER BY part, pos) = 1"""
+
 # Catalog and scope -----------------------------------------------------------------------------------------------
 
 
@@ -110,19 +157,20 @@ SELECT language_id, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WH
 
 
 def integrity(spark, d):
-    return cat.catalog_integrity(b.catalog(spark, d)).where("rule <> 'locales are not the indexes'").distinct()
+    return cat.catalog_integrity(b.catalog(spark, d)).distinct()
 
 
 INTEGRITY = f"""WITH {b.CATALOG} SELECT DISTINCT * FROM (SELECT 'no domain' AS rule, source_id AS id, '' AS detail FROM sources WHERE len(domains) = 0 UNION ALL SELECT 'one-sided qualification', source_id, '' FROM sources WHERE (qualification IS NULL) <> (qualification_ja IS NULL)
-UNION ALL SELECT 'repeated locale', source_id, docs_locale FROM indexes GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'missing reason', source_id, docs_locale FROM indexes WHERE status <> 'supported' AND reason IS NULL)"""
+UNION ALL SELECT 'repeated locale', source_id, docs_locale FROM indexes GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'missing reason', source_id, docs_locale FROM indexes WHERE status <> 'supported' AND reason IS NULL
+UNION ALL SELECT 'locales are not the indexes', source_id, coalesce(array_to_string(have, ','), '') FROM sources LEFT JOIN (SELECT source_id, list_sort(list(DISTINCT docs_locale)) AS have FROM indexes GROUP BY 1) USING (source_id) WHERE list_sort(site_locales) IS DISTINCT FROM coalesce(have, []))"""
 
 
 def job_match(spark, d):
-    jobs = b.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.lower(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("source_id"), F.element_at(F.array(*map(F.lit, ("en", "ja", "de", "fr"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("docs_locale")).where("source_id <> 'nation_1' and (source_id <> 'nation_2' or docs_locale = 'ja')")
+    jobs = b.table(spark, d, "customer").select(F.lower(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("source_id"), F.element_at(F.array(*map(F.lit, ("en", "ja", "de", "fr"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("docs_locale")).where("source_id <> 'nation_1' and (source_id <> 'nation_2' or docs_locale = 'ja')")
     return cat.job_catalog_match(jobs, b.catalog(spark, d)["source_indexes"])
 
 
-JOB_MATCH = f"""WITH {b.CATALOG}, jobs AS (SELECT 'nation_' || c_nationkey AS source_id, (['en', 'ja', 'de', 'fr'])[c_custkey % 4 + 1] AS docs_locale FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT source_id, docs_locale, count(*) AS n FROM jobs WHERE source_id <> 'nation_1' AND (source_id <> 'nation_2' OR docs_locale = 'ja') GROUP BY ALL), i AS (SELECT DISTINCT source_id, docs_locale, true AS ready FROM indexes WHERE status = 'supported')
+JOB_MATCH = f"""WITH {b.CATALOG}, jobs AS (SELECT 'nation_' || c_nationkey AS source_id, (['en', 'ja', 'de', 'fr'])[c_custkey % 4 + 1] AS docs_locale FROM customer), j AS (SELECT source_id, docs_locale, count(*) AS n FROM jobs WHERE source_id <> 'nation_1' AND (source_id <> 'nation_2' OR docs_locale = 'ja') GROUP BY ALL), i AS (SELECT DISTINCT source_id, docs_locale, true AS ready FROM indexes WHERE status = 'supported')
 SELECT source_id, docs_locale, CASE WHEN n IS NULL THEN 'no job' WHEN ready IS NULL THEN 'no index' WHEN n > 1 THEN 'repeated job' END AS fault FROM j FULL JOIN i USING (source_id, docs_locale) WHERE n IS NULL OR ready IS NULL OR n > 1"""
 
 
@@ -199,25 +247,26 @@ def manifest_rows(spark, d):
     provenance = ref.input_provenance(_fetches(spark, d)).select("source_id", "docs_locale", "input_sha256", F.lit("2024-01-01").alias("retrieved_at"))
     i = records.groupBy("source_id", "docs_locale").agg(F.min("pos").alias("index_pos")).select(F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos"), "index_pos", "source_id", "docs_locale", F.when(F.col("docs_locale") == "es", "planned").otherwise("supported").alias("status"), F.when(F.col("docs_locale") == "es", "later").alias("reason"))
     sources = records.groupBy("source_id").agg(F.first("source_name").alias("source_name"), F.first("source_kind").alias("source_kind"), F.first("programming_language").alias("language_id")).select("source_id", "source_name", "source_kind", F.lit("reference").alias("document_kind"), "language_id", F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"), F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos"))
-    return ref.build_manifest({"source_indexes": i, "sources": sources}, packed, provenance)
+    return ref.build_manifest({"source_indexes": i, "sources": sources}, packed.withColumn("brotli_bytes", F.col("raw_bytes") - 1), provenance)
 
 
 def manifest(spark, d):
-    return manifest_rows(spark, d).select("manifest_pos", "source_id", "status", "reason", "record_count", "raw_bytes", "output_sha256", "input_sha256")
+    return manifest_rows(spark, d).select("manifest_pos", "source_id", "status", "reason", "path", "record_count", "raw_bytes", "brotli_bytes", F.col("gzip_bytes").between(20, F.col("raw_bytes")).alias("gzipped"), "output_sha256", "input_sha256")
 
 
 MANIFEST = f"""{_BUNDLES}, f AS (SELECT source_id, docs_locale, sha256(string_agg(records.url || chr(0) || sha256(html), chr(10) ORDER BY records.url)) AS input_sha256 FROM records JOIN pages ON page_id = pos GROUP BY source_id, docs_locale), i AS (SELECT source_id, docs_locale, min(pos) AS index_pos FROM records GROUP BY ALL)
-SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE WHEN docs_locale = 'es' THEN 'planned' ELSE 'supported' END AS status, CASE WHEN docs_locale = 'es' THEN 'later' END AS reason, CASE WHEN docs_locale <> 'es' THEN record_count END AS record_count, CASE WHEN docs_locale <> 'es' THEN strlen(body) END AS raw_bytes,
+SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE WHEN docs_locale = 'es' THEN 'planned' ELSE 'supported' END AS status, CASE WHEN docs_locale = 'es' THEN 'later' END AS reason, CASE WHEN docs_locale <> 'es' THEN record_count END AS record_count, CASE WHEN docs_locale <> 'es' THEN strlen(body) END AS raw_bytes, CASE WHEN docs_locale <> 'es' THEN strlen(body) - 1 END AS brotli_bytes, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN strlen(body) > 20 END AS gzipped,
+ CASE WHEN docs_locale <> 'es' THEN source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json' END AS path,
  CASE WHEN docs_locale <> 'es' THEN sha256(body) END AS output_sha256, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN input_sha256 END AS input_sha256 FROM i LEFT JOIN p USING (source_id, docs_locale) LEFT JOIN f USING (source_id, docs_locale)"""
 
 
 def projection(spark, d):
-    return ref.runtime_projection(manifest_rows(spark, d).withColumn("brotli_bytes", F.col("raw_bytes")).withColumn("gzip_bytes", F.lit(None).cast("long")))
+    return ref.runtime_projection(manifest_rows(spark, d).withColumn("gzip_bytes", F.col("raw_bytes") + 1))
 
 
 PROJECTION = f"""{_BUNDLES}, i AS (SELECT source_id, docs_locale, min(pos) AS index_pos, min(source_name) AS source_name, min(source_kind) AS source_kind FROM records GROUP BY ALL), j AS (SELECT *, docs_locale <> 'es' AND body IS NOT NULL AS ok FROM i LEFT JOIN p USING (source_id, docs_locale))
 SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, '{{"source_id":"' || source_id || '","source_name":"' || source_name || '","source_kind":"' || source_kind || '","document_kind":"reference","programming_language":"' || docs_locale || '","docs_locale":"' || docs_locale || '","status":"' || CASE WHEN docs_locale = 'es' THEN 'planned","reason":"later' ELSE 'supported' END || '"' ||
- CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"brotli_bytes":' || strlen(body) ELSE '' END || '}}' AS entry FROM j"""
+ CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"gzip_bytes":' || (strlen(body) + 1) || ',"brotli_bytes":' || (strlen(body) - 1) ELSE '' END || '}}' AS entry FROM j"""
 
 
 def _fetches(spark, d):
@@ -318,12 +367,38 @@ def live_links(spark, d):
 
 
 def equivalence(spark, d):
-    """Searches over full records and over such without the section of two languages: the rows that differ."""
-    from . import base
+    """Searches over bundles expanded with the whole manifest, and with the manifest that its runtime projection brings: rows of
+    both and those that differ; and, so that a difference would show, over a projection without one source's name."""
+    records = b.page_records(spark, d)
+    jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
+    packed = cut(bun.pack_bundles(records.where("url like 'https://%'"), jobs))
+    bundles = packed.select("source_id", "docs_locale", "url_prefix", F.from_json("body", bun.BUNDLE)["records"].alias("records"))
+    whole = cut(manifest_rows(spark, d))
+    shape = "source_id string, source_name string, source_kind string, document_kind string, programming_language string, docs_locale string, status string, qualification string, qualification_ja string, record_count bigint"
+    projected = ref.runtime_projection(whole).select("manifest_pos", F.from_json("entry", shape).alias("e")).select("manifest_pos", "e.*")
+    lacking = projected.withColumn("source_name", F.when(F.col("source_id") != "en-com", F.col("source_name")))
+    searched = lambda m: bun.expand_bundles(bundles, m.where("status = 'supported'")).join(m.select("source_id", "docs_locale", F.col("manifest_pos").alias("catalog_pos")), ["source_id", "docs_locale"])
+    full = cut(searched(whole))
+    found, _ = s.search(b.requests(spark, d), full, fuzzy=False)
+    counted = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    same, other = (ref.projection_equivalence(b.requests(spark, d), full, searched(m), fuzzy=False) for m in (projected, lacking))
+    return counted("results", found).unionByName(counted("differing", same)).unionByName(counted("differing without a name", other))
+
+
+EQUIVALENCE = f"""WITH {b.PAGE_RECORDS.replace("records AS", "records1 AS")}, i AS (SELECT source_id, docs_locale, row_number() OVER (ORDER BY min(pos)) AS p FROM records1 GROUP BY ALL),
+records AS (SELECT r.* EXCLUDE (catalog_pos), i.p AS catalog_pos FROM records1 r JOIN i USING (source_id, docs_locale) WHERE starts_with(url, 'https://') AND docs_locale <> 'es'), {b.REQUESTS}, {b.SCORED}, {b.DIVERSE}
+SELECT 'results' AS what, count(*) AS n FROM results UNION ALL SELECT 'differing', 0 UNION ALL SELECT 'differing without a name', 2 * count(*) FROM results WHERE source_id = 'en-com'"""
+
+
+def headers(spark, d):
+    """Of each pair of neighbouring event types, the top-level fields in which their builds differ."""
+    e = b.table(spark, d, "events")
+    of = lambda i: e.where(F.col("event_id") % 2 == i).agg(F.lit(2).alias("schema_version"), (F.count_distinct("event_type") + i).alias("generator_version"), F.sha2(F.max(F.col("event_id") - i).cast("string"), 256).alias("catalog_sha256"))
+    return ref.header_diff(of(0), of(1))
+
 
-    full = base.page_records(spark, d)
-    projected = full.withColumn("section", F.when(~F.col("docs_locale").isin("fr", "es"), F.col("section")))
-    return ref.projection_equivalence(base.requests(spark, d), full, projected, fuzzy=False).select("query_id", "url", "place", "only")
+HEADERS = """WITH h AS (SELECT event_id % 2 AS i, count(DISTINCT event_type) + event_id % 2 AS g, max(event_id - event_id % 2) AS c FROM events GROUP BY event_id % 2)
+SELECT 'generator_version' AS field FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND a.g <> b.g UNION ALL SELECT 'catalog_sha256' FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND a.c <> b.c"""
 
 
 def selected_jobs(spark, d):
@@ -360,6 +435,9 @@ QUERIES = {
     "size_budget_report": (budget, BUDGET),
     "known_query_check": (known_queries, f"{_KNOWN} SELECT a.source_id, a.docs_locale, a.query, h.title, h.url FROM asked a LEFT JOIN hits h USING (source_id, docs_locale, query) WHERE h.title IS NOT NULL OR a.query IN (SELECT query FROM asked)"),
     "live_check_rows": (live_links, f"{_KNOWN} SELECT url, source_id, docs_locale, query FROM hits WHERE docs_locale <> 'es' QUALIFY row_number() OVER (PARTITION BY url ORDER BY source_id, docs_locale, query) = 1"),
-    "projection_equivalence": (equivalence, None),
+    "projection_equivalence": (equivalence, EQUIVALENCE),
+    "header_diff": (headers, HEADERS),
+    "publish_and_read_back": (publish, PUBLISHED),
+    "combine_records": (combined, COMBINED),
     "select_jobs": (selected_jobs, f"WITH {b.CATALOG} SELECT i.index_pos, i.source_id, i.docs_locale FROM indexes i, (SELECT * FROM indexes ORDER BY index_pos LIMIT 1) f WHERE NOT (i.source_id = f.source_id AND i.docs_locale = f.docs_locale) AND i.index_pos % 2 = 0"),
 }

@@ -23,36 +23,43 @@ def html_links(spark, d):
 _NAV = """nav AS (SELECT page_id AS doc_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages)"""
 
 
-def _resolved(spark, d):
-    """Links of pages whose targets are plain enough for SQL to resolve."""
-    links = x.extract_html_links(_pages(spark, d))
-    return links.where(F.rlike("href", F.lit(r"^/[A-Za-z]+$")))
-
-
 def link_records(spark, d):
-    return x.link_records(_resolved(spark, d), prefix="https://").select("doc_id", "link", "pos", "text")
+    return x.link_records(x.extract_html_links(_pages(spark, d)), prefix="https://").select("doc_id", "link", "pos", "text")
 
 
-_PLAIN = rf"{_NAV}, plain AS (SELECT *, regexp_extract(url, '^https?://[^/?#]+') || href AS link FROM nav WHERE regexp_matches(href, '^/[A-Za-z]+$'))"
+_LINKS = rf"{_NAV}, links AS (SELECT *, regexp_extract(url, '^https?://[^/?#]+') || replace(href, '&amp;', '&') AS link FROM nav WHERE trim(text) <> '')"
 
 
 def scoped_links(spark, d):
-    """Links under one path of the site itself, the last of each."""
-    links = _resolved(spark, d).withColumn("url", F.lit("https://docs.example/x"))
-    return x.scoped_links(links.withColumn("href", F.concat(F.lit("/guide"), F.when(F.length("href") > 6, F.col("href")).otherwise(F.lit("s")))), "https://docs.example/guide", exclude=["/guide/theandth"], prefer_last=True).select("doc_id", "link", "pos")
+    """Links under one path of one site, the last of each: pages' links, those of up to five letters outside the path."""
+    links = x.extract_html_links(_pages(spark, d)).withColumn("url", F.lit("https://docs.example/x"))
+    href = F.concat(F.lit("/guide"), F.when(F.length("href") > 6, F.col("href")).otherwise(F.lit("s")))
+    return x.scoped_links(links.withColumn("href", href), "https://docs.example/guide", exclude=["/guide/theandth"], prefer_last=True).select("doc_id", "link", "pos")
 
 
-SCOPED = f"WITH {_PLAIN} SELECT doc_id, 'https://docs.example/guide' || href AS link, max(pos) AS pos FROM plain WHERE length(href) > 6 AND href <> '/theandth' GROUP BY ALL"
+SCOPED = f"WITH {_LINKS} SELECT doc_id, 'https://docs.example/guide' || href AS link, max(pos) AS pos FROM links WHERE length(href) > 6 AND href <> '/theandth' GROUP BY ALL"
 
 
 def partitions(spark, d):
-    return x.discover_partitions(_resolved(spark, d), "^/[a-m][a-z]*$")
+    return x.discover_partitions(x.extract_html_links(_pages(spark, d)), "^/[a-m][^/]*$")
+
+
+def scripts(spark, d):
+    """The index script of each page, some outside the page's site, some pages without one."""
+    src = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://cdn.example/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/dist/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))).otherwise("/other.js")
+    body = F.concat(F.lit("<script src='/first.js'></script><script defer src='"), src, F.lit("'></script>"), "html")
+    site = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), F.lit("/"))
+    return x.discover_script(b.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), site.alias("url"), body.alias("body")), r"^sidebar_items-[0-9A-F]+\.js$")
+
+
+SCRIPTS = """SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn.example/sidebar_items-' || page_id || '.js' WHEN 1 THEN regexp_extract(url, '^https?://[^/?#]+') || '/dist/sidebar_items-' || page_id || '.js' END AS link, page_id % 3 = 1 AS sound FROM pages"""
 
 
 def canonical_links(spark, d):
     from ..operators.refresh import canonical_links as canonical
 
-    return canonical(x.link_records(_resolved(spark, d)).select("doc_id", F.col("link").alias("url"))).select("doc_id", F.sha2("canonical", 256).alias("canonical_sha256"))
+    links = x.link_records(x.extract_html_links(_pages(spark, d)))
+    return canonical(links.select("doc_id", F.col("link").alias("url"))).select("doc_id", F.sha2("canonical", 256).alias("canonical_sha256"))
 
 
 def page_titles(spark, d):
@@ -91,66 +98,93 @@ NORMALIZED = rf"""WITH n AS (SELECT doc_id, {b.normal_sql("text")} AS n FROM doc
 
 
 def plain_texts(spark, d):
+    """The text of whole pages, and small texts of other formats."""
     from ..functions.html import plain_html_text
 
-    body = F.regexp_extract("html", "(?s)<footer>(.*?)</footer>", 1)
-    return b.table(spark, d, "pages").select("page_id", plain_html_text(body).alias("footer"), t.plain_markdown(F.concat(F.lit("**Note** [see]("), "url", F.lit(") `x` ![i](y) \\* "), F.col("page_id").cast("string"))).alias("note"), t.decode_entities(F.concat(F.lit("&lt;a&#62; &amp;amp; "), F.col("page_id").cast("string")), numeric=True).alias("decoded"))
+    key = F.col("page_id").cast("string")
+    note = t.plain_markdown(F.concat(F.lit("**Note** [see]("), "url", F.lit(") `x` ![i](y) \\* "), key))
+    cell = t.markdown_cell_text(F.concat(F.lit("a<br>b \\| "), key))
+    rows = b.table(spark, d, "pages").select("page_id", plain_html_text("html").alias("text"), note.alias("note"), cell.alias("cell"), t.decode_entities(F.concat(F.lit("&lt;a&#62; &amp;amp; "), key), numeric=True).alias("decoded"))
+    return rows.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "note", "cell", "decoded")
 
 
-PLAIN = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<footer>([^<]*)</footer>', 1), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS footer, 'Note see x * ' || page_id AS note, '<a> &amp; ' || page_id AS decoded FROM pages"""
+PLAIN = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<br ?/?>', ' ', 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM t),
+v AS (SELECT page_id, replace(trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')), ' --- ', ' — ') AS t FROM u)
+SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256, 'Note see x * ' || page_id AS note, 'a b | ' || page_id AS cell, '<a> &amp; ' || page_id AS decoded FROM v"""
 
 
 def sitemap(spark, d):
-    """A sitemap of each domain's pages."""
+    """Sitemaps of each domain's pages, five hundred numbers of pages to one."""
     p = b.table(spark, d, "pages")
     tld = F.regexp_extract("url", r"^https?://[^/]*?([a-z]+)(?:/|$)", 1)
-    bodies = p.groupBy(tld.alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: F.concat(F.lit("<url><loc> "), F.replace(s["url"], F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>\n"))), "").alias("body"))
+    chunk = F.concat(tld, F.lit("."), F.floor(F.col("page_id") / 500).cast("string"))
+    bodies = p.groupBy(chunk.alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: F.concat(F.lit("<url><loc> "), F.replace(s["url"], F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>\n"))), "").alias("body"))
     return x.extract_sitemap(bodies, ["https://www.", "https://m."], "Untitled").select("doc_id", "link", "title")
 
 
-SITEMAP = r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*?([a-z]+)(?:/|$)', 1) AS doc_id, url AS link, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages WHERE starts_with(url, 'https://www.') OR starts_with(url, 'https://m.'))
+SITEMAP = r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*?([a-z]+)(?:/|$)', 1) || '.' || (page_id // 500) AS doc_id, url AS link, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages WHERE starts_with(url, 'https://www.') OR starts_with(url, 'https://m.'))
 SELECT doc_id, link, regexp_replace(segs[-1], '\.html?$', '') AS title FROM p"""
 
 
 def feed(spark, d):
-    """A feed of each part type."""
+    """Feeds of each part type, two thousand numbers of parts to one."""
     item = F.concat(F.lit("<item><title><![CDATA[P & "), "p_name", F.lit("]]> &#35;"), F.col("p_partkey").cast("string"), F.lit("</title><link>https://"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b"), F.lit(".example/"), F.col("p_partkey").cast("string"), F.lit("</link></item>\n"))
-    bodies = b.table(spark, d, "part").groupBy(F.col("p_type").alias("doc_id")).agg(F.concat(F.lit("<rss>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</rss>")).alias("body"))
+    bodies = b.table(spark, d, "part").groupBy(F.concat("p_type", F.lit("."), F.floor(F.col("p_partkey") / 2000).cast("string")).alias("doc_id")).agg(F.concat(F.lit("<rss>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</rss>")).alias("body"))
     return x.extract_rss(bodies, "https://a.example/").select("doc_id", "title", "link")
 
 
-FEED = "SELECT p_type AS doc_id, 'P & ' || p_name || ' #' || p_partkey AS title, 'https://a.example/' || p_partkey AS link FROM part WHERE p_size % 2 = 0"
+FEED = "SELECT p_type || '.' || (p_partkey // 2000) AS doc_id, 'P & ' || p_name || ' #' || p_partkey AS title, 'https://a.example/' || p_partkey AS link FROM part WHERE p_size % 2 = 0"
+
+
+def _items(spark, d):
+    """Pages with the texts of their menus."""
+    return b.table(spark, d, "pages").select("page_id", "url", "html", F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a></li>'), F.lit(1)).alias("items"))
+
+
+_ITEMS = """pg AS (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/?#]+') AS origin, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1) AS its FROM pages),
+items AS (SELECT page_id, url, origin, h1, unnest(its) AS item, unnest(range(len(its))) AS i, len(its) AS n FROM pg)""".replace("\\\\", "\\")
+
+
+def _parts(each):
+    """Text of all menu items; ``each`` gives that of an item and its number."""
+    return F.array_join(F.transform("items", lambda x, i: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in each(x, i.cast("string"))))), "")
+
+
+def _page_html(spark, d):
+    """Pages whose heading has an id, and after it for each menu item a heading, a clause and a row of a table of papers."""
 
+    def part(item, i):
+        number = F.lpad((F.col("page_id") % 500).cast("string"), 4, "0")
+        return (
+            "<h2 id=n", i, "> ", item, "</h2><emu-clause id=c", i, "><h1>Clause ", item, "</h1></emu-clause><table><tr><td><a href='/p", i, ".html'>P", number, "R", i, "</a>\n<td>Paper <b>", item, "</b>",
+            "<td>A &amp; B<td>2024-01-0", (F.col("page_id") % 9).cast("string"), "<td><td><td><span>S</span><td>", F.when(F.col("page_id") % 2 == 0, "adopted").otherwise(""), "</table>",
+        )
 
-def _region_html(spark, d):
-    """A document for each region: it as h1, its nations as h2 with a table row each."""
-    n = b.table(spark, d, "nation")
-    key = F.col("n_nationkey").cast("string")
-    cells = F.concat(*(F.concat(F.lit("<td>"), c, F.lit("\n")) for c in (F.concat(F.lit("<a href='p"), key, F.lit(".html'>P1"), F.lpad(key, 3, "0"), F.lit("R"), (F.col("n_nationkey") % 3).cast("string"), F.lit("</a>")), F.concat(F.lit("Paper <b>"), "n_name", F.lit("</b>")), F.lit("A &amp; B"), F.lit("2024-01-0"), F.lit(""), F.lit(""), F.lit("<span>S</span>"), F.when(F.col("n_nationkey") % 2 == 0, "adopted").otherwise(""))))
-    part = F.concat(F.lit("<h2 id=n"), key, F.lit("> "), "n_name", F.lit("</h2><emu-clause id=c"), key, F.lit("><h1>Clause "), key, F.lit("</h1></emu-clause><table><tr>"), cells, F.lit("</table>"))
-    bodies = n.groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("part")))), lambda s: s["part"]), "").alias("parts"))
-    return bodies.select("doc_id", F.concat(F.lit("https://r.example/"), F.col("doc_id").cast("string"), F.lit("/")).alias("url"), F.concat(F.lit("<h1 id=top>Region "), F.col("doc_id").cast("string"), F.lit("</h1>"), "parts").alias("body"))
+    body = F.concat(F.replace("html", F.lit("<h1>"), F.lit("<h1 id=top>")), _parts(part))
+    return _items(spark, d).select(F.col("page_id").alias("doc_id"), "url", body.alias("body"))
 
 
 def html_headings(spark, d):
-    return x.extract_html_headings(_region_html(spark, d)).select("doc_id", "level", "id", "text", "section", "link")
+    return x.extract_html_headings(_page_html(spark, d)).select("doc_id", "level", "id", "text", "section", "link")
 
 
-HEADINGS = """SELECT n_regionkey::BIGINT AS doc_id, 2 AS level, 'n' || n_nationkey AS id, n_name AS text, 'Region ' || n_regionkey AS section, 'https://r.example/' || n_regionkey || '/#n' || n_nationkey AS link FROM nation
-UNION ALL SELECT DISTINCT n_regionkey, 1, 'top', 'Region ' || n_regionkey, 'Region ' || n_regionkey, 'https://r.example/' || n_regionkey || '/#top' FROM nation"""
+HEADINGS = f"""WITH {_ITEMS} SELECT page_id AS doc_id, 2 AS level, 'n' || i AS id, item AS text, h1 AS section, url || '#n' || i AS link FROM items UNION ALL SELECT page_id, 1, 'top', h1, h1, url || '#top' FROM pg WHERE contains(html, '<h1>')"""
 
 
 def clauses(spark, d):
-    return x.extract_clauses(_region_html(spark, d)).select("doc_id", "id", "text")
+    return x.extract_clauses(_page_html(spark, d)).select("doc_id", "id", "text")
 
 
 def papers(spark, d):
     """Rows of the tables, the latest of each paper, with their status."""
-    rows = x.paper_rows(x.extract_table_rows(_region_html(spark, d)))
+    rows = x.paper_rows(x.extract_table_rows(_page_html(spark, d)))
     return rec.revision_status(rec.latest_per_identifier(rows)).select("identifier", "title", "author", "link", "status")
 
 
-PAPERS = """SELECT 'P1' || lpad(n_nationkey::VARCHAR, 3, '0') || 'R' || (n_nationkey % 3) AS identifier, 'Paper ' || n_name AS title, 'A & B' AS author, 'https://r.example/' || n_regionkey || '/p' || n_nationkey || '.html' AS link, CASE WHEN n_nationkey % 2 = 0 THEN 'adopted' ELSE 'unknown' END AS status FROM nation"""
+PAPERS = f"""WITH {_ITEMS}, r AS (SELECT 'P' || lpad((page_id % 500)::VARCHAR, 4, '0') AS series, i AS rev, 'Paper ' || item AS title, url, page_id % 9 AS day, origin || '/p' || i || '.html' AS link, CASE WHEN page_id % 2 = 0 THEN 'adopted' ELSE '' END AS status FROM items),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY series, rev ORDER BY url DESC, day DESC) = 1)
+SELECT series || 'R' || rev AS identifier, title, 'A & B' AS author, link, CASE WHEN rev < max(rev) OVER (PARTITION BY series) THEN 'superseded' WHEN status <> '' THEN status ELSE 'unknown' END AS status FROM l"""
 
 
 def revisions(spark, d):
@@ -165,64 +199,94 @@ l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY identifier ORDER B
 SELECT identifier, page_url, pos, CASE WHEN rev < max(rev) OVER (PARTITION BY o_custkey) THEN 'superseded' WHEN status <> '' THEN status WHEN title ILIKE '%withdrawn%' THEN 'withdrawn' ELSE 'unknown' END AS status FROM l"""
 
 
+def _lines(spark, d):
+    """Documents with their lines that have a letter, of letters, digits and single spaces only."""
+    clean = lambda line: F.trim(F.regexp_replace(line, r"[^\p{L}\p{N}]+", " "))
+    lines = F.filter(F.transform(F.split("text", "\n"), clean), lambda x: x != "")
+    return b.table(spark, d, "documents").select("doc_id", "source", lines.alias("items"))
+
+
+_LINES = r"""ln AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '') AS its FROM documents),
+items AS (SELECT doc_id, source, unnest(its) AS item, unnest(range(len(its))) AS i, len(its) AS n FROM ln)"""
+
+
 def toc(spark, d):
-    """A nested table of contents: regions, group markers and nations."""
-    n = F.struct(F.col("n_name").alias("title"), F.concat(F.lit("/"), F.lower("n_name")).alias("path"))
-    kids = b.table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", n.alias("n")))), lambda s: s["n"]).alias("children"))
-    bodies = kids.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit('[{"type":"groupMarker","title":"Marker"},'), F.to_json(F.struct(F.lit("/r").alias("path"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("title"), "children")), F.lit("]")).alias("body"))
+    """A nested table of contents for each document: its source, a group marker and its lines."""
+    kid = lambda x, i: F.struct(F.when(i == 2, "groupMarker").alias("type"), x.alias("title"), F.when(i != 2, F.concat(F.lit("/l"), i.cast("string"))).alias("path"))
+    tree = F.struct(F.lit("/d").alias("path"), F.concat(F.lit("Of "), "source").alias("title"), F.transform("items", kid).alias("children"))
+    bodies = _lines(spark, d).select("doc_id", F.to_json(F.array(tree)).alias("body"))
     return x.flatten_toc(bodies).select("doc_id", "title", "path", "section")
 
 
-TOC = "SELECT n_regionkey::BIGINT AS doc_id, n_name AS title, '/' || lower(n_name) AS path, 'Marker' AS section FROM nation UNION ALL SELECT DISTINCT n_regionkey, 'Region ' || n_regionkey, '/r', 'Marker' FROM nation"
+TOC = f"WITH {_LINES} SELECT doc_id, item AS title, '/l' || i AS path, CASE WHEN i > 2 THEN third ELSE 'Of ' || source END AS section FROM (SELECT i.*, its[3] AS third FROM items i JOIN ln USING (doc_id)) WHERE i <> 2 UNION ALL SELECT doc_id, 'Of ' || source, '/d', NULL FROM ln WHERE source IS NOT NULL"
+
+
+def yaml_toc(spark, d):
+    """The same as an outline: each third line opens a list of the two after it; links of a locale."""
+    one = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("- name: 'T "), x, F.lit("'\n  href: /h"), i.cast("string"), F.lit("\n  items:\n"))).otherwise(F.concat(F.lit("  - name: T "), x, F.lit("\n    href: /ja/h"), i.cast("string"), F.lit("\n")))
+    bodies = _lines(spark, d).select("doc_id", F.array_join(F.transform("items", one), "").alias("body"))
+    rows = x.flatten_toc(bodies, children="items", title="name", path="href", form="yaml")
+    return rows.select("doc_id", "title", x.locale_prefixed(F.col("path"), "ja").alias("path"), "section")
+
+
+YAML_TOC = f"WITH {_LINES} SELECT doc_id, 'T ' || item AS title, '/ja/h' || i AS path, CASE WHEN i % 3 > 0 THEN 'T ' || its[i - i % 3 + 1] END AS section FROM items JOIN ln USING (doc_id)"
 
 
 def toc_links(spark, d):
-    """Chapter links under titled parts, and the links around a marker."""
-    li = F.concat(F.lit("<li><a href=/"), F.lower("n_name"), F.lit(">"), (F.col("n_nationkey") + 1).cast("string"), F.lit(".2. "), "n_name", F.lit("</a>"))
-    bodies = b.table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(li)), "").alias("li"))
-    bodies = bodies.withColumn("body", F.concat(F.lit("<a href=/out>out</a><ol class='chapters x'><li class=part>Part "), F.col("doc_id").cast("string"), "li", F.lit("</ol><ul><li><a href=/m>m</a><ul><li><a href=/n>n</a></ul><li><a href=/o>o</a></ul>")))
+    """Chapter links under titled parts, and the links around a marker, for each page's menu."""
+    li = _parts(lambda x, i: ("<li><a href=/l", i, ">", (i.cast("int") + 1).cast("string"), ".2. ", x, "</a>"))
+    body = F.concat(F.lit("<a href=/out>out</a><ol class='chapters x'><li class=part>Part "), F.col("page_id").cast("string"), li, F.lit("</ol><ul><li><a href=/m>m</a><ul><li><a href=/n>n</a></ul><li><a href=/o>o</a></ul>"))
+    bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), body.alias("body"))
     inside = x.subtree_links(bodies, "/m").select("doc_id", "href", F.col("text").alias("title"), F.lit("sub").alias("part"))
     return x.toc_parts(bodies, "chapters", "part").select("doc_id", "href", F.col("text").alias("title"), "part").unionByName(inside)
 
 
-TOC_LINKS = "SELECT n_regionkey::BIGINT AS doc_id, '/' || lower(n_name) AS href, n_name AS title, 'Part ' || n_regionkey AS part FROM nation UNION ALL SELECT DISTINCT n_regionkey, h, h[2:], 'sub' FROM nation, (VALUES ('/m'), ('/n')) v(h)"
+TOC_LINKS = f"WITH {_ITEMS} SELECT page_id AS doc_id, '/l' || i AS href, item AS title, 'Part ' || page_id AS part FROM items UNION ALL SELECT page_id, h, h[2:], 'sub' FROM pg, (VALUES ('/m'), ('/n')) v(h)"
 
 
 def sidebar(spark, d):
-    n = b.table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda s: F.struct(s["n_name"].alias("id"), F.lower(s["n_name"]).alias("anchor"))).alias("nodes"))
-    page = F.struct(F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("id"), F.concat(F.lit("Mod"), F.col("n_regionkey").cast("string")).alias("title"), F.lit("Core").alias("group"), F.array(F.struct(F.lit("Usage").alias("id"), F.lit("use").alias("anchor"))).alias("headers"), F.array(F.struct(F.lit("f").alias("key"), F.lit("Functions").alias("name"), F.col("nodes").alias("nodes"))).alias("nodeGroups"))
-    bodies = n.select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("sidebarNodes="), F.to_json(F.struct(F.array(page).alias("modules"))), F.lit(";")).alias("body"))
+    """A sidebar of each page: the page as a module, its menu as headers and as functions."""
+    key = F.col("page_id").cast("string")
+    heads = F.transform("items", lambda item, i: F.struct(item.alias("id"), F.concat(F.lit("h"), i.cast("string")).alias("anchor")))
+    nodes = F.transform("items", lambda item, i: F.struct(F.concat(item, F.lit("()")).alias("id"), F.concat(F.lit("f"), i.cast("string")).alias("anchor")))
+    page = F.struct(F.concat(F.lit("m"), key).alias("id"), F.concat(F.lit("Mod"), key).alias("title"), F.lit("Core").alias("group"), heads.alias("headers"), F.array(F.struct(F.lit("f").alias("key"), F.lit("Functions").alias("name"), nodes.alias("nodes"))).alias("nodeGroups"))
+    bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("sidebarNodes="), F.to_json(F.struct(F.array(page).alias("modules"))), F.lit(";")).alias("body"))
     return x.flatten_sidebar(bodies)
 
 
-SIDEBAR = "WITH r AS (SELECT DISTINCT n_regionkey AS k FROM nation) SELECT k::BIGINT AS doc_id, 0 AS pos, 'Mod' || k AS title, 'm' || k AS page, NULL::VARCHAR AS anchor, 'Core' AS section FROM r UNION ALL SELECT k, 0, 'Usage', 'm' || k, 'use', 'Mod' || k FROM r UNION ALL SELECT n_regionkey, 0, n_name, 'm' || n_regionkey, lower(n_name), 'Mod' || n_regionkey FROM nation"
+SIDEBAR = f"WITH {_ITEMS} SELECT page_id AS doc_id, 0 AS pos, 'Mod' || page_id AS title, 'm' || page_id AS page, NULL::VARCHAR AS anchor, 'Core' AS section FROM pg UNION ALL SELECT page_id, 0, item, 'm' || page_id, 'h' || i, 'Mod' || page_id FROM items UNION ALL SELECT page_id, 0, item || '()', 'm' || page_id, 'f' || i, 'Mod' || page_id FROM items"
 
 
 def sphinx(spark, d):
-    """A search index of each region: nations are pages, suppliers headings."""
-    n = b.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
-    place = b.table(spark, d, "nation").withColumn("at", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
-    heads = b.table(spark, d, "supplier").join(F.broadcast(place), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("s_name"), F.array(F.array(F.col("at").cast("string"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))))).alias("all"))
-    bodies = n.join(heads, "n_regionkey").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("Search.setIndex("), F.to_json(F.struct(F.transform("n", lambda s: F.lower(s["n_name"])).alias("docnames"), F.transform("n", lambda s: F.concat(F.lit("<em>"), s["n_name"], F.lit("</em>"))).alias("titles"), F.col("all").alias("alltitles"))), F.lit(")")).alias("body"))
+    """A search index of each page: menu items are pages, and each has a heading."""
+    names = F.transform("items", lambda item, i: F.when(i == 0, "index").otherwise(F.concat(F.lit("d/p"), i.cast("string"))))
+    titles = F.transform("items", lambda item, i: F.concat(F.lit("<em>"), item, F.lit("</em>")))
+    heads = F.map_from_entries(F.transform("items", lambda item, i: F.struct(F.concat(item, F.lit(" "), i.cast("string")), F.array(F.array(i.cast("string"), F.concat(F.lit("s"), i.cast("string")))))))
+    bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Search.setIndex("), F.to_json(F.struct(names.alias("docnames"), titles.alias("titles"), heads.alias("alltitles"))), F.lit(")")).alias("body"))
     return x.sphinx_records(bodies, "https://s.example/")
 
 
-SPHINX = """SELECT n_regionkey::BIGINT AS doc_id, 'page' AS kind, n_name AS title, 'https://s.example/' || lower(n_name) || '.html' AS link, NULL::VARCHAR AS section FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey)
-UNION ALL SELECT n_regionkey, 'heading', s_name, 'https://s.example/' || lower(n_name) || '.html#s' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+SPHINX = f"""WITH {_ITEMS}, s AS (SELECT *, 'https://s.example/' || CASE WHEN i = 0 THEN '' ELSE 'd/p' || i || '.html' END AS link FROM items)
+SELECT page_id AS doc_id, 'page' AS kind, item AS title, link, NULL::VARCHAR AS section FROM s UNION ALL SELECT page_id, 'heading', item || ' ' || i, link || '#s' || i, item FROM s"""
 
 
 def javadoc(spark, d):
-    packages = b.table(spark, d, "nation").agg(F.concat(F.lit("packageSearchIndex = "), F.to_json(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("org."), F.lower("n_name")).alias("l"), F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("m"))))), F.lit(";updateSearchResults();")).alias("body"))
-    types = b.table(spark, d, "supplier").groupBy(F.col("s_suppkey") % 20).agg(F.concat(F.lit("typeSearchIndex = "), F.to_json(F.collect_list(F.struct(F.concat(F.lit("org.nation_"), F.col("s_nationkey").cast("string")).alias("p"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("l")))), F.lit(";")).alias("body"))
+    """Suppliers as packages and parts as their types, in files of bounded numbers; some types have no package."""
+    listed = lambda rows, key, size, entry: rows.groupBy(F.floor(F.col(key) / size)).agg(F.to_json(F.collect_list(entry)).alias("list"))
+    package, module = F.concat(F.lit("org.s"), F.col("s_suppkey").cast("string")), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("m"), F.col("s_nationkey").cast("string")))
+    packages = listed(b.table(spark, d, "supplier"), "s_suppkey", 100, F.struct(package.alias("l"), module.alias("m"))).select(F.concat(F.lit("packageSearchIndex = "), "list", F.lit(";updateSearchResults();")).alias("body"))
+    of = F.concat(F.lit("org.s"), (F.col("p_partkey") % 1000).cast("string"))
+    types = listed(b.table(spark, d, "part"), "p_partkey", 1000, F.struct(of.alias("p"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("l"))).select(F.concat(F.lit("typeSearchIndex = "), "list", F.lit(";")).alias("body"))
     return x.javadoc_records(packages, types, "https://j.example/")
 
 
-JAVADOC = """SELECT 'package' AS kind, 'org.' || lower(n_name) AS title, 'https://j.example/m' || n_regionkey || '/org/' || lower(n_name) || '/package-summary.html' AS link, 'm' || n_regionkey AS section FROM nation
-UNION ALL SELECT 'type', 'T' || s_suppkey, 'https://j.example/m' || n_regionkey || '/org/' || lower(n_name) || '/T' || s_suppkey || '.html', 'org.' || lower(n_name) FROM supplier JOIN nation ON n_name = 'NATION_' || s_nationkey"""
+JAVADOC = """WITH p AS (SELECT *, 'https://j.example/' || CASE WHEN s_suppkey % 7 <> 0 THEN 'm' || s_nationkey || '/' ELSE '' END || 'org/s' || s_suppkey AS folder FROM supplier)
+SELECT 'package' AS kind, 'org.s' || s_suppkey AS title, folder || '/package-summary.html' AS link, CASE WHEN s_suppkey % 7 <> 0 THEN 'm' || s_nationkey END AS section FROM p
+UNION ALL SELECT 'type', 'T' || p_partkey, folder || '/T' || p_partkey || '.html', 'org.s' || s_suppkey FROM part JOIN p ON s_suppkey = p_partkey % 1000"""
 
 
 def _by_type(spark, d, value):
-    return b.table(spark, d, "part").groupBy(F.col("p_type").alias("doc_id"), (F.col("p_partkey") % 50).alias("chunk")).agg(value.alias("body"))
+    return b.table(spark, d, "part").groupBy(F.col("p_type").alias("doc_id"), F.floor(F.col("p_partkey") / 2000).alias("chunk")).agg(value.alias("body"))
 
 
 def json_entries(spark, d):
@@ -248,30 +312,74 @@ PATH_LISTS = "SELECT p_type AS doc_id, replace(p_brand, '#', '-') || '/' || repl
 
 
 def _markdown(spark, d):
-    """A document for each region: headings, list links, anchored headings, stage tables and definitions."""
-    n, k = b.table(spark, d, "nation"), F.col("n_nationkey").cast("string")
-    part = F.concat(F.lit("## "), "n_name", F.lit("\n  - [**N** "), k, F.lit("](n"), k, F.lit(".md)\n# <a name=\"a"), k, F.lit("\"></a> Top "), k, F.lit("\n### Stage "), (F.col("n_nationkey") % 4).cast("string"), F.lit("\n| Proposal | Author |\n|---|---|\n| [Idea "), k, F.lit("][D"), k, F.lit("] | x |\n[d"), k, F.lit("]: https://old.example\n[d"), k, F.lit("]: https://p.example/"), k, F.lit("\n"))
-    return n.groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("part")))), lambda s: s["part"]), "").alias("body"))
+    """A document of each text: for every line a heading, list links, an anchored heading, a stage and a table with its
+    definitions."""
+
+    def part(item, i):
+        return (
+            "## ", item, "\n  - [**N** ", i, "](n", i, ".md)\n# <a name=\"a", i, "\"></a> Top ", i, "\n### Stage ", (i.cast("int") % 4).cast("string"), "\n| Proposal | Author |\n|---|---|\n| [Idea ", i, "][D", i, "] | x |\n[d", i, "]: https://old.example\n[d", i, "]: https://p.example/", i,
+            "\n| [Own ", i, "](https://o.example/", i, ") | y |\n| [Lost ", i, "] | see [in ", i, "](/i", i, ".html#x) |\n",
+        )
+
+    return _lines(spark, d).select("doc_id", _parts(part).alias("body"))
 
 
 def markdown_links(spark, d):
     return x.markdown_links(_markdown(spark, d)).select("doc_id", "depth", "title", "href", "section")
 
 
+def inline_links(spark, d):
+    return x.markdown_inline_links(_markdown(spark, d), r"\.html(#|$)").select("doc_id", "title", "href")
+
+
 def markdown_headings(spark, d):
     return x.markdown_anchored_headings(_markdown(spark, d)).select("doc_id", "level", "title", "anchor", "section")
 
 
 def status_tables(spark, d):
-    return x.markdown_status_tables(_markdown(spark, d)).where("link not like '%#%'").select("doc_id", "title", "link", "status")
+    return x.markdown_status_tables(_markdown(spark, d)).select("doc_id", "title", "link", "status")
+
+
+STATUS_TABLES = f"WITH {_LINES}, r AS (SELECT doc_id, i, 'stage-' || (i % 4) AS status FROM items) SELECT doc_id, 'Idea ' || i AS title, 'https://p.example/' || i AS link, status FROM r UNION ALL SELECT doc_id, 'Own ' || i, 'https://o.example/' || i, status FROM r UNION ALL SELECT doc_id, '[Lost ' || i || ']', doc_id || '#' || (11 * i + 10), status FROM r"
 
 
 def summary_zip(spark, d):
-    """The i-th nation of a region's summary with the (i+1)-th location."""
-    s = x.markdown_links(_markdown(spark, d)).withColumn("depth", F.lit(0))
-    sites = b.table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("doc_id"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("https://z.example/"), F.lower("n_name")).alias("link"))
-    front = sites.select("doc_id", F.lit(-1).alias("pos"), F.lit("https://z.example/").alias("link")).distinct()
-    return x.zip_summary_with_sitemap(s, sites.unionByName(front)).select("doc_id", "title", "link", "section", "sound")
+    """The i-th line of a document's summary, each third at the top, with the (i+1)-th location; some sitemaps lack one."""
+    body = _parts(lambda item, i: (F.when(i.cast("int") % 3 == 0, "").otherwise("  "), "- [", item, "](n", i, ".md)\n"))
+    summary = x.markdown_links(_lines(spark, d).select("doc_id", body.alias("body")))
+    n = F.size("items") - F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    sites = _lines(spark, d).where(F.size("items") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("pos")).withColumn("link", F.concat(F.lit("https://z.example/"), F.col("pos").cast("string")))
+    return x.zip_summary_with_sitemap(summary, sites).select("doc_id", "title", "link", "section", "sound")
+
+
+SUMMARY_ZIP = f"WITH {_LINES} SELECT doc_id, item AS title, CASE WHEN doc_id % 5 <> 0 OR i < n - 1 THEN 'https://z.example/' || (i + 1) END AS link, its[i - i % 3 + 1] AS section, doc_id % 5 <> 0 AS sound FROM items JOIN ln USING (doc_id)"
+
+
+def json_shapes(spark, d):
+    """Entry lists of other generators: a map of papers, a plain list of pages, a list of library members, a wiki's pages."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    pep = F.to_json(F.map_from_entries(F.collect_list(F.struct(k, F.struct(name.alias("title"), F.concat(F.lit("https://p.example/pep-"), k).alias("url"), F.when(F.col("p_size") % 2 == 0, "Draft").otherwise("Final").alias("status"))))))
+    plain = F.to_json(F.collect_list(F.struct(name.alias("title"), F.concat(F.when(F.col("p_size") % 3 == 0, "/other/").otherwise("/docs/"), k).alias("url"))))
+    member = F.to_json(F.collect_list(F.struct(F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("lib."), name)).alias("qualifiedName"), name.alias("name"), F.concat(k, F.lit(".html")).alias("href"), F.struct(F.col("p_brand").alias("name")).alias("enclosedBy"))))
+    wiki = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(k, F.struct(name.alias("title"), F.col("p_size").alias("ns"))))).alias("pages")))
+    of = lambda body: _by_type(spark, d, body)
+    text = F.lit
+    parts = [
+        x.json_entry_records(of(pep), "title:string,url:string,status:string", lambda e: e["title"], lambda e: e["url"], lambda e: e["status"], mapped=True),
+        x.json_entry_records(of(plain), "title:string,url:string", lambda e: e["title"], lambda e: F.concat(text("https://m.example"), e["url"]), accept=lambda e: F.startswith(e["url"], text("/docs/"))),
+        x.json_entry_records(of(member), "qualifiedName:string,name:string,href:string,enclosedBy:struct<name:string>", lambda e: F.coalesce(e["qualifiedName"], e["name"]), lambda e: F.concat(text("https://d.example/"), e["href"]), lambda e: e["enclosedBy"]["name"]),
+        x.json_entry_records(of(wiki), "title:string,ns:int", lambda e: e["title"], lambda e: F.concat(text("https://w.example/"), F.replace(e["title"], text(" "), text("_"))), field="pages", mapped=True, accept=lambda e: e["ns"] < 10),
+    ]
+    out = parts[0].withColumn("shape", F.lit(0))
+    for i, part in enumerate(parts[1:], 1):
+        out = out.unionByName(part.withColumn("shape", F.lit(i)))
+    return out.select("shape", "doc_id", "title", "link", "section")
+
+
+JSON_SHAPES = """SELECT 0 AS shape, p_type AS doc_id, p_name AS title, 'https://p.example/pep-' || p_partkey AS link, CASE WHEN p_size % 2 = 0 THEN 'Draft' ELSE 'Final' END AS section FROM part
+UNION ALL SELECT 1, p_type, p_name, 'https://m.example/docs/' || p_partkey, NULL FROM part WHERE p_size % 3 <> 0
+UNION ALL SELECT 2, p_type, CASE WHEN p_size % 4 <> 0 THEN 'lib.' ELSE '' END || p_name, 'https://d.example/' || p_partkey || '.html', p_brand FROM part
+UNION ALL SELECT 3, p_type, p_name, 'https://w.example/' || replace(p_name, ' ', '_'), NULL FROM part WHERE p_size < 10"""
 
 
 def anchors(spark, d):
@@ -302,10 +410,11 @@ MOVED = f"WITH {b.PAGE_RECORDS}, m AS (SELECT source_id, docs_locale, title, CAS
 
 QUERIES = {
     "extract_html_links": (html_links, f"WITH {_NAV} SELECT doc_id, pos, replace(href, '&amp;', '&') AS href, trim(text) AS text FROM nav WHERE trim(text) <> ''"),
-    "link_records": (link_records, f"WITH {_PLAIN} SELECT doc_id, link, min(pos) AS pos, arg_min(text, pos) AS text FROM plain WHERE starts_with(link, 'https://') GROUP BY ALL"),
+    "link_records": (link_records, f"WITH {_LINKS} SELECT doc_id, link, min(pos) AS pos, arg_min(trim(text), pos) AS text FROM links WHERE starts_with(link, 'https://') GROUP BY ALL"),
     "scoped_links": (scoped_links, SCOPED),
-    "discover_partitions": (partitions, f"WITH {_PLAIN} SELECT DISTINCT link FROM plain WHERE regexp_matches(href, '^/[a-m][a-z]*$')"),
-    "canonicalize_links": (canonical_links, f"WITH {_PLAIN} SELECT doc_id, sha256(string_agg(DISTINCT link, chr(10) ORDER BY link)) AS canonical_sha256 FROM plain GROUP BY ALL"),
+    "discover_partitions": (partitions, f"WITH {_LINKS} SELECT DISTINCT link FROM links WHERE regexp_matches(href, '^/[a-m][^/]*$')"),
+    "discover_scripts": (scripts, SCRIPTS),
+    "canonicalize_links": (canonical_links, f"WITH {_LINKS} SELECT doc_id, sha256(string_agg(DISTINCT link, chr(10) ORDER BY link)) AS canonical_sha256 FROM links GROUP BY ALL"),
     "page_titles_and_urls": (page_titles, PAGE_TITLES),
     "slug_titles": (slug_titles, SLUG_TITLES),
     "normalize_texts": (normalized_texts, NORMALIZED),
@@ -313,21 +422,24 @@ QUERIES = {
     "extract_sitemap": (sitemap, SITEMAP),
     "extract_rss": (feed, FEED),
     "extract_html_headings": (html_headings, HEADINGS),
-    "extract_clauses": (clauses, "SELECT n_regionkey::BIGINT AS doc_id, 'c' || n_nationkey AS id, 'Clause ' || n_nationkey AS text FROM nation"),
+    "extract_clauses": (clauses, f"WITH {_ITEMS} SELECT page_id AS doc_id, 'c' || i AS id, 'Clause ' || item AS text FROM items"),
     "extract_paper_tables": (papers, PAPERS),
     "latest_revisions": (revisions, REVISIONS),
     "flatten_toc": (toc, TOC),
+    "flatten_yaml_toc": (yaml_toc, YAML_TOC),
     "toc_parts_and_subtrees": (toc_links, TOC_LINKS),
     "flatten_sidebar": (sidebar, SIDEBAR),
     "sphinx_records": (sphinx, SPHINX),
     "javadoc_records": (javadoc, JAVADOC),
     "json_entry_records": (json_entries, JSON_ENTRIES),
+    "json_entry_shapes": (json_shapes, JSON_SHAPES),
     "latest_version_records": (latest_versions, "SELECT p_type AS doc_id, 'lib' || p_partkey AS name, '1.' || p_size || '.2' AS version FROM part WHERE p_partkey % 3 <> 0"),
     "json_path_lists": (path_lists, PATH_LISTS),
-    "markdown_links": (markdown_links, "SELECT n_regionkey::BIGINT AS doc_id, 2 AS depth, 'N ' || n_nationkey AS title, 'n' || n_nationkey || '.md' AS href, n_name AS section FROM nation"),
-    "markdown_anchored_headings": (markdown_headings, "SELECT n_regionkey::BIGINT AS doc_id, 1 AS level, 'Top ' || n_nationkey AS title, 'a' || n_nationkey AS anchor, 'Top ' || n_nationkey AS section FROM nation"),
-    "markdown_status_tables": (status_tables, "SELECT n_regionkey::BIGINT AS doc_id, 'Idea ' || n_nationkey AS title, 'https://p.example/' || n_nationkey AS link, 'stage-' || (n_nationkey % 4) AS status FROM nation"),
-    "zip_summary_with_sitemap": (summary_zip, "SELECT n_regionkey::BIGINT AS doc_id, 'N ' || n_nationkey AS title, 'https://z.example/' || lower(n_name) AS link, 'N ' || n_nationkey AS section, true AS sound FROM nation"),
+    "markdown_links": (markdown_links, f"WITH {_LINES} SELECT doc_id, 2 AS depth, 'N ' || i AS title, 'n' || i || '.md' AS href, item AS section FROM items"),
+    "markdown_inline_links": (inline_links, f"WITH {_LINES} SELECT doc_id, 'in ' || i AS title, '/i' || i || '.html#x' AS href FROM items"),
+    "markdown_anchored_headings": (markdown_headings, f"WITH {_LINES} SELECT doc_id, 1 AS level, 'Top ' || i AS title, 'a' || i AS anchor, 'Top ' || i AS section FROM items"),
+    "markdown_status_tables": (status_tables, STATUS_TABLES),
+    "zip_summary_with_sitemap": (summary_zip, SUMMARY_ZIP),
     "heading_anchor_lookup": (anchors, "SELECT 'p' || page_id AS path, 'Page No. ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'own' WHEN page_id % 2 = 0 THEN 't' ELSE 'page-no-' || page_id END AS fragment FROM pages"),
     "assert_edition": (editions, """SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS found FROM pages WHERE regexp_extract(html, '<html lang="([a-z]+)"', 1) <> 'en'"""),
     "slug_kind_records": (slug_kinds, "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN replace(upper(p_name), ' ', ' / ') ELSE upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] END AS title, CASE p_size % 3 WHEN 0 THEN 'Func' WHEN 1 THEN 'Type' END AS section FROM part"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -16,14 +18,42 @@ _R = ("query_id", "title", "url", "source_id", "programming_language", "place")
 
 def _search(records, plan):
     def run(spark, d):
-        found, _ = s.search(b.requests(spark, d), records(spark, d), fuzzy=False, plan=plan)
+        found, _ = s.search(b.requests(spark, d), records(spark, d), plan=plan)
         return found.select(*_R, F.round("score", 4).alias("score"))
 
     return run
 
 
+_POINTS = """40.0::DOUBLE + CASE WHEN t = q THEN 100 WHEN starts_with(t, q) THEN 75 WHEN contains(t, q) THEN 55 ELSE 0 END
+  + list_sum(list_transform(toks, lambda x: CASE WHEN t = x THEN 30 WHEN starts_with(t, x) THEN 20 WHEN contains(t, x) THEN 12 WHEN contains(s, x) THEN 4 ELSE 0 END)) - 18 * edits
+  + CASE WHEN source_kind = 'official' THEN 5 ELSE 0 END - CASE WHEN document_kind = 'proposal' THEN 12 ELSE 0 END
+  - CASE WHEN regexp_matches(coalesce(proposal_status, ''), '(?i)withdrawn|rejected|superseded|inactive|deferred') THEN 8 WHEN regexp_matches(coalesce(proposal_status, ''), '(?i)draft|candidate|submitted|stage-[01](\\D|$)') THEN 4 ELSE 0 END
+  - least(length(t) / 100.0::DOUBLE, 5)"""
+
+#: After the exact phase's tables: rows that match with typos, for queries with few exact ones, placed after those.
+_FUZZY = rf"""
+out1 AS (SELECT * FROM results), gated AS (SELECT q.* FROM queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM kept GROUP BY 1) USING (query_id) WHERE coalesce(n, 0) < least("limit", 12)),
+tokens AS (SELECT DISTINCT unnest(toks) AS token FROM gated), wordlist AS (SELECT pos, unnest(list_distinct(list_filter(string_split_regex(hay, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))) AS word FROM hay), words AS (SELECT DISTINCT word FROM wordlist), {b.CLOSE},
+met AS (SELECT pos, token, min(distance) AS d FROM (SELECT pos, token, distance FROM close JOIN wordlist USING (word) UNION ALL SELECT pos, token, 0 FROM hay JOIN tokens ON contains(hay, token)) GROUP BY ALL),
+edited AS (SELECT query_id, pos, sum(d) AS edits FROM (SELECT query_id, len(toks) AS n, unnest(toks) AS token FROM gated) JOIN met USING (token) GROUP BY query_id, pos, n HAVING count(*) = n),
+near AS (SELECT * FROM (SELECT *, {_POINTS} AS score FROM edited JOIN hay USING (pos) JOIN gated USING (query_id)) WHERE score > 0),
+fresh AS (SELECT * FROM near ANTI JOIN scored USING (query_id, url) QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, programming_language ORDER BY score DESC, title, url, catalog_pos, pos) AS lang_rank FROM fresh QUALIFY lang_rank <= "limit"),
+rest AS (SELECT best.* EXCLUDE ("limit"), "limit" - coalesce(taken, 0) AS "limit", coalesce(taken, 0) AS taken FROM best LEFT JOIN (SELECT query_id, max(place) AS taken FROM out1 GROUP BY 1) USING (query_id))"""
+
+
+def _again(names: str) -> str:
+    """The steps that mix languages, over the rest."""
+    for name in ("ranked", "firsts", "rounds", "placed", "results"):
+        names = re.sub(rf"\b{name}\b", name + "2", names)
+    return names.replace("FROM kept", "FROM rest")
+
+
+_BOTH = f"{b.SCORED}, {b.DIVERSE}, {_FUZZY}, {_again(b.DIVERSE)} SELECT query_id, title, url, source_id, programming_language, place, round(score, 4) AS score FROM out1 UNION ALL SELECT query_id, title, url, source_id, programming_language, place + taken, round(score, 4) FROM results2"
+
+
 def _search_sql(records: str) -> str:
-    return f"WITH {records}, {b.REQUESTS}, {b.SCORED}, {b.DIVERSE} SELECT query_id, title, url, source_id, programming_language, place, round(score, 4) AS score FROM results"
+    return f"WITH {records}, {b.REQUESTS}, {_BOTH}"
 
 
 def _scored(spark, d):
@@ -61,19 +91,30 @@ def tokenize(spark, d):
 
 
 def fuzzy(spark, d):
-    """Typos: two letters of each query's first word are swapped; the full search with both phases."""
-    swapped = F.concat(F.substring("query", 2, 1), F.substring("query", 1, 1), F.substring("query", 3, 100))
-    found, _ = s.search(b.requests(spark, d).withColumn("query", F.lower(F.split_part(swapped, F.lit(" "), F.lit(1)))), b.page_records(spark, d), collation="UNICODE")
+    """Typos: the first two letters are swapped, in each query and in each of its words; the full search with both phases."""
+    every = F.posexplode(F.concat(F.array("query"), F.split("query", " "))).alias("n", "query")
+    asked = b.requests(spark, d).select("query_id", "limit", every).withColumn("query_id", F.col("query_id") * 10 + F.col("n"))
+    swapped = F.concat(F.substring("query", 2, 1), F.substring("query", 1, 1), F.substring("query", 3, 1 << 20))
+    found, _ = s.search(asked.withColumn("query", F.lower(swapped)), b.page_records(spark, d))
     return found.select(*_R, F.round("score", 4).alias("score"))
 
 
+FUZZY = rf"""WITH {b.PAGE_RECORDS}, {b.REQUESTS.replace("requests AS", "requests2 AS")}, requests3 AS (SELECT query_id, "limit", list_prepend(query, string_split(query, ' ')) AS qs FROM requests2),
+requests4 AS (SELECT query_id * 10 + unnest(range(len(qs))) AS query_id, "limit", unnest(qs) AS query FROM requests3),
+requests AS (SELECT query_id, lower(substr(query, 2, 1) || substr(query, 1, 1) || substr(query, 3)) AS query, "limit" FROM requests4), {_BOTH}"""
+
+
 def close_words(spark, d):
-    """Words of the queries against all words of the documents' titles."""
+    """Words of the queries against all words of the documents' sentences."""
     words = s.prepared(b.document_records(spark, d)).select(F.explode(t.words_of(F.col("hay"))).alias("word"))
     tokens = s.tokenized(b.requests(spark, d)).select(F.explode("tokens").alias("token"))
     return s.close_words(tokens, words)
 
 
+CLOSE_WORDS = rf"""WITH {b.DOCUMENT_RECORDS}, {b.REQUESTS}, tokens AS (SELECT DISTINCT unnest(string_split({b.normal_sql("query")}, ' ')) AS token FROM requests),
+words AS (SELECT DISTINCT unnest(string_split_regex({b.normal_sql("title || ' ' || coalesce(section, '')")}, '[^\p{{L}}\p{{N}}]+')) AS word FROM records), {b.CLOSE} SELECT token, word, distance FROM close"""
+
+
 def suggest(spark, d):
     return s.suggest(b.requests(spark, d), b.page_records(spark, d), fuzzy=False)
 
@@ -169,15 +210,15 @@ def facet_choices(spark, d):
 def query_log(spark, d):
     """User turns as raw queries with flags around them."""
     turns = b.table(spark, d, "conversations").where("role = 'user'")
-    words = F.slice(F.split("text", r"\s+"), 1, 3)
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     n = F.col("conv_id") % 6
-    raw = F.when(n == 0, F.concat(F.lit("c++, go  "), F.array_join(words, " "))).when(n == 1, F.concat(F.lit("lang:py,js "), F.array_join(words, " "), F.lit(" locale:JA"))).when(n == 2, F.concat(F.get(words, F.lit(0)), F.lit(" lang:rust "), F.get(words, F.lit(1)))).when(n == 3, F.lit("source:all locale:xx")).when(n == 4, F.concat(F.array_join(words, " "), F.lit(" source:official lang:go lang:rb"))).otherwise(F.array_join(words, "\t"))
+    raw = F.when(n == 0, F.concat(F.lit("c++, go  "), F.array_join(words, " "))).when(n == 1, F.concat(F.lit("lang:py,js "), F.array_join(words, " "), F.lit(" locale:JA"))).when(n == 2, F.concat(F.get(words, F.lit(0)), F.lit(" lang:rust "), F.array_join(F.slice(words, 2, F.size(words)), " "))).when(n == 3, F.lit("source:all locale:xx")).when(n == 4, F.concat(F.array_join(words, " "), F.lit(" source:official lang:go lang:rb"))).otherwise(F.array_join(words, "\t"))
     parsed = parse_query(turns.select("conv_id", "turn", raw.alias("raw"), F.array(*map(F.lit, ("cpp", "go", "python", "rust"))).alias("known_languages")))
     return parsed.select("conv_id", "turn", "search_text", F.array_join("languages", ",").alias("languages"), "locale", "source_mode", F.size("flags").alias("n_flags"), F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("errors"))
 
 
-QUERY_LOG = r"""WITH turns AS (SELECT conv_id, turn, conv_id % 6 AS n, string_split_regex(text, '\s+')[1:3] AS w FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN n = 2 THEN coalesce(w[1], '') || ' lang:rust' || CASE WHEN coalesce(w[2], '') = '' THEN '' ELSE ' ' || w[2] END WHEN n = 3 THEN '' ELSE trim(array_to_string(w, ' ')) END AS search_text,
+QUERY_LOG = r"""WITH turns AS (SELECT conv_id, turn, conv_id % 6 AS n, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN n = 2 THEN trim(coalesce(w[1], '') || ' lang:rust ' || array_to_string(w[2:], ' ')) WHEN n = 3 THEN '' ELSE trim(array_to_string(w, ' ')) END AS search_text,
  CASE n WHEN 0 THEN 'cpp,go' WHEN 1 THEN 'python,javascript' WHEN 4 THEN 'go' ELSE '' END AS languages, CASE n WHEN 1 THEN 'ja' END AS locale, CASE n WHEN 3 THEN 'all' WHEN 4 THEN 'official' END AS source_mode,
  CASE n WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS n_flags, CASE n WHEN 2 THEN 'flag_in_search_text' WHEN 3 THEN 'invalid_locale,empty_search_text' ELSE '' END AS errors FROM turns"""
 
@@ -193,8 +234,8 @@ QUERIES = {
     "rank_matches": (rank, f"{_W} SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, url, catalog_pos, pos) AS rank FROM seen"),
     "fuzzy_gate": (gate, f"""{_W} SELECT q.query_id, q.q FROM queries q LEFT JOIN (SELECT query_id, count(*) AS n FROM kept GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < least(q."limit", 12)"""),
     "search_facets": (facets, f"{_FACETS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY programming_language, source_name, source_id) AS place FROM facets"),
-    "search_fuzzy": (fuzzy, None),
-    "close_words": (close_words, None),
+    "search_fuzzy": (fuzzy, FUZZY),
+    "close_words": (close_words, CLOSE_WORDS),
     "suggest": (suggest, SUGGEST),
     "filter_sources": (filter_sources, f"{_FACETS}{_FILTERED} SELECT * FROM passed"),
     "refine_search": (refine, REFINE),

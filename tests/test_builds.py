@@ -89,7 +89,13 @@ def test_bundles(spark, tmp_path):
     assert json.loads(packed.body) == good and packed.path == f"a.en.{packed.output_sha256[:16]}.json"
     bun.publish_records(expanded, str(tmp_path / "out"))
     bun.publish_bundles(bun.pack_bundles(expanded, jobs), str(tmp_path / "bundles"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and spark.read.parquet(str(tmp_path / "bundles")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    back = bun.read_bundles(spark, str(tmp_path / "bundles")).first()
+    assert back.path == packed.path and back.source_id == "a" and back.records == good["records"]
+    entries = spark.createDataFrame([(2, "b", None), (1, "a", 5)], "manifest_pos int, source_id string, record_count long")
+    bun.publish_manifest(entries, str(tmp_path / "manifest"), "abc")
+    header, rows_back = bun.read_manifest(spark, str(tmp_path / "manifest"), "source_id string, record_count bigint")
+    assert rows(header) == [(2, 1, "abc")] and rows(rows_back, "manifest_pos") == [(1, "a", 5), (2, "b", None)]
 
 
 def test_records(spark):
@@ -101,6 +107,13 @@ def test_records(spark):
     ruby = spark.createDataFrame([("r", "ja", "https://r.example/ja/method/Array/i/=3c=3d=3e.html", "x", None, 1), ("r", "en", "https://r.example/en/3.4/A/B.html", "::new", None, 2), ("r", "en", "https://r.example/en/3.4/A/B.html", "new", None, 3)], schema)
     jobs = spark.createDataFrame([("z", "en", "q")], "source_id string, docs_locale string, adapter string")
     assert rows(rec.explicit_titles(ruby, jobs, ruby_sources=["r"]).select("pos", "title"), "pos") == [(1, "Array#<=>"), (2, "A::B::new"), (3, "new")]
+    paths = {"algorithm/sort.html": "std::sort", "list/list/merge.html": "std::list::merge", "algorithm/ranges_sort.html": "std::ranges::sort", "vector/vector/op_equal.html": "std::vector::operator==", "vector/vector/op_constructor.html": "std::vector", "vector/vector/op_destructor.html": "std::vector::~vector", "chrono/duration/count.htm": "std::chrono::duration::count", "chrono.html": "x"}
+    cpp = spark.createDataFrame([("c", "ja", f"https://c.example/reference/{p}", "x", "c", i) for i, p in enumerate(paths)], schema)
+    assert rows(rec.explicit_titles(cpp, jobs, cpp_sources=["c"]).select("pos", "title"), "pos") == list(enumerate(paths.values()))
+    jobs = spark.createDataFrame([("e", "en", "exdoc-sidebar"), ("j", "en", "javadoc-types")], "source_id string, docs_locale string, adapter string")
+    cases = [("e", "t()", "Date", "Date.t()"), ("e", "Date.now()", "Date", "Date.now()"), ("e", "now(a, b)", "Date", "Date.now(a, b)"), ("e", "f(a)(b)", "Date", "f(a)(b)"), ("e", "intro", "Date", "intro"), ("e", "ok?(x)", None, "ok?(x)"), ("j", "List", "java.util", "java.util.List"), ("j", "", "java.util", "")]
+    named = spark.createDataFrame([(s, "en", "https://d.example/x.html", t, sec, i) for i, (s, t, sec, _) in enumerate(cases)], schema)
+    assert rows(rec.explicit_titles(named, jobs).select("pos", "title"), "pos") == [(i, c[3]) for i, c in enumerate(cases)]
     same = spark.createDataFrame([("s", "en", "https://a.example/a-b/x", "Intro", "Core", 1), ("s", "en", "https://a.example/1.2/x", " intro ", None, 2), ("s", "en", "https://a.example/q/x", "Only", None, 3)], schema)
     assert rows(rec.qualify_titles(same).select("pos", "title"), "pos") == [(1, "Intro — Core"), (2, " intro "), (3, "Only")]
     assert rows(rec.qualify_titles(same, exempt=["s"]).select("title").where("title like '%—%'")) == []
@@ -116,6 +129,55 @@ def test_nested_toc(spark):
     assert x.flatten_toc(docs(spark, deep)).count() == 300
 
 
+def test_outline_in_yaml(spark):
+    body = """# Guide
+items:
+- name: Start
+  href: index.md
+- name: 'Language: all'
+  items:
+  - name: Types # kinds
+    href: types/index.md
+  - name: Flow
+    items:
+      - name: "If"
+        href: if.md
+  - href: nameless.md
+- name: End
+  href: end.md
+"""
+    got = rows(x.flatten_toc(docs(spark, body.replace("items:\n- name: Start", "- name: Start"), "", None), children="items", title="name", path="href", form="yaml").select("title", "path", "section"), "pos")
+    assert got == [("Start", "index.md", None), ("Types", "types/index.md", "Language: all"), ("If", "if.md", "Flow"), ("End", "end.md", None)]
+    paths = spark.createDataFrame([("/a/b",), ("/ja/a",), ("a",)], "p string").select(x.locale_prefixed(F.col("p"), "ja").alias("p"))
+    assert rows(paths) == [("/ja/a/b",), ("/ja/a",), ("a",)]
+
+
+def test_script_of_a_page(spark):
+    df = docs(spark, '<script src="/x.js"></script><script src="dist/sidebar_items-1A.js">', "<script src='https://o.example/sidebar_items-2.js'>", "<p>none")
+    assert rows(x.discover_script(df, r"^sidebar_items-.+\.js$"), "doc_id") == [(0, "https://x.example/d0/dist/sidebar_items-1A.js", True), (1, "https://o.example/sidebar_items-2.js", False), (2, None, False)]
+
+
+def test_markdown(spark):
+    body = "\n".join(["# Top #", "- [**A** b](a.md) text", "[Alone](b.md)", "say [In](c.html#x) and ![no](d.html) or [Two](e.html \"t\")", "## Sub", "  * [C](c.md)", "not [this](z.md)"])
+    assert rows(x.markdown_links(docs(spark, body, None)).select("pos", "depth", "title", "href", "section"), "pos") == [(1, 0, "A b", "a.md", "Top"), (2, 0, "Alone", "b.md", "Top"), (5, 2, "C", "c.md", "Sub")]
+    assert rows(x.markdown_inline_links(docs(spark, body), r"\.html").select("title", "href"), "pos") == [("In", "c.html#x"), ("Two", "e.html")]
+    anchored = '# <a name="a"></a> One\n## <a id=b></a> Two\n# plain\n### <a name=c></a> Three ##'
+    assert rows(x.markdown_anchored_headings(docs(spark, anchored)).select("level", "title", "anchor", "section"), "pos") == [(1, "One", "a", "One"), (2, "Two", "b", "One"), (3, "Three", "c", "One")]
+    table = "| [X][D] | a | \n[d]: https://old\n### Stage 2.7\n| [Y](https://y) | b |\n|---|---|\n| [Z] \\| z | c |\n| none | d |\n[D]: https://new"
+    got = rows(x.markdown_status_tables(docs(spark, table), "inactive").select("pos", "title", "link", "status"), "pos")
+    assert got == [(0, "X", "https://new", "inactive: a"), (3, "Y", "https://y", "stage-2.7"), (5, "[Z] | z", "0#5", "stage-2.7")]
+
+
+def test_url_resolve_agrees_with_the_helper(spark):
+    from shelfspark.functions import urls as u
+
+    bases = ["https://a.example/x/y?q#f", "http://A.example", "https://a.example:443/x", "nonsense", "https://a.example?x"]
+    hrefs = ["/a", "/", "//o.example/b", "/a/../b", "/a/./b/", "/é,.", "b c", "/a?x=1#y", "/a?", "/a#", "https://o.example/p", "https://o.example", "HTTPS://O.example/p", "mailto:x", "?q", "#f", "", None, "/a//b", "\\\\x", "/a/..", "https://o.example/../p", "http://o.example:80/"]
+    df = spark.createDataFrame([(a, b) for a in bases for b in hrefs], "b string, h string")
+    for r in df.select("b", "h", u.url_resolve(F.col("b"), F.col("h")).alias("r")).collect():
+        assert r.r == u.resolve(r.b, r.h), (r.b, r.h)
+
+
 def test_links(spark):
     df = docs(spark, "<a href='a'>A</a><a href='a#x'>A2</a><a href='a'>again</a><a href='https://o.example/'>o</a><a href='../up?q'>up</a>")
     links = x.extract_html_links(df)
@@ -137,6 +199,14 @@ def test_refresh(spark):
     assert 15 < size[0].n < 60 and size[1].n is None
     old = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "source_id string, n int, s string")
     new = spark.createDataFrame([("b", 2, None), ("c", 3, "y")], "source_id string, n int, s string")
+    head = lambda *x: spark.createDataFrame([x], "schema_version int, generator_version int, catalog_sha256 string")
+    assert rows(ref.header_diff(head(2, 1, "a"), head(2, 1, "a"))) == [] and rows(ref.header_diff(head(2, 1, "a"), head(3, 1, None)), "field") == [("catalog_sha256",), ("schema_version",)]
+    build = spark.createDataFrame([("a", "en", "supported", "a.json", "h", 1, 1, "i")], "source_id string, docs_locale string, status string, path string, output_sha256 string, record_count long, raw_bytes long, input_sha256 string")
+    chosen = build.select("source_id", "docs_locale")
+    with pytest.raises(ValueError):
+        ref.partial_refresh(chosen, build, build, build.select("path", F.lit("h").alias("sha256"), "record_count", "raw_bytes"), ("status",), (head(2, 1, "a"), head(2, 2, "a")))
+    with pytest.raises(ValueError):
+        ref.partial_refresh(chosen, build, build.withColumn("status", F.lit("planned")), build.select("path", F.lit("h").alias("sha256"), "record_count", "raw_bytes"), ("status",), (head(2, 1, "a"), head(2, 1, "a")))
     assert rows(ref.manifest_diff(old, new, ("source_id",)), "source_id") == [("a", "removed", []), ("b", "changed", ["s"]), ("c", "added", [])]
 
 

@@ -42,9 +42,8 @@ def test_equals_sql(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(plain(r[i]) for i in order) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert entry.queries()[name](spark, DATA).count() >= 0
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLE_SQL)
 
 
 def test_entry(spark):
