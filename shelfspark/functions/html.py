@@ -12,8 +12,14 @@ from pyspark.sql.types import StringType
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset({"script", "style", "template", "noscript"})
-_ENDS = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_SCOPES = {"td": "table", "th": "table", "tr": "table", "li": ("ul", "ol", "menu"), "dt": "dl", "dd": "dl", "p": ("div", "td", "article", "section")}
+_ENDS = {
+    "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
+    "option": {"option"}
+}
+_SCOPES = {
+    "td": "table", "th": "table", "tr": "table", "li": ("ul", "ol", "menu"), "dt": "dl", "dd": "dl",
+    "p": ("div", "td", "article", "section")
+}
 _LEVELS = {f"h{i}": i for i in range(1, 7)}
 
 
@@ -92,7 +98,10 @@ def links(body: str | None) -> list[dict]:
 
 def headings(body: str | None) -> list[dict]:
     """h1 to h6 with an id."""
-    return [{"pos": i, "level": _LEVELS[n["tag"]], "id": n["attrs"]["id"], "text": squeeze("".join(n["text"]))} for i, n in enumerate(elements(body, *_LEVELS)) if n["attrs"].get("id")]
+    return [
+        {"pos": i, "level": _LEVELS[n["tag"]], "id": n["attrs"]["id"], "text": squeeze("".join(n["text"]))} for i,
+        n in enumerate(elements(body, *_LEVELS)) if n["attrs"].get("id")
+    ]
 
 
 def clauses(body: str | None, tags: tuple[str, ...]) -> list[dict]:
@@ -141,7 +150,12 @@ def toc_parts(body: str | None, list_class: str, part_class: str) -> list[dict]:
         if n["tag"] == "li" and part_class in classes:
             part = squeeze("".join(n["text"]))
         elif n["tag"] == "a" and "href" in n["attrs"] and any(list_class in (p["attrs"].get("class") or "").split() for p in n["parents"]):
-            out.append({"pos": len(out), "href": n["attrs"]["href"], "text": re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", squeeze("".join(n["text"]))), "part": part})
+            out.append(
+                {
+                    "pos": len(out), "href": n["attrs"]["href"], "text": re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", squeeze("".join(n["text"]))),
+                    "part": part
+                }
+            )
     return out
 
 

@@ -18,13 +18,19 @@ _ERROR = "array<struct<code:string,token:string>>"
 
 def tokens(raw: Column) -> Column:
     """Runs without white space, with their places."""
-    parts = F.zip_with(F.split(raw, r"(?U)\S+", -1), F.regexp_extract_all(raw, F.lit(r"(?U)\S+"), F.lit(0)), lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+    parts = F.zip_with(
+        F.split(raw, r"(?U)\S+", -1), F.regexp_extract_all(raw, F.lit(r"(?U)\S+"), F.lit(0)), lambda gap,
+        word: F.struct(gap.alias("gap"), word.alias("word"))
+    )
 
     def step(seen: Column, x: Column) -> Column:
         start = seen["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["word"]), F.lit(0))
         token = F.struct(x["word"].alias("value"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(x["word"].isNotNull(), F.concat(seen["out"], F.array(token))).otherwise(seen["out"]).alias("out"))
+        return F.struct(
+            end.cast("int").alias("at"),
+            F.when(x["word"].isNotNull(), F.concat(seen["out"], F.array(token))).otherwise(seen["out"]).alias("out")
+        )
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_TOKEN).alias("out")), step, lambda seen: seen["out"])
 
@@ -53,7 +59,9 @@ def _is_flag(token: Column) -> Column:
 
 def _fault(token: Column) -> Column:
     kind, value = _kind(token), _value(token)
-    return F.when((kind == "locale") & ~value.isin(*LOCALES), F.lit("invalid_locale")).when((kind == "source") & ~value.isin(*SOURCE_MODES), F.lit("invalid_source_mode"))
+    return F.when((kind == "locale") & ~value.isin(*LOCALES), F.lit("invalid_locale")).when(
+        (kind == "source") & ~value.isin(*SOURCE_MODES), F.lit("invalid_source_mode")
+    )
 
 
 def parse_query(df: DataFrame, raw: str = "raw", known: str = "known_languages") -> DataFrame:
@@ -65,12 +73,16 @@ def parse_query(df: DataFrame, raw: str = "raw", known: str = "known_languages")
     n = F.size("_tokens")
     out = df.withColumn("_tokens", tokens(F.coalesce(F.col(raw), F.lit(""))))
     k = F.least(_run(F.col("_tokens"), lambda t: F.endswith(t["value"], F.lit(","))) + 1, n)
-    out = out.withColumn("_k", k).withColumn("_bare", F.array_join(F.transform(F.slice("_tokens", 1, F.col("_k")), lambda t: t["value"]), ""))
+    out = out.withColumn("_k", k).withColumn(
+        "_bare", F.array_join(F.transform(F.slice("_tokens", 1, F.col("_k")), lambda t: t["value"]), "")
+    )
     names = F.transform(F.split("_bare", ",", -1), normalize_language_id)
     is_bare = (n > 0) & ~F.contains("_bare", F.lit(":")) & F.forall("_names", lambda x: (x != "") & F.array_contains(F.col(known), x))
     out = out.withColumn("_names", names).withColumn("_is_bare", F.coalesce(is_bare, F.lit(False)))
     out = out.withColumn("_rest", F.slice("_tokens", F.when(F.col("_is_bare"), F.col("_k")).otherwise(0) + 1, F.greatest(n, F.lit(1))))
-    out = out.withColumn("_lead", _run(F.col("_rest"), _is_flag)).withColumn("_rest2", F.slice("_rest", F.col("_lead") + 1, F.greatest(n, F.lit(1))))
+    out = out.withColumn("_lead", _run(F.col("_rest"), _is_flag)).withColumn(
+        "_rest2", F.slice("_rest", F.col("_lead") + 1, F.greatest(n, F.lit(1)))
+    )
     out = out.withColumn("_trail", _run(F.reverse("_rest2"), _is_flag))
     middle = F.slice("_rest2", F.lit(1), F.size("_rest2") - F.col("_trail"))
     applied = F.concat(F.slice("_rest", F.lit(1), F.col("_lead")), F.slice(F.reverse("_rest2"), F.lit(1), F.col("_trail")))
@@ -81,14 +93,43 @@ def parse_query(df: DataFrame, raw: str = "raw", known: str = "known_languages")
 
     bare_flag = F.struct(F.get("_tokens", F.lit(0))["start"].alias("start"), F.get("_tokens", F.col("_k") - 1)["end"].alias("end"))
     token_text = F.substring(F.col(raw), bare_flag["start"] + 1, bare_flag["end"] - bare_flag["start"])
-    bare = F.when(F.col("_is_bare"), F.array(F.struct(bare_flag["start"].alias("start"), bare_flag["end"].alias("end"), F.lit("language").alias("kind"), token_text.alias("token"), F.lit(True).alias("valid")))).otherwise(F.array().cast(_FLAG))
-    ends = F.transform("_applied", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _kind(t).alias("kind"), t["value"].alias("token"), _fault(t).isNull().alias("valid")))
-    astray = F.transform(F.filter("_middle", _is_flag), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.coalesce(_kind(t, fold=False), F.lit("source")).alias("kind"), t["value"].alias("token"), F.lit(False).alias("valid")))
-    faults = F.transform(F.filter("_applied", lambda t: _fault(t).isNotNull()), lambda t: F.struct(_fault(t).alias("code"), t["value"].alias("token")))
-    misplaced = F.transform(F.filter("_middle", _is_flag), lambda t: F.struct(F.lit("flag_in_search_text").alias("code"), t["value"].alias("token")))
-    empty = F.when((n > 0) & (F.size("_middle") == 0), F.array(F.struct(F.lit("empty_search_text").alias("code"), F.lit(None).cast("string").alias("token")))).otherwise(F.array().cast(_ERROR))
+    bare = F.when(
+        F.col("_is_bare"),
+        F.array(
+            F.struct(
+                bare_flag["start"].alias("start"), bare_flag["end"].alias("end"), F.lit("language").alias("kind"),
+                token_text.alias("token"), F.lit(True).alias("valid")
+            )
+        )
+    ).otherwise(F.array().cast(_FLAG))
+    ends = F.transform(
+        "_applied",
+        lambda t: F.struct(
+            t["start"].alias("start"), t["end"].alias("end"), _kind(t).alias("kind"), t["value"].alias("token"),
+            _fault(t).isNull().alias("valid")
+        )
+    )
+    astray = F.transform(
+        F.filter("_middle", _is_flag),
+        lambda t: F.struct(
+            t["start"].alias("start"), t["end"].alias("end"), F.coalesce(_kind(t, fold=False), F.lit("source")).alias("kind"),
+            t["value"].alias("token"), F.lit(False).alias("valid")
+        )
+    )
+    faults = F.transform(
+        F.filter("_applied", lambda t: _fault(t).isNotNull()), lambda t: F.struct(_fault(t).alias("code"), t["value"].alias("token"))
+    )
+    misplaced = F.transform(
+        F.filter("_middle", _is_flag), lambda t: F.struct(F.lit("flag_in_search_text").alias("code"), t["value"].alias("token"))
+    )
+    empty = F.when(
+        (n > 0) & (F.size("_middle") == 0),
+        F.array(F.struct(F.lit("empty_search_text").alias("code"), F.lit(None).cast("string").alias("token")))
+    ).otherwise(F.array().cast(_ERROR))
     flagged = last("language", False)
-    languages = F.when(flagged.isNotNull(), F.filter(F.transform(F.split(_value(flagged), ","), normalize_language_id), lambda x: x != "")).when(F.col("_is_bare"), F.col("_names")).otherwise(F.array().cast("array<string>"))
+    languages = F.when(
+        flagged.isNotNull(), F.filter(F.transform(F.split(_value(flagged), ","), normalize_language_id), lambda x: x != "")
+    ).when(F.col("_is_bare"), F.col("_names")).otherwise(F.array().cast("array<string>"))
     return out.select(
         *df.columns,
         F.array_join(F.transform("_middle", lambda t: t["value"]), " ").alias("search_text"),

@@ -63,7 +63,9 @@ def normalize_language_id(c: Column) -> Column:
 
 
 def proposal_status_class(c: Column) -> Column:
-    return F.when(F.rlike(c, F.lit(NOT_CURRENT)), "not-current").when(F.rlike(c, F.lit(DRAFT_LIKE)), "draft").when(c.isNotNull() & (c != ""), "current")
+    return F.when(
+        F.rlike(c, F.lit(NOT_CURRENT)), "not-current"
+    ).when(F.rlike(c, F.lit(DRAFT_LIKE)), "draft").when(c.isNotNull() & (c != ""), "current")
 
 
 def decode_entities(c: Column, numeric: bool = False, cdata: bool = False) -> Column:
@@ -88,7 +90,10 @@ def _numeric(texts: pd.Series) -> pd.Series:
 
 def plain_markdown(c: Column) -> Column:
     """Text of inline Markdown: images go, links and code keep their text, tags, emphasis and escapes go."""
-    for pattern, by in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$1"), (r"</?[A-Za-z][^>]*>", ""), (r"`([^`]*)`", "$1"), (r"(\*\*|__)(.*?)\1", "$2"), (r"(^|[^\w*\\])\*(?!\s)([^*\\]*[^\s*\\])\*", "$1$2"), (r"\\([\\`*_{}\[\]()#+.!|<>-])", "$1")):
+    for pattern, by in (
+        (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\](?:\([^)]*\)|\[[^\]]*\])", "$1"), (r"</?[A-Za-z][^>]*>", ""), (r"`([^`]*)`", "$1"),
+        (r"(\*\*|__)(.*?)\1", "$2"), (r"(^|[^\w*\\])\*(?!\s)([^*\\]*[^\s*\\])\*", "$1$2"), (r"\\([\\`*_{}\[\]()#+.!|<>-])", "$1")
+    ):
         c = F.regexp_replace(c, pattern, by)
     return collapse(c)
 

@@ -38,7 +38,9 @@ def resolve(base: str | None, href: str | None) -> str | None:
         if u.scheme not in ("http", "https") or not u.hostname:
             return None
         port = f":{u.port}" if u.port and u.port != {"http": 80, "https": 443}[u.scheme] else ""
-        return urlunsplit((u.scheme, u.hostname.lower() + port, _dots(u.path) or "/", u.query.replace(" ", "%20"), u.fragment.replace(" ", "%20"))).replace(" ", "%20")
+        return urlunsplit(
+            (u.scheme, u.hostname.lower() + port, _dots(u.path) or "/", u.query.replace(" ", "%20"), u.fragment.replace(" ", "%20"))
+        ).replace(" ", "%20")
     except ValueError:
         return None
 
@@ -60,7 +62,9 @@ def url_resolve(base: Column, href: Column) -> Column:
     rooted = F.rlike(href, F.lit("^(?=/)" + _PLAIN)) & F.rlike(base, F.lit(_ORIGIN)) & ~dots
     absolute = F.rlike(href, F.lit(_ORIGIN + "(?=/)" + _PLAIN)) & ~dots
     other = ~F.coalesce(rooted, F.lit(False)) & ~F.coalesce(absolute, F.lit(False))
-    return F.when(rooted, F.concat(F.regexp_extract(base, _ORIGIN, 0), href)).when(absolute, href).otherwise(_resolved(base, F.when(other, href)))
+    return F.when(
+        rooted, F.concat(F.regexp_extract(base, _ORIGIN, 0), href)
+    ).when(absolute, href).otherwise(_resolved(base, F.when(other, href)))
 
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*):(?://(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -70,7 +74,10 @@ def url_parts(c: Column) -> dict[str, Column]:
     """protocol, host, path, query and fragment of an absolute URL; empty where it has none."""
     get = lambda i: F.regexp_extract(c, _PARTS, i)
     path = get(3)
-    return {"protocol": F.lower(get(1)), "host": F.lower(get(2)), "path": F.when(path == "", "/").otherwise(path), "query": get(4), "fragment": get(5)}
+    return {
+        "protocol": F.lower(get(1)), "host": F.lower(get(2)), "path": F.when(path == "", "/").otherwise(path), "query": get(4),
+        "fragment": get(5)
+    }
 
 
 def percent_decoded(c: Column) -> Column:
@@ -86,7 +93,15 @@ def spaced(c: Column) -> Column:
 def humanize_slug(c: Column) -> Column:
     """``a-b_c`` to ``A B C``: spaced, and the first ASCII letter of each word in upper case."""
     starts = F.split(spaced(c), "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
-    return F.array_join(F.transform(starts, lambda w: F.when(F.rlike(w, F.lit("^[A-Za-z0-9_]")), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))).otherwise(w)), "")
+    return F.array_join(
+        F.transform(
+            starts,
+            lambda w: F.when(
+                F.rlike(w, F.lit("^[A-Za-z0-9_]")), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 20))
+            ).otherwise(w)
+        ),
+        ""
+    )
 
 
 def path_segments(c: Column) -> Column:
@@ -97,7 +112,9 @@ def path_segments(c: Column) -> Column:
 def title_from_url(c: Column) -> Column:
     """The last path segment (its parent for an index page) without ``.html``, humanized; empty if there is none."""
     segments = path_segments(c)
-    last, parent = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")), F.coalesce(F.get(segments, F.size(segments) - 2), F.lit(""))
+    last, parent = F.coalesce(
+        F.try_element_at(segments, F.lit(-1)), F.lit("")
+    ), F.coalesce(F.get(segments, F.size(segments) - 2), F.lit(""))
     raw = F.when(F.rlike(last, F.lit(r"(?i)^index\.html?$")), parent).otherwise(F.regexp_replace(last, r"(?i)\.html?$", ""))
     title = humanize_slug(percent_decoded(raw))
     for word, name in NAMES.items():
@@ -150,7 +167,9 @@ def versioned_url(url: Column, version: Column) -> Column:
 def restore_path_case(path: Column, name: Column) -> Column:
     """Path segments that equal a part of the ``::``-separated name but for case get the name's case, the last such part."""
     parts = F.reverse(F.split(name, "::"))
-    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p) == s), F.lit(0)), s)), "/")
+    return F.array_join(
+        F.transform(F.split(path, "/"), lambda s: F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p) == s), F.lit(0)), s)), "/"
+    )
 
 
 def canonical_urls(records: DataFrame, moved: DataFrame) -> DataFrame:

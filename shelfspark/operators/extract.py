@@ -81,7 +81,10 @@ def link_records(links: DataFrame, base: Column | str | None = None, prefix: str
     return first_per_url(links.withColumn("link", url_resolve(base, F.col("href"))).where(F.startswith("link", F.lit(prefix))))
 
 
-def scoped_links(links: DataFrame, root: str, https: bool = True, bare: bool = True, exclude: Iterable[str] = (), suffix: str | None = None, prefer_last: bool = False) -> DataFrame:
+def scoped_links(
+    links: DataFrame, root: str, https: bool = True, bare: bool = True, exclude: Iterable[str] = (), suffix: str | None = None,
+    prefer_last: bool = False
+) -> DataFrame:
     """Resolved links within a path: same host, path equal to the root's or under it, and further rules."""
     at, parts = re.match(r"^(https?)://([^/]+)(.*?)/?$", root), url_parts(F.col("link"))
     rule = (parts["host"] == at[2].lower()) & ((parts["path"] == (at[3] or "/")) | F.startswith(parts["path"], F.lit(at[3] + "/")))
@@ -102,7 +105,10 @@ def discover_partitions(links: DataFrame, pattern: str) -> DataFrame:
 def discover_script(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
     """(doc_id, link, sound) of the first script of a page whose file name matches; ``sound`` is whether the page has one and it
     is under ``scope``, the page's own URL unless given."""
-    sources = F.concat(F.regexp_extract_all("body", F.lit(r'(?i)\bsrc="([^"]*)"'), F.lit(1)), F.regexp_extract_all("body", F.lit(r"(?i)\bsrc='([^']*)'"), F.lit(1)))
+    sources = F.concat(
+        F.regexp_extract_all("body", F.lit(r'(?i)\bsrc="([^"]*)"'), F.lit(1)),
+        F.regexp_extract_all("body", F.lit(r"(?i)\bsrc='([^']*)'"), F.lit(1))
+    )
     first = F.get(F.filter(sources, lambda x: F.rlike(F.substring_index(x, "/", -1), F.lit(name))), F.lit(0))
     under = F.col("url") if scope is None else F.lit(scope)
     found = df.select("doc_id", under.alias("under"), F.when(first.isNotNull(), url_resolve(F.col("url"), first)).alias("link"))
@@ -141,14 +147,20 @@ def extract_clauses(df: DataFrame, tags: tuple[str, ...] = ("emu-intro", "emu-cl
 
 def extract_table_rows(df: DataFrame, min_cells: int = 8) -> DataFrame:
     """(doc_id, url, pos, cells) of table rows with so many data cells."""
-    return _mapped(df, lambda body: h.table_rows(body, min_cells), "pos int, cells array<struct<text:string,href:string,spans:array<string>>>")
+    return _mapped(
+        df, lambda body: h.table_rows(body, min_cells), "pos int, cells array<struct<text:string,href:string,spans:array<string>>>"
+    )
 
 
 def paper_rows(rows: DataFrame, identifier: str = PAPER_IDENTIFIER) -> DataFrame:
     """Typed columns of table rows: identifier, title, author, date, group, status, link."""
     cell = lambda i: F.get("cells", F.lit(i))
     name = F.upper(cell(0)["text"])
-    return rows.where(F.rlike(name, F.lit(identifier)) & cell(0)["href"].isNotNull() & (cell(1)["text"] != "")).select("doc_id", F.col("url").alias("page_url"), "pos", name.alias("identifier"), cell(1)["text"].alias("title"), cell(2)["text"].alias("author"), cell(3)["text"].alias("date"), cell(6)["text"].alias("group"), cell(7)["text"].alias("status"), url_resolve(F.col("url"), cell(0)["href"]).alias("link"))
+    return rows.where(F.rlike(name, F.lit(identifier)) & cell(0)["href"].isNotNull() & (cell(1)["text"] != "")).select(
+        "doc_id", F.col("url").alias("page_url"), "pos", name.alias("identifier"), cell(1)["text"].alias("title"),
+        cell(2)["text"].alias("author"), cell(3)["text"].alias("date"), cell(6)["text"].alias("group"), cell(7)["text"].alias("status"),
+        url_resolve(F.col("url"), cell(0)["href"]).alias("link")
+    )
 
 
 # Sitemaps and feeds ----------------------------------------------------------------------------------------------
@@ -167,14 +179,20 @@ def extract_sitemap(df: DataFrame, prefixes: Iterable[str], fallback_title: str
 def extract_rss(df: DataFrame, prefix: str = "") -> DataFrame:
     """(doc_id, pos, title, link) of a feed's items with a title and a link under the prefix."""
     items = df.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(FEED_ITEM), F.lit(1))).alias("pos", "item"))
-    text = lambda tag: collapse(decode_entities(F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), numeric=True, cdata=True))
-    return items.select("doc_id", "pos", text("title").alias("title"), text("link").alias("link")).where((F.col("title") != "") & (F.col("link") != "") & F.startswith("link", F.lit(prefix)))
+    text = lambda tag: collapse(
+        decode_entities(F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), numeric=True, cdata=True)
+    )
+    return items.select("doc_id", "pos", text("title").alias("title"), text("link").alias("link")).where(
+        (F.col("title") != "") & (F.col("link") != "") & F.startswith("link", F.lit(prefix))
+    )
 
 
 def slug_kind_records(links: DataFrame, kinds: Iterable[str]) -> DataFrame:
     """Titles of links by their last segment: if that ends in a known ``_kind``, the rest in upper case joined by `` / `` and the
     kind as section, else the humanized segment."""
-    slug = F.regexp_replace(percent_decoded(F.coalesce(F.try_element_at(path_segments(F.col("link")), F.lit(-1)), F.lit(""))), r"\.html$", "")
+    slug = F.regexp_replace(
+        percent_decoded(F.coalesce(F.try_element_at(path_segments(F.col("link")), F.lit(-1)), F.lit(""))), r"\.html$", ""
+    )
     kind = F.get(F.filter(F.array(*(F.lit(k) for k in kinds)), lambda k: F.endswith(slug, F.concat(F.lit("_"), k))), F.lit(0))
     names = F.filter(F.split(F.left(slug, F.length(slug) - F.length(kind) - 1), "_"), lambda s: s != "")
     title = F.when(kind.isNotNull(), F.array_join(F.transform(names, lambda s: F.upper(s)), " / ")).otherwise(humanize_slug(slug))
@@ -276,47 +294,98 @@ def flatten_sidebar(df: DataFrame) -> DataFrame:
     node = "struct<id:string,title:string,anchor:string>"
     group = f"struct<key:string,name:string,nodes:array<{node}>>"
     page = f"struct<id:string,title:string,group:string,headers:array<struct<id:string,anchor:string>>,nodeGroups:array<{group}>>"
-    parsed = df.select("doc_id", F.from_json(unwrapped(F.col("body")), f"modules array<{page}>, extras array<{page}>, tasks array<{page}>").alias("s"))
+    parsed = df.select(
+        "doc_id", F.from_json(unwrapped(F.col("body")), f"modules array<{page}>, extras array<{page}>, tasks array<{page}>").alias("s")
+    )
     none = F.array().cast(f"array<{page}>")
-    pages = parsed.select("doc_id", F.posexplode(F.concat(*(F.coalesce(f"s.{k}", none) for k in ("modules", "extras", "tasks")))).alias("pos", "p"))
-    top = pages.select("doc_id", "pos", F.col("p.title").alias("title"), F.col("p.id").alias("page"), F.lit(None).cast("string").alias("anchor"), F.nullif("p.group", F.lit("")).alias("section"))
-    heads = pages.select("doc_id", "pos", "p", F.explode("p.headers").alias("x")).select("doc_id", "pos", F.col("x.id").alias("title"), F.col("p.id").alias("page"), F.col("x.anchor").alias("anchor"), F.col("p.title").alias("section"))
-    nodes = pages.select("doc_id", "pos", "p", F.explode("p.nodeGroups").alias("g")).select("doc_id", "pos", "p", F.explode("g.nodes").alias("x")).select("doc_id", "pos", F.coalesce("x.title", "x.id").alias("title"), F.col("p.id").alias("page"), F.col("x.anchor").alias("anchor"), F.col("p.title").alias("section"))
+    pages = parsed.select(
+        "doc_id", F.posexplode(F.concat(*(F.coalesce(f"s.{k}", none) for k in ("modules", "extras", "tasks")))).alias("pos", "p")
+    )
+    top = pages.select(
+        "doc_id", "pos", F.col("p.title").alias("title"), F.col("p.id").alias("page"), F.lit(None).cast("string").alias("anchor"),
+        F.nullif("p.group", F.lit("")).alias("section")
+    )
+    heads = pages.select("doc_id", "pos", "p", F.explode("p.headers").alias("x")).select(
+        "doc_id", "pos", F.col("x.id").alias("title"), F.col("p.id").alias("page"), F.col("x.anchor").alias("anchor"),
+        F.col("p.title").alias("section")
+    )
+    nodes = pages.select("doc_id", "pos", "p", F.explode("p.nodeGroups").alias("g")).select("doc_id", "pos", "p", F.explode("g.nodes").alias("x")).select(
+        "doc_id", "pos", F.coalesce("x.title", "x.id").alias("title"), F.col("p.id").alias("page"), F.col("x.anchor").alias("anchor"),
+        F.col("p.title").alias("section")
+    )
     return top.unionByName(heads).unionByName(nodes).where("title is not null and title <> ''")
 
 
 def sphinx_records(df: DataFrame, base: str = "") -> DataFrame:
     """(doc_id, kind, title, link, section): pages of a search index and the headings under them."""
-    parsed = df.select("doc_id", F.from_json(unwrapped(F.col("body")), "docnames array<string>, titles array<string>, alltitles map<string,array<array<string>>>").alias("s"))
-    pages = parsed.select("doc_id", F.posexplode(F.arrays_zip(F.col("s.docnames").alias("name"), F.col("s.titles").alias("title"))).alias("at", "p")).select("doc_id", "at", "p.name", h.plain_html_text("p.title").alias("title")).where("name is not null and title is not null")
-    url = F.concat(F.lit(base), F.regexp_replace(F.col("name"), r"(^|/)index$", "$1"), F.when(F.rlike("name", F.lit("(^|/)index$")), "").otherwise(".html"))
+    parsed = df.select(
+        "doc_id",
+        F.from_json(
+            unwrapped(F.col("body")), "docnames array<string>, titles array<string>, alltitles map<string,array<array<string>>>"
+        ).alias("s")
+    )
+    pages = parsed.select(
+        "doc_id", F.posexplode(F.arrays_zip(F.col("s.docnames").alias("name"), F.col("s.titles").alias("title"))).alias("at", "p")
+    ).select("doc_id", "at", "p.name", h.plain_html_text("p.title").alias("title")).where("name is not null and title is not null")
+    url = F.concat(
+        F.lit(base), F.regexp_replace(F.col("name"), r"(^|/)index$", "$1"),
+        F.when(F.rlike("name", F.lit("(^|/)index$")), "").otherwise(".html")
+    )
     pages = pages.withColumn("link", url)
-    found = parsed.select("doc_id", F.explode("s.alltitles").alias("heading", "places")).select("doc_id", "heading", F.explode("places").alias("place"))
-    heads = found.select("doc_id", h.plain_html_text("heading").alias("heading"), F.get("place", F.lit(0)).try_cast("int").alias("at"), F.get("place", F.lit(1)).alias("fragment")).where("fragment is not null")
-    under = heads.join(pages, ["doc_id", "at"]).select("doc_id", F.lit("heading").alias("kind"), F.col("heading").alias("title"), F.concat("link", F.lit("#"), "fragment").alias("link"), F.col("title").alias("section"))
-    return pages.select("doc_id", F.lit("page").alias("kind"), "title", "link", F.lit(None).cast("string").alias("section")).unionByName(under)
+    found = parsed.select(
+        "doc_id", F.explode("s.alltitles").alias("heading", "places")
+    ).select("doc_id", "heading", F.explode("places").alias("place"))
+    heads = found.select(
+        "doc_id", h.plain_html_text("heading").alias("heading"), F.get("place", F.lit(0)).try_cast("int").alias("at"),
+        F.get("place", F.lit(1)).alias("fragment")
+    ).where("fragment is not null")
+    under = heads.join(pages, ["doc_id", "at"]).select(
+        "doc_id", F.lit("heading").alias("kind"), F.col("heading").alias("title"), F.concat("link", F.lit("#"), "fragment").alias("link"),
+        F.col("title").alias("section")
+    )
+    return pages.select(
+        "doc_id", F.lit("page").alias("kind"), "title", "link", F.lit(None).cast("string").alias("section")
+    ).unionByName(under)
 
 
 def javadoc_records(packages: DataFrame, types: DataFrame, base: str = "") -> DataFrame:
     """(kind, title, link, section): packages, and types joined to the module of their package. The last of a repeated package
     counts; types without one are dropped."""
-    parsed = lambda df, s: df.select(F.posexplode(F.from_json(F.regexp_extract("body", r"(?s)(\[.*\])", 1), f"array<struct<{s}>>")).alias("pos", "x")).select("pos", "x.*")
+    parsed = lambda df, s: df.select(
+        F.posexplode(F.from_json(F.regexp_extract("body", r"(?s)(\[.*\])", 1), f"array<struct<{s}>>")).alias("pos", "x")
+    ).select("pos", "x.*")
     p = parsed(packages, "l:string,m:string").where("l is not null").groupBy("l").agg(F.max_by("m", "pos").alias("m"))
     t = parsed(types, "p:string,l:string").where("l is not null")
-    folder = F.concat(F.when(F.coalesce("m", F.lit("")) != "", F.concat("m", F.lit("/"))).otherwise(""), F.replace(F.col("package"), F.lit("."), F.lit("/")))
-    of_packages = p.select(F.lit("package").alias("kind"), F.col("l").alias("title"), F.col("l").alias("package"), "m").withColumn("link", F.concat(F.lit(base), folder, F.lit("/package-summary.html")))
-    of_types = t.select(F.col("p").alias("package"), F.col("l").alias("title")).join(p.withColumnRenamed("l", "package"), "package").withColumn("kind", F.lit("type")).withColumn("link", F.concat(F.lit(base), folder, F.lit("/"), "title", F.lit(".html")))
-    return of_packages.select("kind", "title", "link", F.col("m").alias("section")).unionByName(of_types.select("kind", "title", "link", F.col("package").alias("section")))
-
-
-def json_entry_records(df: DataFrame, entry: str, title: Callable[[Column], Column], link: Callable[[Column], Column], section: Callable[[Column], Column] | None = None, field: str | None = None, accept: Callable[[Column], Column] | None = None, mapped: bool = False) -> DataFrame:
+    folder = F.concat(
+        F.when(F.coalesce("m", F.lit("")) != "", F.concat("m", F.lit("/"))).otherwise(""),
+        F.replace(F.col("package"), F.lit("."), F.lit("/"))
+    )
+    of_packages = p.select(
+        F.lit("package").alias("kind"), F.col("l").alias("title"), F.col("l").alias("package"), "m"
+    ).withColumn("link", F.concat(F.lit(base), folder, F.lit("/package-summary.html")))
+    of_types = t.select(F.col("p").alias("package"), F.col("l").alias("title")).join(p.withColumnRenamed("l", "package"), "package").withColumn("kind", F.lit("type")).withColumn(
+        "link", F.concat(F.lit(base), folder, F.lit("/"), "title", F.lit(".html"))
+    )
+    return of_packages.select("kind", "title", "link", F.col("m").alias("section")).unionByName(
+        of_types.select("kind", "title", "link", F.col("package").alias("section"))
+    )
+
+
+def json_entry_records(
+    df: DataFrame, entry: str, title: Callable[[Column], Column], link: Callable[[Column], Column],
+    section: Callable[[Column], Column] | None = None, field: str | None = None, accept: Callable[[Column], Column] | None = None,
+    mapped: bool = False
+) -> DataFrame:
     """(doc_id, pos, title, link, section) of a flat JSON list (or the values of a map) of ``entry`` structs, in a field or at
     the top. The callables take the entry's column, so a site's rules stay expressions."""
     shape = f"map<string,struct<{entry}>>" if mapped else f"array<struct<{entry}>>"
     items = F.from_json("body", f"`{field}` {shape}")[field] if field else F.from_json("body", shape)
     items = F.map_values(items) if mapped else items
     rows = df.select("doc_id", F.posexplode(items).alias("pos", "x"))
-    rows = rows.select("doc_id", "pos", "x", title(F.col("x")).alias("title"), link(F.col("x")).alias("link"), (section(F.col("x")) if section else F.lit(None).cast("string")).alias("section"))
+    rows = rows.select(
+        "doc_id", "pos", "x", title(F.col("x")).alias("title"), link(F.col("x")).alias("link"),
+        (section(F.col("x")) if section else F.lit(None).cast("string")).alias("section")
+    )
     ok = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("link", F.lit("")) != "")
     return rows.where(ok & accept(F.col("x")) if accept else ok).drop("x")
 
@@ -329,9 +398,14 @@ def latest_version_records(df: DataFrame, pattern: str = RELEASE) -> DataFrame:
 
 def json_path_lists(df: DataFrame, pattern: str = r"^[A-Za-z0-9._/-]+$") -> DataFrame:
     """(doc_id, path, title, section) of a map from keyword to paths: title from the last segment, section from the first."""
-    rows = df.select("doc_id", F.explode(F.array_distinct(F.flatten(F.map_values(F.from_json("body", "map<string,array<string>>"))))).alias("path"))
+    rows = df.select(
+        "doc_id", F.explode(F.array_distinct(F.flatten(F.map_values(F.from_json("body", "map<string,array<string>>"))))).alias("path")
+    )
     parts = F.split("path", "/")
-    return rows.where(F.rlike("path", F.lit(pattern)) & ~F.contains("path", F.lit(".."))).select("doc_id", "path", humanize_slug(F.regexp_replace(F.element_at(parts, -1), r"\.[a-z]+$", "")).alias("title"), F.when(F.size(parts) > 1, humanize_slug(F.get(parts, F.lit(0)))).alias("section"))
+    return rows.where(F.rlike("path", F.lit(pattern)) & ~F.contains("path", F.lit(".."))).select(
+        "doc_id", "path", humanize_slug(F.regexp_replace(F.element_at(parts, -1), r"\.[a-z]+$", "")).alias("title"),
+        F.when(F.size(parts) > 1, humanize_slug(F.get(parts, F.lit(0)))).alias("section")
+    )
 
 
 # Markdown --------------------------------------------------------------------------------------------------------
@@ -343,8 +417,12 @@ def _marked_lines(df: DataFrame, row: Callable[[Column], Column], **marks: Calla
     gives a line's value, or null."""
     lines = F.transform(F.split("body", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     rows = df.select("doc_id", lines.alias("lines"))
-    at = lambda mark: F.filter(F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), mark(x["line"]).alias("value"))), lambda x: x["value"].isNotNull())
-    found = rows.select("doc_id", *(at(mark).alias(name) for name, mark in marks.items()), F.explode(F.filter("lines", lambda x: row(x["line"]))).alias("x"))
+    at = lambda mark: F.filter(
+        F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), mark(x["line"]).alias("value"))), lambda x: x["value"].isNotNull()
+    )
+    found = rows.select(
+        "doc_id", *(at(mark).alias(name) for name, mark in marks.items()), F.explode(F.filter("lines", lambda x: row(x["line"]))).alias("x")
+    )
     latest = [F.try_element_at(F.filter(name, lambda m: m["pos"] <= F.col("x.pos")), F.lit(-1))["value"].alias(name) for name in marks]
     return found.select("doc_id", "x.pos", "x.line", *latest)
 
@@ -359,14 +437,22 @@ def markdown_links(df: DataFrame) -> DataFrame:
     link = r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)"
     item, alone = rf"^(\s*)[-*+]\s+{link}", rf"^(\s*){link}\s*$"
     rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(item)) | F.rlike(x, F.lit(alone)), section=_title_of(r"^#{1,6}\s+(.*?)\s*#*\s*$"))
-    of = lambda i: F.when(F.rlike("line", F.lit(item)), F.regexp_extract("line", item, i)).otherwise(F.regexp_extract("line", alone, i))
-    return rows.select("doc_id", "pos", F.length(of(1)).alias("depth"), plain_markdown(of(2)).alias("title"), of(3).alias("href"), F.nullif("section", F.lit("")).alias("section"))
+    of = lambda i: F.when(
+        F.rlike("line", F.lit(item)), F.regexp_extract("line", item, i)
+    ).otherwise(F.regexp_extract("line", alone, i))
+    return rows.select(
+        "doc_id", "pos", F.length(of(1)).alias("depth"), plain_markdown(of(2)).alias("title"), of(3).alias("href"),
+        F.nullif("section", F.lit("")).alias("section")
+    )
 
 
 def markdown_inline_links(df: DataFrame, pattern: str = "") -> DataFrame:
     """(doc_id, pos, title, href) of every link in running text whose target matches; pos counts links, images are none."""
     link = r"(?<!!)\[([^\]\n]+)\]\(([^)\s]+)[^)\n]*\)"
-    both = F.arrays_zip(F.regexp_extract_all("body", F.lit(link), F.lit(1)).alias("title"), F.regexp_extract_all("body", F.lit(link), F.lit(2)).alias("href"))
+    both = F.arrays_zip(
+        F.regexp_extract_all("body", F.lit(link), F.lit(1)).alias("title"),
+        F.regexp_extract_all("body", F.lit(link), F.lit(2)).alias("href")
+    )
     rows = df.select("doc_id", F.posexplode(both).alias("pos", "x")).where(F.rlike("x.href", F.lit(pattern)))
     return rows.select("doc_id", "pos", plain_markdown(F.col("x.title")).alias("title"), "x.href")
 
@@ -376,7 +462,10 @@ def markdown_anchored_headings(df: DataFrame) -> DataFrame:
     pattern = r"""^(#{1,6})\s*<a\s+(?:name|id)=["']?([^"'>\s]+)["']?\s*>\s*</a>\s*(.*?)\s*#*\s*$"""
     rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(pattern)), section=_title_of(pattern.replace("{1,6}", "{1}(?!#)"), 3))
     level = F.length(F.regexp_extract("line", pattern, 1))
-    return rows.select("doc_id", "pos", level.alias("level"), plain_markdown(F.regexp_extract("line", pattern, 3)).alias("title"), F.regexp_extract("line", pattern, 2).alias("anchor"), "section")
+    return rows.select(
+        "doc_id", "pos", level.alias("level"), plain_markdown(F.regexp_extract("line", pattern, 3)).alias("title"),
+        F.regexp_extract("line", pattern, 2).alias("anchor"), "section"
+    )
 
 
 def zip_summary_with_sitemap(summary: DataFrame, sitemap: DataFrame) -> DataFrame:
@@ -397,14 +486,25 @@ def markdown_status_tables(df: DataFrame, default_status: str = "") -> DataFrame
     ``inactive`` reason from the last cell; reference links resolve through the document's definitions, the last of a label,
     and a link without any is the document and line."""
     lines = F.split("body", r"\r?\n")
-    defined = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(DEFINITION))), lambda x: F.struct(F.lower(F.regexp_extract(x, DEFINITION, 1)).alias("label"), F.regexp_extract(x, DEFINITION, 2).alias("target")))
+    defined = F.transform(
+        F.filter(lines, lambda x: F.rlike(x, F.lit(DEFINITION))),
+        lambda x: F.struct(F.lower(F.regexp_extract(x, DEFINITION, 1)).alias("label"), F.regexp_extract(x, DEFINITION, 2).alias("target"))
+    )
     table = lambda x: F.rlike(x, F.lit(r"^\s*\|.*\|\s*$")) & ~F.rlike(x, F.lit(r"^\s*\|[\s:|-]+\|\s*$"))
-    stage = lambda x: F.when(F.rlike(x, F.lit(STAGE_HEADING)), F.concat(F.lit("stage-"), F.regexp_extract(x, STAGE_HEADING, 1)))
+    stage = lambda x: F.when(
+        F.rlike(x, F.lit(STAGE_HEADING)), F.concat(F.lit("stage-"), F.regexp_extract(x, STAGE_HEADING, 1))
+    )
     rows = _marked_lines(df.select(F.struct("doc_id", defined.alias("defined")).alias("doc_id"), "body"), table, status=stage)
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
-    rows = rows.select("doc_id.doc_id", "doc_id.defined", "pos", F.coalesce("status", F.lit(default_status)).alias("status"), cells.alias("cells")).withColumn("first", F.get("cells", F.lit(0)))
+    rows = rows.select(
+        "doc_id.doc_id", "doc_id.defined", "pos", F.coalesce("status", F.lit(default_status)).alias("status"), cells.alias("cells")
+    ).withColumn("first", F.get("cells", F.lit(0)))
     direct = F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\(([^)\s]+)", 1), F.lit(""))
-    label = F.lower(F.coalesce(F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\[([^\]]+)\]", 1), F.lit("")), F.regexp_extract("first", r"\[([^\]]+)\]", 1)))
+    label = F.lower(
+        F.coalesce(
+            F.nullif(F.regexp_extract("first", r"\[[^\]]*\]\[([^\]]+)\]", 1), F.lit("")), F.regexp_extract("first", r"\[([^\]]+)\]", 1)
+        )
+    )
     rows = rows.where(F.contains("first", F.lit("["))).withColumns({"direct": direct, "label": label})
     target = F.try_element_at(F.filter("defined", lambda x: x["label"] == F.col("label")), F.lit(-1))["target"]
     link = F.coalesce("direct", target, F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("pos").cast("string")))
@@ -421,7 +521,9 @@ def heading_anchor_lookup(entries: DataFrame, pages: DataFrame) -> DataFrame:
     from the title's slug."""
     first = pages.select("path", F.nullif(F.regexp_extract("body", r"""(?is)<h[1-6]\b[^>]*\bid=["']?([^"'\s>]+)""", 1), F.lit("")).alias("_id")).groupBy("path").agg(F.min("_id").alias("_id"))
     slug = F.regexp_replace(F.regexp_replace(F.lower(F.trim("title")), r"[^\p{L}\p{N}\s-]+", ""), r"\s+", "-")
-    return entries.join(first, "path", "left").withColumn("fragment", F.coalesce(F.nullif("fragment", F.lit("")), "_id", slug)).select(*entries.columns)
+    return entries.join(first, "path", "left").withColumn(
+        "fragment", F.coalesce(F.nullif("fragment", F.lit("")), "_id", slug)
+    ).select(*entries.columns)
 
 
 def assert_edition(df: DataFrame, pattern: str, expected: str) -> DataFrame:

@@ -41,11 +41,16 @@ def group_results(ranked: DataFrame, rank: str = "place") -> DataFrame:
     return rows.drop("_key", "_shared")
 
 
-def order_groups(grouped: DataFrame, order: str = "relevance", names: DataFrame | None = None, collation: str | None = "UNICODE_CI_AI") -> DataFrame:
+def order_groups(
+    grouped: DataFrame, order: str = "relevance", names: DataFrame | None = None, collation: str | None = "UNICODE_CI_AI"
+) -> DataFrame:
     """``grouped`` with group_place. By language name, ascending or descending, groups of a language keep their relevance."""
     rows = grouped
     if names is not None:
-        rows = rows.join(F.broadcast(names.select(F.col("id").alias("_id"), F.col("name").alias("_name"))), F.col("programming_language") == F.col("_id"), "left").drop("_id")
+        rows = rows.join(
+            F.broadcast(names.select(F.col("id").alias("_id"), F.col("name").alias("_name"))),
+            F.col("programming_language") == F.col("_id"), "left"
+        ).drop("_id")
     else:
         rows = rows.withColumn("_name", F.lit(None).cast("string"))
     name = F.coalesce("_name", "programming_language")
@@ -58,21 +63,30 @@ def paginate(ordered: DataFrame, size: int = PAGE) -> DataFrame:
     """With page, shown (groups up to the page's end) and total."""
     total = F.max("group_place").over(w.Window.partitionBy("query_id"))
     page = F.floor((F.col("group_place") - 1) / size)
-    return ordered.withColumn("page", page.cast("int")).withColumn("total", total).withColumn("shown", F.least((page + 1) * size, "total").cast("int"))
+    return ordered.withColumn("page", page.cast("int")).withColumn("total", total).withColumn(
+        "shown", F.least((page + 1) * size, "total").cast("int")
+    )
 
 
 def facet_choices(facets: DataFrame) -> DataFrame:
     """(query_id, facet, value, label, place) of languages and sites, each facet only where it has a choice."""
-    language = facets.select("query_id", F.lit("language").alias("facet"), F.col("programming_language").alias("value"), F.col("programming_language").alias("label"))
+    language = facets.select(
+        "query_id", F.lit("language").alias("facet"), F.col("programming_language").alias("value"),
+        F.col("programming_language").alias("label")
+    )
     site = facets.select("query_id", F.lit("site").alias("facet"), F.col("source_id").alias("value"), F.col("source_name").alias("label"))
     rows = language.unionByName(site).distinct()
     facet = w.Window.partitionBy("query_id", "facet")
-    return rows.withColumn("_n", F.count("*").over(facet)).where("_n > 1").withColumn("place", F.row_number().over(facet.orderBy("label", "value"))).drop("_n")
+    return rows.withColumn("_n", F.count("*").over(facet)).where("_n > 1").withColumn(
+        "place", F.row_number().over(facet.orderBy("label", "value"))
+    ).drop("_n")
 
 
 def source_notes(results: DataFrame, rank: str = "place") -> DataFrame:
     """(query_id, source_id, qualification, note_place): caveats of the sources in a result, in order of appearance."""
-    first = results.where("qualification is not null").groupBy("query_id", "source_id").agg(F.min_by("qualification", rank).alias("qualification"), F.min(rank).alias("_rank"))
+    first = results.where("qualification is not null").groupBy("query_id", "source_id").agg(
+        F.min_by("qualification", rank).alias("qualification"), F.min(rank).alias("_rank")
+    )
     return first.withColumn("note_place", F.row_number().over(w.Window.partitionBy("query_id").orderBy("_rank"))).drop("_rank")
 
 
@@ -80,6 +94,8 @@ def filter_sources(sources: DataFrame, selections: DataFrame) -> DataFrame:
     """Sources (query_id, source_id, programming_language, ...) that pass a selection (query_id, language_ids, source_ids): OR
     within a facet, AND across; values that no source has don't count, and an empty facet keeps all."""
     have = sources.groupBy("query_id").agg(F.collect_set("programming_language").alias("_langs"), F.collect_set("source_id").alias("_ids"))
-    chosen = selections.join(have, "query_id").select("query_id", F.array_intersect("language_ids", "_langs").alias("_l"), F.array_intersect("source_ids", "_ids").alias("_s"))
+    chosen = selections.join(have, "query_id").select(
+        "query_id", F.array_intersect("language_ids", "_langs").alias("_l"), F.array_intersect("source_ids", "_ids").alias("_s")
+    )
     passes = lambda picked, c: F.col(picked).isNull() | (F.size(picked) == 0) | F.array_contains(picked, F.col(c))
     return sources.join(chosen, "query_id", "left").where(passes("_l", "programming_language") & passes("_s", "source_id")).drop("_l", "_s")

@@ -16,12 +16,16 @@ def failed_sources(chosen: DataFrame, faults: DataFrame) -> DataFrame:
     return met.select("query_id", "source_id", F.col("actual_locale").alias("docs_locale"), F.col("fault").alias("reason"))
 
 
-def run_requests(requests: DataFrame, manifest: DataFrame, records: DataFrame, faults: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+def run_requests(
+    requests: DataFrame, manifest: DataFrame, records: DataFrame, faults: DataFrame | None = None, **options
+) -> dict[str, DataFrame]:
     """Five tables keyed by query_id: records, facets, unavailable, fallback and failed.
 
     requests: query_id, query, docs_locale, source_ids (array) and optionally limit. Sources whose bundle is faulty are left
     out one by one; the others are searched."""
-    wanted = requests.select("query_id", F.coalesce("docs_locale", F.lit("")).alias("docs_locale"), F.explode(F.array_distinct("source_ids")).alias("source_id"))
+    wanted = requests.select(
+        "query_id", F.coalesce("docs_locale", F.lit("")).alias("docs_locale"), F.explode(F.array_distinct("source_ids")).alias("source_id")
+    )
     chosen = sc.select_indexes(wanted, manifest)
     found = chosen.where("outcome = 'index'").select("query_id", "source_id", F.col("actual_locale").alias("docs_locale"))
     failed = None
@@ -31,7 +35,9 @@ def run_requests(requests: DataFrame, manifest: DataFrame, records: DataFrame, f
     results, facets = s.search(requests.drop("docs_locale", "source_ids"), records, scope=found.distinct(), **options)
     out = {"records": results, "facets": facets}
     out["unavailable"] = chosen.where("outcome = 'unavailable'").select("query_id", "source_id", "status", "reason")
-    out["fallback"] = chosen.where("fallback").select("query_id", "source_id", F.col("docs_locale").alias("requested_locale"), "actual_locale")
+    out["fallback"] = chosen.where("fallback").select(
+        "query_id", "source_id", F.col("docs_locale").alias("requested_locale"), "actual_locale"
+    )
     if failed is not None:
         out["failed"] = failed
     return out

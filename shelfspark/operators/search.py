@@ -50,7 +50,9 @@ def _grams(c: Column, size: Column | int) -> Column:
     return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def contained(needles: DataFrame, rows: DataFrame, key: str, parts: str, plan: str = "auto", same: dict[str, str] | None = None) -> DataFrame:
+def contained(
+    needles: DataFrame, rows: DataFrame, key: str, parts: str, plan: str = "auto", same: dict[str, str] | None = None
+) -> DataFrame:
     """Pairs of needles and rows (of prepared records) whose ``hay`` contains all the strings in the needle's ``parts``, and
     that are equal in the columns ``same`` (of rows: of needles). ``key`` is unique among the needles."""
     if plan == "auto":
@@ -97,16 +99,22 @@ def osa_distance(a: Column, b: Column, most: int) -> Column:
         return F.when(plain >= 0, plain).when(after_swap, 1)
 
     def one_edit(i: Column) -> Column:
-        pair = lambda j: (j >= 1) & (F.substring(b, j, F.lit(1)) == F.substring(a, i + 1, F.lit(1))) & (F.substring(b, j + 1, F.lit(1)) == F.substring(a, i, F.lit(1)))
+        pair = lambda j: (j >= 1) & (
+            F.substring(b, j, F.lit(1)) == F.substring(a, i + 1, F.lit(1))
+        ) & (F.substring(b, j + 1, F.lit(1)) == F.substring(a, i, F.lit(1)))
         left = lambda j: F.levenshtein(F.left(a, i - 1), F.left(b, j - 1)) + F.levenshtein(rest(a, i), rest(b, j))
         return F.exists(F.array(i - 1, i, i + 1), lambda j: pair(j) & (left(j) <= 1))
 
     two_swaps = F.exists(places, lambda i: F.exists(places, lambda j: (j >= i + 2) & (_swapped(_swapped(a, i), j) == b)))
-    return F.when(F.length(a) < 2, F.when(plain >= 0, plain)).when(plain.between(0, 1), plain).when(after_swap, 1).when(plain == 2, 2).when(F.exists(places, one_edit) | two_swaps, 2)
+    return F.when(
+        F.length(a) < 2, F.when(plain >= 0, plain)
+    ).when(plain.between(0, 1), plain).when(after_swap, 1).when(plain == 2, 2).when(F.exists(places, one_edit) | two_swaps, 2)
 
 
 def _without_one(word: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word))))
+    return F.transform(
+        F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, F.length(word)))
+    )
 
 
 def _deletions(word: Column, most: int) -> Column:
@@ -122,9 +130,13 @@ def _deletions(word: Column, most: int) -> Column:
 def close_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, word, distance): close pairs of distinct tokens and words, found by shared deletions and then verified."""
     plain = F.lit(r"^[\p{L}\p{N}]+$")
-    t = tokens.select("token").distinct().where((F.length("token") >= 4) & F.rlike("token", plain)).withColumn("most", F.when(F.length("token") >= 8, 2).otherwise(1))
+    t = tokens.select("token").distinct().where((F.length("token") >= 4) & F.rlike("token", plain)).withColumn(
+        "most", F.when(F.length("token") >= 8, 2).otherwise(1)
+    )
     v = words.select("word").distinct().where((F.length("word") >= 4) & F.rlike("word", plain))
-    lengths = (F.abs(F.length("word") - F.length("token")) <= F.col("most")) & ((F.length("token") >= 7) | (F.length("word") == F.length("token")))
+    lengths = (F.abs(F.length("word") - F.length("token")) <= F.col("most")) & (
+        (F.length("token") >= 7) | (F.length("word") == F.length("token"))
+    )
     parts = []
     for most in (1, 2):
         left = t.where(F.col("most") == most).select("token", "most", F.explode(_deletions(F.col("token"), most)).alias("key"))
@@ -142,8 +154,12 @@ def match_fuzzy(queries: DataFrame, rows: DataFrame, plan: str = "auto") -> Data
     index = rows.select("_row", F.explode(words_of(F.col("hay"))).alias("word"))
     near = close_words(tokens, index.select("word")).join(index, "word").groupBy("_row", "token").agg(F.min("distance").alias("distance"))
     inside = contained(tokens.withColumn("parts", F.array("token")), rows.select("_row", "hay"), "token", "parts", plan)
-    best = near.unionByName(inside.select("_row", "token", F.lit(0).alias("distance"))).groupBy("_row", "token").agg(F.min("distance").alias("distance"))
-    met = best.join(asked, "token").groupBy("query_id", "_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "distance"))).alias("distances"))
+    best = near.unionByName(
+        inside.select("_row", "token", F.lit(0).alias("distance"))
+    ).groupBy("_row", "token").agg(F.min("distance").alias("distance"))
+    met = best.join(asked, "token").groupBy("query_id", "_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "distance"))).alias("distances")
+    )
     full = met.join(queries, "query_id").where(F.size("distances") == F.size("tokens"))
     return full.join(rows, "_row")
 
@@ -160,7 +176,9 @@ def score(pairs: DataFrame) -> DataFrame:
     if "distances" in pairs.columns:
         total = total - PER_DISTANCE * F.aggregate(F.map_values("distances"), F.lit(0.0), lambda a, x: a + x)
     status = F.coalesce("proposal_status", F.lit(""))
-    total = total + F.when(F.col("source_kind") == "official", OFFICIAL).otherwise(0.0) - F.when(F.col("document_kind") == "proposal", PROPOSAL).otherwise(0.0)
+    total = total + F.when(F.col("source_kind") == "official", OFFICIAL).otherwise(0.0) - F.when(
+        F.col("document_kind") == "proposal", PROPOSAL
+    ).otherwise(0.0)
     total = total - F.when(F.rlike(status, F.lit(NOT_CURRENT)), DEAD).when(F.rlike(status, F.lit(DRAFT_LIKE)), DRAFT).otherwise(0.0)
     return pairs.withColumn("score", total - F.least(F.length("t") / LENGTH, F.lit(MOST_LENGTH))).where("score > 0")
 
@@ -190,7 +208,9 @@ def diversify(scored: DataFrame, collation: str | None = None, limit: str = "lim
     """``place`` in a result that shows every language early: up to three rounds take the next best of each language, in the
     order of their best, as long as the result is under the limit when a round starts; the rest follows by rank up to the limit."""
     by_query, by_lang = w.Window.partitionBy("query_id"), w.Window.partitionBy("query_id", "programming_language")
-    rows = ranked(scored, collation).withColumn("_k", F.row_number().over(by_lang.orderBy("rank")) - 1).withColumn("_first", F.min("rank").over(by_lang))
+    rows = ranked(scored, collation).withColumn(
+        "_k", F.row_number().over(by_lang.orderBy("rank")) - 1
+    ).withColumn("_first", F.min("rank").over(by_lang))
     before = F.coalesce(F.count("*").over(by_query.orderBy("_k").rangeBetween(w.Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_round", F.when((F.col("_k") < ROUNDS) & (before < F.col(limit)), F.col("_k")).otherwise(ROUNDS))
     in_order = by_query.orderBy("_round", F.when(F.col("_round") < ROUNDS, F.col("_first")).otherwise(F.col("rank")))
@@ -200,10 +220,15 @@ def diversify(scored: DataFrame, collation: str | None = None, limit: str = "lim
 
 def facets(matches: DataFrame, collation: str | None = None) -> DataFrame:
     """(query_id, source_id, source_name, programming_language, place) of the sources of all matches, before any limit."""
-    first = matches.groupBy("query_id", "source_id").agg(F.min_by(F.struct("source_name", "programming_language"), F.struct("catalog_pos", "pos")).alias("of"))
+    first = matches.groupBy("query_id", "source_id").agg(
+        F.min_by(F.struct("source_name", "programming_language"), F.struct("catalog_pos", "pos")).alias("of")
+    )
     name = (lambda c: F.collate(F.col(c), collation)) if collation else F.col
     rows = first.select("query_id", "source_id", "of.source_name", "of.programming_language")
-    return rows.withColumn("place", F.row_number().over(w.Window.partitionBy("query_id").orderBy(name("programming_language"), name("source_name"), name("source_id"))))
+    return rows.withColumn(
+        "place",
+        F.row_number().over(w.Window.partitionBy("query_id").orderBy(name("programming_language"), name("source_name"), name("source_id")))
+    )
 
 
 def fuzzy_gate(queries: DataFrame, bounded: DataFrame) -> DataFrame:
@@ -256,4 +281,6 @@ def suggest(requests: DataFrame, records: DataFrame, fuzzy: bool = True, collati
     found, _ = search(long, records, SUGGEST_LIMIT, collation, fuzzy)
     by_title = w.Window.partitionBy("query_id", F.lower("title")).orderBy("place")
     first = found.withColumn("_n", F.row_number().over(by_title)).where("_n = 1")
-    return first.withColumn("place", F.row_number().over(w.Window.partitionBy("query_id").orderBy("place"))).where(F.col("place") <= SUGGESTIONS).select("query_id", "title", "source_name", "place")
+    return first.withColumn(
+        "place", F.row_number().over(w.Window.partitionBy("query_id").orderBy("place"))
+    ).where(F.col("place") <= SUGGESTIONS).select("query_id", "title", "source_name", "place")

@@ -22,18 +22,23 @@ def _titled(spark, d):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = b.table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(lines).alias("n", "title"))
     url = F.concat(F.lit("https://d.example/"), "lang", F.lit("/s-"), (F.col("doc_id") % 10).cast("string"), F.lit("/p"))
-    return rows.select("title", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("section"), url.alias("url"), F.col("lang").alias("docs_locale"), F.lit("docs").alias("source_id"), (F.col("doc_id") * 1_000_000 + F.col("n")).alias("pos"))
+    return rows.select(
+        "title", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("section"), url.alias("url"), F.col("lang").alias("docs_locale"),
+        F.lit("docs").alias("source_id"), (F.col("doc_id") * 1_000_000 + F.col("n")).alias("pos")
+    )
 
 
 _TITLED = r"""recs AS (SELECT title, CASE WHEN doc_id % 3 = 0 THEN source END AS section, lang AS docs_locale, doc_id * 1000000 + n AS pos, 's ' || (doc_id % 10) AS parent
- FROM (SELECT doc_id, lang, source, unnest(x) AS title, unnest(range(len(x))) AS n FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS x FROM documents)))"""
+ FROM (SELECT doc_id, lang, source, unnest(x) AS title, unnest(range(len(x))) AS n FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x:
+  trim(x)), lambda x: x <> '') AS x FROM documents)))"""
 
 
 def qualify_titles(spark, d):
     return rec.qualify_titles(_titled(spark, d)).select("pos", F.sha2("title", 256).alias("title_sha256"))
 
 
-QUALIFIED = rf"""WITH {_TITLED}, c AS (SELECT *, lower(trim(title)) AS k, CASE WHEN title = '' THEN NULL WHEN section IS NOT NULL AND NOT contains(lower(title), lower(section)) THEN title || ' — ' || section ELSE title || ' — ' || parent END AS ctx FROM recs),
+QUALIFIED = rf"""WITH {_TITLED}, c AS (SELECT *, lower(trim(title)) AS k, CASE WHEN title = '' THEN NULL WHEN section IS NOT NULL AND NOT contains(lower(title), lower(section)) THEN
+  title || ' — ' || section ELSE title || ' — ' || parent END AS ctx FROM recs),
 g AS (SELECT *, count(*) OVER w AS n, min(coalesce(ctx, title)) OVER w <> max(coalesce(ctx, title)) OVER w AS apart FROM c WINDOW w AS (PARTITION BY docs_locale, k))
 SELECT pos, sha256(CASE WHEN n > 1 AND apart AND ctx IS NOT NULL THEN ctx ELSE title END) AS title_sha256 FROM g"""
 
@@ -43,22 +48,40 @@ def explicit_titles(spark, d):
     p, k = b.table(spark, d, "part"), F.col("p_partkey").cast("string")
     kind = F.col("p_partkey") % 4
     records = p.select(
-        F.element_at(F.array(F.lit("cpp"), F.lit("ruby"), F.lit("ex"), F.lit("java")), (kind + 1).cast("int")).alias("source_id"), F.lit("en").alias("docs_locale"),
-        F.when(kind == 1, F.concat(F.lit("#"), F.split_part("p_name", F.lit(" "), F.lit(1)))).when(kind == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(x)"))).otherwise(F.col("p_name")).alias("title"), F.when(kind >= 2, F.col("p_brand")).alias("section"),
-        F.when(kind == 0, F.concat(F.lit("https://c.example/reference/"), F.when(F.col("p_size") % 2 == 0, "chrono/").otherwise("vector/"), F.lit("owner/"), F.when(F.col("p_size") % 3 == 0, "op_equal").when(F.col("p_size") % 3 == 1, "op_constructor").otherwise("size"), F.lit(".html"))).when(kind == 1, F.concat(F.lit("https://r.example/en/3/A/B"), k, F.lit(".html"))).otherwise(F.concat(F.lit("https://x.example/"), k)).alias("url"), F.col("p_partkey").alias("pos"),
+        F.element_at(
+            F.array(F.lit("cpp"), F.lit("ruby"), F.lit("ex"), F.lit("java")), (kind + 1).cast("int")
+        ).alias("source_id"), F.lit("en").alias("docs_locale"),
+        F.when(kind == 1, F.concat(F.lit("#"), F.split_part("p_name", F.lit(" "), F.lit(1)))).when(
+            kind == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("(x)"))
+        ).otherwise(F.col("p_name")).alias("title"), F.when(kind >= 2, F.col("p_brand")).alias("section"),
+        F.when(
+            kind == 0,
+            F.concat(
+                F.lit("https://c.example/reference/"), F.when(F.col("p_size") % 2 == 0, "chrono/").otherwise("vector/"), F.lit("owner/"),
+                F.when(F.col("p_size") % 3 == 0, "op_equal").when(F.col("p_size") % 3 == 1, "op_constructor").otherwise("size"),
+                F.lit(".html")
+            )
+        ).when(kind == 1, F.concat(F.lit("https://r.example/en/3/A/B"), k, F.lit(".html"))).otherwise(F.concat(F.lit("https://x.example/"), k)).alias("url"), F.col("p_partkey").alias("pos"),
     )
-    jobs = spark.createDataFrame([("ex", "en", "exdoc-sidebar"), ("java", "en", "javadoc-types")], "source_id string, docs_locale string, adapter string")
+    jobs = spark.createDataFrame(
+        [("ex", "en", "exdoc-sidebar"), ("java", "en", "javadoc-types")], "source_id string, docs_locale string, adapter string"
+    )
     return rec.explicit_titles(records, jobs, ["cpp"], ["ruby"]).select("pos", "title")
 
 
-EXPLICIT = """SELECT p_partkey AS pos, CASE p_partkey % 4 WHEN 0 THEN 'std::' || CASE WHEN p_size % 2 = 0 THEN 'chrono::' ELSE '' END || CASE p_size % 3 WHEN 0 THEN 'owner::operator==' WHEN 1 THEN 'owner' ELSE 'owner::size' END
- WHEN 1 THEN 'A::B' || p_partkey || '#' || split_part(p_name, ' ', 1) WHEN 2 THEN p_brand || '.' || split_part(p_name, ' ', 1) || '(x)' ELSE p_brand || '.' || p_name END AS title FROM part"""
+EXPLICIT = """SELECT p_partkey AS pos, CASE p_partkey % 4 WHEN 0 THEN 'std::' || CASE WHEN p_size % 2 = 0 THEN 'chrono::' ELSE '' END || CASE p_size % 3 WHEN 0 THEN
+  'owner::operator==' WHEN 1 THEN 'owner' ELSE 'owner::size' END
+ WHEN 1 THEN 'A::B' || p_partkey || '#' || split_part(p_name, ' ', 1) WHEN 2 THEN p_brand || '.' || split_part(p_name, ' ', 1) || '(x)' ELSE p_brand || '.' || p_name END
+  AS title FROM part"""
 
 
 def _site_sources(spark, d):
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     rows = b.page_records(spark, d).withColumn("host", host)
-    return rows.groupBy("source_id").agg(F.array_sort(F.collect_set(F.when(F.startswith("host", F.lit("www.")), F.col("host")))).alias("domains"), F.array(F.lit("/en/"), F.lit("/de/1")).alias("path_prefixes"))
+    return rows.groupBy("source_id").agg(
+        F.array_sort(F.collect_set(F.when(F.startswith("host", F.lit("www.")), F.col("host")))).alias("domains"),
+        F.array(F.lit("/en/"), F.lit("/de/1")).alias("path_prefixes")
+    )
 
 
 def validate_records(spark, d):
@@ -67,14 +90,24 @@ def validate_records(spark, d):
     return rec.validate_records(records, _site_sources(spark, d), jobs).select("pos", F.array_join("violations", ",").alias("violations"))
 
 
-_HOSTED = f"WITH {b.PAGE_RECORDS}, h AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM records)"
-VALIDATED = f"""{_HOSTED} SELECT pos, array_to_string(list_filter([CASE WHEN trim(title) = '' THEN 'blank title' END, CASE WHEN NOT starts_with(url, 'https:') THEN 'not https' END, CASE WHEN NOT starts_with(url, 'https://') THEN 'outside prefix' END,
- CASE WHEN NOT starts_with(hst, 'www.') THEN 'host' END, CASE WHEN NOT (starts_with(path, '/en/') OR starts_with(path, '/de/1')) THEN 'path' END], lambda x: x IS NOT NULL), ',') AS violations FROM h"""
+_HOSTED = (
+    f"WITH {b.PAGE_RECORDS}, h AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS hst, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) "
+    f"AS path FROM records)"
+)
+VALIDATED = f"""{_HOSTED} SELECT pos, array_to_string(list_filter([CASE WHEN trim(title) = '' THEN 'blank title' END, CASE WHEN NOT starts_with(url, 'https:') THEN 'not https' END,
+  CASE WHEN NOT starts_with(url, 'https://') THEN 'outside prefix' END,
+ CASE WHEN NOT starts_with(hst, 'www.') THEN 'host' END, CASE WHEN NOT (starts_with(path, '/en/') OR starts_with(path, '/de/1')) THEN 'path' END], lambda x: x IS NOT
+  NULL), ',') AS violations FROM h"""
 
 
 def minimum_records(spark, d):
     records = b.page_records(spark, d)
-    jobs = b.table(spark, d, "nation").select(F.concat(F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx"))), (F.col("n_nationkey") % 5 + 1).cast("int")), F.lit("-com")).alias("source_id"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx"))), (F.col("n_nationkey") % 5 + 1).cast("int")).alias("docs_locale")).distinct().withColumn("minimum_records", F.lit(20))
+    jobs = b.table(spark, d, "nation").select(
+        F.concat(
+            F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx"))), (F.col("n_nationkey") % 5 + 1).cast("int")), F.lit("-com")
+        ).alias("source_id"),
+        F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es", "xx"))), (F.col("n_nationkey") % 5 + 1).cast("int")).alias("docs_locale")
+    ).distinct().withColumn("minimum_records", F.lit(20))
     return rec.too_few_records(records, jobs)
 
 
@@ -89,9 +122,11 @@ def pack_bundles(spark, d):
     return packed.select("source_id", "docs_locale", "record_count", "raw_bytes", "output_sha256", "path")
 
 
-_BUNDLES = f"""WITH {b.PAGE_RECORDS}, r AS (SELECT source_id, docs_locale, pos, CASE WHEN proposal_status IS NOT NULL THEN [title, url[9:], section, proposal_status] WHEN section <> '' THEN [title, url[9:], section] ELSE [title, url[9:]] END AS rec FROM records WHERE starts_with(url, 'https://')),
+_BUNDLES = f"""WITH {b.PAGE_RECORDS}, r AS (SELECT source_id, docs_locale, pos, CASE WHEN proposal_status IS NOT NULL THEN [title, url[9:], section, proposal_status] WHEN section
+  <> '' THEN [title, url[9:], section] ELSE [title, url[9:]] END AS rec FROM records WHERE starts_with(url, 'https://')),
 l AS (SELECT source_id, docs_locale, count(*) AS record_count, list(rec ORDER BY pos) AS recs FROM r GROUP BY source_id, docs_locale),
-p AS (SELECT source_id, docs_locale, record_count, '{{"schemaVersion":2,"sourceId":"' || source_id || '","docsLocale":"' || docs_locale || '","urlPrefix":"https://","records":' || to_json(recs)::VARCHAR || '}}' || chr(10) AS body FROM l)"""
+p AS (SELECT source_id, docs_locale, record_count, '{{"schemaVersion":2,"sourceId":"' || source_id || '","docsLocale":"' || docs_locale ||
+  '","urlPrefix":"https://","records":' || to_json(recs)::VARCHAR || '}}' || chr(10) AS body FROM l)"""
 
 
 def expand_bundles(spark, d):
@@ -99,19 +134,37 @@ def expand_bundles(spark, d):
     records = b.page_records(spark, d)
     jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
     packed = bun.pack_bundles(records.where("url like 'https://%'"), jobs)
-    parsed = packed.select("path", F.from_json("body", bun.BUNDLE).alias("x")).select("path", F.col("x.schemaVersion").alias("schema_version"), F.col("x.sourceId").alias("source_id"), F.col("x.docsLocale").alias("docs_locale"), F.col("x.urlPrefix").alias("url_prefix"), "x.records")
-    manifest = packed.select("source_id", "docs_locale", "path", F.when(F.col("docs_locale") == "fr", -1).otherwise(F.col("record_count")).alias("record_count"), F.upper("source_id").alias("source_name"), F.lit("official").alias("source_kind"), F.lit(None).cast("string").alias("document_kind"), F.col("docs_locale").alias("programming_language"), F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"))
+    parsed = packed.select("path", F.from_json("body", bun.BUNDLE).alias("x")).select(
+        "path", F.col("x.schemaVersion").alias("schema_version"), F.col("x.sourceId").alias("source_id"),
+        F.col("x.docsLocale").alias("docs_locale"), F.col("x.urlPrefix").alias("url_prefix"), "x.records"
+    )
+    manifest = packed.select(
+        "source_id", "docs_locale", "path", F.when(F.col("docs_locale") == "fr", -1).otherwise(F.col("record_count")).alias("record_count"),
+        F.upper("source_id").alias("source_name"), F.lit("official").alias("source_kind"),
+        F.lit(None).cast("string").alias("document_kind"), F.col("docs_locale").alias("programming_language"),
+        F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja")
+    )
     sound = parsed.join(bun.validate_bundles(parsed, manifest).select("path"), "path", "left_anti")
-    return bun.expand_bundles(sound, manifest).select("source_id", "docs_locale", "url", "title", "section", "proposal_status", "document_kind", "source_name")
+    return bun.expand_bundles(sound, manifest).select(
+        "source_id", "docs_locale", "url", "title", "section", "proposal_status", "document_kind", "source_name"
+    )
 
 
-EXPANDED = f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, url, title, nullif(section, '') AS section, proposal_status, 'reference' AS document_kind, upper(source_id) AS source_name FROM records WHERE starts_with(url, 'https://') AND docs_locale <> 'fr'"
+EXPANDED = (
+    f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, url, title, nullif(section, '') AS section, proposal_status, 'reference' AS document_kind, "
+    f"upper(source_id) AS source_name FROM records WHERE starts_with(url, 'https://') AND docs_locale <> 'fr'"
+)
 
 
 
 def _bundle_manifest(packed):
     """A manifest row for each bundle."""
-    return packed.select("source_id", "docs_locale", "path", "record_count", F.upper("source_id").alias("source_name"), F.lit("official").alias("source_kind"), F.lit(None).cast("string").alias("document_kind"), F.col("docs_locale").alias("programming_language"), F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"))
+    return packed.select(
+        "source_id", "docs_locale", "path", "record_count", F.upper("source_id").alias("source_name"),
+        F.lit("official").alias("source_kind"), F.lit(None).cast("string").alias("document_kind"),
+        F.col("docs_locale").alias("programming_language"), F.lit(None).cast("string").alias("qualification"),
+        F.lit(None).cast("string").alias("qualification_ja")
+    )
 
 
 def publish(spark, d):
@@ -124,13 +177,23 @@ def publish(spark, d):
     manifest = _bundle_manifest(packed).withColumn("manifest_pos", F.row_number().over(w.Window.orderBy("path")))
     bun.publish_manifest(manifest, f"{folder}/manifest", "c0ffee")
     bundles = bun.read_bundles(spark, f"{folder}/bundles")
-    header, entries = bun.read_manifest(spark, f"{folder}/manifest", "source_id string, docs_locale string, path string, record_count bigint, source_name string, source_kind string, document_kind string, programming_language string, qualification string, qualification_ja string")
+    header, entries = bun.read_manifest(
+        spark, f"{folder}/manifest",
+        "source_id string, docs_locale string, path string, record_count bigint, source_name string, source_kind string, document_kind string, "
+        "programming_language string, qualification string, qualification_ja string"
+    )
     sound = bundles.join(bun.validate_bundles(bundles, entries).select("path"), "path", "left_anti")
-    rows = bun.expand_bundles(sound, entries).select("source_id", "docs_locale", "pos", "url", "title", "section", "proposal_status", "source_name")
+    rows = bun.expand_bundles(sound, entries).select(
+        "source_id", "docs_locale", "pos", "url", "title", "section", "proposal_status", "source_name"
+    )
     return rows.crossJoin(F.broadcast(header.select("schema_version", "catalog_sha256")))  # the header is one row
 
 
-PUBLISHED = f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY pos) - 1 AS pos, url, title, nullif(section, '') AS section, proposal_status, upper(source_id) AS source_name, 2 AS schema_version, 'c0ffee' AS catalog_sha256 FROM records WHERE starts_with(url, 'https://')"
+PUBLISHED = (
+    f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY pos) - 1 AS pos, url, title, "
+    f"nullif(section, '') AS section, proposal_status, upper(source_id) AS source_name, 2 AS schema_version, 'c0ffee' AS catalog_sha256 FROM records "
+    f"WHERE starts_with(url, 'https://')"
+)
 
 
 def combined(spark, d):
@@ -142,98 +205,153 @@ def combined(spark, d):
     return rec.combine(hosts, pages, again).select("source_id", "docs_locale", "url", "title", "pos")
 
 
-COMBINED = f"""WITH {b.PAGE_RECORDS}, p AS (SELECT source_id, docs_locale, regexp_extract(url, '^https?://[^/?#]+') || '/' AS url, 'Home' AS title, pos, 0 AS part FROM records UNION ALL SELECT source_id, docs_locale, url, title, pos, 1 FROM records WHERE title <> '' UNION ALL SELECT source_id, docs_locale, url, 'Again', pos, 2 FROM records WHERE pos % 3 = 0)
+COMBINED = f"""WITH {b.PAGE_RECORDS}, p AS (SELECT source_id, docs_locale, regexp_extract(url, '^https?://[^/?#]+') || '/' AS url, 'Home' AS title, pos, 0 AS part FROM records
+  UNION ALL SELECT source_id, docs_locale, url, title, pos, 1 FROM records WHERE title <> '' UNION ALL SELECT source_id, docs_locale, url, 'Again', pos, 2 FROM records
+  WHERE pos % 3 = 0)
 SELECT source_id, docs_locale, url, title, pos FROM p QUALIFY row_number() OVER (PARTITION BY source_id, docs_locale, url ORDER BY part, pos) = 1"""
 
 # Catalog and scope -----------------------------------------------------------------------------------------------
 
 
 def coverage(spark, d):
-    return cat.coverage_report(b.catalog(spark, d)).select("language_id", "sources", "indexed_sources", "indexes", F.array_join("locales", ",").alias("locales"), F.array_join("pending_reasons", ",").alias("pending_reasons"))
+    return cat.coverage_report(b.catalog(spark, d)).select(
+        "language_id", "sources", "indexed_sources", "indexes", F.array_join("locales", ",").alias("locales"),
+        F.array_join("pending_reasons", ",").alias("pending_reasons")
+    )
 
 
 COVERAGE = f"""WITH {b.CATALOG}, j AS (SELECT s.language_id, s.source_id, i.docs_locale, i.status, i.reason FROM sources s LEFT JOIN indexes i USING (source_id))
-SELECT language_id, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN status = 'supported' THEN source_id END) AS indexed_sources, count_if(status = 'supported') AS indexes, coalesce(string_agg(DISTINCT docs_locale, ',' ORDER BY docs_locale) FILTER (status = 'supported'), '') AS locales, coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (status <> 'supported'), '') AS pending_reasons FROM j GROUP BY language_id"""
+SELECT language_id, count(DISTINCT source_id) AS sources, count(DISTINCT CASE WHEN status = 'supported' THEN source_id END) AS indexed_sources, count_if(status =
+  'supported') AS indexes, coalesce(string_agg(DISTINCT docs_locale, ',' ORDER BY docs_locale) FILTER (status = 'supported'), '') AS locales,
+  coalesce(string_agg(DISTINCT reason, ',' ORDER BY reason) FILTER (status <> 'supported'), '') AS pending_reasons FROM j GROUP BY language_id"""
 
 
 def integrity(spark, d):
     return cat.catalog_integrity(b.catalog(spark, d)).distinct()
 
 
-INTEGRITY = f"""WITH {b.CATALOG} SELECT DISTINCT * FROM (SELECT 'no domain' AS rule, source_id AS id, '' AS detail FROM sources WHERE len(domains) = 0 UNION ALL SELECT 'one-sided qualification', source_id, '' FROM sources WHERE (qualification IS NULL) <> (qualification_ja IS NULL)
-UNION ALL SELECT 'repeated locale', source_id, docs_locale FROM indexes GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'missing reason', source_id, docs_locale FROM indexes WHERE status <> 'supported' AND reason IS NULL
-UNION ALL SELECT 'locales are not the indexes', source_id, coalesce(array_to_string(have, ','), '') FROM sources LEFT JOIN (SELECT source_id, list_sort(list(DISTINCT docs_locale)) AS have FROM indexes GROUP BY 1) USING (source_id) WHERE list_sort(site_locales) IS DISTINCT FROM coalesce(have, []))"""
+INTEGRITY = f"""WITH {b.CATALOG} SELECT DISTINCT * FROM (SELECT 'no domain' AS rule, source_id AS id, '' AS detail FROM sources WHERE len(domains) = 0 UNION ALL SELECT
+  'one-sided qualification', source_id, '' FROM sources WHERE (qualification IS NULL) <> (qualification_ja IS NULL)
+UNION ALL SELECT 'repeated locale', source_id, docs_locale FROM indexes GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'missing reason', source_id, docs_locale FROM
+  indexes WHERE status <> 'supported' AND reason IS NULL
+UNION ALL SELECT 'locales are not the indexes', source_id, coalesce(array_to_string(have, ','), '') FROM sources LEFT JOIN (SELECT source_id, list_sort(list(DISTINCT
+  docs_locale)) AS have FROM indexes GROUP BY 1) USING (source_id) WHERE list_sort(site_locales) IS DISTINCT FROM coalesce(have, []))"""
 
 
 def job_match(spark, d):
-    jobs = b.table(spark, d, "customer").select(F.lower(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("source_id"), F.element_at(F.array(*map(F.lit, ("en", "ja", "de", "fr"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("docs_locale")).where("source_id <> 'nation_1' and (source_id <> 'nation_2' or docs_locale = 'ja')")
+    jobs = b.table(spark, d, "customer").select(
+        F.lower(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("source_id"),
+        F.element_at(F.array(*map(F.lit, ("en", "ja", "de", "fr"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("docs_locale")
+    ).where("source_id <> 'nation_1' and (source_id <> 'nation_2' or docs_locale = 'ja')")
     return cat.job_catalog_match(jobs, b.catalog(spark, d)["source_indexes"])
 
 
-JOB_MATCH = f"""WITH {b.CATALOG}, jobs AS (SELECT 'nation_' || c_nationkey AS source_id, (['en', 'ja', 'de', 'fr'])[c_custkey % 4 + 1] AS docs_locale FROM customer), j AS (SELECT source_id, docs_locale, count(*) AS n FROM jobs WHERE source_id <> 'nation_1' AND (source_id <> 'nation_2' OR docs_locale = 'ja') GROUP BY ALL), i AS (SELECT DISTINCT source_id, docs_locale, true AS ready FROM indexes WHERE status = 'supported')
-SELECT source_id, docs_locale, CASE WHEN n IS NULL THEN 'no job' WHEN ready IS NULL THEN 'no index' WHEN n > 1 THEN 'repeated job' END AS fault FROM j FULL JOIN i USING (source_id, docs_locale) WHERE n IS NULL OR ready IS NULL OR n > 1"""
+JOB_MATCH = f"""WITH {b.CATALOG}, jobs AS (SELECT 'nation_' || c_nationkey AS source_id, (['en', 'ja', 'de', 'fr'])[c_custkey % 4 + 1] AS docs_locale FROM customer), j AS (SELECT
+  source_id, docs_locale, count(*) AS n FROM jobs WHERE source_id <> 'nation_1' AND (source_id <> 'nation_2' OR docs_locale = 'ja') GROUP BY ALL), i AS (SELECT DISTINCT
+  source_id, docs_locale, true AS ready FROM indexes WHERE status = 'supported')
+SELECT source_id, docs_locale, CASE WHEN n IS NULL THEN 'no job' WHEN ready IS NULL THEN 'no index' WHEN n > 1 THEN 'repeated job' END AS fault FROM j FULL JOIN i USING
+  (source_id, docs_locale) WHERE n IS NULL OR ready IS NULL OR n > 1"""
 
 
 def _asked(spark, d):
     k = F.col("c_custkey")
-    names = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.concat(F.lit(" R"), (k % 5).cast("string")), F.lit("nope"))).otherwise(F.array(F.concat(F.lit("R"), (k % 5).cast("string")), F.concat(F.lit("r"), (k % 5).cast("string"))))
-    return b.table(spark, d, "customer").select(k.alias("query_id"), names.alias("languages"), F.when(k % 3 == 0, "all").otherwise("official").alias("source_mode"), (k % 2 == 0).alias("fallback"), F.when(k % 7 == 0, "ja").when(k % 7 == 1, "en").alias("locale"))
+    names = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.concat(F.lit(" R"), (k % 5).cast("string")), F.lit("nope"))).otherwise(
+        F.array(F.concat(F.lit("R"), (k % 5).cast("string")), F.concat(F.lit("r"), (k % 5).cast("string")))
+    )
+    return b.table(spark, d, "customer").select(
+        k.alias("query_id"), names.alias("languages"), F.when(k % 3 == 0, "all").otherwise("official").alias("source_mode"),
+        (k % 2 == 0).alias("fallback"), F.when(k % 7 == 0, "ja").when(k % 7 == 1, "en").alias("locale")
+    )
 
 
 def scope(spark, d):
     return sc.resolve_scope(_asked(spark, d), b.catalog(spark, d)).select("query_id", "language_id", "source_id", "automatic")
 
 
-_SCOPE = f"""WITH {b.CATALOG}, asked AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE ['r' || (c_custkey % 5)] END AS names, CASE WHEN c_custkey % 3 = 0 THEN 'all' ELSE 'official' END AS mode, c_custkey % 2 = 0 AS fallback, CASE c_custkey % 7 WHEN 0 THEN 'ja' WHEN 1 THEN 'en' END AS locale FROM customer),
-u AS (SELECT query_id, mode, fallback, locale, unnest(names) AS alias FROM asked), known AS (SELECT DISTINCT query_id, mode, fallback, locale, language_id FROM u JOIN aliases USING (alias)),
-langs AS (SELECT * FROM known UNION ALL SELECT query_id, mode, fallback, locale, l.id FROM asked a, languages l WHERE l.catalog_pos < 4 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.query_id = a.query_id)),
-scope AS (SELECT g.query_id, g.language_id, g.locale, s.source_id, s.source_pos, s.site_locales, g.mode = 'official' AND g.fallback AND l.auto_fb AND s.source_kind <> 'official' AS automatic FROM langs g JOIN languages l ON l.id = g.language_id JOIN sources s USING (language_id) WHERE g.mode = 'all' OR s.source_kind = 'official' OR (g.mode = 'official' AND g.fallback AND l.auto_fb))"""
+_SCOPE = f"""WITH {b.CATALOG}, asked AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE ['r' || (c_custkey % 5)] END AS names, CASE WHEN c_custkey % 3 = 0
+  THEN 'all' ELSE 'official' END AS mode, c_custkey % 2 = 0 AS fallback, CASE c_custkey % 7 WHEN 0 THEN 'ja' WHEN 1 THEN 'en' END AS locale FROM customer),
+u AS (SELECT query_id, mode, fallback, locale, unnest(names) AS alias FROM asked), known AS (SELECT DISTINCT query_id, mode, fallback, locale, language_id FROM u JOIN
+  aliases USING (alias)),
+langs AS (SELECT * FROM known UNION ALL SELECT query_id, mode, fallback, locale, l.id FROM asked a, languages l WHERE l.catalog_pos < 4 AND NOT EXISTS (SELECT 1 FROM
+  known k WHERE k.query_id = a.query_id)),
+scope AS (SELECT g.query_id, g.language_id, g.locale, s.source_id, s.source_pos, s.site_locales, g.mode = 'official' AND g.fallback AND l.auto_fb AND s.source_kind <>
+  'official' AS automatic FROM langs g JOIN languages l ON l.id = g.language_id JOIN sources s USING (language_id) WHERE g.mode = 'all' OR s.source_kind = 'official' OR
+  (g.mode = 'official' AND g.fallback AND l.auto_fb))"""
 
 
 def notices(spark, d):
     found = sc.resolve_scope(_asked(spark, d), b.catalog(spark, d))
-    listed = lambda df, kind: df.select("query_id", "language_id", F.lit(kind).alias("kind"), F.array_join("source_ids", ",").alias("source_ids"))
+    listed = lambda df, kind: df.select(
+        "query_id", "language_id", F.lit(kind).alias("kind"), F.array_join("source_ids", ",").alias("source_ids")
+    )
     return listed(sc.locale_notices(found), "locale").unionByName(listed(sc.automatic_fallbacks(found), "fallback"))
 
 
-NOTICES = f"{_SCOPE} SELECT query_id, language_id, 'locale' AS kind, string_agg(source_id, ',' ORDER BY source_pos) AS source_ids FROM scope WHERE locale IS NOT NULL AND NOT list_contains(site_locales, locale) GROUP BY ALL UNION ALL SELECT query_id, language_id, 'fallback', string_agg(source_id, ',' ORDER BY source_pos) FROM scope WHERE automatic GROUP BY ALL"
+NOTICES = (
+    f"{_SCOPE} SELECT query_id, language_id, 'locale' AS kind, string_agg(source_id, ',' ORDER BY source_pos) AS source_ids FROM scope WHERE locale IS "
+    f"NOT NULL AND NOT list_contains(site_locales, locale) GROUP BY ALL UNION ALL SELECT query_id, language_id, 'fallback', string_agg(source_id, ',' "
+    f"ORDER BY source_pos) FROM scope WHERE automatic GROUP BY ALL"
+)
 
 
 def _manifest(spark, d):
     """One row for each source and locale: the first of the catalog's."""
     i = b.catalog(spark, d)["source_indexes"]
-    one = i.groupBy("source_id", "docs_locale").agg(F.min_by(F.struct("status", "reason"), "index_pos").alias("x"), F.min("index_pos").alias("manifest_pos"))
-    return one.select("source_id", "docs_locale", "x.status", "x.reason", F.concat_ws(".", "source_id", "docs_locale").alias("path"), (F.col("manifest_pos") * 10).alias("record_count"), "manifest_pos")
+    one = i.groupBy("source_id", "docs_locale").agg(
+        F.min_by(F.struct("status", "reason"), "index_pos").alias("x"), F.min("index_pos").alias("manifest_pos")
+    )
+    return one.select(
+        "source_id", "docs_locale", "x.status", "x.reason", F.concat_ws(".", "source_id", "docs_locale").alias("path"),
+        (F.col("manifest_pos") * 10).alias("record_count"), "manifest_pos"
+    )
 
 
-_MANIFEST = f"WITH {b.CATALOG}, manifest AS (SELECT *, source_id || '.' || docs_locale AS path, index_pos AS manifest_pos, index_pos * 10 AS record_count FROM indexes QUALIFY row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY index_pos) = 1)"
+_MANIFEST = (
+    f"WITH {b.CATALOG}, manifest AS (SELECT *, source_id || '.' || docs_locale AS path, index_pos AS manifest_pos, index_pos * 10 AS record_count FROM "
+    f"indexes QUALIFY row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY index_pos) = 1)"
+)
 
 
 def _wanted(spark, d):
     k = F.col("c_custkey")
-    return b.table(spark, d, "customer").select(k.alias("query_id"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("source_id"), F.element_at(F.array(*map(F.lit, ("en", "ja", "", "fr"))), (k % 4 + 1).cast("int")).alias("docs_locale"))
+    return b.table(spark, d, "customer").select(
+        k.alias("query_id"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("source_id"),
+        F.element_at(F.array(*map(F.lit, ("en", "ja", "", "fr"))), (k % 4 + 1).cast("int")).alias("docs_locale")
+    )
 
 
 def indexes(spark, d):
-    return sc.select_indexes(_wanted(spark, d), _manifest(spark, d)).select("query_id", "outcome", "actual_locale", "fallback", "path", "status", "reason")
+    return sc.select_indexes(_wanted(spark, d), _manifest(spark, d)).select(
+        "query_id", "outcome", "actual_locale", "fallback", "path", "status", "reason"
+    )
 
 
 INDEXES = f"""{_MANIFEST}, wanted AS (SELECT c_custkey AS query_id, 'nation_' || c_nationkey AS source_id, (['en', 'ja', '', 'fr'])[c_custkey % 4 + 1] AS asked FROM customer),
-m AS (SELECT w.*, x.docs_locale, x.status, x.reason, x.path, x.manifest_pos, CASE WHEN coalesce(x.status, '') <> 'supported' THEN 9 WHEN asked = '' OR asked = x.docs_locale THEN 1 WHEN asked = 'ja' AND x.docs_locale = 'en' THEN 2 ELSE 9 END AS lvl FROM wanted w LEFT JOIN manifest x USING (source_id)),
+m AS (SELECT w.*, x.docs_locale, x.status, x.reason, x.path, x.manifest_pos, CASE WHEN coalesce(x.status, '') <> 'supported' THEN 9 WHEN asked = '' OR asked =
+  x.docs_locale THEN 1 WHEN asked = 'ja' AND x.docs_locale = 'en' THEN 2 ELSE 9 END AS lvl FROM wanted w LEFT JOIN manifest x USING (source_id)),
 n AS (SELECT *, min(lvl) OVER (PARTITION BY query_id, source_id) AS best FROM m)
 SELECT query_id, 'index' AS outcome, docs_locale AS actual_locale, lvl = 2 AS fallback, path, status, NULL AS reason FROM n WHERE best < 9 AND lvl = best
-UNION ALL SELECT query_id, 'unavailable', NULL, false, NULL, CASE WHEN status IN ('blocked', 'disabled') THEN status ELSE 'planned' END, reason FROM n WHERE best = 9 QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY CASE WHEN docs_locale = asked THEN 0 WHEN status IN ('blocked', 'disabled') THEN 1 ELSE 2 END, manifest_pos) = 1"""
+UNION ALL SELECT query_id, 'unavailable', NULL, false, NULL, CASE WHEN status IN ('blocked', 'disabled') THEN status ELSE 'planned' END, reason FROM n WHERE best = 9
+  QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY CASE WHEN docs_locale = asked THEN 0 WHEN status IN ('blocked', 'disabled') THEN 1 ELSE 2 END,
+  manifest_pos) = 1"""
 
 
 def preloads(spark, d):
     o = b.table(spark, d, "orders")
-    rows = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("p"), (F.col("o_orderkey") % 50).cast("string")).alias("path"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("long")).alias("bytes"))
+    rows = o.select(
+        F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("pos"),
+        F.concat(F.lit("p"), (F.col("o_orderkey") % 50).cast("string")).alias("path"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice").cast("long")).alias("bytes")
+    )
     return sc.preload_plan(rows).select("query_id", F.array_join("paths", ",").alias("paths"))
 
 
-PRELOADS = """WITH RECURSIVE c AS (SELECT o_custkey AS query_id, 'p' || (o_orderkey % 50) AS path, CASE WHEN o_orderkey % 11 <> 0 THEN trunc(o_totalprice)::BIGINT END AS bytes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+PRELOADS = """WITH RECURSIVE c AS (SELECT o_custkey AS query_id, 'p' || (o_orderkey % 50) AS path, CASE WHEN o_orderkey % 11 <> 0 THEN trunc(o_totalprice)::BIGINT END AS bytes,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 s AS (SELECT DISTINCT query_id, 0::BIGINT AS i, []::VARCHAR[] AS paths, 0::BIGINT AS total FROM c
- UNION ALL SELECT s.query_id, c.i, CASE WHEN coalesce(bytes >= 0 AND NOT list_contains(paths, path) AND len(paths) < 4 AND total + bytes <= 512000, false) THEN list_append(paths, path) ELSE paths END, CASE WHEN coalesce(bytes >= 0 AND NOT list_contains(paths, path) AND len(paths) < 4 AND total + bytes <= 512000, false) THEN total + bytes ELSE total END FROM s JOIN c ON c.query_id = s.query_id AND c.i = s.i + 1)
+ UNION ALL SELECT s.query_id, c.i, CASE WHEN coalesce(bytes >= 0 AND NOT list_contains(paths, path) AND len(paths) < 4 AND total + bytes <= 512000, false) THEN
+  list_append(paths, path) ELSE paths END, CASE WHEN coalesce(bytes >= 0 AND NOT list_contains(paths, path) AND len(paths) < 4 AND total + bytes <= 512000, false) THEN
+  total + bytes ELSE total END FROM s JOIN c ON c.query_id = s.query_id AND c.i = s.i + 1)
 SELECT query_id, array_to_string(paths, ',') AS paths FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1"""
 
 # Builds ----------------------------------------------------------------------------------------------------------
@@ -244,109 +362,186 @@ def manifest_rows(spark, d):
     records = b.page_records(spark, d)
     jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
     packed = bun.pack_bundles(records.where("url like 'https://%'"), jobs)
-    provenance = ref.input_provenance(_fetches(spark, d)).select("source_id", "docs_locale", "input_sha256", F.lit("2024-01-01").alias("retrieved_at"))
-    i = records.groupBy("source_id", "docs_locale").agg(F.min("pos").alias("index_pos")).select(F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos"), "index_pos", "source_id", "docs_locale", F.when(F.col("docs_locale") == "es", "planned").otherwise("supported").alias("status"), F.when(F.col("docs_locale") == "es", "later").alias("reason"))
-    sources = records.groupBy("source_id").agg(F.first("source_name").alias("source_name"), F.first("source_kind").alias("source_kind"), F.first("programming_language").alias("language_id")).select("source_id", "source_name", "source_kind", F.lit("reference").alias("document_kind"), "language_id", F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"), F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos"))
-    return ref.build_manifest({"source_indexes": i, "sources": sources}, packed.withColumn("brotli_bytes", F.col("raw_bytes") - 1), provenance)
+    provenance = ref.input_provenance(_fetches(spark, d)).select(
+        "source_id", "docs_locale", "input_sha256", F.lit("2024-01-01").alias("retrieved_at")
+    )
+    i = records.groupBy("source_id", "docs_locale").agg(F.min("pos").alias("index_pos")).select(
+        F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos"), "index_pos", "source_id", "docs_locale",
+        F.when(F.col("docs_locale") == "es", "planned").otherwise("supported").alias("status"),
+        F.when(F.col("docs_locale") == "es", "later").alias("reason")
+    )
+    sources = records.groupBy("source_id").agg(F.first("source_name").alias("source_name"), F.first("source_kind").alias("source_kind"), F.first("programming_language").alias("language_id")).select(
+        "source_id", "source_name", "source_kind", F.lit("reference").alias("document_kind"), "language_id",
+        F.lit(None).cast("string").alias("qualification"), F.lit(None).cast("string").alias("qualification_ja"),
+        F.lit(0).alias("catalog_pos"), F.lit(0).alias("source_pos")
+    )
+    return ref.build_manifest(
+        {"source_indexes": i, "sources": sources}, packed.withColumn("brotli_bytes", F.col("raw_bytes") - 1), provenance
+    )
 
 
 def manifest(spark, d):
-    return manifest_rows(spark, d).select("manifest_pos", "source_id", "status", "reason", "path", "record_count", "raw_bytes", "brotli_bytes", F.col("gzip_bytes").between(20, F.col("raw_bytes")).alias("gzipped"), "output_sha256", "input_sha256")
-
-
-MANIFEST = f"""{_BUNDLES}, f AS (SELECT source_id, docs_locale, sha256(string_agg(records.url || chr(0) || sha256(html), chr(10) ORDER BY records.url)) AS input_sha256 FROM records JOIN pages ON page_id = pos GROUP BY source_id, docs_locale), i AS (SELECT source_id, docs_locale, min(pos) AS index_pos FROM records GROUP BY ALL)
-SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE WHEN docs_locale = 'es' THEN 'planned' ELSE 'supported' END AS status, CASE WHEN docs_locale = 'es' THEN 'later' END AS reason, CASE WHEN docs_locale <> 'es' THEN record_count END AS record_count, CASE WHEN docs_locale <> 'es' THEN strlen(body) END AS raw_bytes, CASE WHEN docs_locale <> 'es' THEN strlen(body) - 1 END AS brotli_bytes, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN strlen(body) > 20 END AS gzipped,
+    return manifest_rows(spark, d).select(
+        "manifest_pos", "source_id", "status", "reason", "path", "record_count", "raw_bytes", "brotli_bytes",
+        F.col("gzip_bytes").between(20, F.col("raw_bytes")).alias("gzipped"), "output_sha256", "input_sha256"
+    )
+
+
+MANIFEST = f"""{_BUNDLES}, f AS (SELECT source_id, docs_locale, sha256(string_agg(records.url || chr(0) || sha256(html), chr(10) ORDER BY records.url)) AS input_sha256 FROM records
+  JOIN pages ON page_id = pos GROUP BY source_id, docs_locale), i AS (SELECT source_id, docs_locale, min(pos) AS index_pos FROM records GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, source_id, CASE WHEN docs_locale = 'es' THEN 'planned' ELSE 'supported' END AS status, CASE WHEN
+  docs_locale = 'es' THEN 'later' END AS reason, CASE WHEN docs_locale <> 'es' THEN record_count END AS record_count, CASE WHEN docs_locale <> 'es' THEN strlen(body) END
+  AS raw_bytes, CASE WHEN docs_locale <> 'es' THEN strlen(body) - 1 END AS brotli_bytes, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN strlen(body) > 20 END AS
+  gzipped,
  CASE WHEN docs_locale <> 'es' THEN source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json' END AS path,
- CASE WHEN docs_locale <> 'es' THEN sha256(body) END AS output_sha256, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN input_sha256 END AS input_sha256 FROM i LEFT JOIN p USING (source_id, docs_locale) LEFT JOIN f USING (source_id, docs_locale)"""
+ CASE WHEN docs_locale <> 'es' THEN sha256(body) END AS output_sha256, CASE WHEN docs_locale <> 'es' AND body IS NOT NULL THEN input_sha256 END AS input_sha256 FROM i
+  LEFT JOIN p USING (source_id, docs_locale) LEFT JOIN f USING (source_id, docs_locale)"""
 
 
 def projection(spark, d):
     return ref.runtime_projection(manifest_rows(spark, d).withColumn("gzip_bytes", F.col("raw_bytes") + 1))
 
 
-PROJECTION = f"""{_BUNDLES}, i AS (SELECT source_id, docs_locale, min(pos) AS index_pos, min(source_name) AS source_name, min(source_kind) AS source_kind FROM records GROUP BY ALL), j AS (SELECT *, docs_locale <> 'es' AND body IS NOT NULL AS ok FROM i LEFT JOIN p USING (source_id, docs_locale))
-SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, '{{"source_id":"' || source_id || '","source_name":"' || source_name || '","source_kind":"' || source_kind || '","document_kind":"reference","programming_language":"' || docs_locale || '","docs_locale":"' || docs_locale || '","status":"' || CASE WHEN docs_locale = 'es' THEN 'planned","reason":"later' ELSE 'supported' END || '"' ||
- CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"gzip_bytes":' || (strlen(body) + 1) || ',"brotli_bytes":' || (strlen(body) - 1) ELSE '' END || '}}' AS entry FROM j"""
+PROJECTION = f"""{_BUNDLES}, i AS (SELECT source_id, docs_locale, min(pos) AS index_pos, min(source_name) AS source_name, min(source_kind) AS source_kind FROM records GROUP BY ALL),
+  j AS (SELECT *, docs_locale <> 'es' AND body IS NOT NULL AS ok FROM i LEFT JOIN p USING (source_id, docs_locale))
+SELECT row_number() OVER (ORDER BY index_pos) AS manifest_pos, '{{"source_id":"' || source_id || '","source_name":"' || source_name || '","source_kind":"' || source_kind
+  || '","document_kind":"reference","programming_language":"' || docs_locale || '","docs_locale":"' || docs_locale || '","status":"' || CASE WHEN docs_locale = 'es' THEN
+  'planned","reason":"later' ELSE 'supported' END || '"' ||
+ CASE WHEN ok THEN ',"path":"' || source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json","record_count":' || record_count || ',"gzip_bytes":' ||
+  (strlen(body) + 1) || ',"brotli_bytes":' || (strlen(body) - 1) ELSE '' END || '}}' AS entry FROM j"""
 
 
 def _fetches(spark, d):
-    return b.page_records(spark, d).select("source_id", "docs_locale", "url", "pos").join(b.table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.col("html").alias("body")), "pos").withColumn("canonicalizer", F.when(F.col("pos") % 100 < 0, "links"))
+    return b.page_records(spark, d).select("source_id", "docs_locale", "url", "pos").join(
+        b.table(spark, d, "pages").select(F.col("page_id").alias("pos"), F.col("html").alias("body")), "pos"
+    ).withColumn("canonicalizer", F.when(F.col("pos") % 100 < 0, "links"))
 
 
 def provenance(spark, d):
-    return ref.input_provenance(_fetches(spark, d).withColumn("canonicalizer", F.when(F.col("pos") % 2 == 0, "links"))).select("source_id", "docs_locale", F.size("inputs").cast("long").alias("n_inputs"), "input_sha256")
+    return ref.input_provenance(_fetches(spark, d).withColumn("canonicalizer", F.when(F.col("pos") % 2 == 0, "links"))).select(
+        "source_id", "docs_locale", F.size("inputs").cast("long").alias("n_inputs"), "input_sha256"
+    )
 
 
-PROVENANCE = f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, count(*) AS n_inputs, sha256(string_agg(records.url || chr(0) || CASE WHEN pos % 2 = 0 THEN 'links' || chr(0) ELSE '' END || sha256(html), chr(10) ORDER BY records.url, sha256(html))) AS input_sha256 FROM records JOIN pages ON page_id = pos GROUP BY source_id, docs_locale"
+PROVENANCE = (
+    f"WITH {b.PAGE_RECORDS} SELECT source_id, docs_locale, count(*) AS n_inputs, sha256(string_agg(records.url || chr(0) || CASE WHEN pos % 2 = 0 THEN "
+    f"'links' || chr(0) ELSE '' END || sha256(html), chr(10) ORDER BY records.url, sha256(html))) AS input_sha256 FROM records JOIN pages ON page_id = "
+    f"pos GROUP BY source_id, docs_locale"
+)
 
 
 def diff(spark, d):
-    return ref.manifest_diff(b.snapshot(spark, d, 0), b.snapshot(spark, d, 1)).select("source_id", "docs_locale", "change", F.array_join("fields", ",").alias("fields"))
+    return ref.manifest_diff(b.snapshot(spark, d, 0), b.snapshot(spark, d, 1)).select(
+        "source_id", "docs_locale", "change", F.array_join("fields", ",").alias("fields")
+    )
 
 
 _OLD_NEW = f"WITH o AS {b.snapshot_sql(0)}, n AS {b.snapshot_sql(1)}"
-DIFF = f"""{_OLD_NEW} SELECT source_id, docs_locale, CASE WHEN o.record_count IS NULL THEN 'added' WHEN n.record_count IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o.record_count IS NULL OR n.record_count IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.record_count <> n.record_count THEN 'record_count' END, CASE WHEN o.gzip_bytes <> n.gzip_bytes THEN 'gzip_bytes' END, CASE WHEN o.output_sha256 <> n.output_sha256 THEN 'output_sha256' END) END AS fields
-FROM o FULL JOIN n USING (source_id, docs_locale) WHERE o.record_count IS NULL OR n.record_count IS NULL OR o.record_count <> n.record_count OR o.gzip_bytes <> n.gzip_bytes OR o.output_sha256 <> n.output_sha256"""
+DIFF = f"""{_OLD_NEW} SELECT source_id, docs_locale, CASE WHEN o.record_count IS NULL THEN 'added' WHEN n.record_count IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE
+  WHEN o.record_count IS NULL OR n.record_count IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.record_count <> n.record_count THEN 'record_count' END, CASE WHEN
+  o.gzip_bytes <> n.gzip_bytes THEN 'gzip_bytes' END, CASE WHEN o.output_sha256 <> n.output_sha256 THEN 'output_sha256' END) END AS fields
+FROM o FULL JOIN n USING (source_id, docs_locale) WHERE o.record_count IS NULL OR n.record_count IS NULL OR o.record_count <> n.record_count OR o.gzip_bytes <>
+  n.gzip_bytes OR o.output_sha256 <> n.output_sha256"""
 
 
 def artifacts(spark, d):
-    one = lambda i: b.snapshot(spark, d, i).select(F.concat_ws(".", "source_id", "docs_locale").alias("path"), (F.col("record_count") % 3).cast("string").alias("sha256"))
+    one = lambda i: b.snapshot(spark, d, i).select(
+        F.concat_ws(".", "source_id", "docs_locale").alias("path"), (F.col("record_count") % 3).cast("string").alias("sha256")
+    )
     return ref.artifact_diff(one(0), one(1))
 
 
-ARTIFACTS = f"{_OLD_NEW} SELECT source_id || '.' || docs_locale AS path, CASE WHEN o.record_count IS NULL THEN 'missing' WHEN n.record_count IS NULL THEN 'obsolete' ELSE 'changed' END AS change FROM o FULL JOIN n USING (source_id, docs_locale) WHERE (o.record_count IS NULL) <> (n.record_count IS NULL) OR o.record_count % 3 <> n.record_count % 3"
+ARTIFACTS = (
+    f"{_OLD_NEW} SELECT source_id || '.' || docs_locale AS path, CASE WHEN o.record_count IS NULL THEN 'missing' WHEN n.record_count IS NULL THEN "
+    f"'obsolete' ELSE 'changed' END AS change FROM o FULL JOIN n USING (source_id, docs_locale) WHERE (o.record_count IS NULL) <> (n.record_count IS "
+    f"NULL) OR o.record_count % 3 <> n.record_count % 3"
+)
 
 
 def gates(spark, d):
     return ref.change_gates(b.snapshot(spark, d, 0), b.snapshot(spark, d, 1), accepted=["click/1"])
 
 
-GATES = f"""{_OLD_NEW}, j AS (SELECT source_id, docs_locale, o.record_count AS n0, n.record_count AS n1, o.gzip_bytes AS s0, n.gzip_bytes AS s1 FROM o JOIN n USING (source_id, docs_locale) WHERE source_id || '/' || docs_locale <> 'click/1')
-SELECT source_id, docs_locale, 'records' AS gate, n0 AS before, n1 AS after FROM j WHERE (n0 - n1) / n0::DOUBLE > 0.2 UNION ALL SELECT source_id, docs_locale, 'gzip_bytes', s0, s1 FROM j WHERE s0 > 0 AND abs(s1 - s0) / s0::DOUBLE > 0.5"""
+GATES = f"""{_OLD_NEW}, j AS (SELECT source_id, docs_locale, o.record_count AS n0, n.record_count AS n1, o.gzip_bytes AS s0, n.gzip_bytes AS s1 FROM o JOIN n USING (source_id,
+  docs_locale) WHERE source_id || '/' || docs_locale <> 'click/1')
+SELECT source_id, docs_locale, 'records' AS gate, n0 AS before, n1 AS after FROM j WHERE (n0 - n1) / n0::DOUBLE > 0.2 UNION ALL SELECT source_id, docs_locale,
+  'gzip_bytes', s0, s1 FROM j WHERE s0 > 0 AND abs(s1 - s0) / s0::DOUBLE > 0.5"""
 
 
 def carried(spark, d):
     e = b.table(spark, d, "events")
-    side = lambda i: e.where(F.col("event_id") % 2 == i).groupBy(F.col("event_type").alias("source_id"), (F.col("user_id") % 5).cast("string").alias("docs_locale"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url")).agg((F.count("*") % 4).cast("string").alias("sha256"), F.concat(F.lit(f"etag{i}-"), F.min("event_id").cast("string")).alias("etag")).select("*", F.lit(None).cast("string").alias("canonicalizer"), F.lit(f"day{i}").alias("last_modified"))
+    side = lambda i: e.where(F.col("event_id") % 2 == i).groupBy(
+        F.col("event_type").alias("source_id"), (F.col("user_id") % 5).cast("string").alias("docs_locale"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url")
+    ).agg((F.count("*") % 4).cast("string").alias("sha256"), F.concat(F.lit(f"etag{i}-"), F.min("event_id").cast("string")).alias("etag")).select("*", F.lit(None).cast("string").alias("canonicalizer"), F.lit(f"day{i}").alias("last_modified"))
     return ref.carry_over(side(0), side(1)).drop("canonicalizer")
 
 
-_SIDE = "(SELECT event_type AS source_id, (user_id % 5)::VARCHAR AS docs_locale, 'u' || user_id AS url, (count(*) % 4)::VARCHAR AS sha256, 'etag{0}-' || min(event_id) AS etag, 'day{0}' AS last_modified FROM events WHERE event_id % 2 = {0} GROUP BY event_type, user_id)"
-CARRIED = f"WITH a AS {_SIDE.format(0)}, b AS {_SIDE.format(1)} SELECT source_id, docs_locale, url, sha256, coalesce(a.etag, b.etag) AS etag, coalesce(a.last_modified, b.last_modified) AS last_modified FROM b LEFT JOIN a USING (source_id, docs_locale, url, sha256)"
+_SIDE = (
+    "(SELECT event_type AS source_id, (user_id % 5)::VARCHAR AS docs_locale, 'u' || user_id AS url, (count(*) % 4)::VARCHAR AS sha256, 'etag{0}-' || "
+    "min(event_id) AS etag, 'day{0}' AS last_modified FROM events WHERE event_id % 2 = {0} GROUP BY event_type, user_id)"
+)
+CARRIED = (
+    f"WITH a AS {_SIDE.format(0)}, b AS {_SIDE.format(1)} SELECT source_id, docs_locale, url, sha256, coalesce(a.etag, b.etag) AS etag, "
+    f"coalesce(a.last_modified, b.last_modified) AS last_modified FROM b LEFT JOIN a USING (source_id, docs_locale, url, sha256)"
+)
 
 
 def refreshed(spark, d):
     """The first slice is the earlier build, the second the new one; the documents of two event types are built again."""
-    shape = lambda i: b.snapshot(spark, d, i).select("*", F.lit("supported").alias("status"), F.concat_ws(".", "source_id", "docs_locale").alias("path"), F.col("gzip_bytes").alias("raw_bytes"), F.when(F.col("record_count") % 17 != 0, F.col("output_sha256")).alias("input_sha256"), F.upper("source_id").alias("source_name"))
+    shape = lambda i: b.snapshot(spark, d, i).select(
+        "*", F.lit("supported").alias("status"), F.concat_ws(".", "source_id", "docs_locale").alias("path"),
+        F.col("gzip_bytes").alias("raw_bytes"), F.when(F.col("record_count") % 17 != 0, F.col("output_sha256")).alias("input_sha256"),
+        F.upper("source_id").alias("source_name")
+    )
     old, new = shape(0), shape(1)
     selected = new.where("source_id in ('click', 'view')").select("source_id", "docs_locale")
-    held = old.where("record_count % 13 <> 0").select("path", F.when(F.col("record_count") % 7 == 0, "other").otherwise(F.col("output_sha256")).alias("sha256"), "record_count", "raw_bytes")
-    return ref.partial_refresh(selected, old, new, held, ("source_name",)).select("source_id", "docs_locale", "record_count", "origin", "fault")
+    held = old.where("record_count % 13 <> 0").select(
+        "path", F.when(F.col("record_count") % 7 == 0, "other").otherwise(F.col("output_sha256")).alias("sha256"), "record_count",
+        "raw_bytes"
+    )
+    return ref.partial_refresh(selected, old, new, held, ("source_name",)).select(
+        "source_id", "docs_locale", "record_count", "origin", "fault"
+    )
 
 
 REFRESHED = f"""{_OLD_NEW} SELECT source_id, docs_locale, record_count, 'built' AS origin, NULL AS fault FROM n WHERE source_id IN ('click', 'view')
-UNION ALL SELECT o.source_id, o.docs_locale, o.record_count, 'reused', CASE WHEN n.record_count IS NULL THEN 'not in catalog' WHEN o.record_count % 13 = 0 THEN 'missing artifact' WHEN o.record_count % 7 = 0 THEN 'hash' WHEN o.record_count % 17 = 0 THEN 'provenance' END FROM o LEFT JOIN n USING (source_id, docs_locale) WHERE NOT (o.source_id IN ('click', 'view') AND n.record_count IS NOT NULL)"""
+UNION ALL SELECT o.source_id, o.docs_locale, o.record_count, 'reused', CASE WHEN n.record_count IS NULL THEN 'not in catalog' WHEN o.record_count % 13 = 0 THEN
+  'missing artifact' WHEN o.record_count % 7 = 0 THEN 'hash' WHEN o.record_count % 17 = 0 THEN 'provenance' END FROM o LEFT JOIN n USING (source_id, docs_locale) WHERE
+  NOT (o.source_id IN ('click', 'view') AND n.record_count IS NOT NULL)"""
 
 
 def retrieved(spark, d):
-    shape = lambda i: b.snapshot(spark, d, i).select("source_id", "docs_locale", (F.col("record_count") % 3).cast("string").alias("input_sha256"), F.lit(f"day{i}").alias("retrieved_at"))
+    shape = lambda i: b.snapshot(spark, d, i).select(
+        "source_id", "docs_locale", (F.col("record_count") % 3).cast("string").alias("input_sha256"), F.lit(f"day{i}").alias("retrieved_at")
+    )
     return ref.keep_retrieved_at(shape(0), shape(1))
 
 
 def budget(spark, d):
     m = b.snapshot(spark, d, 1)
-    rows = m.select(F.col("docs_locale").alias("programming_language"), F.when(F.col("source_id") != "error", "en").otherwise("ja").alias("docs_locale"), F.when(F.col("source_id") != "view", "official").otherwise("community").alias("source_kind"), F.col("docs_locale").cast("int").alias("manifest_pos"), F.lit("supported").alias("status"), "gzip_bytes")
+    rows = m.select(
+        F.col("docs_locale").alias("programming_language"),
+        F.when(F.col("source_id") != "error", "en").otherwise("ja").alias("docs_locale"),
+        F.when(F.col("source_id") != "view", "official").otherwise("community").alias("source_kind"),
+        F.col("docs_locale").cast("int").alias("manifest_pos"), F.lit("supported").alias("status"), "gzip_bytes"
+    )
     return ref.size_budget_report(rows)
 
 
-BUDGET = f"""WITH n AS {b.snapshot_sql(1)}, l AS (SELECT docs_locale, max(gzip_bytes) AS b, sum(CASE WHEN source_id NOT IN ('error', 'view') THEN gzip_bytes ELSE 0 END) AS o FROM n GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY docs_locale::INT) AS p, row_number() OVER (ORDER BY b DESC, docs_locale) AS s FROM l)
-SELECT 'largest bundle' AS measure, max(b) AS bytes FROM r UNION ALL SELECT 'default languages', sum(o) FROM r WHERE p <= 4 UNION ALL SELECT 'largest of top languages', sum(b) FROM r WHERE s <= 4"""
+BUDGET = f"""WITH n AS {b.snapshot_sql(1)}, l AS (SELECT docs_locale, max(gzip_bytes) AS b, sum(CASE WHEN source_id NOT IN ('error', 'view') THEN gzip_bytes ELSE 0 END) AS o FROM
+  n GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY docs_locale::INT) AS p, row_number() OVER (ORDER BY b DESC, docs_locale) AS s FROM l)
+SELECT 'largest bundle' AS measure, max(b) AS bytes FROM r UNION ALL SELECT 'default languages', sum(o) FROM r WHERE p <= 4 UNION ALL SELECT 'largest of top languages',
+  sum(b) FROM r WHERE s <= 4"""
 
 
 def _jobs(spark, d):
     records = b.page_records(spark, d)
     first = records.groupBy("source_id", "docs_locale").agg(F.min_by("title", "pos").alias("t"))
-    return first.select("source_id", "docs_locale", F.array(F.lower("t"), F.split_part("t", F.lit(" "), F.lit(2)), F.lit("nothing like it")).alias("known_queries"))
+    return first.select(
+        "source_id", "docs_locale",
+        F.array(F.lower("t"), F.split_part("t", F.lit(" "), F.lit(2)), F.lit("nothing like it")).alias("known_queries")
+    )
 
 
 def known_queries(spark, d):
@@ -355,14 +550,18 @@ def known_queries(spark, d):
 
 
 _HAY = f"hay AS (SELECT *, trim(t || ' ' || s) AS hay FROM (SELECT *, {b.normal_sql('title')} AS t, {b.normal_sql('section')} AS s FROM records))"
-_KNOWN = f"""WITH {b.PAGE_RECORDS}, {_HAY}, f AS (SELECT source_id, docs_locale, arg_min(title, pos) AS t0 FROM records GROUP BY ALL), asked AS (SELECT DISTINCT source_id, docs_locale, unnest([lower(t0), split_part(t0, ' ', 2), 'nothing like it']) AS query FROM f),
-norm AS (SELECT *, {b.normal_sql('query')} AS q FROM asked), m AS (SELECT n.source_id, n.docs_locale, n.query, h.title, h.url, h.pos, h.t = n.q AS same FROM norm n JOIN hay h USING (source_id, docs_locale) WHERE n.q <> '' AND len(list_filter(string_split(n.q, ' '), lambda x: NOT contains(hay, x))) = 0),
+_KNOWN = f"""WITH {b.PAGE_RECORDS}, {_HAY}, f AS (SELECT source_id, docs_locale, arg_min(title, pos) AS t0 FROM records GROUP BY ALL), asked AS (SELECT DISTINCT source_id,
+  docs_locale, unnest([lower(t0), split_part(t0, ' ', 2), 'nothing like it']) AS query FROM f),
+norm AS (SELECT *, {b.normal_sql('query')} AS q FROM asked), m AS (SELECT n.source_id, n.docs_locale, n.query, h.title, h.url, h.pos, h.t = n.q AS same FROM norm n JOIN
+  hay h USING (source_id, docs_locale) WHERE n.q <> '' AND len(list_filter(string_split(n.q, ' '), lambda x: NOT contains(hay, x))) = 0),
 hits AS (SELECT source_id, docs_locale, query, title, url FROM m QUALIFY row_number() OVER (PARTITION BY source_id, docs_locale, query ORDER BY same DESC, pos) = 1)"""
 
 
 def live_links(spark, d):
     hits, _ = ref.known_query_check(_jobs(spark, d), b.page_records(spark, d))
-    m = b.page_records(spark, d).select("source_id", "docs_locale", F.when(F.col("docs_locale") == "es", "planned").otherwise("supported").alias("status")).distinct()
+    m = b.page_records(spark, d).select(
+        "source_id", "docs_locale", F.when(F.col("docs_locale") == "es", "planned").otherwise("supported").alias("status")
+    ).distinct()
     return ref.live_check_rows(m, hits)
 
 
@@ -377,7 +576,9 @@ def equivalence(spark, d):
     shape = "source_id string, source_name string, source_kind string, document_kind string, programming_language string, docs_locale string, status string, qualification string, qualification_ja string, record_count bigint"
     projected = ref.runtime_projection(whole).select("manifest_pos", F.from_json("entry", shape).alias("e")).select("manifest_pos", "e.*")
     lacking = projected.withColumn("source_name", F.when(F.col("source_id") != "en-com", F.col("source_name")))
-    searched = lambda m: bun.expand_bundles(bundles, m.where("status = 'supported'")).join(m.select("source_id", "docs_locale", F.col("manifest_pos").alias("catalog_pos")), ["source_id", "docs_locale"])
+    searched = lambda m: bun.expand_bundles(bundles, m.where("status = 'supported'")).join(
+        m.select("source_id", "docs_locale", F.col("manifest_pos").alias("catalog_pos")), ["source_id", "docs_locale"]
+    )
     full = cut(searched(whole))
     found, _ = s.search(b.requests(spark, d), full, fuzzy=False)
     counted = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
@@ -385,36 +586,60 @@ def equivalence(spark, d):
     return counted("results", found).unionByName(counted("differing", same)).unionByName(counted("differing without a name", other))
 
 
-EQUIVALENCE = f"""WITH {b.PAGE_RECORDS.replace("records AS", "records1 AS")}, i AS (SELECT source_id, docs_locale, row_number() OVER (ORDER BY min(pos)) AS p FROM records1 GROUP BY ALL),
-records AS (SELECT r.* EXCLUDE (catalog_pos), i.p AS catalog_pos FROM records1 r JOIN i USING (source_id, docs_locale) WHERE starts_with(url, 'https://') AND docs_locale <> 'es'), {b.REQUESTS}, {b.SCORED}, {b.DIVERSE}
-SELECT 'results' AS what, count(*) AS n FROM results UNION ALL SELECT 'differing', 0 UNION ALL SELECT 'differing without a name', 2 * count(*) FROM results WHERE source_id = 'en-com'"""
+EQUIVALENCE = f"""WITH {b.PAGE_RECORDS.replace("records AS", "records1 AS")}, i AS (SELECT source_id, docs_locale, row_number() OVER (ORDER BY min(pos)) AS p FROM records1 GROUP BY
+  ALL),
+records AS (SELECT r.* EXCLUDE (catalog_pos), i.p AS catalog_pos FROM records1 r JOIN i USING (source_id, docs_locale) WHERE starts_with(url, 'https://') AND docs_locale
+  <> 'es'), {b.REQUESTS}, {b.SCORED}, {b.DIVERSE}
+SELECT 'results' AS what, count(*) AS n FROM results UNION ALL SELECT 'differing', 0 UNION ALL SELECT 'differing without a name', 2 * count(*) FROM results WHERE
+  source_id = 'en-com'"""
 
 
 def headers(spark, d):
     """Of each pair of neighbouring event types, the top-level fields in which their builds differ."""
     e = b.table(spark, d, "events")
-    of = lambda i: e.where(F.col("event_id") % 2 == i).agg(F.lit(2).alias("schema_version"), (F.count_distinct("event_type") + i).alias("generator_version"), F.sha2(F.max(F.col("event_id") - i).cast("string"), 256).alias("catalog_sha256"))
+    of = lambda i: e.where(F.col("event_id") % 2 == i).agg(
+        F.lit(2).alias("schema_version"), (F.count_distinct("event_type") + i).alias("generator_version"),
+        F.sha2(F.max(F.col("event_id") - i).cast("string"), 256).alias("catalog_sha256")
+    )
     return ref.header_diff(of(0), of(1))
 
 
 HEADERS = """WITH h AS (SELECT event_id % 2 AS i, count(DISTINCT event_type) + event_id % 2 AS g, max(event_id - event_id % 2) AS c FROM events GROUP BY event_id % 2)
-SELECT 'generator_version' AS field FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND a.g <> b.g UNION ALL SELECT 'catalog_sha256' FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND a.c <> b.c"""
+SELECT 'generator_version' AS field FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND a.g <> b.g UNION ALL SELECT 'catalog_sha256' FROM h a, h b WHERE a.i = 0 AND b.i = 1 AND
+  a.c <> b.c"""
 
 
 def selected_jobs(spark, d):
     frequency = F.when(F.col("s_suppkey") % 2 == 0, "weekly").otherwise("monthly")
-    jobs = b.catalog(spark, d)["source_indexes"].join(b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("index_pos"), frequency.alias("update_frequency")), "index_pos")
+    jobs = b.catalog(spark, d)["source_indexes"].join(
+        b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("index_pos"), frequency.alias("update_frequency")), "index_pos"
+    )
     first = jobs.orderBy("index_pos").first()
-    return ref.select_jobs(jobs, None, [f"{first.source_id}/{first.docs_locale}"], ["weekly"]).select("index_pos", "source_id", "docs_locale")
+    return ref.select_jobs(
+        jobs, None, [f"{first.source_id}/{first.docs_locale}"], ["weekly"]
+    ).select("index_pos", "source_id", "docs_locale")
 
 
 QUERIES = {
     "qualify_titles": (qualify_titles, QUALIFIED),
     "explicit_titles": (explicit_titles, EXPLICIT),
     "validate_records": (validate_records, VALIDATED),
-    "minimum_records": (minimum_records, f"WITH {b.PAGE_RECORDS}, j AS (SELECT DISTINCT (['en', 'de', 'fr', 'es', 'xx'])[n_nationkey % 5 + 1] AS docs_locale FROM nation) SELECT docs_locale || '-com' AS source_id, docs_locale, count(pos) AS n, 20 AS minimum_records FROM j LEFT JOIN (SELECT * FROM records WHERE ends_with(source_id, '-com')) r USING (docs_locale) GROUP BY docs_locale HAVING count(pos) < 20"),
-    "allowed_urls": (allowed_urls, f"{_HOSTED}, dom AS (SELECT DISTINCT hst FROM h WHERE starts_with(hst, 'www.')) SELECT pos, url FROM h SEMI JOIN dom USING (hst) WHERE starts_with(path, '/en/') OR starts_with(path, '/de/1')"),
-    "pack_bundles": (pack_bundles, f"{_BUNDLES} SELECT source_id, docs_locale, record_count, strlen(body) AS raw_bytes, sha256(body) AS output_sha256, source_id || '.' || docs_locale || '.' || sha256(body)[1:16] || '.json' AS path FROM p"),
+    "minimum_records": (
+        minimum_records,
+        f"WITH {b.PAGE_RECORDS}, j AS (SELECT DISTINCT (['en', 'de', 'fr', 'es', 'xx'])[n_nationkey % 5 + 1] AS docs_locale FROM nation) SELECT "
+        f"docs_locale || '-com' AS source_id, docs_locale, count(pos) AS n, 20 AS minimum_records FROM j LEFT JOIN (SELECT * FROM records WHERE "
+        f"ends_with(source_id, '-com')) r USING (docs_locale) GROUP BY docs_locale HAVING count(pos) < 20"
+    ),
+    "allowed_urls": (
+        allowed_urls,
+        f"{_HOSTED}, dom AS (SELECT DISTINCT hst FROM h WHERE starts_with(hst, 'www.')) SELECT pos, url FROM h SEMI JOIN dom USING (hst) WHERE "
+        f"starts_with(path, '/en/') OR starts_with(path, '/de/1')"
+    ),
+    "pack_bundles": (
+        pack_bundles,
+        f"{_BUNDLES} SELECT source_id, docs_locale, record_count, strlen(body) AS raw_bytes, sha256(body) AS output_sha256, source_id || '.' || "
+        f"docs_locale || '.' || sha256(body)[1:16] || '.json' AS path FROM p"
+    ),
     "expand_bundles": (expand_bundles, EXPANDED),
     "coverage_report": (coverage, COVERAGE),
     "catalog_integrity": (integrity, INTEGRITY),
@@ -430,14 +655,30 @@ QUERIES = {
     "artifact_diff": (artifacts, ARTIFACTS),
     "change_gates": (gates, GATES),
     "carry_over": (carried, CARRIED),
-    "keep_retrieved_at": (retrieved, f"{_OLD_NEW} SELECT source_id, docs_locale, (n.record_count % 3)::VARCHAR AS input_sha256, CASE WHEN o.record_count % 3 = n.record_count % 3 THEN 'day0' ELSE 'day1' END AS retrieved_at FROM n LEFT JOIN o USING (source_id, docs_locale)"),
+    "keep_retrieved_at": (
+        retrieved,
+        f"{_OLD_NEW} SELECT source_id, docs_locale, (n.record_count % 3)::VARCHAR AS input_sha256, CASE WHEN o.record_count % 3 = n.record_count % 3 "
+        f"THEN 'day0' ELSE 'day1' END AS retrieved_at FROM n LEFT JOIN o USING (source_id, docs_locale)"
+    ),
     "partial_refresh": (refreshed, REFRESHED),
     "size_budget_report": (budget, BUDGET),
-    "known_query_check": (known_queries, f"{_KNOWN} SELECT a.source_id, a.docs_locale, a.query, h.title, h.url FROM asked a LEFT JOIN hits h USING (source_id, docs_locale, query) WHERE h.title IS NOT NULL OR a.query IN (SELECT query FROM asked)"),
-    "live_check_rows": (live_links, f"{_KNOWN} SELECT url, source_id, docs_locale, query FROM hits WHERE docs_locale <> 'es' QUALIFY row_number() OVER (PARTITION BY url ORDER BY source_id, docs_locale, query) = 1"),
+    "known_query_check": (
+        known_queries,
+        f"{_KNOWN} SELECT a.source_id, a.docs_locale, a.query, h.title, h.url FROM asked a LEFT JOIN hits h USING (source_id, docs_locale, query) WHERE "
+        f"h.title IS NOT NULL OR a.query IN (SELECT query FROM asked)"
+    ),
+    "live_check_rows": (
+        live_links,
+        f"{_KNOWN} SELECT url, source_id, docs_locale, query FROM hits WHERE docs_locale <> 'es' QUALIFY row_number() OVER (PARTITION BY url ORDER BY "
+        f"source_id, docs_locale, query) = 1"
+    ),
     "projection_equivalence": (equivalence, EQUIVALENCE),
     "header_diff": (headers, HEADERS),
     "publish_and_read_back": (publish, PUBLISHED),
     "combine_records": (combined, COMBINED),
-    "select_jobs": (selected_jobs, f"WITH {b.CATALOG} SELECT i.index_pos, i.source_id, i.docs_locale FROM indexes i, (SELECT * FROM indexes ORDER BY index_pos LIMIT 1) f WHERE NOT (i.source_id = f.source_id AND i.docs_locale = f.docs_locale) AND i.index_pos % 2 = 0"),
+    "select_jobs": (
+        selected_jobs,
+        f"WITH {b.CATALOG} SELECT i.index_pos, i.source_id, i.docs_locale FROM indexes i, (SELECT * FROM indexes ORDER BY index_pos LIMIT 1) f WHERE NOT "
+        f"(i.source_id = f.source_id AND i.docs_locale = f.docs_locale) AND i.index_pos % 2 = 0"
+    ),
 }

@@ -20,7 +20,8 @@ def html_links(spark, d):
     return x.extract_html_links(_pages(spark, d)).select("doc_id", "pos", "href", "text")
 
 
-_NAV = """nav AS (SELECT page_id AS doc_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages)"""
+_NAV = """nav AS (SELECT page_id AS doc_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html,
+  '<a href="([^"]*)">([^<]*)</a>', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages)"""
 
 
 def link_records(spark, d):
@@ -34,10 +35,15 @@ def scoped_links(spark, d):
     """Links under one path of one site, the last of each: pages' links, those of up to five letters outside the path."""
     links = x.extract_html_links(_pages(spark, d)).withColumn("url", F.lit("https://docs.example/x"))
     href = F.concat(F.lit("/guide"), F.when(F.length("href") > 6, F.col("href")).otherwise(F.lit("s")))
-    return x.scoped_links(links.withColumn("href", href), "https://docs.example/guide", exclude=["/guide/theandth"], prefer_last=True).select("doc_id", "link", "pos")
+    return x.scoped_links(
+        links.withColumn("href", href), "https://docs.example/guide", exclude=["/guide/theandth"], prefer_last=True
+    ).select("doc_id", "link", "pos")
 
 
-SCOPED = f"WITH {_LINKS} SELECT doc_id, 'https://docs.example/guide' || href AS link, max(pos) AS pos FROM links WHERE length(href) > 6 AND href <> '/theandth' GROUP BY ALL"
+SCOPED = (
+    f"WITH {_LINKS} SELECT doc_id, 'https://docs.example/guide' || href AS link, max(pos) AS pos FROM links WHERE length(href) > 6 AND href <> "
+    f"'/theandth' GROUP BY ALL"
+)
 
 
 def partitions(spark, d):
@@ -46,55 +52,93 @@ def partitions(spark, d):
 
 def scripts(spark, d):
     """The index script of each page, some outside the page's site, some pages without one."""
-    src = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://cdn.example/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/dist/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))).otherwise("/other.js")
+    src = F.when(
+        F.col("page_id") % 3 == 0, F.concat(F.lit("https://cdn.example/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))
+    ).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/dist/sidebar_items-"), F.col("page_id").cast("string"), F.lit(".js"))).otherwise("/other.js")
     body = F.concat(F.lit("<script src='/first.js'></script><script defer src='"), src, F.lit("'></script>"), "html")
     site = F.concat(F.regexp_extract("url", "^https?://[^/?#]+", 0), F.lit("/"))
-    return x.discover_script(b.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), site.alias("url"), body.alias("body")), r"^sidebar_items-[0-9A-F]+\.js$")
+    return x.discover_script(
+        b.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), site.alias("url"), body.alias("body")),
+        r"^sidebar_items-[0-9A-F]+\.js$"
+    )
 
 
-SCRIPTS = """SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn.example/sidebar_items-' || page_id || '.js' WHEN 1 THEN regexp_extract(url, '^https?://[^/?#]+') || '/dist/sidebar_items-' || page_id || '.js' END AS link, page_id % 3 = 1 AS sound FROM pages"""
+SCRIPTS = """SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'https://cdn.example/sidebar_items-' || page_id || '.js' WHEN 1 THEN regexp_extract(url, '^https?://[^/?#]+')
+  || '/dist/sidebar_items-' || page_id || '.js' END AS link, page_id % 3 = 1 AS sound FROM pages"""
 
 
 def canonical_links(spark, d):
     from ..operators.refresh import canonical_links as canonical
 
     links = x.link_records(x.extract_html_links(_pages(spark, d)))
-    return canonical(links.select("doc_id", F.col("link").alias("url"))).select("doc_id", F.sha2("canonical", 256).alias("canonical_sha256"))
+    return canonical(links.select("doc_id", F.col("link").alias("url"))).select(
+        "doc_id", F.sha2("canonical", 256).alias("canonical_sha256")
+    )
 
 
 def page_titles(spark, d):
     p = b.table(spark, d, "pages")
     parts = u.url_parts(F.col("url"))
-    return p.select("page_id", x.page_title(F.col("html")).alias("title"), *(c.alias(k) for k, c in parts.items()), u.title_from_url(F.col("url")).alias("url_title"), F.coalesce(u.section_from_path(F.col("url"), 0), F.lit("")).alias("section"), u.title_with_channel(F.lit("t"), F.col("url"), "/([0-9]+)", "none").alias("channel"))
+    return p.select(
+        "page_id", x.page_title(F.col("html")).alias("title"), *(c.alias(k) for k, c in parts.items()),
+        u.title_from_url(F.col("url")).alias("url_title"), F.coalesce(u.section_from_path(F.col("url"), 0), F.lit("")).alias("section"),
+        u.title_with_channel(F.lit("t"), F.col("url"), "/([0-9]+)", "none").alias("channel")
+    )
 
 
-PAGE_TITLES = r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(url, '^([a-z]+):', 1)) AS protocol, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,
+PAGE_TITLES = r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;',
+  '&'), '\s+', ' ', 'g')) AS title, lower(regexp_extract(url, '^([a-z]+):', 1)) AS protocol, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host,
  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path0, regexp_extract(url, '(\?[^#]*)', 1) AS query, regexp_extract(url, '(#.*)$', 1) AS fragment FROM pages),
 q AS (SELECT *, CASE WHEN path0 = '' THEN '/' ELSE path0 END AS path, list_filter(string_split(path0, '/'), lambda s: s <> '') AS segs FROM p)
 SELECT page_id, title, protocol, host, path, query, fragment, coalesce(regexp_replace(segs[-1], '\.html?$', ''), '') AS url_title,
- CASE WHEN segs[1] IS NULL THEN '' ELSE upper(segs[1][1:1]) || segs[1][2:] END AS section, 't — ' || CASE WHEN regexp_extract(path, '/([0-9]+)', 1) = '' THEN 'none' ELSE regexp_extract(path, '/([0-9]+)', 1) END AS channel FROM q"""
+ CASE WHEN segs[1] IS NULL THEN '' ELSE upper(segs[1][1:1]) || segs[1][2:] END AS section, 't — ' || CASE WHEN regexp_extract(path, '/([0-9]+)', 1) = '' THEN 'none' ELSE
+  regexp_extract(path, '/([0-9]+)', 1) END AS channel FROM q"""
 
 
 def slug_titles(spark, d):
     """Slugs out of part names."""
     p = b.table(spark, d, "part")
     slug = F.concat(F.regexp_replace("p_name", " ", "-"), F.when(F.col("p_size") % 3 == 0, "_json-api").otherwise(""))
-    return p.select("p_partkey", u.humanize_slug(slug).alias("title"), u.build_doc_url("https://d.example/", F.concat(F.when(F.col("p_size") % 5 == 0, "../").otherwise(""), slug, F.when(F.col("p_size") % 4 == 0, "/index.md").otherwise(".md")), F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("!(x)")))).alias("url"), u.restore_path_case(F.concat(F.lit("lib/"), F.regexp_replace("p_name", " ", "/")), F.concat(F.lit("Std::"), F.regexp_replace(F.initcap("p_name"), " ", "::"))).alias("cased"), t.normalize_language_id(F.element_at(F.array(*map(F.lit, (" C++", "JS", "golang", "Rb", "zig"))), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("language"), t.proposal_status_class(F.element_at(F.array(*map(F.lit, ("Withdrawn", "stage-1", "stage-2", "", "Draft 3"))), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("status"))
+    return p.select(
+        "p_partkey", u.humanize_slug(slug).alias("title"),
+        u.build_doc_url(
+            "https://d.example/",
+            F.concat(
+                F.when(F.col("p_size") % 5 == 0, "../").otherwise(""), slug, F.when(F.col("p_size") % 4 == 0, "/index.md").otherwise(".md")
+            ),
+            F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("!(x)")))
+        ).alias("url"),
+        u.restore_path_case(
+            F.concat(F.lit("lib/"), F.regexp_replace("p_name", " ", "/")),
+            F.concat(F.lit("Std::"), F.regexp_replace(F.initcap("p_name"), " ", "::"))
+        ).alias("cased"),
+        t.normalize_language_id(
+            F.element_at(F.array(*map(F.lit, (" C++", "JS", "golang", "Rb", "zig"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+        ).alias("language"),
+        t.proposal_status_class(
+            F.element_at(F.array(*map(F.lit, ("Withdrawn", "stage-1", "stage-2", "", "Draft 3"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+        ).alias("status")
+    )
 
 
 SLUG_TITLES = r"""WITH p AS (SELECT *, string_split(p_name, ' ') AS w, replace(p_name, ' ', '-') || CASE WHEN p_size % 3 = 0 THEN '_json-api' ELSE '' END AS slug FROM part)
 SELECT p_partkey, upper(w[1][1:1]) || w[1][2:] || ' ' || upper(w[2][1:1]) || w[2][2:] || CASE WHEN p_size % 3 = 0 THEN ' Json Api' ELSE '' END AS title,
- CASE WHEN p_size % 5 <> 0 THEN 'https://d.example/' || slug || CASE WHEN p_size % 4 = 0 THEN '/' ELSE '.html' END || CASE WHEN p_size % 2 = 0 THEN '#' || replace(p_name, ' ', '%20') || '!(x)' ELSE '' END END AS url,
- 'lib/' || upper(w[1][1:1]) || w[1][2:] || '/' || upper(w[2][1:1]) || w[2][2:] AS cased, (['cpp', 'javascript', 'go', 'ruby', 'zig'])[p_partkey % 5 + 1] AS language, (['not-current', 'draft', 'current', NULL, 'draft'])[p_partkey % 5 + 1] AS status FROM p"""
+ CASE WHEN p_size % 5 <> 0 THEN 'https://d.example/' || slug || CASE WHEN p_size % 4 = 0 THEN '/' ELSE '.html' END || CASE WHEN p_size % 2 = 0 THEN '#' ||
+  replace(p_name, ' ', '%20') || '!(x)' ELSE '' END END AS url,
+ 'lib/' || upper(w[1][1:1]) || w[1][2:] || '/' || upper(w[2][1:1]) || w[2][2:] AS cased, (['cpp', 'javascript', 'go', 'ruby', 'zig'])[p_partkey % 5 + 1] AS language,
+  (['not-current', 'draft', 'current', NULL, 'draft'])[p_partkey % 5 + 1] AS status FROM p"""
 
 
 def normalized_texts(spark, d):
     docs = b.table(spark, d, "documents")
     norm = t.normalize_text(F.col("text"))
-    return docs.select("doc_id", norm.alias("n")).select("doc_id", F.sha2("n", 256).alias("normal_sha256"), F.size(t.words_of(F.col("n"))).cast("long").alias("distinct_words"))
+    return docs.select("doc_id", norm.alias("n")).select(
+        "doc_id", F.sha2("n", 256).alias("normal_sha256"), F.size(t.words_of(F.col("n"))).cast("long").alias("distinct_words")
+    )
 
 
-NORMALIZED = rf"""WITH n AS (SELECT doc_id, {b.normal_sql("text")} AS n FROM documents) SELECT doc_id, sha256(n) AS normal_sha256, len(list_distinct(list_filter(string_split_regex(n, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))) AS distinct_words FROM n"""
+NORMALIZED = rf"""WITH n AS (SELECT doc_id, {b.normal_sql("text")} AS n FROM documents) SELECT doc_id, sha256(n) AS normal_sha256, len(list_distinct(list_filter(string_split_regex(n,
+  '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))) AS distinct_words FROM n"""
 
 
 def plain_texts(spark, d):
@@ -104,14 +148,20 @@ def plain_texts(spark, d):
     key = F.col("page_id").cast("string")
     note = t.plain_markdown(F.concat(F.lit("**Note** [see]("), "url", F.lit(") `x` ![i](y) \\* "), key))
     cell = t.markdown_cell_text(F.concat(F.lit("a<br>b \\| "), key))
-    rows = b.table(spark, d, "pages").select("page_id", plain_html_text("html").alias("text"), note.alias("note"), cell.alias("cell"), t.decode_entities(F.concat(F.lit("&lt;a&#62; &amp;amp; "), key), numeric=True).alias("decoded"))
+    rows = b.table(spark, d, "pages").select(
+        "page_id", plain_html_text("html").alias("text"), note.alias("note"), cell.alias("cell"),
+        t.decode_entities(F.concat(F.lit("&lt;a&#62; &amp;amp; "), key), numeric=True).alias("decoded")
+    )
     return rows.select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "note", "cell", "decoded")
 
 
-PLAIN = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<br ?/?>', ' ', 'g') AS t FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM t),
+PLAIN = r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<br ?/?>', ' ', 'g') AS t FROM
+  pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM t),
 v AS (SELECT page_id, replace(trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')), ' --- ', ' — ') AS t FROM u)
-SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256, 'Note see x * ' || page_id AS note, 'a b | ' || page_id AS cell, '<a> &amp; ' || page_id AS decoded FROM v"""
+SELECT page_id, length(t) AS n_chars, sha256(t) AS text_sha256, 'Note see x * ' || page_id AS note, 'a b | ' || page_id AS cell, '<a> &amp; ' || page_id AS decoded FROM
+  v"""
 
 
 def sitemap(spark, d):
@@ -119,36 +169,60 @@ def sitemap(spark, d):
     p = b.table(spark, d, "pages")
     tld = F.regexp_extract("url", r"^https?://[^/]*?([a-z]+)(?:/|$)", 1)
     chunk = F.concat(tld, F.lit("."), F.floor(F.col("page_id") / 500).cast("string"))
-    bodies = p.groupBy(chunk.alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: F.concat(F.lit("<url><loc> "), F.replace(s["url"], F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>\n"))), "").alias("body"))
+    bodies = p.groupBy(chunk.alias("doc_id")).agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("page_id", "url"))),
+                lambda s: F.concat(F.lit("<url><loc> "), F.replace(s["url"], F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>\n"))
+            ),
+            ""
+        ).alias("body")
+    )
     return x.extract_sitemap(bodies, ["https://www.", "https://m."], "Untitled").select("doc_id", "link", "title")
 
 
-SITEMAP = r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*?([a-z]+)(?:/|$)', 1) || '.' || (page_id // 500) AS doc_id, url AS link, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages WHERE starts_with(url, 'https://www.') OR starts_with(url, 'https://m.'))
+SITEMAP = r"""WITH p AS (SELECT regexp_extract(url, '^https?://[^/]*?([a-z]+)(?:/|$)', 1) || '.' || (page_id // 500) AS doc_id, url AS link,
+  list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs FROM pages WHERE starts_with(url, 'https://www.') OR
+  starts_with(url, 'https://m.'))
 SELECT doc_id, link, regexp_replace(segs[-1], '\.html?$', '') AS title FROM p"""
 
 
 def feed(spark, d):
     """Feeds of each part type, two thousand numbers of parts to one."""
-    item = F.concat(F.lit("<item><title><![CDATA[P & "), "p_name", F.lit("]]> &#35;"), F.col("p_partkey").cast("string"), F.lit("</title><link>https://"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b"), F.lit(".example/"), F.col("p_partkey").cast("string"), F.lit("</link></item>\n"))
-    bodies = b.table(spark, d, "part").groupBy(F.concat("p_type", F.lit("."), F.floor(F.col("p_partkey") / 2000).cast("string")).alias("doc_id")).agg(F.concat(F.lit("<rss>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</rss>")).alias("body"))
+    item = F.concat(
+        F.lit("<item><title><![CDATA[P & "), "p_name", F.lit("]]> &#35;"), F.col("p_partkey").cast("string"),
+        F.lit("</title><link>https://"), F.when(F.col("p_size") % 2 == 0, "a").otherwise("b"), F.lit(".example/"),
+        F.col("p_partkey").cast("string"), F.lit("</link></item>\n")
+    )
+    bodies = b.table(spark, d, "part").groupBy(F.concat("p_type", F.lit("."), F.floor(F.col("p_partkey") / 2000).cast("string")).alias("doc_id")).agg(
+        F.concat(F.lit("<rss>"), F.array_join(F.array_sort(F.collect_list(item)), ""), F.lit("</rss>")).alias("body")
+    )
     return x.extract_rss(bodies, "https://a.example/").select("doc_id", "title", "link")
 
 
-FEED = "SELECT p_type || '.' || (p_partkey // 2000) AS doc_id, 'P & ' || p_name || ' #' || p_partkey AS title, 'https://a.example/' || p_partkey AS link FROM part WHERE p_size % 2 = 0"
+FEED = (
+    "SELECT p_type || '.' || (p_partkey // 2000) AS doc_id, 'P & ' || p_name || ' #' || p_partkey AS title, 'https://a.example/' || p_partkey AS link "
+    "FROM part WHERE p_size % 2 = 0"
+)
 
 
 def _items(spark, d):
     """Pages with the texts of their menus."""
-    return b.table(spark, d, "pages").select("page_id", "url", "html", F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a></li>'), F.lit(1)).alias("items"))
+    return b.table(spark, d, "pages").select(
+        "page_id", "url", "html", F.regexp_extract_all("html", F.lit('<li><a href="/[^"]*">([^<]*)</a></li>'), F.lit(1)).alias("items")
+    )
 
 
-_ITEMS = """pg AS (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/?#]+') AS origin, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1) AS its FROM pages),
+_ITEMS = """pg AS (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/?#]+') AS origin, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)',
+  1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS h1, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1) AS its FROM pages),
 items AS (SELECT page_id, url, origin, h1, unnest(its) AS item, unnest(range(len(its))) AS i, len(its) AS n FROM pg)""".replace("\\\\", "\\")
 
 
 def _parts(each):
     """Text of all menu items; ``each`` gives that of an item and its number."""
-    return F.array_join(F.transform("items", lambda x, i: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in each(x, i.cast("string"))))), "")
+    return F.array_join(
+        F.transform("items", lambda x, i: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in each(x, i.cast("string"))))), ""
+    )
 
 
 def _page_html(spark, d):
@@ -169,7 +243,8 @@ def html_headings(spark, d):
     return x.extract_html_headings(_page_html(spark, d)).select("doc_id", "level", "id", "text", "section", "link")
 
 
-HEADINGS = f"""WITH {_ITEMS} SELECT page_id AS doc_id, 2 AS level, 'n' || i AS id, item AS text, h1 AS section, url || '#n' || i AS link FROM items UNION ALL SELECT page_id, 1, 'top', h1, h1, url || '#top' FROM pg WHERE contains(html, '<h1>')"""
+HEADINGS = f"""WITH {_ITEMS} SELECT page_id AS doc_id, 2 AS level, 'n' || i AS id, item AS text, h1 AS section, url || '#n' || i AS link FROM items UNION ALL SELECT page_id, 1,
+  'top', h1, h1, url || '#top' FROM pg WHERE contains(html, '<h1>')"""
 
 
 def clauses(spark, d):
@@ -182,21 +257,34 @@ def papers(spark, d):
     return rec.revision_status(rec.latest_per_identifier(rows)).select("identifier", "title", "author", "link", "status")
 
 
-PAPERS = f"""WITH {_ITEMS}, r AS (SELECT 'P' || lpad((page_id % 500)::VARCHAR, 4, '0') AS series, i AS rev, 'Paper ' || item AS title, url, page_id % 9 AS day, origin || '/p' || i || '.html' AS link, CASE WHEN page_id % 2 = 0 THEN 'adopted' ELSE '' END AS status FROM items),
+PAPERS = f"""WITH {_ITEMS}, r AS (SELECT 'P' || lpad((page_id % 500)::VARCHAR, 4, '0') AS series, i AS rev, 'Paper ' || item AS title, url, page_id % 9 AS day, origin || '/p' ||
+  i || '.html' AS link, CASE WHEN page_id % 2 = 0 THEN 'adopted' ELSE '' END AS status FROM items),
 l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY series, rev ORDER BY url DESC, day DESC) = 1)
-SELECT series || 'R' || rev AS identifier, title, 'A & B' AS author, link, CASE WHEN rev < max(rev) OVER (PARTITION BY series) THEN 'superseded' WHEN status <> '' THEN status ELSE 'unknown' END AS status FROM l"""
+SELECT series || 'R' || rev AS identifier, title, 'A & B' AS author, link, CASE WHEN rev < max(rev) OVER (PARTITION BY series) THEN 'superseded' WHEN status <> '' THEN
+  status ELSE 'unknown' END AS status FROM l"""
 
 
 def revisions(spark, d):
     """Orders as paper rows: many revisions of a customer's paper on several pages."""
     o = b.table(spark, d, "orders")
-    rows = o.select(F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("R"), (F.col("o_orderkey") % 4).cast("string")).alias("identifier"), F.concat(F.lit("page"), (F.col("o_orderkey") % 7).cast("string")).alias("page_url"), F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("Withdrawn "), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("title"), F.when(F.col("o_orderstatus") == "F", "final").otherwise("").alias("status"))
+    rows = o.select(
+        F.concat(F.lit("P"), F.col("o_custkey").cast("string"), F.lit("R"), (F.col("o_orderkey") % 4).cast("string")).alias("identifier"),
+        F.concat(F.lit("page"), (F.col("o_orderkey") % 7).cast("string")).alias("page_url"),
+        F.col("o_orderdate").cast("string").alias("date"), F.col("o_orderkey").alias("pos"),
+        F.when(
+            F.col("o_orderkey") % 5 == 0, F.concat(F.lit("Withdrawn "), "o_orderpriority")
+        ).otherwise(F.col("o_orderpriority")).alias("title"),
+        F.when(F.col("o_orderstatus") == "F", "final").otherwise("").alias("status")
+    )
     return rec.revision_status(rec.latest_per_identifier(rows)).select("identifier", "page_url", "pos", "status")
 
 
-REVISIONS = r"""WITH r AS (SELECT 'P' || o_custkey || 'R' || (o_orderkey % 4) AS identifier, o_custkey, o_orderkey % 4 AS rev, 'page' || (o_orderkey % 7) AS page_url, o_orderdate::DATE::VARCHAR AS date, o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'Withdrawn ' ELSE '' END || o_orderpriority AS title, CASE WHEN o_orderstatus = 'F' THEN 'final' ELSE '' END AS status FROM orders),
+REVISIONS = r"""WITH r AS (SELECT 'P' || o_custkey || 'R' || (o_orderkey % 4) AS identifier, o_custkey, o_orderkey % 4 AS rev, 'page' || (o_orderkey % 7) AS page_url,
+  o_orderdate::DATE::VARCHAR AS date, o_orderkey AS pos, CASE WHEN o_orderkey % 5 = 0 THEN 'Withdrawn ' ELSE '' END || o_orderpriority AS title, CASE WHEN o_orderstatus
+  = 'F' THEN 'final' ELSE '' END AS status FROM orders),
 l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY page_url DESC, date DESC, pos) = 1)
-SELECT identifier, page_url, pos, CASE WHEN rev < max(rev) OVER (PARTITION BY o_custkey) THEN 'superseded' WHEN status <> '' THEN status WHEN title ILIKE '%withdrawn%' THEN 'withdrawn' ELSE 'unknown' END AS status FROM l"""
+SELECT identifier, page_url, pos, CASE WHEN rev < max(rev) OVER (PARTITION BY o_custkey) THEN 'superseded' WHEN status <> '' THEN status WHEN title ILIKE '%withdrawn%'
+  THEN 'withdrawn' ELSE 'unknown' END AS status FROM l"""
 
 
 def _lines(spark, d):
@@ -206,109 +294,198 @@ def _lines(spark, d):
     return b.table(spark, d, "documents").select("doc_id", "source", lines.alias("items"))
 
 
-_LINES = r"""ln AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> '') AS its FROM documents),
+_LINES = r"""ln AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <>
+  '') AS its FROM documents),
 items AS (SELECT doc_id, source, unnest(its) AS item, unnest(range(len(its))) AS i, len(its) AS n FROM ln)"""
 
 
 def toc(spark, d):
     """A nested table of contents for each document: its source, a group marker and its lines."""
-    kid = lambda x, i: F.struct(F.when(i == 2, "groupMarker").alias("type"), x.alias("title"), F.when(i != 2, F.concat(F.lit("/l"), i.cast("string"))).alias("path"))
+    kid = lambda x, i: F.struct(
+        F.when(i == 2, "groupMarker").alias("type"), x.alias("title"), F.when(i != 2, F.concat(F.lit("/l"), i.cast("string"))).alias("path")
+    )
     tree = F.struct(F.lit("/d").alias("path"), F.concat(F.lit("Of "), "source").alias("title"), F.transform("items", kid).alias("children"))
     bodies = _lines(spark, d).select("doc_id", F.to_json(F.array(tree)).alias("body"))
     return x.flatten_toc(bodies).select("doc_id", "title", "path", "section")
 
 
-TOC = f"WITH {_LINES} SELECT doc_id, item AS title, '/l' || i AS path, CASE WHEN i > 2 THEN third ELSE 'Of ' || source END AS section FROM (SELECT i.*, its[3] AS third FROM items i JOIN ln USING (doc_id)) WHERE i <> 2 UNION ALL SELECT doc_id, 'Of ' || source, '/d', NULL FROM ln WHERE source IS NOT NULL"
+TOC = (
+    f"WITH {_LINES} SELECT doc_id, item AS title, '/l' || i AS path, CASE WHEN i > 2 THEN third ELSE 'Of ' || source END AS section FROM (SELECT i.*, "
+    f"its[3] AS third FROM items i JOIN ln USING (doc_id)) WHERE i <> 2 UNION ALL SELECT doc_id, 'Of ' || source, '/d', NULL FROM ln WHERE source IS NOT "
+    f"NULL"
+)
 
 
 def yaml_toc(spark, d):
     """The same as an outline: each third line opens a list of the two after it; links of a locale."""
-    one = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("- name: 'T "), x, F.lit("'\n  href: /h"), i.cast("string"), F.lit("\n  items:\n"))).otherwise(F.concat(F.lit("  - name: T "), x, F.lit("\n    href: /ja/h"), i.cast("string"), F.lit("\n")))
+    one = lambda x, i: F.when(
+        i % 3 == 0, F.concat(F.lit("- name: 'T "), x, F.lit("'\n  href: /h"), i.cast("string"), F.lit("\n  items:\n"))
+    ).otherwise(F.concat(F.lit("  - name: T "), x, F.lit("\n    href: /ja/h"), i.cast("string"), F.lit("\n")))
     bodies = _lines(spark, d).select("doc_id", F.array_join(F.transform("items", one), "").alias("body"))
     rows = x.flatten_toc(bodies, children="items", title="name", path="href", form="yaml")
     return rows.select("doc_id", "title", x.locale_prefixed(F.col("path"), "ja").alias("path"), "section")
 
 
-YAML_TOC = f"WITH {_LINES} SELECT doc_id, 'T ' || item AS title, '/ja/h' || i AS path, CASE WHEN i % 3 > 0 THEN 'T ' || its[i - i % 3 + 1] END AS section FROM items JOIN ln USING (doc_id)"
+YAML_TOC = (
+    f"WITH {_LINES} SELECT doc_id, 'T ' || item AS title, '/ja/h' || i AS path, CASE WHEN i % 3 > 0 THEN 'T ' || its[i - i % 3 + 1] END AS section FROM "
+    f"items JOIN ln USING (doc_id)"
+)
 
 
 def toc_links(spark, d):
     """Chapter links under titled parts, and the links around a marker, for each page's menu."""
     li = _parts(lambda x, i: ("<li><a href=/l", i, ">", (i.cast("int") + 1).cast("string"), ".2. ", x, "</a>"))
-    body = F.concat(F.lit("<a href=/out>out</a><ol class='chapters x'><li class=part>Part "), F.col("page_id").cast("string"), li, F.lit("</ol><ul><li><a href=/m>m</a><ul><li><a href=/n>n</a></ul><li><a href=/o>o</a></ul>"))
+    body = F.concat(
+        F.lit("<a href=/out>out</a><ol class='chapters x'><li class=part>Part "), F.col("page_id").cast("string"), li,
+        F.lit("</ol><ul><li><a href=/m>m</a><ul><li><a href=/n>n</a></ul><li><a href=/o>o</a></ul>")
+    )
     bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), body.alias("body"))
     inside = x.subtree_links(bodies, "/m").select("doc_id", "href", F.col("text").alias("title"), F.lit("sub").alias("part"))
     return x.toc_parts(bodies, "chapters", "part").select("doc_id", "href", F.col("text").alias("title"), "part").unionByName(inside)
 
 
-TOC_LINKS = f"WITH {_ITEMS} SELECT page_id AS doc_id, '/l' || i AS href, item AS title, 'Part ' || page_id AS part FROM items UNION ALL SELECT page_id, h, h[2:], 'sub' FROM pg, (VALUES ('/m'), ('/n')) v(h)"
+TOC_LINKS = (
+    f"WITH {_ITEMS} SELECT page_id AS doc_id, '/l' || i AS href, item AS title, 'Part ' || page_id AS part FROM items UNION ALL SELECT page_id, h, "
+    f"h[2:], 'sub' FROM pg, (VALUES ('/m'), ('/n')) v(h)"
+)
 
 
 def sidebar(spark, d):
     """A sidebar of each page: the page as a module, its menu as headers and as functions."""
     key = F.col("page_id").cast("string")
     heads = F.transform("items", lambda item, i: F.struct(item.alias("id"), F.concat(F.lit("h"), i.cast("string")).alias("anchor")))
-    nodes = F.transform("items", lambda item, i: F.struct(F.concat(item, F.lit("()")).alias("id"), F.concat(F.lit("f"), i.cast("string")).alias("anchor")))
-    page = F.struct(F.concat(F.lit("m"), key).alias("id"), F.concat(F.lit("Mod"), key).alias("title"), F.lit("Core").alias("group"), heads.alias("headers"), F.array(F.struct(F.lit("f").alias("key"), F.lit("Functions").alias("name"), nodes.alias("nodes"))).alias("nodeGroups"))
-    bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("sidebarNodes="), F.to_json(F.struct(F.array(page).alias("modules"))), F.lit(";")).alias("body"))
+    nodes = F.transform(
+        "items", lambda item, i: F.struct(F.concat(item, F.lit("()")).alias("id"), F.concat(F.lit("f"), i.cast("string")).alias("anchor"))
+    )
+    page = F.struct(
+        F.concat(F.lit("m"), key).alias("id"), F.concat(F.lit("Mod"), key).alias("title"), F.lit("Core").alias("group"),
+        heads.alias("headers"),
+        F.array(F.struct(F.lit("f").alias("key"), F.lit("Functions").alias("name"), nodes.alias("nodes"))).alias("nodeGroups")
+    )
+    bodies = _items(spark, d).select(
+        F.col("page_id").alias("doc_id"),
+        F.concat(F.lit("sidebarNodes="), F.to_json(F.struct(F.array(page).alias("modules"))), F.lit(";")).alias("body")
+    )
     return x.flatten_sidebar(bodies)
 
 
-SIDEBAR = f"WITH {_ITEMS} SELECT page_id AS doc_id, 0 AS pos, 'Mod' || page_id AS title, 'm' || page_id AS page, NULL::VARCHAR AS anchor, 'Core' AS section FROM pg UNION ALL SELECT page_id, 0, item, 'm' || page_id, 'h' || i, 'Mod' || page_id FROM items UNION ALL SELECT page_id, 0, item || '()', 'm' || page_id, 'f' || i, 'Mod' || page_id FROM items"
+SIDEBAR = (
+    f"WITH {_ITEMS} SELECT page_id AS doc_id, 0 AS pos, 'Mod' || page_id AS title, 'm' || page_id AS page, NULL::VARCHAR AS anchor, 'Core' AS section "
+    f"FROM pg UNION ALL SELECT page_id, 0, item, 'm' || page_id, 'h' || i, 'Mod' || page_id FROM items UNION ALL SELECT page_id, 0, item || '()', 'm' || "
+    f"page_id, 'f' || i, 'Mod' || page_id FROM items"
+)
 
 
 def sphinx(spark, d):
     """A search index of each page: menu items are pages, and each has a heading."""
     names = F.transform("items", lambda item, i: F.when(i == 0, "index").otherwise(F.concat(F.lit("d/p"), i.cast("string"))))
     titles = F.transform("items", lambda item, i: F.concat(F.lit("<em>"), item, F.lit("</em>")))
-    heads = F.map_from_entries(F.transform("items", lambda item, i: F.struct(F.concat(item, F.lit(" "), i.cast("string")), F.array(F.array(i.cast("string"), F.concat(F.lit("s"), i.cast("string")))))))
-    bodies = _items(spark, d).select(F.col("page_id").alias("doc_id"), F.concat(F.lit("Search.setIndex("), F.to_json(F.struct(names.alias("docnames"), titles.alias("titles"), heads.alias("alltitles"))), F.lit(")")).alias("body"))
+    heads = F.map_from_entries(
+        F.transform(
+            "items", lambda item,
+            i: F.struct(
+                F.concat(item, F.lit(" "), i.cast("string")), F.array(F.array(i.cast("string"), F.concat(F.lit("s"), i.cast("string"))))
+            )
+        )
+    )
+    bodies = _items(spark, d).select(
+        F.col("page_id").alias("doc_id"),
+        F.concat(
+            F.lit("Search.setIndex("), F.to_json(F.struct(names.alias("docnames"), titles.alias("titles"), heads.alias("alltitles"))),
+            F.lit(")")
+        ).alias("body")
+    )
     return x.sphinx_records(bodies, "https://s.example/")
 
 
 SPHINX = f"""WITH {_ITEMS}, s AS (SELECT *, 'https://s.example/' || CASE WHEN i = 0 THEN '' ELSE 'd/p' || i || '.html' END AS link FROM items)
-SELECT page_id AS doc_id, 'page' AS kind, item AS title, link, NULL::VARCHAR AS section FROM s UNION ALL SELECT page_id, 'heading', item || ' ' || i, link || '#s' || i, item FROM s"""
+SELECT page_id AS doc_id, 'page' AS kind, item AS title, link, NULL::VARCHAR AS section FROM s UNION ALL SELECT page_id, 'heading', item || ' ' || i, link || '#s' || i,
+  item FROM s"""
 
 
 def javadoc(spark, d):
     """Suppliers as packages and parts as their types, in files of bounded numbers; some types have no package."""
-    listed = lambda rows, key, size, entry: rows.groupBy(F.floor(F.col(key) / size)).agg(F.to_json(F.collect_list(entry)).alias("list"))
-    package, module = F.concat(F.lit("org.s"), F.col("s_suppkey").cast("string")), F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("m"), F.col("s_nationkey").cast("string")))
-    packages = listed(b.table(spark, d, "supplier"), "s_suppkey", 100, F.struct(package.alias("l"), module.alias("m"))).select(F.concat(F.lit("packageSearchIndex = "), "list", F.lit(";updateSearchResults();")).alias("body"))
+    listed = lambda rows, key, size, entry: rows.groupBy(F.floor(F.col(key) / size)).agg(
+        F.to_json(F.collect_list(entry)).alias("list")
+    )
+    package, module = F.concat(F.lit("org.s"), F.col("s_suppkey").cast("string")), F.when(
+        F.col("s_suppkey") % 7 != 0, F.concat(F.lit("m"), F.col("s_nationkey").cast("string"))
+    )
+    packages = listed(
+        b.table(spark, d, "supplier"), "s_suppkey", 100, F.struct(package.alias("l"), module.alias("m"))
+    ).select(F.concat(F.lit("packageSearchIndex = "), "list", F.lit(";updateSearchResults();")).alias("body"))
     of = F.concat(F.lit("org.s"), (F.col("p_partkey") % 1000).cast("string"))
-    types = listed(b.table(spark, d, "part"), "p_partkey", 1000, F.struct(of.alias("p"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("l"))).select(F.concat(F.lit("typeSearchIndex = "), "list", F.lit(";")).alias("body"))
+    types = listed(
+        b.table(spark, d, "part"), "p_partkey", 1000,
+        F.struct(of.alias("p"), F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("l"))
+    ).select(F.concat(F.lit("typeSearchIndex = "), "list", F.lit(";")).alias("body"))
     return x.javadoc_records(packages, types, "https://j.example/")
 
 
 JAVADOC = """WITH p AS (SELECT *, 'https://j.example/' || CASE WHEN s_suppkey % 7 <> 0 THEN 'm' || s_nationkey || '/' ELSE '' END || 'org/s' || s_suppkey AS folder FROM supplier)
-SELECT 'package' AS kind, 'org.s' || s_suppkey AS title, folder || '/package-summary.html' AS link, CASE WHEN s_suppkey % 7 <> 0 THEN 'm' || s_nationkey END AS section FROM p
+SELECT 'package' AS kind, 'org.s' || s_suppkey AS title, folder || '/package-summary.html' AS link, CASE WHEN s_suppkey % 7 <> 0 THEN 'm' || s_nationkey END AS section
+  FROM p
 UNION ALL SELECT 'type', 'T' || p_partkey, folder || '/T' || p_partkey || '.html', 'org.s' || s_suppkey FROM part JOIN p ON s_suppkey = p_partkey % 1000"""
 
 
 def _by_type(spark, d, value):
-    return b.table(spark, d, "part").groupBy(F.col("p_type").alias("doc_id"), F.floor(F.col("p_partkey") / 2000).alias("chunk")).agg(value.alias("body"))
+    return b.table(spark, d, "part").groupBy(
+        F.col("p_type").alias("doc_id"), F.floor(F.col("p_partkey") / 2000).alias("chunk")
+    ).agg(value.alias("body"))
 
 
 def json_entries(spark, d):
-    entry = F.struct(F.when(F.col("p_size") % 9 != 0, F.col("p_name")).alias("name"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("type"))
+    entry = F.struct(
+        F.when(F.col("p_size") % 9 != 0, F.col("p_name")).alias("name"),
+        F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_brand").alias("type")
+    )
     bodies = _by_type(spark, d, F.to_json(F.struct(F.collect_list(entry).alias("entries"))))
-    return x.json_entry_records(bodies, "name:string,path:string,type:string", lambda e: e["name"], lambda e: F.concat(F.lit("https://e.example/"), e["path"]), lambda e: e["type"], field="entries", accept=lambda e: ~F.endswith(e["type"], F.lit("7"))).select("doc_id", "title", "link", "section")
+    return x.json_entry_records(
+        bodies, "name:string,path:string,type:string", lambda e: e["name"], lambda e: F.concat(F.lit("https://e.example/"), e["path"]),
+        lambda e: e["type"], field="entries", accept=lambda e: ~F.endswith(e["type"], F.lit("7"))
+    ).select("doc_id", "title", "link", "section")
 
 
-JSON_ENTRIES = "SELECT p_type AS doc_id, p_name AS title, 'https://e.example/p/' || p_partkey AS link, p_brand AS section FROM part WHERE p_size % 9 <> 0 AND NOT ends_with(p_brand, '7')"
+JSON_ENTRIES = (
+    "SELECT p_type AS doc_id, p_name AS title, 'https://e.example/p/' || p_partkey AS link, p_brand AS section FROM part WHERE p_size % 9 <> 0 AND NOT "
+    "ends_with(p_brand, '7')"
+)
 
 
 def latest_versions(spark, d):
-    versions = F.array(F.lit("0.1"), F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "0-beta").otherwise("2")))
-    return x.latest_version_records(_by_type(spark, d, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("lib"), F.col("p_partkey").cast("string")), versions)))))).select("doc_id", "name", "version")
+    versions = F.array(
+        F.lit("0.1"),
+        F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "0-beta").otherwise("2"))
+    )
+    return x.latest_version_records(
+        _by_type(
+            spark, d,
+            F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("lib"), F.col("p_partkey").cast("string")), versions))))
+        )
+    ).select("doc_id", "name", "version")
 
 
 def path_lists(spark, d):
-    path = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("../"), "p_name")).otherwise(F.concat(F.regexp_replace("p_brand", "#", "-"), F.lit("/"), F.regexp_replace("p_name", " ", "_"), F.lit("/p"), F.col("p_partkey").cast("string"), F.lit(".md")))
-    return x.json_path_lists(_by_type(spark, d, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), F.array(path, path))))))).select("doc_id", "path", "title", "section")
-
-
-PATH_LISTS = "SELECT p_type AS doc_id, replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '_') || '/p' || p_partkey || '.md' AS path, 'P' || p_partkey AS title, replace(p_brand, '#', ' ') AS section FROM part WHERE p_size % 7 <> 0"
+    path = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("../"), "p_name")).otherwise(
+        F.concat(
+            F.regexp_replace("p_brand", "#", "-"), F.lit("/"), F.regexp_replace("p_name", " ", "_"), F.lit("/p"),
+            F.col("p_partkey").cast("string"), F.lit(".md")
+        )
+    )
+    return x.json_path_lists(
+        _by_type(
+            spark, d,
+            F.to_json(
+                F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), F.array(path, path))))
+            )
+        )
+    ).select("doc_id", "path", "title", "section")
+
+
+PATH_LISTS = (
+    "SELECT p_type AS doc_id, replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '_') || '/p' || p_partkey || '.md' AS path, 'P' || p_partkey AS "
+    "title, replace(p_brand, '#', ' ') AS section FROM part WHERE p_size % 7 <> 0"
+)
 
 
 def _markdown(spark, d):
@@ -340,7 +517,11 @@ def status_tables(spark, d):
     return x.markdown_status_tables(_markdown(spark, d)).select("doc_id", "title", "link", "status")
 
 
-STATUS_TABLES = f"WITH {_LINES}, r AS (SELECT doc_id, i, 'stage-' || (i % 4) AS status FROM items) SELECT doc_id, 'Idea ' || i AS title, 'https://p.example/' || i AS link, status FROM r UNION ALL SELECT doc_id, 'Own ' || i, 'https://o.example/' || i, status FROM r UNION ALL SELECT doc_id, '[Lost ' || i || ']', doc_id || '#' || (11 * i + 10), status FROM r"
+STATUS_TABLES = (
+    f"WITH {_LINES}, r AS (SELECT doc_id, i, 'stage-' || (i % 4) AS status FROM items) SELECT doc_id, 'Idea ' || i AS title, 'https://p.example/' || i "
+    f"AS link, status FROM r UNION ALL SELECT doc_id, 'Own ' || i, 'https://o.example/' || i, status FROM r UNION ALL SELECT doc_id, '[Lost ' || i || "
+    f"']', doc_id || '#' || (11 * i + 10), status FROM r"
+)
 
 
 def summary_zip(spark, d):
@@ -348,27 +529,70 @@ def summary_zip(spark, d):
     body = _parts(lambda item, i: (F.when(i.cast("int") % 3 == 0, "").otherwise("  "), "- [", item, "](n", i, ".md)\n"))
     summary = x.markdown_links(_lines(spark, d).select("doc_id", body.alias("body")))
     n = F.size("items") - F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
-    sites = _lines(spark, d).where(F.size("items") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("pos")).withColumn("link", F.concat(F.lit("https://z.example/"), F.col("pos").cast("string")))
+    sites = _lines(spark, d).where(F.size("items") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n)).alias("pos")).withColumn(
+        "link", F.concat(F.lit("https://z.example/"), F.col("pos").cast("string"))
+    )
     return x.zip_summary_with_sitemap(summary, sites).select("doc_id", "title", "link", "section", "sound")
 
 
-SUMMARY_ZIP = f"WITH {_LINES} SELECT doc_id, item AS title, CASE WHEN doc_id % 5 <> 0 OR i < n - 1 THEN 'https://z.example/' || (i + 1) END AS link, its[i - i % 3 + 1] AS section, doc_id % 5 <> 0 AS sound FROM items JOIN ln USING (doc_id)"
+SUMMARY_ZIP = (
+    f"WITH {_LINES} SELECT doc_id, item AS title, CASE WHEN doc_id % 5 <> 0 OR i < n - 1 THEN 'https://z.example/' || (i + 1) END AS link, its[i - i % 3 "
+    f"+ 1] AS section, doc_id % 5 <> 0 AS sound FROM items JOIN ln USING (doc_id)"
+)
 
 
 def json_shapes(spark, d):
     """Entry lists of other generators: a map of papers, a plain list of pages, a list of library members, a wiki's pages."""
     k, name = F.col("p_partkey").cast("string"), F.col("p_name")
-    pep = F.to_json(F.map_from_entries(F.collect_list(F.struct(k, F.struct(name.alias("title"), F.concat(F.lit("https://p.example/pep-"), k).alias("url"), F.when(F.col("p_size") % 2 == 0, "Draft").otherwise("Final").alias("status"))))))
-    plain = F.to_json(F.collect_list(F.struct(name.alias("title"), F.concat(F.when(F.col("p_size") % 3 == 0, "/other/").otherwise("/docs/"), k).alias("url"))))
-    member = F.to_json(F.collect_list(F.struct(F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("lib."), name)).alias("qualifiedName"), name.alias("name"), F.concat(k, F.lit(".html")).alias("href"), F.struct(F.col("p_brand").alias("name")).alias("enclosedBy"))))
-    wiki = F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(k, F.struct(name.alias("title"), F.col("p_size").alias("ns"))))).alias("pages")))
+    pep = F.to_json(
+        F.map_from_entries(
+            F.collect_list(
+                F.struct(
+                    k,
+                    F.struct(
+                        name.alias("title"), F.concat(F.lit("https://p.example/pep-"), k).alias("url"),
+                        F.when(F.col("p_size") % 2 == 0, "Draft").otherwise("Final").alias("status")
+                    )
+                )
+            )
+        )
+    )
+    plain = F.to_json(
+        F.collect_list(
+            F.struct(name.alias("title"), F.concat(F.when(F.col("p_size") % 3 == 0, "/other/").otherwise("/docs/"), k).alias("url"))
+        )
+    )
+    member = F.to_json(
+        F.collect_list(
+            F.struct(
+                F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("lib."), name)).alias("qualifiedName"), name.alias("name"),
+                F.concat(k, F.lit(".html")).alias("href"), F.struct(F.col("p_brand").alias("name")).alias("enclosedBy")
+            )
+        )
+    )
+    wiki = F.to_json(
+        F.struct(F.map_from_entries(F.collect_list(F.struct(k, F.struct(name.alias("title"), F.col("p_size").alias("ns"))))).alias("pages"))
+    )
     of = lambda body: _by_type(spark, d, body)
     text = F.lit
     parts = [
-        x.json_entry_records(of(pep), "title:string,url:string,status:string", lambda e: e["title"], lambda e: e["url"], lambda e: e["status"], mapped=True),
-        x.json_entry_records(of(plain), "title:string,url:string", lambda e: e["title"], lambda e: F.concat(text("https://m.example"), e["url"]), accept=lambda e: F.startswith(e["url"], text("/docs/"))),
-        x.json_entry_records(of(member), "qualifiedName:string,name:string,href:string,enclosedBy:struct<name:string>", lambda e: F.coalesce(e["qualifiedName"], e["name"]), lambda e: F.concat(text("https://d.example/"), e["href"]), lambda e: e["enclosedBy"]["name"]),
-        x.json_entry_records(of(wiki), "title:string,ns:int", lambda e: e["title"], lambda e: F.concat(text("https://w.example/"), F.replace(e["title"], text(" "), text("_"))), field="pages", mapped=True, accept=lambda e: e["ns"] < 10),
+        x.json_entry_records(
+            of(pep), "title:string,url:string,status:string", lambda e: e["title"], lambda e: e["url"], lambda e: e["status"], mapped=True
+        ),
+        x.json_entry_records(
+            of(plain), "title:string,url:string", lambda e: e["title"], lambda e: F.concat(text("https://m.example"), e["url"]),
+            accept=lambda e: F.startswith(e["url"], text("/docs/"))
+        ),
+        x.json_entry_records(
+            of(member), "qualifiedName:string,name:string,href:string,enclosedBy:struct<name:string>",
+            lambda e: F.coalesce(e["qualifiedName"], e["name"]), lambda e: F.concat(text("https://d.example/"), e["href"]),
+            lambda e: e["enclosedBy"]["name"]
+        ),
+        x.json_entry_records(
+            of(wiki), "title:string,ns:int", lambda e: e["title"],
+            lambda e: F.concat(text("https://w.example/"), F.replace(e["title"], text(" "), text("_"))), field="pages", mapped=True,
+            accept=lambda e: e["ns"] < 10
+        ),
     ]
     out = parts[0].withColumn("shape", F.lit(0))
     for i, part in enumerate(parts[1:], 1):
@@ -376,7 +600,8 @@ def json_shapes(spark, d):
     return out.select("shape", "doc_id", "title", "link", "section")
 
 
-JSON_SHAPES = """SELECT 0 AS shape, p_type AS doc_id, p_name AS title, 'https://p.example/pep-' || p_partkey AS link, CASE WHEN p_size % 2 = 0 THEN 'Draft' ELSE 'Final' END AS section FROM part
+JSON_SHAPES = """SELECT 0 AS shape, p_type AS doc_id, p_name AS title, 'https://p.example/pep-' || p_partkey AS link, CASE WHEN p_size % 2 = 0 THEN 'Draft' ELSE 'Final' END AS section
+  FROM part
 UNION ALL SELECT 1, p_type, p_name, 'https://m.example/docs/' || p_partkey, NULL FROM part WHERE p_size % 3 <> 0
 UNION ALL SELECT 2, p_type, CASE WHEN p_size % 4 <> 0 THEN 'lib.' ELSE '' END || p_name, 'https://d.example/' || p_partkey || '.html', p_brand FROM part
 UNION ALL SELECT 3, p_type, p_name, 'https://w.example/' || replace(p_name, ' ', '_'), NULL FROM part WHERE p_size < 10"""
@@ -384,37 +609,66 @@ UNION ALL SELECT 3, p_type, p_name, 'https://w.example/' || replace(p_name, ' ',
 
 def anchors(spark, d):
     """Fragments for page titles from their first heading with an id, else the title."""
-    pages = b.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<h1>"), F.lit("<h1 id='t'>"))).otherwise(F.col("html")).alias("body"))
-    entries = b.table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.concat(F.lit("Page No. "), F.col("page_id").cast("string")).alias("title"), F.when(F.col("page_id") % 3 == 0, "own").alias("fragment"))
+    pages = b.table(spark, d, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"),
+        F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<h1>"), F.lit("<h1 id='t'>"))).otherwise(F.col("html")).alias("body")
+    )
+    entries = b.table(spark, d, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"),
+        F.concat(F.lit("Page No. "), F.col("page_id").cast("string")).alias("title"),
+        F.when(F.col("page_id") % 3 == 0, "own").alias("fragment")
+    )
     return x.heading_anchor_lookup(entries, pages)
 
 
 def editions(spark, d):
     """Domains with pages in a language they should not have."""
-    p = b.table(spark, d, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("source_id"), F.col("html").alias("body"))
+    p = b.table(spark, d, "pages").select(
+        F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("source_id"), F.col("html").alias("body")
+    )
     return x.assert_edition(p, '<html lang="([a-z]+)"', "en")
 
 
 def slug_kinds(spark, d):
-    links = b.table(spark, d, "part").select("p_partkey", F.concat(F.lit("https://k.example/x/"), F.regexp_replace("p_name", " ", "_"), F.when(F.col("p_size") % 3 == 0, "_func.html").when(F.col("p_size") % 3 == 1, "_type").otherwise("")).alias("link"))
+    links = b.table(spark, d, "part").select(
+        "p_partkey",
+        F.concat(
+            F.lit("https://k.example/x/"), F.regexp_replace("p_name", " ", "_"),
+            F.when(F.col("p_size") % 3 == 0, "_func.html").when(F.col("p_size") % 3 == 1, "_type").otherwise("")
+        ).alias("link")
+    )
     return x.slug_kind_records(links, ["func", "type"]).select("p_partkey", "title", "section")
 
 
 def moved_urls(spark, d):
     records = b.page_records(spark, d).select("url", "title", "source_id", "docs_locale", "pos")
-    moved = b.table(spark, d, "pages").where("page_id % 5 = 0").select(F.col("url").alias("old"), F.concat(F.lit("https://moved.example/"), (F.col("page_id") % 20).cast("string")).alias("new"))
+    moved = b.table(spark, d, "pages").where("page_id % 5 = 0").select(
+        F.col("url").alias("old"), F.concat(F.lit("https://moved.example/"), (F.col("page_id") % 20).cast("string")).alias("new")
+    )
     return rec.unique_records(u.canonical_urls(records, moved)).select("source_id", "url", "pos")
 
 
-MOVED = f"WITH {b.PAGE_RECORDS}, m AS (SELECT source_id, docs_locale, title, CASE WHEN pos % 5 = 0 THEN 'https://moved.example/' || (pos % 20) ELSE url END AS url, pos FROM records) SELECT source_id, url, min(pos) AS pos FROM m WHERE title <> '' GROUP BY source_id, docs_locale, url"
+MOVED = (
+    f"WITH {b.PAGE_RECORDS}, m AS (SELECT source_id, docs_locale, title, CASE WHEN pos % 5 = 0 THEN 'https://moved.example/' || (pos % 20) ELSE url END "
+    f"AS url, pos FROM records) SELECT source_id, url, min(pos) AS pos FROM m WHERE title <> '' GROUP BY source_id, docs_locale, url"
+)
 
 QUERIES = {
-    "extract_html_links": (html_links, f"WITH {_NAV} SELECT doc_id, pos, replace(href, '&amp;', '&') AS href, trim(text) AS text FROM nav WHERE trim(text) <> ''"),
-    "link_records": (link_records, f"WITH {_LINKS} SELECT doc_id, link, min(pos) AS pos, arg_min(trim(text), pos) AS text FROM links WHERE starts_with(link, 'https://') GROUP BY ALL"),
+    "extract_html_links": (
+        html_links,
+        f"WITH {_NAV} SELECT doc_id, pos, replace(href, '&amp;', '&') AS href, trim(text) AS text FROM nav WHERE trim(text) <> ''"
+    ),
+    "link_records": (
+        link_records,
+        f"WITH {_LINKS} SELECT doc_id, link, min(pos) AS pos, arg_min(trim(text), pos) AS text FROM links WHERE starts_with(link, 'https://') GROUP BY ALL"
+    ),
     "scoped_links": (scoped_links, SCOPED),
     "discover_partitions": (partitions, f"WITH {_LINKS} SELECT DISTINCT link FROM links WHERE regexp_matches(href, '^/[a-m][^/]*$')"),
     "discover_scripts": (scripts, SCRIPTS),
-    "canonicalize_links": (canonical_links, f"WITH {_LINKS} SELECT doc_id, sha256(string_agg(DISTINCT link, chr(10) ORDER BY link)) AS canonical_sha256 FROM links GROUP BY ALL"),
+    "canonicalize_links": (
+        canonical_links,
+        f"WITH {_LINKS} SELECT doc_id, sha256(string_agg(DISTINCT link, chr(10) ORDER BY link)) AS canonical_sha256 FROM links GROUP BY ALL"
+    ),
     "page_titles_and_urls": (page_titles, PAGE_TITLES),
     "slug_titles": (slug_titles, SLUG_TITLES),
     "normalize_texts": (normalized_texts, NORMALIZED),
@@ -433,15 +687,34 @@ QUERIES = {
     "javadoc_records": (javadoc, JAVADOC),
     "json_entry_records": (json_entries, JSON_ENTRIES),
     "json_entry_shapes": (json_shapes, JSON_SHAPES),
-    "latest_version_records": (latest_versions, "SELECT p_type AS doc_id, 'lib' || p_partkey AS name, '1.' || p_size || '.2' AS version FROM part WHERE p_partkey % 3 <> 0"),
+    "latest_version_records": (
+        latest_versions,
+        "SELECT p_type AS doc_id, 'lib' || p_partkey AS name, '1.' || p_size || '.2' AS version FROM part WHERE p_partkey % 3 <> 0"
+    ),
     "json_path_lists": (path_lists, PATH_LISTS),
-    "markdown_links": (markdown_links, f"WITH {_LINES} SELECT doc_id, 2 AS depth, 'N ' || i AS title, 'n' || i || '.md' AS href, item AS section FROM items"),
+    "markdown_links": (
+        markdown_links,
+        f"WITH {_LINES} SELECT doc_id, 2 AS depth, 'N ' || i AS title, 'n' || i || '.md' AS href, item AS section FROM items"
+    ),
     "markdown_inline_links": (inline_links, f"WITH {_LINES} SELECT doc_id, 'in ' || i AS title, '/i' || i || '.html#x' AS href FROM items"),
-    "markdown_anchored_headings": (markdown_headings, f"WITH {_LINES} SELECT doc_id, 1 AS level, 'Top ' || i AS title, 'a' || i AS anchor, 'Top ' || i AS section FROM items"),
+    "markdown_anchored_headings": (
+        markdown_headings,
+        f"WITH {_LINES} SELECT doc_id, 1 AS level, 'Top ' || i AS title, 'a' || i AS anchor, 'Top ' || i AS section FROM items"
+    ),
     "markdown_status_tables": (status_tables, STATUS_TABLES),
     "zip_summary_with_sitemap": (summary_zip, SUMMARY_ZIP),
-    "heading_anchor_lookup": (anchors, "SELECT 'p' || page_id AS path, 'Page No. ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'own' WHEN page_id % 2 = 0 THEN 't' ELSE 'page-no-' || page_id END AS fragment FROM pages"),
-    "assert_edition": (editions, """SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS found FROM pages WHERE regexp_extract(html, '<html lang="([a-z]+)"', 1) <> 'en'"""),
-    "slug_kind_records": (slug_kinds, "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN replace(upper(p_name), ' ', ' / ') ELSE upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] END AS title, CASE p_size % 3 WHEN 0 THEN 'Func' WHEN 1 THEN 'Type' END AS section FROM part"),
+    "heading_anchor_lookup": (
+        anchors,
+        "SELECT 'p' || page_id AS path, 'Page No. ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'own' WHEN page_id % 2 = 0 THEN 't' ELSE "
+        "'page-no-' || page_id END AS fragment FROM pages"
+    ),
+    "assert_edition": (editions, """SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS source_id, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS found FROM pages WHERE
+  regexp_extract(html, '<html lang="([a-z]+)"', 1) <> 'en'"""),
+    "slug_kind_records": (
+        slug_kinds,
+        "SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN replace(upper(p_name), ' ', ' / ') ELSE upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] "
+        "|| ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:] END AS title, CASE p_size % 3 WHEN 0 THEN 'Func' WHEN 1 "
+        "THEN 'Type' END AS section FROM part"
+    ),
     "canonical_urls": (moved_urls, MOVED),
 }

@@ -16,24 +16,37 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     wrote it."""
     raw = spark.read.schema(BUNDLE + ", path string").json(path, multiLine=True)
     name = F.coalesce("path", F.col("_metadata.file_name"))
-    return raw.select(F.col("schemaVersion").alias("schema_version"), F.col("sourceId").alias("source_id"), F.col("docsLocale").alias("docs_locale"), F.col("urlPrefix").alias("url_prefix"), "records", name.alias("path"))
+    return raw.select(
+        F.col("schemaVersion").alias("schema_version"), F.col("sourceId").alias("source_id"), F.col("docsLocale").alias("docs_locale"),
+        F.col("urlPrefix").alias("url_prefix"), "records", name.alias("path")
+    )
 
 
 def explode_records(bundles: DataFrame) -> DataFrame:
     """One row for each record with its position: title, url_suffix, section, proposal_status; empty fields are null."""
     field = lambda i: F.nullif(F.get("rec", F.lit(i)), F.lit(""))
-    return bundles.select("source_id", "docs_locale", "url_prefix", F.posexplode("records").alias("pos", "rec")).select("source_id", "docs_locale", "url_prefix", F.col("pos").cast("long").alias("pos"), F.get("rec", F.lit(0)).alias("title"), F.get("rec", F.lit(1)).alias("url_suffix"), field(2).alias("section"), field(3).alias("proposal_status"))
+    return bundles.select("source_id", "docs_locale", "url_prefix", F.posexplode("records").alias("pos", "rec")).select(
+        "source_id", "docs_locale", "url_prefix", F.col("pos").cast("long").alias("pos"), F.get("rec", F.lit(0)).alias("title"),
+        F.get("rec", F.lit(1)).alias("url_suffix"), field(2).alias("section"), field(3).alias("proposal_status")
+    )
 
 
 def expand_bundles(bundles: DataFrame, manifest: DataFrame) -> DataFrame:
     """Search records: absolute URLs and the manifest's metadata. The manifest has one row for each bundle."""
-    meta = manifest.select("source_id", "docs_locale", "source_name", "source_kind", F.coalesce("document_kind", F.lit("reference")).alias("document_kind"), "programming_language", "qualification", "qualification_ja")
-    return explode_records(bundles).join(meta, ["source_id", "docs_locale"]).withColumn("url", F.concat("url_prefix", "url_suffix")).drop("url_prefix", "url_suffix")
+    meta = manifest.select(
+        "source_id", "docs_locale", "source_name", "source_kind", F.coalesce("document_kind", F.lit("reference")).alias("document_kind"),
+        "programming_language", "qualification", "qualification_ja"
+    )
+    return explode_records(bundles).join(meta, ["source_id", "docs_locale"]).withColumn(
+        "url", F.concat("url_prefix", "url_suffix")
+    ).drop("url_prefix", "url_suffix")
 
 
 def validate_bundles(bundles: DataFrame, manifest: DataFrame) -> DataFrame:
     """(source_id, docs_locale, reason) of bundles that a search must leave out; other bundles are not affected."""
-    known = manifest.select(F.col("source_id").alias("m_source"), F.col("docs_locale").alias("m_locale"), F.col("path").alias("m_path"), "record_count")
+    known = manifest.select(
+        F.col("source_id").alias("m_source"), F.col("docs_locale").alias("m_locale"), F.col("path").alias("m_path"), "record_count"
+    )
     met = bundles.join(known, F.col("path") == F.col("m_path"), "left")
     sound = F.forall("records", lambda r: F.size(r).between(2, 4) & ~F.exists(r, F.isnull) & (F.trim(F.get(r, F.lit(0))) != ""))
     reason = (
@@ -45,21 +58,39 @@ def validate_bundles(bundles: DataFrame, manifest: DataFrame) -> DataFrame:
     )
     faulty = met.select("source_id", "docs_locale", "path", reason.alias("reason")).where("reason is not null")
     urls = explode_records(bundles).withColumn("full", F.concat("url_prefix", "url_suffix"))
-    outside = urls.where(~F.coalesce(F.startswith(url_resolve(F.lit(""), F.col("full")), F.col("url_prefix")) & F.startswith("full", F.lit("https://")), F.lit(False)))
-    outside = outside.select("source_id", "docs_locale").distinct().join(bundles.select("source_id", "docs_locale", "path"), ["source_id", "docs_locale"]).withColumn("reason", F.lit("url"))
+    outside = urls.where(
+        ~F.coalesce(
+            F.startswith(url_resolve(F.lit(""), F.col("full")), F.col("url_prefix")) & F.startswith("full", F.lit("https://")), F.lit(False)
+        )
+    )
+    outside = outside.select("source_id", "docs_locale").distinct().join(
+        bundles.select("source_id", "docs_locale", "path"), ["source_id", "docs_locale"]
+    ).withColumn("reason", F.lit("url"))
     return faulty.unionByName(outside.join(faulty.select("path"), "path", "left_anti"))
 
 
 def pack_bundles(records: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row for each (source, locale): the bundle's JSON line, its sizes, hash and name. URLs lose the job's prefix, trailing
     empty fields go. A bundle is one published file, so it is one row; jobs keep it to some ten thousand short records."""
-    fields = F.array(F.col("title"), F.substr("url", F.length("url_prefix") + 1), F.coalesce("section", F.lit("")), F.coalesce("proposal_status", F.lit("")))
+    fields = F.array(
+        F.col("title"), F.substr("url", F.length("url_prefix") + 1), F.coalesce("section", F.lit("")),
+        F.coalesce("proposal_status", F.lit(""))
+    )
     used = F.when(F.coalesce("proposal_status", F.lit("")) != "", 4).when(F.coalesce("section", F.lit("")) != "", 3).otherwise(2)
     rows = records.join(F.broadcast(jobs.select("source_id", "docs_locale", "url_prefix")), ["source_id", "docs_locale"])
-    packed = rows.groupBy("source_id", "docs_locale", "url_prefix").agg(F.array_sort(F.collect_list(F.struct("pos", F.slice(fields, F.lit(1), used).alias("rec")))).alias("sorted"))
-    body = F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("source_id").alias("sourceId"), F.col("docs_locale").alias("docsLocale"), F.col("url_prefix").alias("urlPrefix"), F.transform("sorted", lambda x: x["rec"]).alias("records"))
+    packed = rows.groupBy("source_id", "docs_locale", "url_prefix").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.slice(fields, F.lit(1), used).alias("rec")))).alias("sorted")
+    )
+    body = F.struct(
+        F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("source_id").alias("sourceId"), F.col("docs_locale").alias("docsLocale"),
+        F.col("url_prefix").alias("urlPrefix"), F.transform("sorted", lambda x: x["rec"]).alias("records")
+    )
     packed = packed.withColumn("body", F.concat(F.to_json(body), F.lit("\n"))).withColumn("output_sha256", F.sha2("body", 256))
-    return packed.select("source_id", "docs_locale", "url_prefix", F.size("sorted").cast("long").alias("record_count"), "body", F.octet_length("body").cast("long").alias("raw_bytes"), "output_sha256", F.concat_ws(".", "source_id", "docs_locale", F.left("output_sha256", F.lit(16)), F.lit("json")).alias("path"))
+    return packed.select(
+        "source_id", "docs_locale", "url_prefix", F.size("sorted").cast("long").alias("record_count"), "body",
+        F.octet_length("body").cast("long").alias("raw_bytes"), "output_sha256",
+        F.concat_ws(".", "source_id", "docs_locale", F.left("output_sha256", F.lit(16)), F.lit("json")).alias("path")
+    )
 
 
 def publish_records(records: DataFrame, path: str) -> None:
@@ -72,19 +103,29 @@ def publish_bundles(bundles: DataFrame, path: str) -> None:
     bundles.select("path", F.rtrim("body").alias("body")).write.mode("overwrite").partitionBy("path").text(path)
 
 
-def publish_manifest(manifest: DataFrame, path: str, catalog_sha256: str, schema_version: int = SCHEMA_VERSION, generator_version: int = GENERATOR_VERSION) -> None:
+def publish_manifest(
+    manifest: DataFrame, path: str, catalog_sha256: str, schema_version: int = SCHEMA_VERSION, generator_version: int = GENERATOR_VERSION
+) -> None:
     """One JSON document: versions, the catalog's hash, and the rows as entries in their order. A manifest has a row for each
     index of the catalog, some hundreds."""
     fields = [c for c in manifest.columns if c != "manifest_pos"]
     entries = F.array_sort(F.collect_list(F.struct("manifest_pos", F.struct(*fields).alias("entry"))))
     whole = manifest.agg(F.transform(entries, lambda x: x["entry"]).alias("entries"))
-    head = F.struct(F.lit(schema_version).alias("schemaVersion"), F.lit(generator_version).alias("generatorVersion"), F.lit(catalog_sha256).alias("catalogSha256"), "entries")
+    head = F.struct(
+        F.lit(schema_version).alias("schemaVersion"), F.lit(generator_version).alias("generatorVersion"),
+        F.lit(catalog_sha256).alias("catalogSha256"), "entries"
+    )
     whole.select(F.to_json(head).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_manifest(spark: SparkSession, path: str, entry: str) -> tuple[DataFrame, DataFrame]:
     """(header, entries) of a published manifest; ``entry`` is the schema of its entries."""
-    raw = spark.read.schema(f"schemaVersion int, generatorVersion int, catalogSha256 string, entries array<struct<{entry}>>").json(path, multiLine=True)
-    header = raw.select(F.col("schemaVersion").alias("schema_version"), F.col("generatorVersion").alias("generator_version"), F.col("catalogSha256").alias("catalog_sha256"))
+    raw = spark.read.schema(
+        f"schemaVersion int, generatorVersion int, catalogSha256 string, entries array<struct<{entry}>>"
+    ).json(path, multiLine=True)
+    header = raw.select(
+        F.col("schemaVersion").alias("schema_version"), F.col("generatorVersion").alias("generator_version"),
+        F.col("catalogSha256").alias("catalog_sha256")
+    )
     rows = raw.select(F.posexplode("entries").alias("pos", "entry"))
     return header, rows.select((F.col("pos") + 1).alias("manifest_pos"), "entry.*")
