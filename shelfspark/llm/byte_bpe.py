@@ -86,7 +86,9 @@ class Encoder:
 
         self.pieces, self.memo, self.known = sentencepiece.SentencePieceProcessor(model_proto=model), memo, {}
         self.split = regex.compile(pattern).findall
-        self.whole = {self.pieces.id_to_piece(i): array("i", (i,)).tobytes() for i in range(self.pieces.get_piece_size()) if i != self.pieces.unk_id()}
+        self.whole = {
+            self.pieces.id_to_piece(i): array("i", (i,)).tobytes() for i in range(self.pieces.get_piece_size()) if i != self.pieces.unk_id()
+        }
 
     def learn(self, pretokens: list[str]) -> None:
         pieces = as_piece(_APART.join(map(str.encode, pretokens))).split(as_piece(_APART))
@@ -120,7 +122,9 @@ def _bytes_of(column: pa.ListArray, tokens: pa.BinaryArray) -> pa.Array:
     flat = tokens.take(column.flatten())
     ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
     starts = np.frombuffer(flat.buffers()[1], np.int32, len(flat) + 1, 4 * flat.offset) if len(flat) else np.zeros(1, np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(starts[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")])
+    return pa.Array.from_buffers(
+        pa.binary(), len(column), [None, pa.py_buffer(starts[ends].tobytes()), flat.buffers()[2] or pa.py_buffer(b"")]
+    )
 
 
 @cache
@@ -135,7 +139,9 @@ def _held_tokens(spark: SparkSession, path: str | None):
     return lambda: _token_array(digest, held)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
+def encode(
+    df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None
+) -> DataFrame:
     """``df`` with column ``ids`` (array of int) instead of ``text``; with ``decoded``, also as decode() in the same worker."""
     import public_tokenizers
 

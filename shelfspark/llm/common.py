@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..shared import cut, remove, settled, write_once  # noqa: F401
+
 #: ASCII white space, as a regular-expression class body, and its complement: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,36 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may do without one."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def write_once(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read from there, and where it is."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written once to the shared folder and read from there, column by column."""
-    return write_once(df)[0]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete what write_once() wrote."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound."""
     return F.broadcast(df) if rows <= most else df
@@ -108,7 +78,9 @@ def all_but(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
-def map_batches(rows: DataFrame, keep: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], **more: DataType) -> DataFrame:
+def map_batches(
+    rows: DataFrame, keep: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], **more: DataType
+) -> DataFrame:
     """The first columns of ``rows``, named ``keep``, and the columns ``more``; ``run`` gives the arrays of both. Python workers
     see columns by their places, so names may have any characters."""
     out = [*rows.schema.fields[: len(keep)], *(StructField(name, kind) for name, kind in more.items())]

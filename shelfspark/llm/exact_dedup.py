@@ -91,7 +91,9 @@ def fingerprints(df: DataFrame, id_col: str, text: str, keep_text: bool = False)
             if keep_text:
                 yield pa.RecordBatch.from_arrays([fps, pa.array(texts, pa.binary())], ["fp", "norm"])
             else:
-                yield pa.RecordBatch.from_arrays([part.column(0), fps, pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["id", "fp", "sha"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), fps, pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())], ["id", "fp", "sha"]
+                )
 
     rows = df.select(quoted(id_col).alias("id"), quoted(text).cast("binary").alias("text"))
     light = StructType([rows.schema["id"], StructField("fp", LongType()), StructField("sha", BinaryType())])
@@ -142,7 +144,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     if n_repeated <= most:
         texts = texts.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
     groups = texts.groupBy("fp", "norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    groups = cut(groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size").join(sized(repeated.select("fp"), n_repeated, most), "fp", "left_semi"))
+    groups = cut(
+        groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size").join(
+            sized(repeated.select("fp"), n_repeated, most), "fp", "left_semi"
+        )
+    )
     n_groups = groups.count()
 
     # The members of a group meet as partial maxima, one for each task and group; of equal ids the last row counts.

@@ -174,7 +174,10 @@ class Memo:
 def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model | None:
     """From (language, text)."""
     langs = sorted({lang for lang, _ in rows})
-    known = [(langs.index(lang), words[i : i + SEGMENT]) for lang, text in rows for words in [words_of(text)] for i in range(0, len(words), SEGMENT)]
+    known = [
+        (langs.index(lang), words[i : i + SEGMENT]) for lang,
+        text in rows for words in [words_of(text)] for i in range(0, len(words), SEGMENT)
+    ]
     if not known:
         return None
     rng = random.Random(SEED)
@@ -203,7 +206,10 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model | None:
         scores = np.add.reduceat(values[0][flat], starts, axis=0)
         gamma, _, counts = layout.marginals(scores[places], values[1], expect=True)
         lack = gold_by_word - np.stack([np.bincount(places, gamma[:, c], len(ids)) for c in range(k)], 1)
-        slope = [np.stack([np.bincount(flat, lack[owner, c], WIDTH) for c in range(k)], 1) / n - DECAY * values[0], (moves - counts) / n - DECAY * values[1]]
+        slope = [
+            np.stack([np.bincount(flat, lack[owner, c], WIDTH) for c in range(k)], 1) / n - DECAY * values[0],
+            (moves - counts) / n - DECAY * values[1]
+        ]
         for v, g, m, s in zip(values, slope, first, second):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
@@ -212,14 +218,22 @@ def fit(rows: list[tuple[str, str]], steps: int = STEPS) -> Model | None:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
-    rows = docs.select(quoted(id_col).alias("id"), quoted(lang).alias("gold"), quoted(text).alias("text")).where(F.col("gold").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    rows = docs.select(quoted(id_col).alias("id"), quoted(lang).alias("gold"), quoted(text).alias("text")).where(
+        F.col("gold").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))
+    )
     sizes = cut(rows.groupBy(F.col("gold").alias("of")).agg(F.count("*").alias("rows")))
     share = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40)) / (1 << 40)
-    few = rows.select("id", "gold").join(sized(sizes, sizes.count(), BROADCAST_ROWS), F.col("gold") == F.col("of")).where((F.col("rows") <= 4 * sample) | (share < 2 * sample / F.col("rows")))
+    few = rows.select("id", "gold").join(
+        sized(sizes, sizes.count(), BROADCAST_ROWS), F.col("gold") == F.col("of")
+    ).where((F.col("rows") <= 4 * sample) | (share < 2 * sample / F.col("rows")))
     one = few.groupBy("id").agg(F.min("gold").alias("gold"))
-    even = one.withColumn("n", F.row_number().over(w.Window.partitionBy("gold").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= sample)
+    even = one.withColumn(
+        "n", F.row_number().over(w.Window.partitionBy("gold").orderBy(F.xxhash64("id"), "id"))
+    ).where(F.col("n") <= sample)
     picked = cut(even.orderBy("n", "gold").limit(sample).select("id", "gold"))  # the documented bound
-    learned = rows.join(F.broadcast(picked), ["id", "gold"]).groupBy("id", "gold").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    learned = rows.join(F.broadcast(picked), ["id", "gold"]).groupBy("id", "gold").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
     return fit(sorted((r.gold, r.text) for r in learned.toLocalIterator()))
 
 
@@ -291,7 +305,10 @@ def label_words(docs: DataFrame, model: Model | None, text: str = "text") -> Dat
             langs, scores = [["und"] * len(words) for words in texts], [[0.0] * len(words) for words in texts]
         return texts, langs, scores
 
-    return _labelled(docs, model, text, {"words": ArrayType(StringType()), "word_langs": ArrayType(StringType()), "word_scores": ArrayType(DoubleType())}, build)
+    return _labelled(
+        docs, model, text,
+        {"words": ArrayType(StringType()), "word_langs": ArrayType(StringType()), "word_scores": ArrayType(DoubleType())}, build
+    )
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

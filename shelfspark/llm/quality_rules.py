@@ -68,11 +68,19 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         # Windows are sorted by hash only where some repeat.
-        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_sorted"),
+        F.when(
+            F.size(F.array_distinct("_windows")) < F.size("_windows"),
+            F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ).alias("_sorted"),
+    )
+    pairs = F.zip_with(
+        F.slice("_sorted", 1, F.size("_sorted") - 1), F.slice("_sorted", 2, F.size("_sorted") - 1), lambda a,
+        b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))
     )
-    pairs = F.zip_with(F.slice("_sorted", 1, F.size("_sorted") - 1), F.slice("_sorted", 2, F.size("_sorted") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_places", F.array_sort(F.array_distinct(F.flatten(pairs))))
-    covered = F.zip_with("_places", F.slice("_places", 2, F.size("_places")), lambda p, q: F.least(F.lit(SHINGLE), F.coalesce(q - p, F.lit(SHINGLE))))
+    covered = F.zip_with(
+        "_places", F.slice("_places", 2, F.size("_places")), lambda p, q: F.least(F.lit(SHINGLE), F.coalesce(q - p, F.lit(SHINGLE)))
+    )
     repeated = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     return rows.withColumn("n_repeat_words", repeated).select(*(F.col("_doc").getField(c).alias(c) for c in keep), *own)
 
@@ -125,13 +133,18 @@ _ESTIMATE = ["n", *(f"m_{i}" for i in _D), *(f"c_{i}_{j}" for i, j in _LOWER)]
 def _sums(x: list[Column], when: Column | None = None) -> list[Column]:
     """Number, sums and sums of products of vectors."""
     held = (lambda v: v) if when is None else (lambda v: F.when(when, v))
-    return [F.count(held(F.lit(1))).alias("n"), *(F.sum(held(x[i])).alias(f"s_{i}") for i in _D), *(F.sum(held(x[i] * x[j])).alias(f"s_{i}_{j}") for i, j in _LOWER)]
+    return [
+        F.count(held(F.lit(1))).alias("n"), *(F.sum(held(x[i])).alias(f"s_{i}") for i in _D),
+        *(F.sum(held(x[i] * x[j])).alias(f"s_{i}_{j}") for i, j in _LOWER)
+    ]
 
 
 def _moments(sums: DataFrame, *keep: str) -> DataFrame:
     """Means m_i and covariances c_i_j from sums."""
     mean = lambda i: F.col(f"s_{i}") / F.col("n")
-    cov = lambda i, j: F.greatest(F.col(f"s_{i}_{j}") / F.col("n") - mean(i) * mean(j), F.lit(0.0) if i == j else F.lit(-1e300))
+    cov = lambda i, j: F.greatest(
+        F.col(f"s_{i}_{j}") / F.col("n") - mean(i) * mean(j), F.lit(0.0) if i == j else F.lit(-1e300)
+    )
     return sums.select(*keep, "n", *(mean(i).alias(f"m_{i}") for i in _D), *(cov(i, j).alias(f"c_{i}_{j}") for i, j in _LOWER))
 
 
@@ -161,14 +174,21 @@ def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
     quartiles = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{i}") for i, x in enumerate(_X)))
     scale = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(SPREAD[_X[i]]))
     middle = cut(quartiles.select("g", *(F.col(f"q_{i}")[1].alias(f"mid_{i}") for i in _D), *(scale(i).alias(f"scale_{i}") for i in _D)))
-    z = look_up(rows, middle, "g", n_groups).withColumns({f"z_{i}": (F.col(x) - F.col(f"mid_{i}")) / F.col(f"scale_{i}") for i, x in enumerate(_X)})
+    z = look_up(rows, middle, "g", n_groups).withColumns(
+        {f"z_{i}": (F.col(x) - F.col(f"mid_{i}")) / F.col(f"scale_{i}") for i, x in enumerate(_X)}
+    )
     length = F.sqrt(sum((F.col(f"z_{i}") ** 2 for i in _D), F.lit(1e-12)))
     squashed = [F.tanh(f"z_{i}") for i in _D]
     signs = [F.col(f"z_{i}") / length for i in _D]
     product = lambda x, name: [F.avg(x[i] * x[j]).alias(f"{name}_{i}_{j}") for i, j in _LOWER]
     found = cut(z.groupBy("g").agg(*product(squashed, "a"), *product(signs, "b")).join(middle, "g"))
-    like = lambda name, i, j: F.col(f"{name}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"), F.lit(1e-12)))
-    start = lambda k, cor: found.select("g", F.lit(k).alias("start"), *(F.col(f"mid_{i}").alias(f"m_{i}") for i in _D), *((cor(i, j) * F.col(f"scale_{i}") * F.col(f"scale_{j}")).alias(f"c_{i}_{j}") for i, j in _LOWER))
+    like = lambda name, i, j: F.col(f"{name}_{i}_{j}") / F.sqrt(
+        F.greatest(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"), F.lit(1e-12))
+    )
+    start = lambda k, cor: found.select(
+        "g", F.lit(k).alias("start"), *(F.col(f"mid_{i}").alias(f"m_{i}") for i in _D),
+        *((cor(i, j) * F.col(f"scale_{i}") * F.col(f"scale_{j}")).alias(f"c_{i}_{j}") for i, j in _LOWER)
+    )
     return start(0, lambda i, j: F.lit(float(i == j))).unionByName(start(1, lambda i, j: like("a", i, j))).unionByName(start(2, lambda i, j: like("b", i, j)))
 
 
@@ -186,7 +206,9 @@ def concentrated(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFram
         edges = cut(apart.groupBy("of").agg(F.percentile_approx("distance", keep, ACCURACY).alias("edge")))
         nearest = look_up(apart, edges, "of", n_starts).where("distance <= edge")
         new = cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"))
-        falls = new.alias("a").join(estimate.alias("b"), "of").agg(F.max(F.col("b.volume") - F.col("a.volume")), F.min(F.col("b.volume") - F.col("a.volume"))).first()
+        falls = new.alias("a").join(estimate.alias("b"), "of").agg(
+            F.max(F.col("b.volume") - F.col("a.volume")), F.min(F.col("b.volume") - F.col("a.volume"))
+        ).first()
         estimate = new
         if falls[0] is None or max(falls[0], -falls[1]) < FALL:
             break
@@ -217,13 +239,20 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     """``docs`` without ``text``, with the counts, base_failed, distance (null where there is no estimate) and kept."""
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
     keep = all_but(docs, text, *own)
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *map(quoted, keep)).alias("doc"), F.struct(quoted(lang).alias("lang"), quoted(source).alias("source")).alias("g"), quoted(text).alias("text"))
+    packed = docs.select(
+        F.struct(F.lit(0).alias("_"), *map(quoted, keep)).alias("doc"),
+        F.struct(quoted(lang).alias("lang"), quoted(source).alias("source")).alias("g"), quoted(text).alias("text")
+    )
     rows = cut(counts(packed).withColumn("base_failed", base_failed()).withColumns(statistics()))
     passed = rows.where(~F.col("base_failed")).select("g", *_X)
     # Groups of the three levels have keys of one shape.
     level = lambda k, *parts: F.struct(F.lit(k).alias("level"), *parts)
-    no_lang, no_source = F.lit(None).cast(rows.schema["g"].dataType["lang"].dataType).alias("lang"), F.lit(None).cast(rows.schema["g"].dataType["source"].dataType).alias("source")
-    whole, of_lang, of_source = level(0, no_lang, no_source), level(1, F.col("g.lang").alias("lang"), no_source), level(2, F.col("g.lang").alias("lang"), F.col("g.source").alias("source"))
+    no_lang, no_source = F.lit(None).cast(rows.schema["g"].dataType["lang"].dataType).alias("lang"), F.lit(None).cast(
+        rows.schema["g"].dataType["source"].dataType
+    ).alias("source")
+    whole, of_lang, of_source = level(0, no_lang, no_source), level(1, F.col("g.lang").alias("lang"), no_source), level(
+        2, F.col("g.lang").alias("lang"), F.col("g.source").alias("source")
+    )
     leveled = passed.select(F.explode(F.array(whole, of_lang, of_source)).alias("g"), *_X)
     n_groups = leveled.select("g").distinct().count()
     estimates = robust_estimates(leveled, n_groups)

@@ -101,7 +101,9 @@ def _texts(tree) -> list[str]:
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
     """Clauses of which a match must hold one, all trigrams of it; none if matches without any trigram may exist."""
-    clauses = {frozenset(piece[i : i + 3] for piece in text.split(_GAP) for i in range(len(piece) - 2)) for text in _texts(_parser.parse(pattern))}
+    clauses = {
+        frozenset(piece[i : i + 3] for piece in text.split(_GAP) for i in range(len(piece) - 2)) for text in _texts(_parser.parse(pattern))
+    }
     if frozenset() in clauses:
         return []
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
@@ -147,11 +149,18 @@ def running_sums(numbers: Column, levels: int = 2) -> Column:
     """For each number of an int array, the sum of those before it."""
     if not levels:
         start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
-        return F.aggregate(numbers, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")), lambda a: a["before"])
+        return F.aggregate(
+            numbers, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before")),
+            lambda a: a["before"]
+        )
     size = BLOCK**levels
     offsets = lambda blocks: running_sums(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)), 0)
-    placed = lambda blocks: F.zip_with(blocks, offsets(blocks), lambda x, base: F.transform(running_sums(x, levels - 1), lambda y: y + base))
-    cut_up = lambda every: F.transform(F.sequence(F.lit(0), F.greatest(F.size(every) - 1, F.lit(0)), F.lit(size)), lambda at: F.slice(every, at + 1, size))
+    placed = lambda blocks: F.zip_with(
+        blocks, offsets(blocks), lambda x, base: F.transform(running_sums(x, levels - 1), lambda y: y + base)
+    )
+    cut_up = lambda every: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(every) - 1, F.lit(0)), F.lit(size)), lambda at: F.slice(every, at + 1, size)
+    )
     return F.flatten(bound(bound(numbers, cut_up), placed))
 
 
@@ -161,7 +170,10 @@ def matches_of(text: Column, rule: Rule) -> Column:
     found = F.zip_with(
         F.split(text, rule.pattern, -1),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-        lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), (F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least).alias("counts")),
+        lambda gap, match: F.struct(
+            F.length(gap).alias("gap"), F.length(match).alias("size"),
+            (F.length(F.regexp_extract(match, rule.pattern, rule.group)) >= rule.least).alias("counts")
+        ),
     )
     return F.when(F.rlike(text, F.lit(rule.pattern)), F.filter(found, lambda x: x["size"].isNotNull())).otherwise(none)
 
@@ -172,13 +184,20 @@ def spans_of(matches: Column, rules: tuple[Rule, ...]) -> Column:
     def of_rule(own: Column, place: Column) -> Column:
         kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), place + 1)
         before = running_sums(F.transform(own, lambda x: x["gap"] + x["size"]))
-        with_place = F.zip_with(own, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), x["size"].alias("size"), x["counts"].alias("counts")))
-        return F.transform(F.filter(with_place, lambda x: x["counts"]), lambda x: F.struct(x["start"], place.alias("place"), kind.alias("kind"), (x["start"] + x["size"]).alias("end")))
+        with_place = F.zip_with(
+            own, before, lambda x, b: F.struct((b + x["gap"]).alias("start"), x["size"].alias("size"), x["counts"].alias("counts"))
+        )
+        return F.transform(
+            F.filter(with_place, lambda x: x["counts"]),
+            lambda x: F.struct(x["start"], place.alias("place"), kind.alias("kind"), (x["start"] + x["size"]).alias("end"))
+        )
 
     return F.array_sort(F.flatten(F.transform(matches, of_rule)))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
+def scan(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS
+) -> DataFrame:
     """``docs`` and column ``secrets``: array of (start, place, kind, end), in order; place is the rule's number."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
     own = columns_free_of(docs, "candidate")
@@ -190,7 +209,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         trigrams = query_trigrams(rules)
         found = cut(candidates(trigram_index(docs, trigrams, id_col, text), tuple(indexed)))
         n_found = found.count()
-        found = sized(found.select(F.col("id").alias(f"{own}_id"), F.col("h").alias(f"{own}_h"), F.col("kinds").alias(f"{own}_kinds")), n_found, most)
+        found = sized(
+            found.select(F.col("id").alias(f"{own}_id"), F.col("h").alias(f"{own}_h"), F.col("kinds").alias(f"{own}_kinds")), n_found, most
+        )
         same = quoted(id_col).eqNullSafe(F.col(f"{own}_id")) & (F.xxhash64(quoted(text)) == F.col(f"{own}_h"))
         meet = lambda rows: rows.join(found, same, "left").drop(f"{own}_id", f"{own}_h")
         if n_found <= most:
@@ -199,12 +220,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
             known = F.coalesce(F.exists(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.lower(quoted(text)), t)), F.lit(False))
             docs = meet(docs.where(known)).unionByName(docs.where(~known).withColumn(f"{own}_kinds", none))
     body = F.coalesce(quoted(text), F.lit(""))
-    matches = [matches_of(body, r) if r not in indexed else F.when(F.array_contains(f"{own}_kinds", r.kind), matches_of(body, r)) for r in rules]
+    matches = [
+        matches_of(body, r) if r not in indexed else F.when(F.array_contains(f"{own}_kinds", r.kind), matches_of(body, r)) for r in rules
+    ]
     each = F.array(*(F.coalesce(m, F.array().cast("array<struct<gap:int,size:int,counts:boolean>>")) for m in matches))
     # The matches are a column of their own, as texts without any need no placing.
     docs = docs.withColumn(f"{own}_matches", each)
     some = F.exists(f"{own}_matches", lambda m: F.size(m) > 0)
-    return docs.withColumn("secrets", F.when(some, spans_of(F.col(f"{own}_matches"), rules)).otherwise(F.array().cast(_SPAN))).drop(f"{own}_kinds", f"{own}_matches")
+    return docs.withColumn(
+        "secrets", F.when(some, spans_of(F.col(f"{own}_matches"), rules)).otherwise(F.array().cast(_SPAN))
+    ).drop(f"{own}_kinds", f"{own}_matches")
 
 
 def joined(spans: Column) -> Column:

@@ -15,9 +15,10 @@ contraction over the links between classes; each round is cut, so lost executors
 
 Where a Jaccard similarity is asked for, fingerprints only propose. Links are then pairs of shingle sets of at least that
 similarity, all of them: two such sets share one of their first shingles in any common order, so that the sets that share
-one are compared. Shingles that a sample of texts shows to be common come last in the order; in a shingle that many sets
-have among their first all the same, sets that linked fingerprints or the least set have already joined are not compared
-again. A pair whose first shingles differ too much for the similarity is dropped, and the rest are counted exactly.
+one are compared. Shingles that a sample of texts shows to be common come last in the order. Two sets alone in a shingle are
+a pair; of more, each is first held against the least one, and then only sets that are still in different components against
+each other. A pair whose first shingles already differ too much for the similarity is dropped, and only the rest have their
+whole sets compared.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other. Repeated
 rows belong to one class. A null doc_id counts only where its component has no other. An empty table gives an empty result;
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import BROADCAST_ROWS, cut, look_up, parts_of, quoted, sized, table
+from .common import BROADCAST_ROWS, cut, look_up, parts_of, quoted, settled, sized, table
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -207,7 +208,12 @@ def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     first = cut(few.unionByName(stars[0]).unionByName(stars[1]).distinct())
     roots = cut(components(first, most))
     n_roots = roots.count()
-    rooted = [look_up(cut(m.select("key", F.col(c).alias("node"))), roots, "node", n_roots, most).select("key", F.col("node").alias(c), F.coalesce("root", "node").alias("root_" + c)) for m, c in zip(members, "ab")]
+    rooted = [
+        look_up(cut(m.select("key", F.col(c).alias("node"))), roots, "node", n_roots, most).select(
+            "key", F.col("node").alias(c), F.coalesce("root", "node").alias("root_" + c)
+        ) for m,
+        c in zip(members, "ab")
+    ]
     apart = rooted[0].join(rooted[1], "key").where((F.col("root_a") != F.col("root_b")) & near).select("a", "b")
     return first.unionByName(apart)
 
@@ -238,7 +244,9 @@ def components(edges: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
+        edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    )
 
 
 # Verified similarity ---------------------------------------------------------------------------------------------
@@ -251,18 +259,22 @@ def _node(found: np.ndarray) -> int:
 def _common(docs: DataFrame, id_col: str, text: str, size: int) -> np.ndarray:
     """Hashes of shingles in many of the sampled texts."""
     sample = docs.where(F.xxhash64(quoted(text)) % SAMPLED == 0)
-    sets = _of_texts(sample, id_col, text, lambda all_hashes: [_lists([np.unique(h) for h in all_hashes])], size, keys=ArrayType(LongType()))
+    sets = _of_texts(
+        sample, id_col, text, lambda all_hashes: [_lists([np.unique(h) for h in all_hashes])], size, keys=ArrayType(LongType())
+    )
     counts = sets.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
     return np.sort(found.view(np.uint64))
 
 
 def first_shingles(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """Of a set, the first shingles in the common order: a set of at least ``similarity`` has one of its own first among them."""
+    """Of a set, the first shingles in the common order: a set of at least ``similarity`` has one of its own first among them.
+    A shingle is its place in the order: 62 bits of its hash, after those of all others if it is common."""
     late = np.zeros(len(found), bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
-    return found[np.argsort(late, kind="stable")][: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
+    places = np.sort((found >> np.uint64(2)) + (late.astype(np.uint64) << np.uint64(62)))
+    return places[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int, similarity: float) -> DataFrame:
@@ -272,12 +284,16 @@ def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int, similarity:
     def each(all_hashes: list[np.ndarray]) -> list[pa.Array]:
         sets = [np.unique(h) for h in all_hashes]
         first = _lists([first_shingles(x, held.value, similarity) for x in sets])
-        return [_longs([simhash(h) for h in all_hashes]), _longs([_node(x) for x in sets]), pa.array(list(map(len, sets)), pa.int32()), first]
+        return [
+            _longs([simhash(h) for h in all_hashes]), _longs([_node(x) for x in sets]), pa.array(list(map(len, sets)), pa.int32()), first
+        ]
 
     return _of_texts(docs, id_col, text, each, size, fp=LongType(), node=LongType(), n=IntegerType(), first=ArrayType(LongType()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int) -> DataFrame:
+def _verified(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int
+) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets have the similarity. Only texts of pairs are read for their sets."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -291,70 +307,120 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str
     texts = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi")
     sets = _of_texts(texts, "id", "text", each, size, node=LongType(), found=ArrayType(LongType()))
     sets = cut(sets.join(sized(wanted, n_wanted, most), "node", "left_semi").select("node", "found").dropDuplicates(["node"]))
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes"))
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select(
+        "a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sizes")
+    )
     return joined.where(F.col("both") >= similarity * (F.col("sizes") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def similar_sets(docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int) -> DataFrame:
+def _plausible(pairs: DataFrame, prints: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) that may have the similarity by their sizes and first shingles: up to the place where
+    the first of the two lists ends, what only one of them has counts against them."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    firsts = prints.select("node", "n", "first").join(sized(wanted, wanted.count(), most), "node", "left_semi")
+    firsts = cut(firsts.dropDuplicates(["node"]))
+    met = pairs.join(firsts.toDF("a", "m", "x"), "a").join(firsts.toDF("b", "n", "y"), "b")
+    met = met.where(
+        F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
+    ).withColumn("end", F.least(F.element_at("x", -1), F.element_at("y", -1)))
+    upto = lambda c: F.size(F.filter(c, lambda v: v <= F.col("end")))
+    apart = upto("x") + upto("y") - 2 * F.size(F.array_intersect("x", "y"))
+    return met.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9).select("a", "b")
+
+
+def similar_sets(
+    docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int
+) -> DataFrame:
     """Edges (a, b) between nodes of ``prints`` whose components are those of all pairs of the similarity."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    alike = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9
-    spare = (1 - similarity) / (1 + similarity)  # of the sets' sizes together, the share in one set alone
+    verified = lambda pairs: settled(
+        docs.sparkSession, lambda: _verified(pairs, docs, classes, id_col, text, size, similarity, most)
+    )
 
     # Sets that fingerprints propose: of linked ones the least of each, and all of one fingerprint with its least.
     heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head")))
     n_heads = heads.count()
     head_of = lambda c: sized(heads.toDF(c, "head_" + c), n_heads, most)
-    golay = links(heads.select("fp"), most).join(head_of("a"), "a").join(head_of("b"), "b").select(*ordered(F.col("head_a"), F.col("head_b")))
-    equal = look_up(prints.select("fp", "node"), heads, "fp", n_heads, most).where("node != head").select(*ordered(F.col("node"), F.col("head")))
-
-    # The first shingles of each set. A crowded one proposes its least set.
-    sets = cut(prints.select("node", "n", "first").dropDuplicates(["node"]))
-    keys = sets.select(F.posexplode("first").alias("i", "key"), F.col("node").alias("a"), F.col("n").alias("m"))
-    crowded = cut(keys.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("a", "m")).alias("least")).where(F.col("rows") > CROWD).select("key", F.col("least.a").alias("b"), F.col("least.m").alias("n")))
-    n_crowded = crowded.count()
-    members = cut(keys.join(sized(crowded, n_crowded, most), "key"))
-    star = members.where(alike & (F.col("a") != F.col("b"))).select(*ordered(F.col("a"), F.col("b")))
-    near = cut(_verified(golay.unionByName(equal).unionByName(star).distinct(), docs, classes, id_col, text, size, similarity, most))
-
-    # Pairs that share a first shingle and are not in one component yet, if it is crowded.
-    roots = cut(components(near, most))
-    rooted = look_up(members.select("i", "key", F.col("a").alias("node"), "m"), roots, "node", roots.count(), most)
-    rooted = cut(rooted.select("i", "key", F.col("node").alias("a"), "m", F.coalesce("root", "node").alias("root")))
-    few = keys.join(sized(crowded.select("key"), n_crowded, most), "key", "left_anti")
-    other = lambda df: df.withColumnsRenamed({"i": "j", "a": "b", "m": "n", "root": "other"})
-    apart = rooted.join(other(rooted), "key").where((F.col("root") != F.col("other")) & (F.col("a") < F.col("b")) & alike)
-    pairs = few.join(other(few), "key").where((F.col("a") < F.col("b")) & alike).unionByName(apart.drop("root", "other"))
-    shared = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("both"), F.max("i").alias("i"), F.max("j").alias("j"))
-    enough = F.col("i") + F.col("j") + 2 - 2 * F.col("both") <= spare * (F.col("m") + F.col("n")) + 1e-9
-    return near.unionByName(_verified(shared.where(enough).select("a", "b"), docs, classes, id_col, text, size, similarity, most))
+    golay = links(heads.select("fp"), most).join(head_of("a"), "a").join(head_of("b"), "b").select(
+        *ordered(F.col("head_a"), F.col("head_b"))
+    )
+    equal = look_up(
+        prints.select("fp", "node"), heads, "fp", n_heads, most
+    ).where("node != head").select(*ordered(F.col("node"), F.col("head")))
+
+    # The first shingles of each set. Two sets are told apart by least and greatest, and their places are summed; rows that
+    # repeat a set have no other, or count as more.
+    keys = prints.select(F.posexplode("first").alias("i", "key"), "node")
+    by_key = keys.groupBy("key").agg(
+        F.count("*").alias("rows"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum("i").alias("places")
+    )
+    by_key = cut(by_key.where("a <> b"))
+    crowded = by_key.where("rows > 2").select("key", F.col("a").alias("least"))
+    members = cut(keys.join(sized(crowded, crowded.count(), most), "key").distinct())
+    star = members.where("node <> least").select(*ordered(F.col("node"), F.col("least")))
+    near = verified(_plausible(golay.unionByName(equal).unionByName(star).distinct(), prints, similarity, most))
+
+    # Pairs that are not in one component yet.
+    roots = cut(components(near, most).withColumnRenamed("root", "r"))
+    n_roots, n_classes = roots.count(), classes.count()
+    root_of = lambda df, c: look_up(
+        df, roots.toDF(c, "root_" + c), c, n_roots, most
+    ).withColumn("root_" + c, F.coalesce("root_" + c, c))
+    size_of = lambda df, c: look_up(
+        df, classes.select(F.col("node").alias(c), F.col("n").alias("n_" + c)), c, n_classes, most
+    )
+    rooted = cut(root_of(members.select("key", "i", F.col("node").alias("a")), "a"))
+    rooted = cut(size_of(rooted, "a"))
+    other = rooted.withColumnsRenamed({"i": "j", "a": "b", "root_a": "root_b", "n_a": "n_b"})
+    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    apart = rooted.join(other, "key").where((F.col("root_a") < F.col("root_b")) & alike).select(
+        *ordered(F.col("a"), F.col("b")), (F.col("i") + F.col("j")).alias("places"), F.lit(1).alias("both")
+    )
+    two = by_key.where("rows = 2").groupBy("a", "b").agg(F.max("places").alias("places"), F.count("*").alias("both"))
+    two = root_of(cut(root_of(cut(two), "a")), "b").where("root_a <> root_b").select(*apart.columns)
+    shared = cut(two.unionByName(apart).groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("places").alias("places")))
+    shared = size_of(cut(size_of(shared, "a")), "b").where(alike)
+    enough = F.col("places") + 2 - 2 * F.col("both") <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    return near.unionByName(verified(_plausible(shared.where(enough).select("a", "b"), prints, similarity, most)))
 
 
 # Groups ----------------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """One row for each row of ``docs``: id, fp (long), component_id. Links are fingerprints within three bits, or with
-    ``similarity`` all pairs of shingle sets with at least that Jaccard similarity."""
-    if similarity is None:
-        prints = cut(fingerprints(docs, id_col, text, size).withColumn("node", F.col("fp")))
-    else:
-        prints = cut(shingle_sets(docs, id_col, text, size, similarity))
-    classes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+def _grouped(
+    docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float | None, most: int
+) -> DataFrame:
+    """(node, component_id, known) of the classes of more than one row or with links."""
     if similarity is None:
         edges = links(classes.select(F.col("node").alias("fp")), most)
     else:
         edges = similar_sets(docs, prints, classes, id_col, text, size, similarity, most)
     linked = cut(components(edges, most))
-    n_linked = linked.count()
     rooted = cut(linked.join(sized(classes.select("node", "least"), classes.count(), most), "node"))
     smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     joined = cut(look_up(rooted.select("node", "root"), smallest, "root", smallest.count(), most).select("node", "component_id"))
+    known = look_up(classes.drop("n"), joined, "node", joined.count(), most).where("rows > 1 or component_id is not null")
+    return known.select("node", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("known"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None,
+    most: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row for each row of ``docs``: id, fp (long), component_id. Links are fingerprints within three bits, or with
+    ``similarity`` all pairs of shingle sets with at least that Jaccard similarity."""
+    if similarity is None:
+        prints = cut(fingerprints(docs, id_col, text, size).withColumns({"node": F.col("fp"), "n": F.lit(None).cast("int")}))
+    else:
+        prints = cut(shingle_sets(docs, id_col, text, size, similarity))
+    classes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n")))
+    known = settled(docs.sparkSession, lambda: _grouped(docs, prints, classes, id_col, text, size, similarity, most))
     # A class of one row without links needs no look-up.
-    known = look_up(classes, joined, "node", n_linked, most).where("rows > 1 or component_id is not null")
-    known = cut(known.select("node", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("known")))
     found = look_up(prints.select("id", "fp", "node"), known, "node", known.count(), most)
-    return found.select(F.col("id").alias(id_col), "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return found.select(
+        F.col("id").alias(id_col), "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    )
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sources that stop are those of least ``size / weight``, so running sums in that order give L."""
     everything = w.Window.orderBy(F.col("source").asc_nulls_last())
     by_fill = w.Window.orderBy(F.col("cap") / F.col("weight"), F.col("place"))
-    before, whole = by_fill.rowsBetween(w.Window.unboundedPreceding, -1), by_fill.rowsBetween(w.Window.unboundedPreceding, w.Window.unboundedFollowing)
+    before, whole = by_fill.rowsBetween(w.Window.unboundedPreceding, -1), by_fill.rowsBetween(
+        w.Window.unboundedPreceding, w.Window.unboundedFollowing
+    )
     leveled = (
         sizes.withColumn("place", F.row_number().over(everything) - 1)
         .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
         .withColumn("cap", most * F.col("source_size"))
-        .withColumn("level", (share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+        .withColumn(
+            "level",
+            (
+                share * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+            ) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+        )
         .withColumn("open", F.col("level") * F.col("weight") < F.col("cap"))
     )
     # The level of the first source that doesn't fill up holds for all after it.
     final = F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(whole)
-    return leveled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "rows", "weight", "target")
+    return leveled.withColumn(
+        "target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))
+    ).select("source", "source_size", "rows", "weight", "target")
 
 
 def mix(
@@ -55,18 +64,30 @@ def mix(
     cut is taken whole if more than half of it is within the budget, and not at all otherwise. ``key`` stands for the id in
     the random order."""
     order = F.xxhash64(F.lit(seed), quoted(id_col) if key is None else key, quoted(text)).bitwiseAND((1 << 62) - 1)
-    keyed = cut(docs.select(quoted(id_col).alias("id"), quoted(source).alias("source"), size.cast("long").alias("size"), order.alias("key")))
+    keyed = cut(
+        docs.select(quoted(id_col).alias("id"), quoted(source).alias("source"), size.cast("long").alias("size"), order.alias("key"))
+    )
     shares = cut(targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, share, most))
     shares = shares.withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS).cast("long"))
     n_sources = shares.count()
     same = F.col("k.source").eqNullSafe(F.col("s.source"))
-    placed = keyed.alias("k").join(sized(shares.alias("s"), n_sources, BROADCAST_ROWS), same).select("k.*", "source_size", "target", F.floor(F.col("key") / (1 << 62) * F.col("ranges")).alias("range"))
+    placed = keyed.alias("k").join(sized(shares.alias("s"), n_sources, BROADCAST_ROWS), same).select(
+        "k.*", "source_size", "target", F.floor(F.col("key") / (1 << 62) * F.col("ranges")).alias("range")
+    )
 
-    sums = placed.groupBy(F.col("source").alias("of"), F.col("range").alias("at")).agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("at") / RANGES))
-    upto = lambda by, *of: F.coalesce(F.sum("words").over(w.Window.partitionBy(*of).orderBy(by).rowsBetween(w.Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = sums.groupBy("of", "block").agg(F.sum("words").alias("words")).select(F.col("of").alias("block_of"), F.col("block").alias("number"), upto("block", "of").alias("earlier"))
+    sums = placed.groupBy(
+        F.col("source").alias("of"), F.col("range").alias("at")
+    ).agg(F.sum("size").alias("words")).withColumn("block", F.floor(F.col("at") / RANGES))
+    upto = lambda by, *of: F.coalesce(
+        F.sum("words").over(w.Window.partitionBy(*of).orderBy(by).rowsBetween(w.Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    blocks = sums.groupBy("of", "block").agg(F.sum("words").alias("words")).select(
+        F.col("of").alias("block_of"), F.col("block").alias("number"), upto("block", "of").alias("earlier")
+    )
     same_block = F.col("of").eqNullSafe(F.col("block_of")) & (F.col("block") == F.col("number"))
-    sums = sums.withColumn("base", upto("at", "of", "block")).join(blocks, same_block).select("of", "at", (F.col("base") + F.col("earlier")).alias("base"))
+    sums = sums.withColumn("base", upto("at", "of", "block")).join(blocks, same_block).select(
+        "of", "at", (F.col("base") + F.col("earlier")).alias("base")
+    )
     inside = w.Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(w.Window.unboundedPreceding, -1)
     before = F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     ordered = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))).withColumn("before", before)
@@ -77,7 +98,9 @@ def mix(
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
     if whole:
         part = F.when(2 * rest > F.col("size"), F.col("size")).otherwise(0)
-    return ordered.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return ordered.select(
+        F.col("id").alias(id_col), "size", "source", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken")
+    )
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

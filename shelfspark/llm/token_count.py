@@ -72,7 +72,10 @@ class Counter:
 
     def __call__(self, texts: list[str]) -> list[int]:
         short = [i for i, t in enumerate(texts) if len(t) <= self.size or not self.plain]
-        out = {i: len(x) for i, x in zip(short, self.pieces.encode([texts[i] for i in short], num_threads=1, return_type="numpy") if short else ())}
+        out = {
+            i: len(x) for i,
+            x in zip(short, self.pieces.encode([texts[i] for i in short], num_threads=1, return_type="numpy") if short else ())
+        }
         return [out[i] if i in out else self.long(t) for i, t in enumerate(texts)]
 
 
@@ -81,7 +84,9 @@ def _counter(path: str, size: int, overlap: int) -> Counter:
     return Counter(path, size, overlap)
 
 
-def count_tokens(df: DataFrame, text: str = "text", n_tokens: str = "n_tokens", path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(
+    df: DataFrame, text: str = "text", n_tokens: str = "n_tokens", path: str | None = None, size: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
     """``df`` with ``n_tokens`` (long) instead of ``text``."""
     if path is None:
         import public_tokenizers
@@ -99,5 +104,7 @@ def count_tokens(df: DataFrame, text: str = "text", n_tokens: str = "n_tokens",
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text"
+    )
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import all_but, cut, hash_sample, map_batches, parts_of, quoted, table
+from .common import all_but, cut, hash_sample, map_batches, parts_of, quoted, sized, table
 
 SAMPLE, STEPS, PENALTY = 6000, 300, 1e-3
 
 #: Features that enter the working set in one round, and the part of the penalty by which a slope may exceed it at the end.
-ROUND, SLACK = 4000, 0.05
+ROUND, SLACK = 500, 0.05
 
 #: Expected severity from which a document is rejected.
 REJECT = 0.4
@@ -100,7 +100,10 @@ def first_cuts(grade: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.log((1 - above) / above) + 1e-3 * np.arange(len(above)))
 
 
-def fit(rows, cols, values: np.ndarray, grade: np.ndarray, n_features: int, steps: int = STEPS, penalty: float = PENALTY, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    rows, cols, values: np.ndarray, grade: np.ndarray, n_features: int, steps: int = STEPS, penalty: float = PENALTY,
+    start: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the penalised likelihood. Thresholds are a first one and positive gaps (as exponents)."""
     n = len(grade)
     rows, cols, values = np.asarray(rows), np.asarray(cols), np.asarray(values)
@@ -129,9 +132,12 @@ def fit(rows, cols, values: np.ndarray, grade: np.ndarray, n_features: int, step
 
 
 def sampled(docs: DataFrame, graded: DataFrame, id_col: str, text: str, sample: int) -> DataFrame:
-    """(row, grade, feature, n): the features of the sampled rows, ``row`` from 0 on; one row without feature for each."""
+    """(row, grade, f, feature, n): the features of the sampled rows, f a hash of each, ``row`` from 0 on; one row without
+    feature for each."""
     ids = hash_sample(graded, quoted(id_col), graded.count(), sample)
-    picked = ids.orderBy(F.xxhash64(quoted(id_col)), quoted(id_col)).limit(sample).select(quoted(id_col).alias("id"), "grade")  # the documented bound
+    picked = ids.orderBy(  # the documented bound
+        F.xxhash64(quoted(id_col)), quoted(id_col)
+    ).limit(sample).select(quoted(id_col).alias("id"), "grade")
     rows = docs.select(quoted(id_col).alias("id"), quoted(text).alias("text")).join(F.broadcast(picked), "id")
     rows = cut(rows.groupBy("id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     number = F.row_number().over(w.Window.orderBy(F.xxhash64("id"), "id")) - 1  # of the bounded sample
@@ -142,12 +148,22 @@ def sampled(docs: DataFrame, graded: DataFrame, id_col: str, text: str, sample:
             for row, grade, body in zip(*(c.to_pylist() for c in batch.columns)):
                 found = _counts(body)
                 k = len(found) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([row] * k, pa.int32()), pa.array([grade] * k, pa.int32()), pa.array(["", *found]), pa.array([0, *found.values()], pa.int32())], ["row", "grade", "feature", "n"])
-
-    return cut(rows.mapInArrow(run, "row int, grade int, feature string, n int"))
-
-
-def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, together: int = ROUND, penalty: float = PENALTY) -> Model:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row] * k, pa.int32()), pa.array([grade] * k, pa.int32()), pa.array(["", *found]),
+                        pa.array([0, *found.values()], pa.int32())
+                    ],
+                    ["row", "grade", "feature", "n"]
+                )
+
+    found = rows.mapInArrow(run, "row int, grade int, feature string, n int")
+    return cut(found.select("row", "grade", F.xxhash64("feature").alias("f"), "feature", "n"))
+
+
+def train(
+    docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, together: int = ROUND,
+    penalty: float = PENALTY
+) -> Model:
     spark = docs.sparkSession
     found = sampled(docs, graded, id_col, text, sample)
     by_row = sorted((r.row, r.grade) for r in found.where("feature = ''").select("row", "grade").toLocalIterator())
@@ -155,35 +171,36 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str
     n = len(grade)
     if n == 0 or grade.min() == grade.max():
         return Model({}, [])
-    rare = found.where("feature <> ''").groupBy("feature").agg(F.sqrt(F.log(F.lit(n) / F.count("*")) + 0.1).alias("rarity"))
-    scaled = cut(found.where("feature <> ''").join(rare, "feature").select("row", "feature", "rarity", (F.log1p("n") * F.col("rarity")).alias("x")))
-
-    known: dict[str, int] = {}
-    rarity: list[float] = []
-    rows, cols, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    found = found.where("feature <> ''")
+    rare = cut(found.groupBy("f").agg(F.sqrt(F.log(F.lit(n) / F.count("*")) + 0.1).alias("rarity")))
+    scaled = cut(
+        found.select("row", "f", "n").join(sized(rare, rare.count()), "f").select("row", "f", (F.log1p("n") * F.col("rarity")).alias("x"))
+    )
+
+    names, rarity, known = [], [], []  # of the working set
+    rows, cols, values = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
     weights, cuts, score = np.zeros(0), first_cuts(grade), np.zeros(n)
     while True:
-        by_score = spark.createDataFrame(enumerate(slopes(score, cuts, grade)[0].tolist()), StructType([StructField("row", IntegerType()), StructField("slope", DoubleType())]))
-        slope = scaled.join(F.broadcast(by_score), "row").groupBy("feature").agg(F.abs(F.sum(F.col("x") * F.col("slope"))).alias("slope"))
+        by_score = spark.createDataFrame(enumerate(slopes(score, cuts, grade)[0].tolist()), "row int, slope double")
+        slope = scaled.join(F.broadcast(by_score), "row").groupBy("f").agg(F.abs(F.sum(F.col("x") * F.col("slope"))).alias("slope"))
         over = slope.where(F.col("slope") > penalty * (1 + SLACK))
         if known:
-            over = over.join(F.broadcast(spark.createDataFrame([(f,) for f in known], "feature string")), "feature", "left_anti")
-        entering = cut(over.orderBy(F.desc("slope"), "feature").limit(together).select("feature"))  # the others come later
-        more = scaled.join(F.broadcast(entering), "feature").orderBy("feature", "row").toArrow()
-        if not more.num_rows:
+            over = over.join(F.broadcast(spark.createDataFrame([(f,) for f in known], "f long")), "f", "left_anti")
+        entering = [r.f for r in over.orderBy(F.desc(F.round("slope", 12)), "f").limit(together).collect()]  # the others come later
+        if not entering:
             break
-        names = more["feature"].to_pylist()
-        for name, scale in zip(names, more["rarity"].to_pylist()):
-            if name not in known:
-                known[name] = len(known)
-                rarity.append(scale)
-        rows, values = np.r_[rows, more["row"].to_numpy()], np.r_[values, more["x"].to_numpy()]
-        cols = np.r_[cols, np.array([known[x] for x in names])]
-        weights, cuts = fit(rows, cols, values, grade, len(known), penalty=penalty, start=(np.r_[weights, np.zeros(len(known) - len(weights))], cuts))
+        numbered = F.broadcast(spark.createDataFrame([(f, len(known) + i) for i, f in enumerate(entering)], "f long, col int"))
+        called = found.select("f", "feature").join(numbered, "f").groupBy("f", "col").agg(F.min("feature").alias("feature")).join(rare, "f")
+        for r in sorted(called.collect(), key=lambda r: r.col):
+            names.append(r.feature)
+            rarity.append(r.rarity)
+        more = scaled.join(numbered, "f").select("row", "col", "x").toArrow()
+        order = np.lexsort((more["row"].to_numpy(), more["col"].to_numpy()))
+        rows, cols, values = (np.r_[old, more[c].to_numpy()[order]] for old, c in ((rows, "row"), (cols, "col"), (values, "x")))
+        known += entering
+        weights, cuts = fit(rows, cols, values, grade, len(known), penalty=penalty, start=(np.r_[weights, np.zeros(len(entering))], cuts))
         score = np.bincount(rows, values * weights[cols], n)
-    if not known:
-        return Model({}, [])
-    return Model({f: float(weights[i] * rarity[i]) for f, i in known.items() if weights[i]}, cuts.tolist())
+    return Model({f: float(x * r) for f, x, r in zip(names, weights, rarity) if x}, cuts.tolist() if known else [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -227,4 +244,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, grades(table(spark, sf_dir, "labels")))
     found = score(docs, model).drop("text")
-    return found.select("doc_id", F.round("severity", 6).alias("severity"), F.size(F.filter("p_above", lambda p: p >= 0.5)).alias("grade"), toxic(F.col("severity")).alias("toxic"))
+    return found.select(
+        "doc_id", F.round("severity", 6).alias("severity"), F.size(F.filter("p_above", lambda p: p >= 0.5)).alias("grade"),
+        toxic(F.col("severity")).alias("toxic")
+    )

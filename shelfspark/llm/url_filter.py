@@ -89,7 +89,9 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def filter_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, default: str = "allow", most: int = MOST_RULES) -> DataFrame:
+def filter_urls(
+    df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str, str]] = RULES, default: str = "allow", most: int = MOST_RULES
+) -> DataFrame:
     """``df`` with host, path, rule (null if none fits) and verdict. Columns of these names are replaced."""
     rules = list(dict.fromkeys(rules))
     trie = build_trie(rules)
@@ -100,7 +102,9 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str,
 
         @F.pandas_udf("rule string, verdict string")
         def walk(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([_find(held.value, h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], dtype=object)
+            return pd.DataFrame(
+                [_find(held.value, h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], dtype=object
+            )
 
         own = columns_free_of(df, "found")
         df = df.withColumn(own, walk("host", "path"))
@@ -111,12 +115,30 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Iterable[tuple[str, str,
 def _joined(df: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
     """The same by an equi-join of each distinct (host, path) with the rules on (host suffix, path prefix)."""
     spark = df.sparkSession
-    known = spark.createDataFrame([(h.lower(), p, h.lower() + p, v) for v, h, p in rules], "rule_host string, rule_path string, rule string, verdict string")
+    known = spark.createDataFrame(
+        [(h.lower(), p, h.lower() + p, v) for v, h, p in rules], "rule_host string, rule_path string, rule string, verdict string"
+    )
     labels, parts = F.split("host", r"\."), F.split("path", "/")
     keys = (
         df.select("host", "path").distinct()
-        .withColumn("rule_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-        .withColumn("rule_path", F.explode(F.concat(F.array(F.lit("")), F.when(F.startswith("path", F.lit("/")), F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>")))))
+        .withColumn(
+            "rule_host",
+            F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+        )
+        .withColumn(
+            "rule_path",
+            F.explode(
+                F.concat(
+                    F.array(F.lit("")),
+                    F.when(
+                        F.startswith("path", F.lit("/")),
+                        F.transform(
+                            F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))
+                        )
+                    ).otherwise(F.array().cast("array<string>"))
+                )
+            )
+        )
     )
     best = (
         keys.join(known, ["rule_host", "rule_path"])
