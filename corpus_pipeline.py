@@ -11,11 +11,15 @@ and empty tables through all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import byte_bpe, exact_dedup, simhash_dedup, source_mix, toxicity
 from shelfspark.llm.common import columns_free_of, cut, quoted, remove, sized, table, write_once
+from shelfspark.shared import small_batches
 
 #: Near copies: Jaccard similarity of the sets of runs of so many words.
 NEAR_WORDS, NEAR = 5, 0.8
@@ -72,12 +76,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(run)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("near dedup", drop_near_copies),
-    ("source mix", mix_sources),
-    ("byte bpe", encode),
+    ("toxicity", _stage(drop_toxic)),
+    ("exact dedup", _stage(drop_copies)),
+    ("near dedup", _stage(drop_near_copies)),
+    ("source mix", _stage(mix_sources)),
+    ("byte bpe", _stage(encode)),
 ]
 
 #: Ordinal regression, SimHash and BPE have no SQL; the tests hold the stages against brute force.

@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a file where their number is known.
+FILE_ROWS = 100_000
+
 #: What was written within each settled() that runs, the innermost last.
 _written: list[list[str]] = []
 
@@ -35,9 +38,10 @@ def write_once(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written once to the shared folder and read from there, column by column."""
-    return write_once(df)[0]
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: the rows are written once to the shared folder and read from there, column by column. If it is known
+    that there are at most so many (narrow) rows, they go to few files."""
+    return write_once(df if rows is None else df.coalesce(1 + rows // FILE_ROWS))[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -61,6 +65,17 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+#: Rows that an application gives to Python at a time; texts are a few kB each.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For an application on executors of little memory: Arrow batches of some MB, unless its session has chosen a size. The
+    operators themselves take batches of any size apart."""
+    if BATCH_ROWS[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_ROWS)
+
+
 def sized(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound."""
     return F.broadcast(df) if rows <= most else df
