@@ -58,8 +58,11 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
     )
     n = F.size("_words")
-    word = lambda i: F.get("_words", i)
-    windows = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(word(i + k) for k in range(SHINGLE))))
+    windows = F.zip_with(
+        F.zip_with(F.slice("_words", 1, n - 2), F.slice("_words", 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+        F.slice("_words", 3, n - 2),
+        lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
+    )
     rows = rows.withColumn("_windows", F.when(n >= SHINGLE, windows).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select(
         "_doc", "n_symbols",
@@ -173,7 +176,8 @@ def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
     """(g, start, means and covariances) from medians and quartiles: a diagonal, and two kinds of bounded covariances."""
     quartiles = rows.groupBy("g").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{i}") for i, x in enumerate(_X)))
     scale = lambda i: F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(SPREAD[_X[i]]))
-    middle = cut(quartiles.select("g", *(F.col(f"q_{i}")[1].alias(f"mid_{i}") for i in _D), *(scale(i).alias(f"scale_{i}") for i in _D)))
+    middle = quartiles.select("g", *(F.col(f"q_{i}")[1].alias(f"mid_{i}") for i in _D), *(scale(i).alias(f"scale_{i}") for i in _D))
+    middle = cut(middle, n_groups)
     z = look_up(rows, middle, "g", n_groups).withColumns(
         {f"z_{i}": (F.col(x) - F.col(f"mid_{i}")) / F.col(f"scale_{i}") for i, x in enumerate(_X)}
     )
@@ -181,7 +185,7 @@ def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
     squashed = [F.tanh(f"z_{i}") for i in _D]
     signs = [F.col(f"z_{i}") / length for i in _D]
     product = lambda x, name: [F.avg(x[i] * x[j]).alias(f"{name}_{i}_{j}") for i, j in _LOWER]
-    found = cut(z.groupBy("g").agg(*product(squashed, "a"), *product(signs, "b")).join(middle, "g"))
+    found = cut(z.groupBy("g").agg(*product(squashed, "a"), *product(signs, "b")).join(middle, "g"), n_groups)
     like = lambda name, i, j: F.col(f"{name}_{i}_{j}") / F.sqrt(
         F.greatest(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"), F.lit(1e-12))
     )
@@ -196,16 +200,16 @@ def concentrated(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFram
     """From (g, x...): the whitening estimate of least volume for each g. ``rows`` must be read from files."""
     d = len(_X)
     key = F.struct("g", "start").alias("of")
-    estimate = cut(_whitened(_starts(rows, n_groups), 1.0, "g", "start").select(key, "*").drop("g", "start"))
+    estimate = cut(_whitened(_starts(rows, n_groups), 1.0, "g", "start").select(key, "*").drop("g", "start"), 3 * n_groups)
     n_starts = 3 * n_groups
     # The covariance of the nearest share of a normal sample is too small by this.
     shrunk = keep / chi_square(chi_square_quantile(keep, d), d + 2)
     each = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3))))).withColumn("of", key).select("of", *_X)
     for _ in range(MOST_STEPS):
         apart = look_up(each, estimate, "of", n_starts).withColumn("distance", _distance())
-        edges = cut(apart.groupBy("of").agg(F.percentile_approx("distance", keep, ACCURACY).alias("edge")))
+        edges = apart.groupBy("of").agg(F.percentile_approx("distance", keep, ACCURACY).alias("edge"))
         nearest = look_up(apart, edges, "of", n_starts).where("distance <= edge")
-        new = cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"))
+        new = cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"), n_starts)
         falls = new.alias("a").join(estimate.alias("b"), "of").agg(
             F.max(F.col("b.volume") - F.col("a.volume")), F.min(F.col("b.volume") - F.col("a.volume"))
         ).first()
@@ -213,7 +217,7 @@ def concentrated(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFram
         if falls[0] is None or max(falls[0], -falls[1]) < FALL:
             break
     best = F.min_by(F.struct(*(c for c in estimate.columns if c != "of")), F.struct("volume", "of.start"))
-    return cut(estimate.groupBy("of.g").agg(best.alias("best")).select("g", "best.*"))
+    return cut(estimate.groupBy("of.g").agg(best.alias("best")).select("g", "best.*"), n_groups)
 
 
 def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFrame:
@@ -224,15 +228,15 @@ def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP) -> Data
     sums = inside.groupBy("g").agg(F.count("*").alias("rows"), *_sums([F.col(x) for x in _X], F.col("near")))
     factor = cutoff / chi_square(chi_square_quantile(cutoff, d), d + 2)
     moments = _moments(sums, "g", "rows").withColumns({f"c_{i}_{j}": factor * F.col(f"c_{i}_{j}") for i, j in _LOWER})
-    return cut(moments.drop("n").withColumnRenamed("rows", "n").select("g", *_ESTIMATE))
+    return cut(moments.drop("n").withColumnRenamed("rows", "n").select("g", *_ESTIMATE), n_groups)
 
 
-def leaning(own: DataFrame, prior: DataFrame, prior_key: Column, n_prior: int, weight: float = PRIOR) -> DataFrame:
+def leaning(own: DataFrame, prior: DataFrame, prior_key: Column, n_prior: int, n_own: int, weight: float = PRIOR) -> DataFrame:
     """``own`` estimates, each with that of ``prior`` as of ``weight`` more rows."""
     renamed = prior.select(F.col("g").alias("above"), *(F.col(c).alias("above_" + c) for c in _ESTIMATE[1:]))
-    both = look_up(cut(own.withColumn("above", prior_key)), renamed, "above", n_prior)
+    both = look_up(cut(own.withColumn("above", prior_key), n_own), renamed, "above", n_prior)
     mixed = lambda c: ((F.col("n") * F.col(c) + weight * F.col("above_" + c)) / (F.col("n") + weight)).alias(c)
-    return cut(both.select("g", "n", *map(mixed, _ESTIMATE[1:])))
+    return cut(both.select("g", "n", *map(mixed, _ESTIMATE[1:])), n_own)
 
 
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -257,10 +261,10 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     n_groups = leveled.select("g").distinct().count()
     estimates = robust_estimates(leveled, n_groups)
     at = lambda k: estimates.where(F.col("g.level") == k)
-    langs = leaning(at(1), at(0), whole, 1)
-    sources = leaning(at(2), langs, level(1, F.col("g.lang").alias("lang"), no_source), n_groups)
+    langs = leaning(at(1), at(0), whole, 1, n_groups)
+    sources = leaning(at(2), langs, level(1, F.col("g.lang").alias("lang"), no_source), n_groups, n_groups)
     # Of groups without a row that passes the base rules no row can be kept, so they need no estimate.
-    final = cut(_whitened(sources.withColumn("g", F.struct("g.lang", "g.source")), 1.0, "g"))
+    final = cut(_whitened(sources.withColumn("g", F.struct("g.lang", "g.source")), 1.0, "g"), n_groups)
     judged = look_up(rows, final, "g", n_groups).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - alpha, len(_X)), F.lit(False))
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -235,7 +235,7 @@ def test_shrinkage(spark, tmp_path):
     columns = ", ".join(["g int", *(f"{c} double" for c in Q._ESTIMATE)])
     rows = [(g, *map(float, [n, *rng.normal(size=20)])) for g, n in ((0, 1000), (1, 0), (2, 50), (3, 10**9))]
     every = spark.createDataFrame(rows, columns)
-    got = {r.g: r for r in Q.leaning(every.where("g > 0"), every.where("g = 0"), F.lit(0), 1).collect()}
+    got = {r.g: r for r in Q.leaning(every.where("g > 0"), every.where("g = 0"), F.lit(0), 1, 3).collect()}
     for r in rows[1:]:
         n = r[1]
         assert np.allclose([*got[r[0]]][2:], (n * np.array(r[2:]) + 50 * np.array(rows[0][2:])) / (n + 50))
