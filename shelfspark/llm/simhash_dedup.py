@@ -239,7 +239,7 @@ def components(edges: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
         large = held(large.unionByName(least.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")).distinct())
         root = held(large.groupBy("hi").agg(F.min("lo").alias("m")))
         stars = look_up(large, root, "hi", 2 * seen[0], most).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo")
-        edges = cut(stars.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct())
+        edges = cut(stars.unionByName(root.select("hi", F.col("m").alias("lo"))).distinct(), 4 * seen[0])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").bitwiseAND((1 << 40) - 1))).first()
         if now == seen:
             break
