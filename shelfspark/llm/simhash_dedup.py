@@ -192,6 +192,13 @@ def golay_keys(classes: DataFrame, probing: bool) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp long")
 
 
+def _across(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows of (key, root_a, ...) and (key, root_b, ...) that share a key and differ in root. Roots meet first, so rows
+    of one root, however many, are not paired."""
+    roots = left.select("key", "root_a").distinct().join(right.select("key", "root_b").distinct(), "key").where("root_a <> root_b")
+    return roots.join(left, ["key", "root_a"]).join(right, ["key", "root_b"])
+
+
 def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (a, b) of different fingerprints within three bits, whose components are those of all such pairs."""
     a, b = F.col("a"), F.col("b")
@@ -214,8 +221,7 @@ def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
         ) for m,
         c in zip(members, "ab")
     ]
-    apart = rooted[0].join(rooted[1], "key").where((F.col("root_a") != F.col("root_b")) & near).select("a", "b")
-    return first.unionByName(apart)
+    return first.unionByName(_across(*map(cut, rooted)).where(near).select("a", "b"))
 
 
 # Components ------------------------------------------------------------------------------------------------------
@@ -374,7 +380,7 @@ def similar_sets(
     rooted = cut(size_of(rooted, "a"))
     other = rooted.withColumnsRenamed({"i": "j", "a": "b", "root_a": "root_b", "n_a": "n_b"})
     alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    apart = rooted.join(other, "key").where((F.col("root_a") < F.col("root_b")) & alike).select(
+    apart = _across(rooted, other).where((F.col("root_a") < F.col("root_b")) & alike).select(
         *ordered(F.col("a"), F.col("b")), (F.col("i") + F.col("j")).alias("places"), F.lit(1).alias("both")
     )
     two = by_key.where("rows = 2").groupBy("a", "b").agg(F.max("places").alias("places"), F.count("*").alias("both"))
