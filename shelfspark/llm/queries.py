@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, quality_rules, secret_scan, simhash_dedup, source_mix, token_count, toxicity, url_filter
+from . import (
+    byte_bpe, conversation_repair, embedding_dedup, exact_dedup, language_id, periodic_runs, quality_rules, secret_scan, simhash_dedup,
+    source_mix, token_count, toxicity, url_filter,
+)
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
@@ -15,10 +18,14 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_token_count": token_count.op9_token_count,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.SQL,
     "op4_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
 }
