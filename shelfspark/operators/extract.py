@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from ..functions import html as h
+from ..functions import outline
 from ..functions.text import collapse, decode_entities, plain_markdown
 from ..functions.urls import fragment_encoded, humanize_slug, path_segments, percent_decoded, slug_from_url, url_parts, url_resolve
 
@@ -103,13 +104,14 @@ def discover_partitions(links: DataFrame, pattern: str) -> DataFrame:
 
 
 def discover_script(df: DataFrame, name: str, scope: str | None = None) -> DataFrame:
-    """(doc_id, link, sound) of the first script of a page whose file name matches; ``sound`` is whether the page has one and it
-    is under ``scope``, the page's own URL unless given."""
-    sources = F.concat(
-        F.regexp_extract_all("body", F.lit(r'(?i)\bsrc="([^"]*)"'), F.lit(1)),
-        F.regexp_extract_all("body", F.lit(r"(?i)\bsrc='([^']*)'"), F.lit(1))
+    """(doc_id, link, sound) of the first script element of a page, in the order of the page, whose file name matches; ``sound``
+    is whether the page has one and it is under ``scope``, the page's own URL unless given."""
+    # A value in either quotes: one of the two groups is empty.
+    source = r"""(?is)<script\b(?:[^>"']|"[^"]*"|'[^']*')*?\ssrc\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    either = F.zip_with(
+        F.regexp_extract_all("body", F.lit(source), F.lit(1)), F.regexp_extract_all("body", F.lit(source), F.lit(2)), lambda a, b: F.concat(a, b)
     )
-    first = F.get(F.filter(sources, lambda x: F.rlike(F.substring_index(x, "/", -1), F.lit(name))), F.lit(0))
+    first = F.get(F.filter(either, lambda x: F.rlike(F.substring_index(x, "/", -1), F.lit(name))), F.lit(0))
     under = F.col("url") if scope is None else F.lit(scope)
     found = df.select("doc_id", under.alias("under"), F.when(first.isNotNull(), url_resolve(F.col("url"), first)).alias("link"))
     return found.select("doc_id", "link", F.coalesce(F.startswith("link", "under"), F.lit(False)).alias("sound"))
@@ -208,40 +210,18 @@ def unwrapped(c: Column) -> Column:
     return F.when(start > 0, F.substring(c, start, end - start + 1))
 
 
-def _outline(body: str | None) -> list[dict]:
-    """The YAML of a table of contents: lists of entries, each with plain ``key: value`` lines, nested by indentation."""
-    top: list[dict] = []
-    open_lists: list[tuple[int, list[dict]]] = []  # with the column of their dashes
-    entry, below = None, top  # the entry that lines go to, and the list that a deeper dash starts
-    for raw in (body or "").splitlines():
-        line = raw.split(" #")[0].rstrip()
-        column, text = len(line) - len(line.lstrip()), line.lstrip()
-        if not text or text.startswith(("#", "---")):
-            continue
-        if text.startswith("- "):
-            while open_lists and open_lists[-1][0] > column:
-                open_lists.pop()
-            if not open_lists or open_lists[-1][0] < column:
-                if below is None:
-                    continue
-                open_lists.append((column, below))
-            entry, below, text = {}, None, text[2:].lstrip()
-            open_lists[-1][1].append(entry)
-        name, mark, value = text.partition(":")
-        value = value.strip()
-        if mark and entry is not None:
-            if value:
-                entry[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value
-            else:
-                below = entry[name.strip()] = []
-    return top
-
-
 def _tree(body: str | None, form: str):
+    """(tree, None), or (None, why the body can't be read)."""
     try:
-        return _outline(body) if form == "yaml" else json.loads(body or "null")
-    except ValueError:
-        return None
+        return outline.read(body or "") if form == "yaml" else json.loads(body or "null"), None
+    except ValueError as e:
+        return None, str(e)
+
+
+def unreadable_toc(df: DataFrame, form: str = "json") -> DataFrame:
+    """(doc_id, url, reason) of tables of contents that can't be read."""
+    reason = lambda body: [{"reason": why} for _, why in [_tree(body, form)] if why]
+    return _mapped(df, reason, "reason string")
 
 
 def flatten_toc(
@@ -249,10 +229,11 @@ def flatten_toc(
     roots: str | None = None, form: str = "json",
 ) -> DataFrame:
     """(doc_id, url, pos, title, path, section) of a nested table of contents of any depth, JSON or the YAML of outlines. Section
-    is the latest group marker among the siblings, else the nearest titled ancestor. What can't be read has no rows."""
+    is the latest group marker among the siblings, else the nearest titled ancestor. What can't be read has no rows here, and one
+    of ``unreadable_toc``."""
 
     def walk(body: str | None) -> list[dict]:
-        tree = _tree(body, form)
+        tree, _ = _tree(body, form)
         top = tree.get(roots) if roots and isinstance(tree, dict) else tree
         if isinstance(top, dict):
             top = [x for v in top.values() for x in (v if isinstance(v, list) else [v])] if roots else [top]

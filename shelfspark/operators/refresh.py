@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 from pyspark.sql.types import LongType
 
+from ..shared import settled_all
 from . import search as s
 
 # Ratios of the gates, and the fields that a search needs of a manifest row.
@@ -231,6 +232,10 @@ def size_budget_report(manifest: DataFrame, default_languages: int = 4, size: st
 def known_query_check(jobs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, failures): for each job's known query the record to check, with that very title or else the first that has all
     its tokens; and the known queries that hit nothing in their index."""
+    return settled_all(jobs.sparkSession, lambda: _known_query_check(jobs, records))
+
+
+def _known_query_check(jobs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = jobs.select(
         F.col("source_id").alias("j_source"), F.col("docs_locale").alias("j_locale"), F.explode("known_queries").alias("query")
     ).withColumn("query_id", F.concat_ws("\0", "j_source", "j_locale", "query")).distinct()

@@ -1,24 +1,32 @@
 """Batch search: a table of requests against a table of records.
 
 records: title, url, section, programming_language, docs_locale, source_id, source_name, source_kind, document_kind,
-proposal_status, catalog_pos, pos. requests: query_id, query and optionally limit.
+proposal_status, catalog_pos, pos; or an index that was built of them (``index.open_index``). requests: query_id, query and
+optionally limit.
 
 Every token of a query must be contained in a record's title and section. ``plan="broadcast"`` compares each record with a
-broadcast table of queries: no shuffle of records, for up to ``MOST_BROADCAST`` queries. ``plan="trigrams"`` joins on one
-trigram of each query, the rarest, since a record that contains a token contains its trigrams; queries whose tokens are all
-shorter join on a run of one or two characters. Both give the same rows; ``auto`` counts the queries and chooses.
+broadcast table of queries: no shuffle of records, for up to ``MOST_BROADCAST`` queries and ``MOST_COMPARED`` comparisons.
+``plan="trigrams"`` joins on one trigram of each query, the rarest, since a record that contains a token contains its trigrams;
+queries whose tokens are all shorter join on a run of one or two characters. Both give the same rows; ``auto`` counts and
+chooses. Over an index the postings are read, and records only where a candidate is.
 
-A search writes the normalised records once, and the scored matches once; later steps read the columns they need.
+With typos, only the part of a query that the fewest records have makes candidates: the records that contain that token or have
+a word close to it. The other tokens are then looked for in each candidate, so work grows with the rarest token of a query.
+
+A search writes the normalised records once, and the scored matches once; later steps read the columns they need. What it wrote
+on the way is removed when its results are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from ..functions.text import DRAFT_LIKE, NOT_CURRENT, normalize_text, tokens_of, words_of
-from ..shared import cut
+from ..shared import cut, settled_all
 
 # Weights of the score, and limits.
 BASE, EQUAL, STARTS, CONTAINS = 40.0, 100.0, 75.0, 55.0
@@ -27,13 +35,21 @@ PER_DISTANCE, OFFICIAL, PROPOSAL, DEAD, DRAFT, LENGTH, MOST_LENGTH = 18.0, 5.0,
 LEAST_EXACT, ROUNDS = 12, 3
 RUNTIME_LIMIT, LIBRARY_LIMIT, SUGGEST_LIMIT, SUGGESTIONS, SUGGEST_CHARS = 60, 50, 12, 8, 3
 
-MOST_BROADCAST, GRAM = 2_000, 3
+MOST_BROADCAST, MOST_COMPARED, GRAM = 2_000, 10**10, 3
 
+#: Columns that a scope may name, which postings carry.
+SCOPE = ("source_id", "docs_locale")
 
-def prepared(records: DataFrame) -> DataFrame:
-    """Records with a number ``_row`` and normalised ``t`` (title), ``s`` (section) and ``hay`` (both), written once."""
+
+def prepared_columns(records: DataFrame) -> DataFrame:
+    """Records with a number ``_row`` and normalised ``t`` (title), ``s`` (section) and ``hay`` (both)."""
     rows = records.withColumns({"t": normalize_text(F.col("title")), "s": normalize_text(F.coalesce("section", F.lit("")))})
-    return cut(rows.withColumns({"hay": F.trim(F.concat_ws(" ", "t", "s")), "_row": F.monotonically_increasing_id()}))
+    return rows.withColumns({"hay": F.trim(F.concat_ws(" ", "t", "s")), "_row": F.monotonically_increasing_id()})
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """The prepared columns, written once."""
+    return cut(prepared_columns(records))
 
 
 def tokenized(requests: DataFrame, limit: int = RUNTIME_LIMIT) -> DataFrame:
@@ -50,33 +66,90 @@ def _grams(c: Column, size: Column | int) -> Column:
     return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+class Scanned:
+    """Postings of prepared records, worked out when they are asked for."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def grams(self, wanted: DataFrame) -> DataFrame:
+        """(gram, _row, SCOPE) of the distinct grams in ``wanted``."""
+        sizes = [r["size"] for r in wanted.select(F.length("gram").alias("size")).distinct().collect()]  # three at most
+        every = F.concat(F.array().cast("array<string>"), *(_grams(F.col("hay"), n) for n in sizes))
+        return self.rows.select("_row", *self._scope(), F.explode(every).alias("gram")).join(wanted, "gram", "left_semi")
+
+    def gram_counts(self, wanted: DataFrame) -> DataFrame:
+        """(gram, n) of the distinct grams in ``wanted``."""
+        return self.grams(wanted).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def words(self, wanted: DataFrame) -> DataFrame:
+        """(word, _row) of the distinct words in ``wanted``."""
+        return self.rows.select("_row", F.explode(words_of(F.col("hay"))).alias("word")).join(wanted, "word", "left_semi")
+
+    def vocabulary(self) -> DataFrame:
+        """All words."""
+        return self.rows.select(F.explode(words_of(F.col("hay"))).alias("word")).distinct()
+
+    def records(self, wanted: DataFrame) -> DataFrame:
+        """The prepared records of the rows in ``wanted``, with its columns."""
+        return wanted.join(self.rows, "_row")
+
+    def _scope(self) -> list[str]:
+        return [c for c in SCOPE if c in self.rows.columns]
+
+
+def _plan(needles: DataFrame, rows: DataFrame, plan: str) -> str:
+    if plan != "auto":
+        return plan
+    n = needles.limit(MOST_BROADCAST + 1).count()
+    return "broadcast" if n <= MOST_BROADCAST and n * rows.count() <= MOST_COMPARED else "trigrams"
+
+
+def _equal(same: dict[str, str] | None) -> Column:
+    out = F.lit(True)
+    for of_row, of_needle in (same or {}).items():
+        out = out & (F.col(of_row) == F.col(of_needle))
+    return out
+
+
+def _asked(needles: DataFrame, key: str, parts: str) -> DataFrame:
+    """(key, gram) of the runs of characters that a row with all parts has: of three, or of as many as the longest part has."""
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(parts, F.length)))
+    grams = F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, F.col("size")))))
+    return needles.select(key, parts).distinct().withColumn("size", size).select(key, F.explode(grams).alias("gram"))
+
+
+def rarest(needles: DataFrame, postings: Scanned, key: str, parts: str) -> DataFrame:
+    """(key, gram, n): the gram of each needle that the fewest rows have."""
+    asked = cut(_asked(needles, key, parts))
+    counted = postings.gram_counts(asked.select("gram").distinct())
+    cost = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))
+    return asked.join(counted, "gram", "left").groupBy(key).agg(F.min(cost).alias("of")).select(key, "of.gram", "of.n")
+
+
 def contained(
-    needles: DataFrame, rows: DataFrame, key: str, parts: str, plan: str = "auto", same: dict[str, str] | None = None
-) -> DataFrame:
+    needles: DataFrame, rows: DataFrame | None, key: str, parts: str, plan: str = "auto", same: dict[str, str] | None = None,
+    postings: Scanned | None = None,
+) -> DataFrame:
     """Pairs of needles and rows (of prepared records) whose ``hay`` contains all the strings in the needle's ``parts``, and
-    that are equal in the columns ``same`` (of rows: of needles). ``key`` is unique among the needles."""
-    if plan == "auto":
-        plan = "broadcast" if needles.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "trigrams"
-    fits = F.forall(parts, lambda p: F.contains("hay", p))
-    for of_row, of_needle in (same or {}).items():
-        fits = fits & (F.col(of_row) == F.col(of_needle))
-    if plan == "broadcast":
+    that are equal in the columns ``same`` (of rows: of needles). ``key`` tells different parts apart."""
+    fits = F.forall(parts, lambda p: F.contains("hay", p)) & _equal(same)
+    if rows is not None and _plan(needles, rows, plan) == "broadcast":
         return rows.join(F.broadcast(needles), fits)
-    size = F.least(F.lit(GRAM), F.array_max(F.transform(parts, F.length)))
-    asked = needles.select(key, parts, size.alias("size"))
-    sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # three at most
-    asked = asked.select(key, F.explode(F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, F.col("size")))))).alias("gram"))
-    every = F.concat(F.array().cast("array<string>"), *(_grams(F.col("hay"), n) for n in sizes))
-    wanted = rows.select("_row", F.explode(every).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    counted = wanted.groupBy("gram").agg(F.count("*").alias("n"))
-    cost = F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))
-    rarest = asked.join(counted, "gram", "left").groupBy(key).agg(F.min_by("gram", cost).alias("gram"))
-    return wanted.join(rarest, "gram").select("_row", key).join(needles, key).join(rows, "_row").where(fits)
-
-
-def match_exact(queries: DataFrame, rows: DataFrame, plan: str = "auto", same: dict[str, str] | None = None) -> DataFrame:
+    postings = postings or Scanned(rows)
+    found = cut(rarest(needles, postings, key, parts))
+    # The columns of ``same`` are keys of the join where postings have them.
+    held = {r: n for r, n in (same or {}).items() if r in SCOPE}
+    meant = needles.select(key, *held.values()).distinct().join(found, key)
+    met = postings.grams(found.select("gram").distinct()).withColumnRenamed("gram", "of_gram").join(meant, (F.col("of_gram") == F.col("gram")) & _equal(held))
+    return postings.records(met.select("_row", key).distinct()).join(needles, key).where(fits)
+
+
+def match_exact(
+    queries: DataFrame, rows: DataFrame | None, plan: str = "auto", same: dict[str, str] | None = None, postings: Scanned | None = None
+) -> DataFrame:
     """Pairs of tokenized queries and prepared records that hold all tokens."""
-    return contained(queries, rows, "query_id", "tokens", plan, same)
+    return contained(queries, rows, "query_id", "tokens", plan, same, postings)
 
 
 # Typos -----------------------------------------------------------------------------------------------------------
@@ -146,22 +219,55 @@ def close_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).where("distance is not null")
 
 
-def match_fuzzy(queries: DataFrame, rows: DataFrame, plan: str = "auto") -> DataFrame:
-    """Pairs where each token is contained (distance 0) or close to a word, with ``distances`` by token. Distances are worked
-    out on distinct words and come back to records through an inverted word index."""
-    asked = queries.select("query_id", F.explode("tokens").alias("token"))
-    tokens = asked.select("token").distinct()
-    index = rows.select("_row", F.explode(words_of(F.col("hay"))).alias("word"))
-    near = close_words(tokens, index.select("word")).join(index, "word").groupBy("_row", "token").agg(F.min("distance").alias("distance"))
-    inside = contained(tokens.withColumn("parts", F.array("token")), rows.select("_row", "hay"), "token", "parts", plan)
-    best = near.unionByName(
-        inside.select("_row", "token", F.lit(0).alias("distance"))
-    ).groupBy("_row", "token").agg(F.min("distance").alias("distance"))
-    met = best.join(asked, "token").groupBy("query_id", "_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "distance"))).alias("distances")
-    )
-    full = met.join(queries, "query_id").where(F.size("distances") == F.size("tokens"))
-    return full.join(rows, "_row")
+def fuzzy_candidates(
+    queries: DataFrame, rows: DataFrame | None, close: DataFrame, plan: str = "auto", postings: Scanned | None = None
+) -> DataFrame:
+    """(query_id, _row): for each query the rows that contain its cheapest token or have a word close to it. A token costs the
+    rows of its close words, and those that contain it, or one of its grams, to which they are bounded."""
+    postings = postings or Scanned(rows)
+    asked = cut(queries.select("query_id", F.explode("tokens").alias("token")).distinct())
+    tokens = asked.select("token").distinct().withColumn("parts", F.array("token"))
+    if rows is not None and _plan(tokens, rows, plan) == "broadcast":
+        inside = rows.select("hay").join(F.broadcast(tokens.select("token")), F.contains("hay", "token")).groupBy("token").agg(F.count("*").alias("n"))
+    else:
+        inside = rarest(tokens, postings, "token", "parts").select("token", "n")
+    by_word = cut(postings.words(close.select("word").distinct()))
+    around = close.join(by_word.groupBy("word").agg(F.count("*").alias("n")), "word").select("token", "n")
+    cost = inside.unionByName(around).groupBy("token").agg(F.sum("n").alias("n"))
+    cheapest = asked.join(cost, "token", "left").groupBy("query_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("token"))).alias("of")
+    ).select("query_id", "of.token")
+    cheapest = cut(cheapest)
+    picked = tokens.join(cheapest, "token", "left_semi")
+    near = close.join(picked, "token", "left_semi").join(by_word, "word").select("token", "_row")
+    found = contained(picked, rows, "token", "parts", plan, None, postings).select("token", "_row").unionByName(near).distinct()
+    return found.join(cheapest, "token").select("query_id", "_row")
+
+
+def match_fuzzy(
+    queries: DataFrame, rows: DataFrame | None, plan: str = "auto", same: dict[str, str] | None = None, postings: Scanned | None = None
+) -> DataFrame:
+    """Pairs where each token is contained (distance 0) or close to a word, with ``distances`` by token. Close words are worked
+    out between distinct tokens and words; candidates come from each query's cheapest token, and its other tokens are looked for
+    in their words."""
+    postings = postings or Scanned(rows)
+    tokens = queries.select(F.explode("tokens").alias("token")).distinct()
+    close = cut(close_words(tokens, postings.vocabulary()))
+    met = fuzzy_candidates(queries, rows, close, plan, postings)
+    # What is close to each token of a query: some words each.
+    by_token = close.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("word", "distance"))).alias("close"))
+    asked = queries.select("query_id", F.explode("tokens").alias("token")).distinct().join(by_token, "token")
+    near = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "close"))).alias("near"))
+    known = queries.join(near, "query_id", "left")
+    words = words_of(F.col("hay"))
+
+    def distance(x: Column) -> Column:
+        around = F.try_element_at("near", x)
+        return F.when(F.contains("hay", x), 0).otherwise(F.array_min(F.transform("words", lambda w: F.try_element_at(around, w))))
+
+    full = postings.records(met).withColumn("words", words).join(known, "query_id").where(_equal(same))
+    full = full.withColumn("found", F.transform("tokens", distance)).where(~F.exists("found", F.isnull))
+    return full.withColumn("distances", F.map_from_arrays("tokens", "found")).drop("found", "words", "near")
 
 
 # Scores and ranks ------------------------------------------------------------------------------------------------
@@ -244,23 +350,50 @@ _OUT = [
 ]
 
 
+def in_scope(records: DataFrame, scope: DataFrame, most: int = 1000) -> DataFrame:
+    """The records that any query may see. Scopes name catalog entries, so up to ``most`` are written into the filter, which
+    reads only their partitions of published records; more are joined."""
+    columns = [c for c in SCOPE if c in scope.columns]
+    wanted = scope.select(*columns).distinct()
+    named = wanted.limit(most + 1).collect()
+    if len(named) > most:
+        return records.join(wanted, columns, "left_semi")
+    out = records.where(F.col(columns[0]).isin(sorted({r[0] for r in named if r[0] is not None})))
+    return out if len(columns) == 1 else out.join(F.broadcast(wanted), columns, "left_semi")
+
+
 def search(
-    requests: DataFrame, records: DataFrame, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True,
+    requests: DataFrame, records: DataFrame | Scanned, limit: int = RUNTIME_LIMIT, collation: str | None = None, fuzzy: bool = True,
     plan: str = "auto", extra: tuple[str, ...] = (), scope: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(results with place, facets). ``scope`` (query_id, source_id and optionally docs_locale) says what a query may see."""
+    """(results with place, facets). ``scope`` (query_id, source_id and optionally docs_locale) says what a query may see: only
+    its records are read, and it is a key of the match."""
+    return settled_all(requests.sparkSession, lambda: _search(requests, records, limit, collation, fuzzy, plan, extra, scope))
+
+
+def _search(requests, records, limit, collation, fuzzy, plan, extra, scope) -> tuple[DataFrame, DataFrame]:
+    queries, same = tokenized(requests, limit), None
+    if isinstance(records, Scanned):
+        rows, postings = None, records
+    else:
+        rows = prepared(records if scope is None else in_scope(records, scope))
+        postings = Scanned(rows)
+    if scope is not None:
+        same = {c: "in_" + c for c in SCOPE if c in scope.columns}
+        scope = cut(scope.select("query_id", *(F.col(c).alias(n) for c, n in same.items())).distinct())
+
+    def seen(asked: DataFrame) -> DataFrame:
+        return asked if scope is None else asked.join(scope, "query_id")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        seen = pairs if scope is None else pairs.join(scope, scope.columns, "left_semi")
-        return cut(score(seen).select(*_OUT, *extra, "limit", "catalog_pos", "pos"))
+    def scored(match: Callable[..., DataFrame], asked: DataFrame) -> DataFrame:
+        return cut(score(match(seen(asked), rows, plan, same, postings)).select(*_OUT, *extra, "limit", "catalog_pos", "pos"))
 
-    queries, rows = tokenized(requests, limit), prepared(records)
-    exact = scored(match_exact(queries, rows, plan))
+    exact = scored(match_exact, queries)
     kept = cut(bounded_per_language(dedupe_matches(exact), collation))
     out = diversify(kept, collation).select(*_OUT, *extra, "place")
     found = exact
     if fuzzy:
-        near = scored(match_fuzzy(cut(fuzzy_gate(queries, kept)), rows, plan))
+        near = scored(match_fuzzy, cut(fuzzy_gate(queries, kept)))
         fresh = dedupe_matches(near.join(exact.select("query_id", "url"), ["query_id", "url"], "left_anti"))
         taken = out.groupBy("query_id").agg(F.max("place").alias("_taken"))
         rest = bounded_per_language(fresh, collation).join(taken, "query_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))

@@ -14,7 +14,9 @@ from ..operators import search as s
 from ..shared import cut, shared_folder
 from ..sources import bundles as bun
 from ..sources import catalog as cat
+from ..sources import publishing as pub
 from . import base as b
+from .search_queries import _ALL as BOTH_PHASES
 
 
 def _titled(spark, d):
@@ -168,17 +170,16 @@ def _bundle_manifest(packed):
 
 
 def publish(spark, d):
-    """Bundles and their manifest published to the shared folder, read back, validated and expanded."""
-    records = b.page_records(spark, d)
+    """Bundles and their manifest published after a build of half of the records, read back, validated and expanded."""
+    records = b.page_records(spark, d).where("url like 'https://%'")
     jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
-    packed = cut(bun.pack_bundles(records.where("url like 'https://%'"), jobs))
     folder = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
-    bun.publish_bundles(packed, f"{folder}/bundles")
-    manifest = _bundle_manifest(packed).withColumn("manifest_pos", F.row_number().over(w.Window.orderBy("path")))
-    bun.publish_manifest(manifest, f"{folder}/manifest", "c0ffee")
-    bundles = bun.read_bundles(spark, f"{folder}/bundles")
-    header, entries = bun.read_manifest(
-        spark, f"{folder}/manifest",
+    for rows, catalog in ((records.where("pos % 2 = 0"), "before"), (records, "c0ffee")):
+        packed = cut(bun.pack_bundles(rows, jobs))
+        manifest = _bundle_manifest(packed).withColumn("manifest_pos", F.row_number().over(w.Window.orderBy("path")))
+        pub.publish_build(packed, manifest, folder, catalog)
+    header, entries, bundles = pub.read_build(
+        spark, folder,
         "source_id string, docs_locale string, path string, record_count bigint, source_name string, source_kind string, document_kind string, "
         "programming_language string, qualification string, qualification_ja string"
     )
@@ -580,17 +581,17 @@ def equivalence(spark, d):
         m.select("source_id", "docs_locale", F.col("manifest_pos").alias("catalog_pos")), ["source_id", "docs_locale"]
     )
     full = cut(searched(whole))
-    found, _ = s.search(b.requests(spark, d), full, fuzzy=False)
+    found, _ = s.search(b.requests(spark, d), full)
     counted = lambda what, rows: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
-    same, other = (ref.projection_equivalence(b.requests(spark, d), full, searched(m), fuzzy=False) for m in (projected, lacking))
+    same, other = (ref.projection_equivalence(b.requests(spark, d), full, searched(m)) for m in (projected, lacking))
     return counted("results", found).unionByName(counted("differing", same)).unionByName(counted("differing without a name", other))
 
 
 EQUIVALENCE = f"""WITH {b.PAGE_RECORDS.replace("records AS", "records1 AS")}, i AS (SELECT source_id, docs_locale, row_number() OVER (ORDER BY min(pos)) AS p FROM records1 GROUP BY
   ALL),
 records AS (SELECT r.* EXCLUDE (catalog_pos), i.p AS catalog_pos FROM records1 r JOIN i USING (source_id, docs_locale) WHERE starts_with(url, 'https://') AND docs_locale
-  <> 'es'), {b.REQUESTS}, {b.SCORED}, {b.DIVERSE}
-SELECT 'results' AS what, count(*) AS n FROM results UNION ALL SELECT 'differing', 0 UNION ALL SELECT 'differing without a name', 2 * count(*) FROM results WHERE
+  <> 'es'), {b.REQUESTS}, {BOTH_PHASES}
+SELECT 'results' AS what, count(*) AS n FROM found UNION ALL SELECT 'differing', 0 UNION ALL SELECT 'differing without a name', 2 * count(*) FROM found WHERE
   source_id = 'en-com'"""
 
 

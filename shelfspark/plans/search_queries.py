@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.query_text import parse_query
+from ..operators import index
 from ..operators import results as r
 from ..operators import search as s
 from ..operators.runtime import run_requests as run_request_tables
+from ..shared import shared_folder
+from ..sources.versions import delete
 from . import base as b
 
 _R = ("query_id", "title", "url", "source_id", "programming_language", "place")
@@ -24,6 +28,28 @@ def _search(records, plan):
     return run
 
 
+def search_index(spark, d):
+    """Over an index that is built for it; the same rows as search_pages."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.append(b.page_records(spark, d), folder)
+    found, _ = s.search(b.requests(spark, d), index.open_index(spark, folder))
+    delete(spark, folder)
+    return found.select(*_R, F.round("score", 4).alias("score"))
+
+
+def search_appended(spark, d):
+    """Over an index of two segments, one for each half of the records, and again after they are merged: what both find."""
+    folder, records = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", b.page_records(spark, d)
+    for half in (0, 1):
+        index.append(records.where(F.col("pos") % 2 == half), folder)
+    before, _ = s.search(b.requests(spark, d), index.open_index(spark, folder))
+    index.merge(spark, folder)
+    after, _ = s.search(b.requests(spark, d), index.open_index(spark, folder))
+    delete(spark, folder)
+    both = before.withColumn("state", F.lit("segments")).unionByName(after.withColumn("state", F.lit("merged")))
+    return both.select("state", *_R, F.round("score", 4).alias("score"))
+
+
 _POINTS = """40.0::DOUBLE + CASE WHEN t = q THEN 100 WHEN starts_with(t, q) THEN 75 WHEN contains(t, q) THEN 55 ELSE 0 END
   + list_sum(list_transform(toks, lambda x: CASE WHEN t = x THEN 30 WHEN starts_with(t, x) THEN 20 WHEN contains(t, x) THEN 12 WHEN contains(s, x) THEN 4 ELSE 0 END)) - 18 * edits
   + CASE WHEN source_kind = 'official' THEN 5 ELSE 0 END - CASE WHEN document_kind = 'proposal' THEN 12 ELSE 0 END
@@ -55,10 +81,18 @@ def _again(names: str) -> str:
     return names.replace("FROM kept", "FROM rest")
 
 
-_BOTH = (
-    f"{b.SCORED}, {b.DIVERSE}, {_FUZZY}, {_again(b.DIVERSE)} SELECT query_id, title, url, source_id, programming_language, place, round(score, 4) AS "
-    f"score FROM out1 UNION ALL SELECT query_id, title, url, source_id, programming_language, place + taken, round(score, 4) FROM results2"
-)
+_FOUND = """found AS (SELECT query_id, title, url, source_id, source_name, programming_language, place, round(score, 4) AS score FROM out1 UNION ALL
+  SELECT query_id, title, url, source_id, source_name, programming_language, place + taken, round(score, 4) FROM results2)"""
+_ALL = f"{b.SCORED}, {b.DIVERSE}, {_FUZZY}, {_again(b.DIVERSE)}, {_FOUND}"
+_BOTH = f"{_ALL} SELECT query_id, title, url, source_id, programming_language, place, score FROM found"
+
+#: After scored and passed (query_id, source_id): the search of what each query may see.
+_WITHIN = f"""scored2 AS (SELECT s.* FROM scored s JOIN passed p USING (query_id, source_id)),
+seen2 AS (SELECT * FROM scored2 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1),
+kept2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, programming_language ORDER BY score DESC, title, url, catalog_pos, pos) AS lang_rank FROM seen2 QUALIFY
+  lang_rank <= "limit"), {b.DIVERSE.replace("FROM kept)", "FROM kept2)")},
+{_FUZZY.replace("FROM kept GROUP", "FROM kept2 GROUP").replace("JOIN scored USING", "JOIN scored2 USING").replace(
+    "WHERE score > 0)", "WHERE score > 0 AND (query_id, source_id) IN (SELECT query_id, source_id FROM passed))")}, {_again(b.DIVERSE)}, {_FOUND}"""
 
 
 def _search_sql(records: str) -> str:
@@ -129,14 +163,13 @@ words AS (SELECT DISTINCT unnest(string_split_regex({b.normal_sql("title || ' '
 
 
 def suggest(spark, d):
-    return s.suggest(b.requests(spark, d), b.page_records(spark, d), fuzzy=False)
+    return s.suggest(b.requests(spark, d), b.page_records(spark, d))
 
 
 SUGGEST = f"""WITH {b.PAGE_RECORDS}, requests1 AS (SELECT item_id, string_split_regex(regexp_replace(text, '[^\\p{{L}}\\s]+', '', 'g'), '\\s+') AS w FROM benchmark),
-requests AS (SELECT item_id AS query_id, concat_ws(' ', w[1], w[3]) AS query, 12 AS "limit" FROM requests1 WHERE length(concat_ws(' ', w[1], w[3])) >= 3), {b.SCORED},
-  {b.DIVERSE},
-firsts2 AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY query_id, lower(title) ORDER BY place) = 1)
-SELECT query_id, title, source_name, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM firsts2 QUALIFY row_number() OVER (PARTITION BY query_id
+requests AS (SELECT item_id AS query_id, concat_ws(' ', w[1], w[3]) AS query, 12 AS "limit" FROM requests1 WHERE length(concat_ws(' ', w[1], w[3])) >= 3), {_ALL},
+  distinct_titles AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query_id, lower(title) ORDER BY place) = 1)
+SELECT query_id, title, source_name, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place FROM distinct_titles QUALIFY row_number() OVER (PARTITION BY query_id
   ORDER BY place) <= 8"""
 
 
@@ -168,16 +201,11 @@ passed AS (SELECT query_id, source_id, source_name, programming_language FROM ch
 
 def refine(spark, d):
     chosen = r.filter_sources(_sources(spark, d), _selections(spark, d))
-    found, _ = s.refine(b.requests(spark, d), b.page_records(spark, d), chosen, fuzzy=False)
+    found, _ = s.refine(b.requests(spark, d), b.page_records(spark, d), chosen)
     return found.select("query_id", "url", "source_id", "place")
 
 
-REFINE = (
-    f"{_FACETS}{_FILTERED}, scored2 AS (SELECT s.* FROM scored s JOIN passed p USING (query_id, source_id)), seen2 AS (SELECT * FROM scored2 QUALIFY "
-    f"row_number() OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1), kept2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, "
-    f"programming_language ORDER BY score DESC, title, url, catalog_pos, pos) AS lang_rank FROM seen2 QUALIFY lang_rank <= \"limit\"), "
-    f"{b.DIVERSE.replace('FROM kept)', 'FROM kept2)')} SELECT query_id, url, source_id, place FROM results"
-)
+REFINE = f"{_FACETS}{_FILTERED}, {_WITHIN} SELECT query_id, url, source_id, place FROM found"
 
 
 def run_requests(spark, d):
@@ -192,7 +220,7 @@ def run_requests(spark, d):
         F.lit(None).cast("string").alias("reason"), F.col("source_id").alias("path")
     )
     faults = manifest.where("source_id = 'en-net'").select("source_id", "docs_locale", F.lit("count").alias("reason"))
-    out = run_request_tables(asked, manifest, records, faults, fuzzy=False)
+    out = run_request_tables(asked, manifest, records, faults)
     row = lambda kind, df, *c: df.select("query_id", F.lit(kind).alias("kind"), F.concat_ws("|", *c).alias("what"))
     parts = [
         row("record", out["records"], "url", F.col("place").cast("string")), row("facet", out["facets"], "source_id"),
@@ -202,12 +230,11 @@ def run_requests(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
-RUN = f"""WITH {b.PAGE_RECORDS}, {b.REQUESTS}, {b.SCORED}, scored2 AS (SELECT * FROM scored WHERE source_id = 'en-com'), seen2 AS (SELECT * FROM scored2 QUALIFY row_number()
-  OVER (PARTITION BY query_id, url ORDER BY catalog_pos, pos) = 1), kept2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, programming_language ORDER BY score
-  DESC, title, url, catalog_pos, pos) AS lang_rank FROM seen2 QUALIFY lang_rank <= "limit"), {b.DIVERSE.replace('FROM kept)', 'FROM kept2)')},
+RUN = f"""WITH {b.PAGE_RECORDS}, {b.REQUESTS}, {b.SCORED}, passed AS (SELECT query_id, 'en-com' AS source_id FROM requests), {_WITHIN},
 have AS (SELECT DISTINCT source_id FROM records WHERE source_id IN ('en-com', 'en-net', 'de-net')), asked AS (SELECT query_id, s AS source_id FROM requests, (VALUES
   ('en-com'), ('en-net'), ('de-net')) v(s))
-SELECT query_id, 'record' AS kind, url || '|' || place AS what FROM results UNION ALL SELECT DISTINCT query_id, 'facet', source_id FROM scored2
+SELECT query_id, 'record' AS kind, url || '|' || place AS what FROM found UNION ALL SELECT DISTINCT query_id, 'facet', source_id FROM (SELECT query_id, source_id FROM scored2
+  UNION ALL SELECT query_id, source_id FROM near)
 UNION ALL SELECT query_id, 'unavailable', source_id || '|' || CASE WHEN source_id = 'de-net' AND source_id IN (FROM have) THEN 'blocked' ELSE 'planned' END FROM asked
   WHERE source_id = 'de-net' OR source_id NOT IN (FROM have)
 UNION ALL SELECT query_id, 'fallback', source_id || '|en' FROM asked WHERE query_id % 3 = 1 AND source_id <> 'de-net' AND source_id IN (FROM have) UNION ALL SELECT
@@ -290,6 +317,11 @@ _W = f"WITH {b.PAGE_RECORDS}, {b.REQUESTS}, {b.SCORED}"
 QUERIES = {
     "search_pages": (_search(b.page_records, "broadcast"), _search_sql(b.PAGE_RECORDS)),
     "search_pages_trigrams": (_search(b.page_records, "trigrams"), _search_sql(b.PAGE_RECORDS)),
+    "search_index": (search_index, _search_sql(b.PAGE_RECORDS)),
+    "search_index_appended": (
+        search_appended, f"WITH {b.PAGE_RECORDS}, {b.REQUESTS}, {_BOTH.replace('SELECT query_id, title, url, source_id, programming_language, place, score FROM found', '')} "
+        "SELECT state, query_id, title, url, source_id, programming_language, place, score FROM found, (VALUES ('segments'), ('merged')) v(state)"
+    ),
     "search_documents": (_search(b.document_records, "auto"), _search_sql(b.DOCUMENT_RECORDS)),
     "tokenize_queries": (tokenize, f"""WITH {b.REQUESTS} SELECT query_id, q, array_to_string(list_sort(list_distinct(string_split(q, ' '))), '|') AS tokens, "limit" FROM (SELECT query_id,
   {b.normal_sql("query")} AS q, "limit" FROM requests) WHERE q <> ''"""),

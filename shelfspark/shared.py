@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
 #: Rows of a file where their number is known.
 FILE_ROWS = 100_000
 
-#: What was written within each settled() that runs, the innermost last.
-_written: list[list[str]] = []
+#: What was written within the innermost settled() that runs in this context; each thread has its own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def write_once(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read from there, and where it is."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if (within := _written.get()) is not None:
+        within.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -50,19 +51,24 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` returns, written once; all that was written on the way is deleted."""
-    _written.append([])
+def settled_all(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """What ``make`` returns, each written once; all that was written on the way is deleted, also if it fails."""
+    mine: list[str] = []
+    token = _written.set(mine)
     try:
-        rows = make()
-    except BaseException:
-        _written.pop()
-        raise
-    before = _written.pop()
-    out = cut(rows)
-    for path in before:
-        remove(spark, path)
-    return out
+        try:
+            rows = make()
+        finally:
+            _written.reset(token)
+        return tuple(cut(df) for df in rows)
+    finally:
+        for path in mine:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """As settled_all(), of one DataFrame."""
+    return settled_all(spark, lambda: (make(),))[0]
 
 
 #: Rows that an application gives to Python at a time; texts are a few kB each.

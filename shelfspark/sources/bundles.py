@@ -11,10 +11,11 @@ BUNDLE = "schemaVersion int, sourceId string, docsLocale string, urlPrefix strin
 SCHEMA_VERSION, GENERATOR_VERSION = 2, 1
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+def read_bundles(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
     """One row for each bundle file: its fields in snake case and path, the file's name, or its folder's where publish_bundles()
-    wrote it."""
-    raw = spark.read.schema(BUNDLE + ", path string").json(path, multiLine=True)
+    wrote it, in ``base`` if only some of those are named."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    raw = reader.schema(BUNDLE + ", path string").json(path, multiLine=True)
     name = F.coalesce("path", F.col("_metadata.file_name"))
     return raw.select(
         F.col("schemaVersion").alias("schema_version"), F.col("sourceId").alias("source_id"), F.col("docsLocale").alias("docs_locale"),
@@ -98,9 +99,14 @@ def publish_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").partitionBy("source_id", "docs_locale").parquet(path)
 
 
+def write_bundles(bundles: DataFrame, path: str, mode: str = "append") -> None:
+    """One JSON file for each bundle, in a folder of its name, beside those that are there."""
+    bundles.select("path", F.rtrim("body").alias("body")).write.mode(mode).partitionBy("path").text(path)
+
+
 def publish_bundles(bundles: DataFrame, path: str) -> None:
-    """One JSON file for each bundle, in a folder of its name. Spark's commit puts all of them in place at once."""
-    bundles.select("path", F.rtrim("body").alias("body")).write.mode("overwrite").partitionBy("path").text(path)
+    """One JSON file for each bundle, instead of what was there; ``publishing.publish_build`` keeps the old build meanwhile."""
+    write_bundles(bundles, path, "overwrite")
 
 
 def publish_manifest(
