@@ -17,8 +17,10 @@ Where a Jaccard similarity is asked for, fingerprints only propose. Links are th
 similarity, all of them: two such sets share one of their first shingles in any common order, so that the sets that share
 one are compared. Shingles that a sample of texts shows to be common come last in the order. Two sets alone in a shingle are
 a pair; of more, each is first held against the least one, and then only sets that are still in different components against
-each other. A pair whose first shingles already differ too much for the similarity is dropped, and only the rest have their
-whole sets compared.
+each other: within a shingle, components meet first, by the bounds of their members. Three exact bounds drop pairs where they
+meet: sizes; what can still be shared after the place of the first common shingle; and bitmaps of the sets' hashes, which
+can't differ in more bits than the sets in shingles. A pair whose first shingles already differ too much is dropped next, and
+only the rest have their whole sets compared. Shingles of many sets are dealt to several tasks.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other. Repeated
 rows belong to one class. A null doc_id counts only where its component has no other. An empty table gives an empty result;
@@ -33,7 +35,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -55,6 +57,10 @@ SAMPLED, COMMON, MOST_COMMON = 16, 5, 500_000
 #: Keys with more members than this first join them to the least one.
 CROWD = 40
 
+#: Words of 64 bits of a set's bitmap, and members of a crowded shingle that a task holds against all others.
+BITMAP, DEALT = 8, 1000
+MAPS = [f"b{i}" for i in range(BITMAP)]
+
 #: Generator polynomial of the Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -283,18 +289,28 @@ def first_shingles(found: np.ndarray, common: np.ndarray, similarity: float) ->
     return places[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """One bit for each shingle of a set; shingles may share bits."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[((found >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int, similarity: float) -> DataFrame:
-    """(id, fp, node, n, first) of each row: the fingerprint; hash, size and first shingles of the set of shingles."""
+    """(id, fp, node, n, first, MAPS) of each row: the fingerprint; hash, size, first shingles and bitmap of the set of shingles."""
     held = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text, size))  # at most MOST_COMMON hashes
 
     def each(all_hashes: list[np.ndarray]) -> list[pa.Array]:
         sets = [np.unique(h) for h in all_hashes]
         first = _lists([first_shingles(x, held.value, similarity) for x in sets])
+        maps = np.stack([bitmap(x) for x in sets], 1)
         return [
-            _longs([simhash(h) for h in all_hashes]), _longs([_node(x) for x in sets]), pa.array(list(map(len, sets)), pa.int32()), first
+            _longs([simhash(h) for h in all_hashes]), _longs([_node(x) for x in sets]), pa.array(list(map(len, sets)), pa.int32()), first,
+            *map(_longs, maps)
         ]
 
-    return _of_texts(docs, id_col, text, each, size, fp=LongType(), node=LongType(), n=IntegerType(), first=ArrayType(LongType()))
+    kinds = {"fp": LongType(), "node": LongType(), "n": IntegerType(), "first": ArrayType(LongType()), **dict.fromkeys(MAPS, LongType())}
+    return _of_texts(docs, id_col, text, each, size, **kinds)
 
 
 def _verified(
@@ -335,6 +351,47 @@ def _plausible(pairs: DataFrame, prints: DataFrame, similarity: float, most: int
     return met.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9).select("a", "b")
 
 
+def _alike(similarity: float, low: str = "n", high: str = "n") -> Column:
+    """Whether sizes may have the similarity: n_a and n_b, or the least and greatest of some."""
+    c = F.col
+    return (c(high + "_a") >= similarity * c(low + "_b") - 1e-9) & (c(high + "_b") >= similarity * c(low + "_a") - 1e-9)
+
+
+def _bitmaps_fit(similarity: float) -> Column:
+    """Whether bitmaps differ in no more bits than sets of the similarity do in elements; unknown ones fit."""
+    differ = sum((F.bit_count(F.col(m + "_a").bitwiseXOR(F.col(m + "_b"))) for m in MAPS[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+    return F.coalesce(differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9, F.lit(True))
+
+
+def _places_fit(similarity: float, low: str = "n", high: str = "n") -> Column:
+    """Whether enough can be shared from a shingle at places i_a and i_b on, as the first common one must allow."""
+    c = F.col
+    left = F.least(c(high + "_a") - c("i_a"), c(high + "_b") - c("i_b"))
+    return left >= similarity / (1 + similarity) * (c(low + "_a") + c(low + "_b")) - 1e-9
+
+
+def _apart(members: DataFrame, similarity: float) -> DataFrame:
+    """(key, a, i_a, ..., b, i_b, ...) of the members of a key (key, i, a, root_a, n_a, the bitmap) in different components that may
+    have the similarity. Components meet first, as one row with the bounds of its members, and with the bitmap of a single one."""
+    own = members.withColumnRenamed("i", "i_a")
+    one = F.count("*") == 1
+    groups = own.groupBy("key", "root_a").agg(
+        F.count("*").alias("members"), F.min("i_a").alias("i_a"), F.min("n_a").alias("low_a"), F.max("n_a").alias("high_a"),
+        F.max("n_a").alias("n_a"), *(F.when(one, F.min(m + "_a")).alias(m + "_a") for m in MAPS)
+    )
+    groups = cut(groups)
+    parts = groups.groupBy("key").agg((1 + F.floor(F.count("*") / DEALT)).cast("int").alias("parts")).where("parts > 1")
+    parts = cut(parts)
+    dealt = groups.join(sized(parts, parts.count()), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = dealt.withColumn("part", F.pmod(F.xxhash64("root_a"), F.col("parts")).cast("int"))
+    right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    swapped = lambda df: df.withColumnsRenamed({c: c[:-1] + "b" for c in df.columns if c.endswith("_a")} | {"a": "b"})
+    may = _alike(similarity, "low", "high") & _places_fit(similarity, "low", "high") & _bitmaps_fit(similarity)
+    met = left.drop("members", "parts").join(swapped(right.drop("members", "parts")), ["key", "part"]).where((F.col("root_a") < F.col("root_b")) & may)
+    pairs = met.select("key", "root_a", "root_b").join(own, ["key", "root_a"]).join(swapped(own), ["key", "root_b"])
+    return pairs.where(_alike(similarity) & _places_fit(similarity) & _bitmaps_fit(similarity))
+
+
 def similar_sets(
     docs: DataFrame, prints: DataFrame, classes: DataFrame, id_col: str, text: str, size: int, similarity: float, most: int
 ) -> DataFrame:
@@ -374,20 +431,17 @@ def similar_sets(
         df, roots.toDF(c, "root_" + c), c, n_roots, most
     ).withColumn("root_" + c, F.coalesce("root_" + c, c))
     size_of = lambda df, c: look_up(
-        df, classes.select(F.col("node").alias(c), F.col("n").alias("n_" + c)), c, n_classes, most
+        df, classes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), *(F.col(m).alias(f"{m}_{c}") for m in MAPS)), c, n_classes, most
     )
-    rooted = cut(root_of(members.select("key", "i", F.col("node").alias("a")), "a"))
-    rooted = cut(size_of(rooted, "a"))
-    other = rooted.withColumnsRenamed({"i": "j", "a": "b", "root_a": "root_b", "n_a": "n_b"})
-    alike = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    apart = _across(rooted, other).where((F.col("root_a") < F.col("root_b")) & alike).select(
-        *ordered(F.col("a"), F.col("b")), (F.col("i") + F.col("j")).alias("places"), F.lit(1).alias("both")
+    apart = _apart(cut(size_of(cut(root_of(members.select("key", "i", F.col("node").alias("a")), "a")), "a")), similarity).select(
+        *ordered(F.col("a"), F.col("b")), (F.col("i_a") + F.col("i_b")).alias("places")
     )
-    two = by_key.where("rows = 2").groupBy("a", "b").agg(F.max("places").alias("places"), F.count("*").alias("both"))
+    two = by_key.where("rows = 2").groupBy("a", "b").agg(F.min("places").alias("places"))
     two = root_of(cut(root_of(cut(two), "a")), "b").where("root_a <> root_b").select(*apart.columns)
-    shared = cut(two.unionByName(apart).groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("places").alias("places")))
-    shared = size_of(cut(size_of(shared, "a")), "b").where(alike)
-    enough = F.col("places") + 2 - 2 * F.col("both") <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    shared = cut(two.unionByName(apart).groupBy("a", "b").agg(F.min("places").alias("places")))
+    shared = size_of(cut(size_of(shared, "a")), "b").where(_alike(similarity) & _bitmaps_fit(similarity))
+    # What comes before the first common shingle is in one of the sets only.
+    enough = F.col("places") <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
     return near.unionByName(verified(_plausible(shared.where(enough).select("a", "b"), prints, similarity, most)))
 
 
@@ -406,7 +460,7 @@ def _grouped(
     rooted = cut(linked.join(sized(classes.select("node", "least"), classes.count(), most), "node"))
     smallest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     joined = cut(look_up(rooted.select("node", "root"), smallest, "root", smallest.count(), most).select("node", "component_id"))
-    known = look_up(classes.drop("n"), joined, "node", joined.count(), most).where("rows > 1 or component_id is not null")
+    known = look_up(classes.drop("n", *MAPS), joined, "node", joined.count(), most).where("rows > 1 or component_id is not null")
     return known.select("node", F.coalesce("component_id", "least").alias("component_id"), F.lit(True).alias("known"))
 
 
@@ -420,7 +474,8 @@ def near_duplicates(
         prints = cut(fingerprints(docs, id_col, text, size).withColumns({"node": F.col("fp"), "n": F.lit(None).cast("int")}))
     else:
         prints = cut(shingle_sets(docs, id_col, text, size, similarity))
-    classes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n")))
+    maps = [F.max(m).alias(m) for m in MAPS if m in prints.columns]
+    classes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.max("n").alias("n"), *maps))
     known = settled(docs.sparkSession, lambda: _grouped(docs, prints, classes, id_col, text, size, similarity, most))
     # A class of one row without links needs no look-up.
     found = look_up(prints.select("id", "fp", "node"), known, "node", known.count(), most)

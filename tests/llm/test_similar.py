@@ -53,10 +53,11 @@ def least_ids(rows):
     return [min(least[find(i)]) for i in range(len(rows))], far
 
 
-@pytest.mark.parametrize("crowd, sampled, most", [(40, 16, 1000), (2, 1, 1000), (2, 1, 0)])
-def test_all_similar_pairs(spark, monkeypatch, crowd, sampled, most):
+@pytest.mark.parametrize("crowd, sampled, most, dealt", [(40, 16, 1000, 1000), (2, 1, 1000, 3), (2, 1, 0, 3)])
+def test_all_similar_pairs(spark, monkeypatch, crowd, sampled, most, dealt):
     monkeypatch.setattr(S, "CROWD", crowd)
     monkeypatch.setattr(S, "SAMPLED", sampled)
+    monkeypatch.setattr(S, "DEALT", dealt)
     rows = documents()
     want, far = least_ids(rows)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
