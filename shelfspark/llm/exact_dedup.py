@@ -6,8 +6,10 @@
    Blocks hold about ``BLOCK_ROWS`` rows at any input size. A text that a third of all rows share is one entry of each filter.
 3. Texts whose hash counts above one go to byte verification: they are grouped by hash and all their bytes. Partial
    aggregation collapses a task's copies before the shuffle, so hot groups stay small. All other texts are unique.
-   Few repeated hashes are broadcast, and no text that is unique moves; too many are met after the grouping, so that
-   each task's different texts cross the network once, dealt by their bytes.
+   Few repeated hashes are broadcast, and no text that is unique moves. Of too many, a bitmap of at most 2^``MOST_BITS`` bits
+   is broadcast instead, by passes over shares of the hash range of ``PASS`` repeated hashes each: texts whose bit isn't set are
+   unique and stay where they are. What is left is grouped and met with the repeated hashes exactly; of unique texts only those
+   that share a bit with a repeated one move, n / 2^b of them with n hashes in b bits (at most 13 %, and 6 % below the bound).
 
 Defined results: a null text counts as empty. The row with the largest doc_id of its group stays; a null doc_id is the
 smallest; of rows that repeat both text and doc_id, one stays. An empty table gives an empty result; extra columns don't
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,9 @@ from .common import BROADCAST_ROWS, cut, look_up, parts_of, quoted, sized, table
 #: Rows to a block of the filter, about.
 BLOCK_ROWS = 50_000
 
+#: Bits of the bitmap at most (64 MB), and repeated hashes of a pass. There are 16 bits or more a hash below the bound.
+MOST_BITS, PASS = 29, 1 << 26
+
 #: Low bits of a hash that are its remainder; the bits above are block and quotient.
 REMAINDER = 40
 
@@ -70,7 +76,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def merge(filters: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The filter of all hashes of several filters."""
+    """The filter of all hashes of several filters. Each is a sorted run, and the stable sort merges runs."""
     return build_filter(np.concatenate([hashes_of(f) for f in filters]), np.concatenate([f[3] for f in filters]))
 
 
@@ -132,6 +138,22 @@ def repeated_fingerprints(light: DataFrame, n_rows: int) -> DataFrame:
     return light.select("fp").mapInArrow(build, "block long, filter binary").groupBy("block").applyInPandas(merged, "fp long, n long")
 
 
+def maybe_repeated(texts: DataFrame, repeated: DataFrame, n_repeated: int) -> DataFrame:
+    """The rows (fp, ...) whose fp may be repeated, by broadcast bitmaps: all of those that are, few others. No row moves."""
+    passes = -(-n_repeated // PASS) or 1
+    bits = min(MOST_BITS, max(15, (16 * n_repeated // passes).bit_length()))
+    own = lambda k: F.pmod(F.xxhash64(F.lit("pass"), "fp"), F.lit(passes)) == k
+    place = F.xxhash64("fp").bitwiseAND((1 << bits) - 1)
+    out = []
+    for k in range(passes):
+        held = repeated.where(own(k)).select(F.shiftright(place, 15).alias("block"), place.bitwiseAND(32767).alias("bit"))
+        held = cut(held.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits")), 1 << 14)
+        met = texts.where(own(k)).withColumns({"block": F.shiftright(place, 15), "bit": place.bitwiseAND(32767)}).join(F.broadcast(held), "block")
+        byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        out.append(met.where(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1).select(*texts.columns))
+    return reduce(DataFrame.unionByName, out)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     light = cut(fingerprints(docs, id_col, text).withColumn("row", F.monotonically_increasing_id()))
@@ -143,6 +165,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mo
     texts = fingerprints(docs, id_col, text, keep_text=True)
     if n_repeated <= most:
         texts = texts.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
+    else:
+        texts = maybe_repeated(texts, repeated, n_repeated)
     groups = texts.groupBy("fp", "norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
     groups = cut(
         groups.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size").join(

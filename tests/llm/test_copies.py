@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from shelfspark.llm import common
@@ -149,3 +150,21 @@ def test_look_up_of_hot_keys(spark, monkeypatch, tmp_path):
     want = sorted((i, None if k is None or (k % 2 and k != 5) else f"v{k}") for i, k in rows)
     for most in (0, 1000):
         assert sorted((r.i, r.v) for r in common.look_up(left, right, "k", 151, most).collect()) == want
+
+
+def test_unique_texts_stay(spark, monkeypatch):
+    """Beyond the broadcast, a bitmap is met before any exchange, and passes only what may be repeated."""
+    monkeypatch.setattr(X, "PASS", 40)
+    rows = [(i, f"text {i if i % 7 else i % 14}", "a", "x") for i in range(1400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    light = X.cut(X.fingerprints(docs, "doc_id", "text"))
+    repeated = X.cut(light.groupBy("fp").count().where("count > 1").select("fp"))
+    extra = X.cut(repeated.unionByName(spark.range(100).select(F.xxhash64("id").alias("fp"))))
+    texts = X.maybe_repeated(X.fingerprints(docs, "doc_id", "text", keep_text=True), extra, 102)
+    plan = texts.groupBy("fp", "norm").count()._jdf.queryExecution().executedPlan().toString()
+    under = plan[plan.index("hashpartitioning(fp"):]
+    assert plan.count("hashpartitioning") == 1 and under.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    found = [bytes(r.norm) for r in texts.collect()]
+    assert sum(x in (b"text 0", b"text 7") for x in found) == 200 and len(found) < 300
+    got = X.exact_groups(docs, most=0).where("group_size > 1").collect()
+    assert len(got) == 200 and {r.keep_id for r in got} == {1386, 1393}
