@@ -3,8 +3,8 @@
 Each text's counts give base rules (too short, too repetitive) and a vector of transformed statistics. Three levels of groups,
 all rows, each language, each language and source, get minimum-covariance-determinant estimates from their vectors that pass
 the base rules. From several starts (medians and quartiles, covariances of bounded transforms, spatial signs) concentration
-steps keep the share ``KEEP`` of rows of least Mahalanobis distance and re-estimate mean and covariance from them, until no
-determinant falls any more; the least one wins, and a last step re-weights by a chi-square cut. A group of n rows takes its
+steps keep the share ``KEEP`` of rows of least Mahalanobis distance and re-estimate mean and covariance from them. After a few
+the start of least determinant goes on, until that falls no more, and a last step re-weights by a chi-square cut. A group of n rows takes its
 language's estimate with the weight of ``PRIOR`` rows, and a language that of all rows, so every row has an estimate and
 small groups lean on the larger ones without a switch. A row whose distance exceeds the chi-square quantile at
 ``1 - ALPHA`` is rejected. Groups reduce to quantile sketches and partial sums, so no step gathers or sorts a group in one
@@ -21,18 +21,21 @@ and no other rule; an empty table gives an empty result. Extra columns are kept,
 from __future__ import annotations
 
 import math
+import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
-from .common import BROADCAST_ROWS, WORD, all_but, cut, look_up, quoted, table
+from .common import BROADCAST_ROWS, WORD, all_but, cut, look_up, quoted, settled, sized, table
 
 LEAST_WORDS, MOST_REPEATED, SHINGLE = 50, 0.5, 3
 KEEP, PRIOR, ALPHA = 0.75, 50, 1e-9
 
-#: Concentration ends where no log determinant falls by more than this, or after so many steps.
-FALL, MOST_STEPS = 1e-3, 30
+#: Steps that all starts take. A group's best one then goes on until its log determinant changes by less than this, or after so
+#: many steps, with a warning.
+FIRST_STEPS, FALL, MOST_STEPS = 3, 1e-3, 30
 
 #: Relative accuracy of quantiles: one in so many rows; exact for smaller groups.
 ACCURACY = 5000
@@ -205,19 +208,34 @@ def concentrated(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFram
     # The covariance of the nearest share of a normal sample is too small by this.
     shrunk = keep / chi_square(chi_square_quantile(keep, d), d + 2)
     each = rows.withColumn("start", F.explode(F.array(*map(F.lit, range(3))))).withColumn("of", key).select("of", *_X)
-    for _ in range(MOST_STEPS):
-        apart = look_up(each, estimate, "of", n_starts).withColumn("distance", _distance())
+
+    def step(each: DataFrame, estimate: DataFrame, n: int) -> DataFrame:
+        apart = look_up(each, estimate, "of", n).withColumn("distance", _distance())
         edges = apart.groupBy("of").agg(F.percentile_approx("distance", keep, ACCURACY).alias("edge"))
-        nearest = look_up(apart, edges, "of", n_starts).where("distance <= edge")
-        new = cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"), n_starts)
-        falls = new.alias("a").join(estimate.alias("b"), "of").agg(
-            F.max(F.col("b.volume") - F.col("a.volume")), F.min(F.col("b.volume") - F.col("a.volume"))
-        ).first()
-        estimate = new
-        if falls[0] is None or max(falls[0], -falls[1]) < FALL:
-            break
+        nearest = look_up(apart, edges, "of", n).where("distance <= edge")
+        return cut(_whitened(_moments(nearest.groupBy("of").agg(*_sums([F.col(x) for x in _X])), "of"), shrunk, "of"), n)
+
+    for _ in range(FIRST_STEPS):
+        estimate = step(each, estimate, n_starts)
+    # Of each group the start that is best by now goes on, as long as its volume falls.
     best = F.min_by(F.struct(*(c for c in estimate.columns if c != "of")), F.struct("volume", "of.start"))
-    return cut(estimate.groupBy("of.g").agg(best.alias("best")).select("g", "best.*"), n_groups)
+    estimate = cut(estimate.groupBy(F.col("of.g").alias("of")).agg(best.alias("best")).select("of", "best.*"), n_groups)
+    rows, done = rows.withColumnRenamed("g", "of"), []
+    for _ in range(MOST_STEPS - FIRST_STEPS):
+        n = estimate.count()
+        if not n:
+            break
+        going = rows if not done else rows.join(sized(estimate.select("of"), n), "of", "left_semi")
+        new = step(going, estimate, n)
+        moved = cut(new.join(estimate.select("of", F.col("volume").alias("before")), "of"), n)
+        more = F.abs(F.col("before") - F.col("volume")) >= FALL
+        done.append(moved.where(~more).drop("before"))
+        estimate = cut(moved.where(more).drop("before"), n)
+    else:
+        if left := estimate.count():
+            warnings.warn(f"{left} groups have not converged after {MOST_STEPS} steps; their last estimates count", stacklevel=2)
+            done.append(estimate)
+    return cut(reduce(DataFrame.unionByName, done or [estimate]).withColumnRenamed("of", "g"), n_groups)
 
 
 def robust_estimates(rows: DataFrame, n_groups: int, keep: float = KEEP) -> DataFrame:
@@ -239,6 +257,17 @@ def leaning(own: DataFrame, prior: DataFrame, prior_key: Column, n_prior: int, n
     return cut(both.select("g", "n", *map(mixed, _ESTIMATE[1:])), n_own)
 
 
+def _estimates_of_sources(leveled: DataFrame, n_groups: int, level, whole: Column, no_source: Column) -> DataFrame:
+    """The whitened estimate of each language and source."""
+    estimates = robust_estimates(leveled, n_groups)
+    at = lambda k: estimates.where(F.col("g.level") == k)
+    above = level(1, F.col("g.lang").alias("lang"), no_source)
+    langs = leaning(at(1), at(0), whole, 1, n_groups)
+    sources = leaning(at(2), langs, above, n_groups, n_groups)
+    # Of groups without a row that passes the base rules no row can be kept, so they need no estimate.
+    return _whitened(sources.withColumn("g", F.struct("g.lang", "g.source")), 1.0, "g")
+
+
 def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """``docs`` without ``text``, with the counts, base_failed, distance (null where there is no estimate) and kept."""
     own = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
@@ -257,14 +286,14 @@ def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     whole, of_lang, of_source = level(0, no_lang, no_source), level(1, F.col("g.lang").alias("lang"), no_source), level(
         2, F.col("g.lang").alias("lang"), F.col("g.source").alias("source")
     )
-    leveled = passed.select(F.explode(F.array(whole, of_lang, of_source)).alias("g"), *_X)
-    n_groups = leveled.select("g").distinct().count()
-    estimates = robust_estimates(leveled, n_groups)
-    at = lambda k: estimates.where(F.col("g.level") == k)
-    langs = leaning(at(1), at(0), whole, 1, n_groups)
-    sources = leaning(at(2), langs, level(1, F.col("g.lang").alias("lang"), no_source), n_groups, n_groups)
-    # Of groups without a row that passes the base rules no row can be kept, so they need no estimate.
-    final = cut(_whitened(sources.withColumn("g", F.struct("g.lang", "g.source")), 1.0, "g"), n_groups)
+
+    def estimated() -> DataFrame:
+        leveled = passed.select(F.explode(F.array(whole, of_lang, of_source)).alias("g"), *_X)
+        n_groups = leveled.select("g").distinct().count()
+        return _estimates_of_sources(leveled, n_groups, level, whole, no_source)
+
+    final = settled(docs.sparkSession, estimated)
+    n_groups = final.count()
     judged = look_up(rows, final, "g", n_groups).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     far = F.coalesce(F.col("distance") > chi_square_quantile(1 - alpha, len(_X)), F.lit(False))
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~far)
