@@ -8,15 +8,15 @@ and long clean texts gather no noise. The output is the expected severity, the s
 The fit reads a sample of labelled rows bounded by ``SAMPLE`` (documented parameter; the rows of smallest hashed id, whole
 texts). All features of the sample take part, scaled by their rarity; they stay on the executors, and the driver holds a
 working set: the features of greatest slope enter, the fit runs, and an aggregate over all features then gives every slope at
-the fit. Features whose slope exceeds the penalty enter in turn, until none does: all others have weight 0 at the optimum
-over all features. Every document is scored over its whole text, on the executors, with a memo of bounded size.
+the fit. Features whose slope exceeds the penalty enter in turn, until none does by more than a ``SLACK`` share of it: up to
+that, all others have weight 0 at the optimum over all features. Every document is scored over its whole text, on the executors, with a memo of bounded size.
 
 Grades of op2, from the two labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
 Defined results: a null, empty or wordless text has no features, so its severity is that of the thresholds alone. Repeated
 labels of a document must agree, else the highest grade counts; labels or ids that are null are left out, and of rows that
 share an id one is learned from, that of the least text hash. Without any labelled row, or with one grade only, all severities
-are 0; an empty table gives an empty result. Extra columns are kept, whatever their names; rows are scored one by one.
+are 0; if no feature tells, they are that of the thresholds, the grades' shares; an empty table gives an empty result. Extra columns are kept, whatever their names; rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -144,17 +144,17 @@ def sampled(docs: DataFrame, graded: DataFrame, id_col: str, text: str, sample:
     rows = rows.drop("grade").join(F.broadcast(rows.select("id", "grade", number.alias("row"))), "id").select("row", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, grade, body in zip(*(c.to_pylist() for c in batch.columns)):
-                found = _counts(body)
-                k = len(found) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row] * k, pa.int32()), pa.array([grade] * k, pa.int32()), pa.array(["", *found]),
-                        pa.array([0, *found.values()], pa.int32())
-                    ],
-                    ["row", "grade", "feature", "n"]
-                )
+        for part in (part for batch in batches for part in parts_of(batch, 2)):
+            found = [_counts(body) for body in part.column(2).to_pylist()]
+            sizes = [len(x) + 1 for x in found]
+            of = lambda at: np.repeat(part.column(at).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of(0)), pa.array(of(1)), pa.array([f for x in found for f in ("", *x)]),
+                    pa.array([n for x in found for n in (0, *x.values())], pa.int32())
+                ],
+                ["row", "grade", "feature", "n"]
+            )
 
     found = rows.mapInArrow(run, "row int, grade int, feature string, n int")
     return cut(found.select("row", "grade", F.xxhash64("feature").alias("f"), "feature", "n"))
@@ -172,9 +172,11 @@ def train(
     if n == 0 or grade.min() == grade.max():
         return Model({}, [])
     found = found.where("feature <> ''")
-    rare = cut(found.groupBy("f").agg(F.sqrt(F.log(F.lit(n) / F.count("*")) + 0.1).alias("rarity")))
+    rare = cut(found.groupBy("f").agg(F.min("feature").alias("feature"), F.sqrt(F.log(F.lit(n) / F.count("*")) + 0.1).alias("rarity")))
     scaled = cut(
-        found.select("row", "f", "n").join(sized(rare, rare.count()), "f").select("row", "f", (F.log1p("n") * F.col("rarity")).alias("x"))
+        found.select("row", "f", "n").join(sized(rare.select("f", "rarity"), rare.count()), "f").select(
+            "row", "f", (F.log1p("n") * F.col("rarity")).alias("x")
+        )
     )
 
     names, rarity, known = [], [], []  # of the working set
@@ -186,26 +188,26 @@ def train(
         over = slope.where(F.col("slope") > penalty * (1 + SLACK))
         if known:
             over = over.join(F.broadcast(spark.createDataFrame([(f,) for f in known], "f long")), "f", "left_anti")
-        entering = [r.f for r in over.orderBy(F.desc(F.round("slope", 12)), "f").limit(together).collect()]  # the others come later
+        entering = over.orderBy(F.desc(F.round("slope", 12)), "f").limit(together)  # the others come later
+        entering = entering.join(rare, "f").select("f", "feature", "rarity").collect()
         if not entering:
             break
+        names += [r.feature for r in entering]
+        rarity += [r.rarity for r in entering]
+        entering = [r.f for r in entering]
         numbered = F.broadcast(spark.createDataFrame([(f, len(known) + i) for i, f in enumerate(entering)], "f long, col int"))
-        called = found.select("f", "feature").join(numbered, "f").groupBy("f", "col").agg(F.min("feature").alias("feature")).join(rare, "f")
-        for r in sorted(called.collect(), key=lambda r: r.col):
-            names.append(r.feature)
-            rarity.append(r.rarity)
         more = scaled.join(numbered, "f").select("row", "col", "x").toArrow()
         order = np.lexsort((more["row"].to_numpy(), more["col"].to_numpy()))
         rows, cols, values = (np.r_[old, more[c].to_numpy()[order]] for old, c in ((rows, "row"), (cols, "col"), (values, "x")))
         known += entering
         weights, cuts = fit(rows, cols, values, grade, len(known), penalty=penalty, start=(np.r_[weights, np.zeros(len(entering))], cuts))
         score = np.bincount(rows, values * weights[cols], n)
-    return Model({f: float(x * r) for f, x, r in zip(names, weights, rarity) if x}, cuts.tolist() if known else [])
+    return Model({f: float(x * r) for f, x, r in zip(names, weights, rarity) if x}, cuts.tolist())
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with severity (expected grade) and p_above, the probabilities of exceeding each grade. The features of a
-    whole text are counted before the logarithm."""
+def score(docs: DataFrame, model: Model, text: str = "text", severity: str = "severity", p_above: str = "p_above") -> DataFrame:
+    """``docs`` with columns of these names: the expected grade, and the probabilities of exceeding each grade; columns of
+    ``docs`` that have the names are replaced. The features of a whole text are counted before the logarithm."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's features
 
     def run(texts: list[str | None], own: dict[str, tuple]) -> np.ndarray:
@@ -224,7 +226,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             sums[i] = sum(weights[f] * np.log1p(n) for f, n in sorted(found.items()))
         return _logistic(sums[:, None] - cuts)
 
-    keep = all_but(docs, "severity", "p_above")
+    keep = all_but(docs, severity, p_above)
     at = keep.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -233,7 +235,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = run(part.column(at).to_pylist(), own)
             yield [*part.columns, pa.array(p.sum(1)), pa.array(p.tolist(), pa.list_(pa.float64()))]
 
-    return map_batches(docs.select(*map(quoted, keep)), keep, scored, severity=DoubleType(), p_above=ArrayType(DoubleType()))
+    return map_batches(docs.select(*map(quoted, keep)), keep, scored, **{severity: DoubleType(), p_above: ArrayType(DoubleType())})
 
 
 def toxic(severity: Column) -> Column:
