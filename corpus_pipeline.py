@@ -27,9 +27,11 @@ NEAR_WORDS, NEAR = 5, 0.8
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is under the threshold. Learned from the labels of the input's own documents. A null,
-    empty or wordless text has the severity of no feature; repeated rows are judged alike."""
+    empty or wordless text has the severity of no feature; repeated rows are judged alike. Extra columns of any name pass through."""
     model = toxicity.train(docs, toxicity.grades(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where(~toxicity.toxic(F.col("severity"))).select(*map(quoted, docs.columns))
+    own = columns_free_of(docs, "score")
+    scored = toxicity.score(docs, model, severity=own + "_severity", p_above=own + "_above")
+    return scored.where(~toxicity.toxic(F.col(own + "_severity"))).select(*map(quoted, docs.columns))
 
 
 def _numbered(docs: DataFrame, null_first: bool) -> tuple[DataFrame, str]:
@@ -47,14 +49,15 @@ def _without(docs: DataFrame, own: str, dropped: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id, a null one last; null counts as empty. Of rows that repeat all, one."""
+    """Of equal texts, the row with the largest doc_id, a null one last; null counts as empty. Of rows that repeat all, one.
+    Extra columns of any name pass through."""
     rows, own = _numbered(docs, True)
     return _without(rows, own, exact_dedup.exact_groups(rows, own).where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the smallest doc_id, a null one last. Texts without words are
-    copies of each other."""
+    copies of each other. Extra columns of any name pass through."""
     rows, own = _numbered(docs, False)
     found = simhash_dedup.near_duplicates(rows, own, size=NEAR_WORDS, similarity=NEAR)
     return _without(rows, own, found.where(F.col(f"{own}.n") != F.col("component_id.n")))
@@ -71,7 +74,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, the token ids and the hash of the bytes that they decode to. A null text is empty."""
+    """doc_id, lang, source, n_tokens, the token ids and the hash of the bytes that they decode to. A null text is empty; extra
+    columns are left out, whatever their names."""
     coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
