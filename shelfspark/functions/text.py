@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,10 +35,29 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@cache
+def nfkc_changes() -> str:
+    """A pattern of the characters that NFKC may change, alone or after others: those that have another form, that combine, or
+    that are the second part of a composed one. Texts without any are normal. Built from the character data that ``nfkc`` uses."""
+    marked = bytearray(0x110001)
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        c = chr(code)
+        if unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c:
+            marked[code] = 1
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            marked[int(parts[1], 16)] = 1
+    marked[0x1161:0x1176] = b"\1" * 21  # vowels and final consonants that Hangul syllables are composed of
+    marked[0x11A8:0x11C3] = b"\1" * 27
+    edges = [i for i in range(len(marked)) if marked[i] != marked[i - 1]]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in zip(edges[::2], edges[1::2])) + "]"
+
+
 def normalize_text(c: Column) -> Column:
-    """NFKC, lower case, runs of ``_`` and ``-`` and of white space to one space, trimmed. ASCII texts, which NFKC leaves
-    alone, are done without the helper."""
-    c = F.when(F.length(c) == F.octet_length(c), c).otherwise(nfkc(F.when(F.length(c) != F.octet_length(c), c)))
+    """NFKC, lower case, runs of ``_`` and ``-`` and of white space to one space, trimmed. Texts that NFKC leaves alone, which
+    are those without a character of ``nfkc_changes``, are done without the helper."""
+    changes = (F.length(c) != F.octet_length(c)) & F.rlike(c, F.lit(nfkc_changes()))
+    c = F.when(changes, nfkc(F.when(changes, c))).otherwise(c)
     return collapse(F.regexp_replace(F.lower(c), "[_-]+", " "))
 
 

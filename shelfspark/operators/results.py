@@ -9,24 +9,25 @@ from pyspark.sql import window as w
 PAGE = 15
 
 
-# What marks a symbol's title (the character on either side of a dot or hash, a call without arguments).
-SYMBOL_LETTER = r"[\p{L}\p{N}_$]"
-SYMBOL_MARKS = ("::", ".", "#")
+# What a qualified symbol's title has, and what goes or is replaced before titles are compared.
+SYMBOL = r"::|[\p{L}\p{N}_$][.#][\p{L}\p{N}_$]|[\p{L}\p{N}_$]\s*\(\s*\)$"
+EMPTY_CALL, AROUND_MARK = r"\s*\(\s*\)$", r"\s*(::|[.#])\s*"
 
 
 def symbol_key(title: Column) -> Column:
     """Canonical form of a qualified symbol (``a::b``, ``a.b``, ``a#b``, ``a()``): no call at the end, no space around marks,
     single spaces elsewhere; null for other titles."""
     t = F.trim(F.regexp_replace(title, r"(?U)\s+", " "))
-    open_at = F.length(t) - F.instr(F.reverse(t), "(")
-    call = F.endswith(t, F.lit(")")) & F.contains(t, F.lit("(")) & (F.trim(F.substring(t, open_at + 2, F.length(t) - open_at - 2)) == "")
-    head = F.when(call, F.rtrim(F.left(t, open_at))).otherwise(t)
-    marked = F.contains(t, F.lit("::")) | (call & F.rlike(head, F.lit(SYMBOL_LETTER + "$")))
-    for mark in SYMBOL_MARKS[1:]:
-        marked = marked | F.rlike(t, F.lit(f"{SYMBOL_LETTER}[{mark}]{SYMBOL_LETTER}"))
-    for mark in SYMBOL_MARKS:
-        head = F.array_join(F.transform(F.split(head, f"[{mark[0]}]" * len(mark)), lambda x: F.trim(x)), mark)
-    return F.when(marked, head)
+    return F.when(F.rlike(t, F.lit(SYMBOL)), F.regexp_replace(F.regexp_replace(t, EMPTY_CALL, ""), AROUND_MARK, "$1"))
+
+
+def natural_key(name: Column) -> Column:
+    """Text that orders as ``name`` with its runs of digits by value: each run without leading zeros, after its length."""
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    by_value = lambda x: F.when(
+        F.rlike(x, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits(x)).cast("string"), 4, "0"), digits(x))
+    ).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), by_value), "")
 
 
 def group_results(ranked: DataFrame, rank: str = "place") -> DataFrame:
@@ -44,7 +45,8 @@ def group_results(ranked: DataFrame, rank: str = "place") -> DataFrame:
 def order_groups(
     grouped: DataFrame, order: str = "relevance", names: DataFrame | None = None, collation: str | None = "UNICODE_CI_AI"
 ) -> DataFrame:
-    """``grouped`` with group_place. By language name, ascending or descending, groups of a language keep their relevance."""
+    """``grouped`` with group_place. By language name, ascending or descending, with numbers in names by value, groups of a
+    language keep their relevance."""
     rows = grouped
     if names is not None:
         rows = rows.join(
@@ -53,7 +55,7 @@ def order_groups(
         ).drop("_id")
     else:
         rows = rows.withColumn("_name", F.lit(None).cast("string"))
-    name = F.coalesce("_name", "programming_language")
+    name = natural_key(F.coalesce("_name", "programming_language"))
     name = F.collate(name, collation) if collation else name
     by = [F.col("group_rank")] if order == "relevance" else [name.desc() if order == "language-desc" else name.asc(), F.col("group_rank")]
     return rows.withColumn("group_place", F.dense_rank().over(w.Window.partitionBy("query_id").orderBy(*by))).drop("_name")

@@ -256,13 +256,12 @@ def _symbols(spark, d):
     )
 
 
-_SYMBOLS = r"""symbols AS (SELECT p_size % 10 AS query_id, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', ' :: ') || '()' WHEN 1 THEN replace(p_name, ' ', '.') WHEN 4 THEN
+_SYMBOLS = rf"""symbols AS (SELECT p_size % 10 AS query_id, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', ' :: ') || '()' WHEN 1 THEN replace(p_name, ' ', '.') WHEN 4 THEN
   p_name ELSE replace(p_name, ' ', '::') END AS title, p_type AS source_id, CASE WHEN p_partkey % 2 = 0 THEN 'en' ELSE 'ja' END AS docs_locale,
  substr(p_brand, 1, 7) AS programming_language, CASE WHEN p_partkey % 13 = 0 THEN 'proposal' ELSE 'reference' END AS document_kind, CASE WHEN p_size % 3 = 0 THEN 'note '
   || p_type END AS qualification, p_partkey AS place FROM part),
-keyed AS (SELECT *, CASE WHEN document_kind = 'reference' AND (contains(title, '::') OR regexp_matches(title, '[\p{L}\p{N}_$][.#][\p{L}\p{N}_$]') OR
-  regexp_matches(title, '[\p{L}\p{N}_$]\s*\(\s*\)\s*$'))
- THEN regexp_replace(regexp_replace(regexp_replace(title, '\(\s*\)$', ''), '\s*(::|[.#])\s*', '\1', 'g'), '\s+', ' ', 'g') END AS key FROM symbols),
+keyed AS (SELECT *, CASE WHEN document_kind = 'reference' AND regexp_matches(title, '{r.SYMBOL}') THEN regexp_replace(regexp_replace(title, '{r.EMPTY_CALL}', ''),
+  '{r.AROUND_MARK}', '\1', 'g') END AS key FROM symbols),
 shared AS (SELECT *, key IS NOT NULL AND row_number() OVER (PARTITION BY query_id, programming_language, key, source_id, docs_locale ORDER BY place) = 1 AS joins FROM
   keyed),
 grouped AS (SELECT *, CASE WHEN joins THEN min(place) OVER (PARTITION BY query_id, programming_language, key, joins) ELSE place END AS group_rank FROM shared)"""
@@ -273,7 +272,11 @@ def group_results(spark, d):
 
 
 def order_groups(spark, d):
-    return r.order_groups(r.group_results(_symbols(spark, d)), "language-desc", collation=None).select("query_id", "place", "group_place")
+    """Languages are named by seven times their number, so that order by value differs from that by letters."""
+    grouped = r.group_results(_symbols(spark, d))
+    number = (F.substring("id", 7, 1).cast("int") * 7).cast("string")
+    names = grouped.select(F.col("programming_language").alias("id")).distinct().select("id", F.concat(F.lit("C"), number).alias("name"))
+    return r.order_groups(grouped, "language-desc", names, collation=None).select("query_id", "place", "group_place")
 
 
 def paginate(spark, d):
@@ -356,8 +359,8 @@ QUERIES = {
     ),
     "order_groups": (
         order_groups,
-        f"WITH {_SYMBOLS} SELECT query_id, place, dense_rank() OVER (PARTITION BY query_id ORDER BY programming_language DESC, group_rank) AS "
-        f"group_place FROM grouped"
+        f"WITH {_SYMBOLS} SELECT query_id, place, dense_rank() OVER (PARTITION BY query_id ORDER BY substr(programming_language, 7, 1)::INT DESC, "
+        f"group_rank) AS group_place FROM grouped"
     ),
     "paginate_groups": (
         paginate,

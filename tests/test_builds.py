@@ -12,6 +12,8 @@ from shelfspark.operators import refresh as ref
 from shelfspark.operators import scope as sc
 from shelfspark.sources import bundles as bun
 from shelfspark.sources import catalog as cat
+from shelfspark.sources import publishing as pub
+from shelfspark.sources import versions
 
 TOML = """
 [[languages]]
@@ -219,3 +221,58 @@ def test_stream(spark, tmp_path):
     query = streaming.keep_records(streaming.changed_documents(stream), extract, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B"]
+
+
+def test_builds_are_published_whole(spark, tmp_path, monkeypatch):
+    """Only new bundles are written; a build that fails leaves the one before; what two builds don't name goes."""
+    folder = f"{tmp_path}/site"
+    jobs = spark.createDataFrame([("a", "en", "https://x/"), ("b", "en", "https://x/"), ("c", "en", "https://x/")], "source_id string, docs_locale string, url_prefix string")
+
+    def packed(**titles):
+        rows = [("en", k, v, f"https://x/{k}", None, None, 0) for k, v in titles.items()]
+        records = spark.createDataFrame(rows, "docs_locale string, source_id string, title string, url string, section string, proposal_status string, pos long")
+        out = bun.pack_bundles(records, jobs)
+        return out, out.select("source_id", "docs_locale", "path", "record_count", F.lit(1).alias("manifest_pos"))
+
+    def titles():
+        header, entries, bundles = pub.read_build(spark, folder, "source_id string, docs_locale string, path string, record_count bigint")
+        return header.first().catalog_sha256, {x.source_id: x.title for x in bun.explode_records(bundles).collect()}
+
+    assert pub.publish_build(*packed(a="One", b="Two"), folder, "h1") == {"written": 2, "kept": 0, "removed": 0}
+    assert pub.publish_build(*packed(a="One", b="Deux"), folder, "h2") == {"written": 1, "kept": 1, "removed": 0}
+    assert titles() == ("h2", {"a": "One", "b": "Deux"})
+
+    def broken(*_, **__):
+        raise OSError("no room")
+
+    with monkeypatch.context() as m:
+        m.setattr(bun, "publish_manifest", broken)
+        with pytest.raises(OSError):
+            pub.publish_build(*packed(a="Uno", b="Due"), folder, "h3")
+    assert titles() == ("h2", {"a": "One", "b": "Deux"})
+    lost, manifest = packed(a="Uno", b="Due")
+    with pytest.raises(ValueError):
+        pub.publish_build(lost.where("source_id = 'a'"), manifest.withColumn("path", F.concat("path", F.lit("x"))), folder, "h3")
+    assert titles()[0] == "h2"
+    assert pub.publish_build(*packed(c="Three"), folder, "h4")["removed"] == 3  # One of h1 and Deux stay: the build before; Two, Uno, Due go
+    assert titles() == ("h4", {"c": "Three"})
+    with pytest.raises(RuntimeError):
+        versions.commit(spark, folder, {}, 1)
+
+
+def test_script_in_page_order(spark):
+    bodies = [
+        (1, """<img src="sidebar_items-1.js"><script src='/a/sidebar_items-2.js'></script><script src="/sidebar_items-3.js"></script>"""),
+        (2, """<SCRIPT data-x="a>b" defer SRC = "sidebar_items-4.js"></script><script src='sidebar_items-5.js'>"""),
+        (3, """<scripted src="sidebar_items-6.js"><script>src="sidebar_items-7.js"</script>"""),
+    ]
+    df = spark.createDataFrame([(i, "https://x.example/", b) for i, b in bodies], "doc_id int, url string, body string")
+    got = {r.doc_id: (r.link, r.sound) for r in x.discover_script(df, "^sidebar_items-").collect()}
+    assert got == {1: ("https://x.example/a/sidebar_items-2.js", True), 2: ("https://x.example/sidebar_items-4.js", True), 3: (None, False)}
+
+
+def test_unreadable_outlines(spark):
+    df = spark.createDataFrame([(1, "u", '- name: "F #1 guide"\n  href: a\n- {name: B, href: b}\n- name: >-\n    C\n    d\n  href: c\n'), (2, "u", "- &x a\n"), (3, "u", None)], "doc_id int, url string, body string")
+    got = x.flatten_toc(df, "items", "name", "href", form="yaml").orderBy("pos").collect()
+    assert [(r.doc_id, r.title, r.path) for r in got] == [(1, "F #1 guide", "a"), (1, "B", "b"), (1, "C d", "c")]
+    assert [(r.doc_id, r.reason) for r in x.unreadable_toc(df, "yaml").collect()] == [(2, "line 1: values that start with & are not read")]

@@ -1,7 +1,9 @@
 """Text, URL and HTML functions, and the query parser against a plain-Python model."""
 
+import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,20 @@ def test_parse_query(spark):
     for r in q.parse_query(df).collect():
         got = (r.search_text, r.languages, r.locale, r.source_mode, [(f.start, f.end, f.kind, f.valid) for f in r.flags], [e.code for e in r.errors])
         assert got == model(r.raw or ""), r.raw
+
+
+def test_texts_that_stay(spark):
+    """Over all characters: what the pattern lets pass is normal, alone and beside others, and most letters pass."""
+    import unicodedata
+
+    chars = [chr(i) for i in (*range(1, 0xD800), *range(0xE000, 0x110000))]
+    rows = spark.createDataFrame(pd.DataFrame({"c": chars}))
+    passed = {r.c for r in rows.where(~F.rlike("c", F.lit(t.nfkc_changes()))).toLocalIterator()}
+    rng = random.Random(1)
+    some = rng.sample(sorted(passed), 200) + list("eßé가각ㄱ")
+    assert all(unicodedata.normalize("NFKC", c) == c for c in passed)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in some if a in passed for b in (*some, "é", "a", "ー") if b in passed)
+    assert set("éßüñöабв漢字ひらがな") <= passed and not set("ﬁＡ²́ﾞ") & passed and "\u0301" not in passed
+    texts = ["Straße_É", "ｆｕｌｌ", "e\u0301", "plain", None, "", "①-ﬁ"]
+    got = {r.x: r.n for r in spark.createDataFrame([(x,) for x in texts], "x string").select("x", t.normalize_text(F.col("x")).alias("n")).collect()}
+    assert got == {"Straße_É": "straße é", "ｆｕｌｌ": "full", "e\u0301": "é", "plain": "plain", None: None, "": "", "①-ﬁ": "1 fi"}

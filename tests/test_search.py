@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.operators import index
 from shelfspark.operators import results as r
 from shelfspark.operators import search as s
 
@@ -190,3 +191,80 @@ def test_short_queries_and_repeated_rows_by_trigrams(spark):
     rows = s.prepared(spark.createDataFrame(records, SCHEMA).repartition(3))
     got = [sorted((x.query_id, x.title, x.pos) for x in s.match_exact(q, rows, plan).collect()) for plan in ("broadcast", "trigrams")]
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_names_order_by_value(spark):
+    names = ["C10", "C2", "c02", "C", "C2x", "B9", "B10", "É1", "10", "9", "C2.10", "C2.9", ""]
+    rows = [(1, i, f"t{i}", n) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "query_id int, group_rank int, title string, programming_language string")
+    got = [x.programming_language for x in r.order_groups(df, "language-asc").orderBy("group_place").collect()]
+    assert got == ["", "9", "10", "B9", "B10", "C", "C2", "c02", "C2.9", "C2.10", "C2x", "C10", "É1"]
+    back = [x.programming_language for x in r.order_groups(df, "language-desc").orderBy("group_place").collect()]
+    assert [x for x in back if x not in ("C2", "c02")] == [x for x in got[::-1] if x not in ("C2", "c02")] and back.index("C2") < back.index("c02")
+
+
+def test_index_equals_scan(spark, tmp_path):
+    """Segments that were added and merged find what a scan does; an index without commit is not seen."""
+    records, folder = library(6, 120), f"{tmp_path}/index"
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).repartition(3)
+    queries = ["sort", "srot", "stable sort", "vetcor map", "überladen hash", "partitoin merge", "x", "o", "or it", "for each"]
+    asked = spark.createDataFrame([(i, q, 3 + i % 4) for i, q in enumerate(queries)], "query_id int, query string, limit int")
+    rows = lambda found: sorted((x.query_id, x.place, x.url, round(x.score, 6)) for x in found.collect())
+    index.append(frame(records[:50]), folder)
+    index.append(frame(records[50:]), folder)
+    want = [rows(s.search(asked, frame(records), plan=plan)[0]) for plan in ("trigrams", "broadcast")]
+    assert want[0] == want[1] and rows(s.search(asked, index.open_index(spark, folder))[0]) == want[0]
+    held = index.open_index(spark, folder)
+    assert index.merge(spark, folder) == 3
+    assert rows(s.search(asked, held)[0]) == want[0] and rows(s.search(asked, index.open_index(spark, folder))[0]) == want[0]
+    assert len(index.open_index(spark, folder).segments) == 1
+    scope = spark.createDataFrame([(i, src) for i in range(len(queries)) for src in (["cpp-0"], ["go-1", "rust-0"])[i % 2]], "query_id int, source_id string")
+    scoped = [rows(s.search(asked, x, scope=scope)[0]) for x in (frame(records), index.open_index(spark, folder))]
+    assert scoped[0] == scoped[1] and scoped[0]
+
+
+def test_index_reads_asked_postings(spark, tmp_path):
+    """The plan reads the buckets of the asked grams and works no grams out."""
+    index.append(spark.createDataFrame(library(7), SCHEMA), f"{tmp_path}/index")
+    held = index.open_index(spark, f"{tmp_path}/index")
+    q = s.tokenized(spark.createDataFrame([(1, "merge", 3)], "query_id int, query string, limit int"))
+    plan = s.match_exact(q, None, postings=held)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "gram#" in line and "bucket#" in line)
+    assert "(bucket#" in scan.split("PartitionFilters:")[1] and "EqualTo(gram," in scan.split("PushedFilters:")[1]
+    assert "Generate explode" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_scope_reads_its_partition(spark, tmp_path):
+    spark.createDataFrame(library(8), SCHEMA).write.partitionBy("source_id", "docs_locale").parquet(f"{tmp_path}/records")
+    scope = spark.createDataFrame([(1, "go-1")], "query_id int, source_id string")
+    seen = s.in_scope(spark.read.parquet(f"{tmp_path}/records"), scope)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "go-1" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert {x.source_id for x in seen.collect()} == {"go-1"} and all("source_id=go-1" in f for f in seen.inputFiles() if "source_id=go-1" in f)
+
+
+def test_candidates_come_from_the_rarest_part(spark):
+    """Every record has the common words; candidates are as many as the rare word's records."""
+    records = [(f"common words here {'quixotic' if i % 100 == 0 else f'filler{i}'}", f"https://x.example/{i}", None, "go", "en", "go-0", "N", "official", "reference", None, 0, i) for i in range(1000)]
+    rows = s.prepared(spark.createDataFrame(records, SCHEMA))
+    q = s.tokenized(spark.createDataFrame([(1, "cmomon words quixotik", 3), (2, "common wrods", 3)], "query_id int, query string, limit int"))
+    close = s.cut(s.close_words(q.select(F.explode("tokens").alias("token")), s.Scanned(rows).vocabulary()))
+    for plan in ("broadcast", "trigrams"):
+        made = {x.query_id: x["count"] for x in s.fuzzy_candidates(q, rows, close, plan).groupBy("query_id").count().collect()}
+        found = {x.query_id: x["count"] for x in s.match_fuzzy(q, rows, plan).groupBy("query_id").count().collect()}
+        assert made == {1: 10, 2: 1000} and found == {1: 10, 2: 1000}
+
+
+def test_searches_leave_only_results(spark):
+    """The shared folder is as before, but for the results; also after a failure."""
+    from shelfspark.shared import settled_all, shared_folder
+    from shelfspark.sources.versions import listed
+
+    before = set(listed(spark, shared_folder(spark)))
+    asked = spark.createDataFrame([(1, "srot map", 3)], "query_id int, query string, limit int")
+    s.search(asked, spark.createDataFrame(library(9), SCHEMA))
+    after = set(listed(spark, shared_folder(spark)))
+    assert before <= after and len(after - before) == 2
+    with pytest.raises(ZeroDivisionError):
+        settled_all(spark, lambda: (s.cut(asked), 1 / 0))
+    assert set(listed(spark, shared_folder(spark))) == after
