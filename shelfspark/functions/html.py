@@ -90,35 +90,44 @@ def elements(body: str | None, *tags: str) -> list[dict]:
     return reader.found
 
 
-def links(body: str | None) -> list[dict]:
+def _of(found: list[dict], *tags: str) -> list[dict]:
+    """The elements of some tags, as if only these had been asked for."""
+    return [n for n in found if n["tag"] in tags]
+
+
+def links_of(found: list[dict]) -> list[dict]:
     """Every link with text."""
-    out = [(n["attrs"]["href"], squeeze("".join(n["text"]))) for n in elements(body, "a") if "href" in n["attrs"]]
+    out = [(n["attrs"]["href"], squeeze("".join(n["text"]))) for n in _of(found, "a") if "href" in n["attrs"]]
     return [{"pos": i, "href": h, "text": t} for i, (h, t) in enumerate(x for x in out if x[1])]
 
 
-def headings(body: str | None) -> list[dict]:
-    """h1 to h6 with an id."""
-    return [
-        {"pos": i, "level": _LEVELS[n["tag"]], "id": n["attrs"]["id"], "text": squeeze("".join(n["text"]))} for i,
-        n in enumerate(elements(body, *_LEVELS)) if n["attrs"].get("id")
-    ]
+def headings_of(found: list[dict]) -> list[dict]:
+    """h1 to h6 with an id; section is the latest level-1 text up to it."""
+    section, out = None, []
+    for i, n in enumerate(_of(found, *_LEVELS)):
+        if n["attrs"].get("id"):
+            text = squeeze("".join(n["text"]))
+            section = text if n["tag"] == "h1" else section
+            out.append({"pos": i, "level": _LEVELS[n["tag"]], "id": n["attrs"]["id"], "text": text, "section": section})
+    return out
 
 
-def clauses(body: str | None, tags: tuple[str, ...]) -> list[dict]:
+def clauses_of(found: list[dict], tags: tuple[str, ...]) -> list[dict]:
     """Elements of the tags that have an id and a heading as a direct child."""
-    found, out = elements(body, *tags, *_LEVELS), {}
-    for n in found:
+    own, out = _of(found, *tags, *_LEVELS), {}
+    place = {id(n): i for i, n in enumerate(own)}
+    for n in own:
         if n["tag"] in _LEVELS and n["parents"] and (p := n["parents"][-1])["tag"] in tags and p["attrs"].get("id"):
-            out.setdefault(p["pos"], {"pos": p["pos"], "id": p["attrs"]["id"], "text": squeeze("".join(n["text"]))})
-    return [out[k] for k in sorted(out)]
+            at = place[id(p)]
+            out.setdefault(at, {"pos": at, "id": p["attrs"]["id"], "text": squeeze("".join(n["text"]))})
+    return [out[k] for k in sorted(out) if out[k]["text"]]
 
 
-def table_rows(body: str | None, min_cells: int) -> list[dict]:
+def table_rows_of(found: list[dict], min_cells: int) -> list[dict]:
     """Rows with so many data cells or more: of each its text, first link and the texts of its spans."""
     rows: dict[int, list[dict]] = {}
-    found = elements(body, "tr", "td", "a", "span")
     cell_of: dict[int, dict] = {}
-    for n in found:
+    for n in _of(found, "tr", "td", "a", "span"):
         near = next((p for p in reversed(n["parents"]) if p["tag"] in ("td", "tr")), None)
         if n["tag"] == "td" and near and near["tag"] == "tr":
             cell_of[n["pos"]] = cell = {"node": n, "href": None, "spans": []}
@@ -133,32 +142,49 @@ def table_rows(body: str | None, min_cells: int) -> list[dict]:
     return [{"pos": i, "cells": c} for i, c in enumerate(x for x in kept if len(x) >= min_cells)]
 
 
-def subtree_links(body: str | None, marker: str) -> list[dict]:
+def subtree_links_of(found: list[dict], marker: str) -> list[dict]:
     """Links in the nearest list item around the first link to ``marker``."""
-    found = [n for n in elements(body, "a", "li") if n["tag"] == "a" and "href" in n["attrs"]]
-    top = next((next((p for p in reversed(n["parents"]) if p["tag"] == "li"), None) for n in found if n["attrs"]["href"] == marker), None)
-    inside = [n for n in found if top is not None and any(p is top for p in n["parents"])]
+    own = [n for n in _of(found, "a") if "href" in n["attrs"]]
+    top = next((next((p for p in reversed(n["parents"]) if p["tag"] == "li"), None) for n in own if n["attrs"]["href"] == marker), None)
+    inside = [n for n in own if top is not None and any(p is top for p in n["parents"])]
     out = [(n["attrs"]["href"], squeeze("".join(n["text"]))) for n in inside]
     return [{"pos": i, "href": h, "text": t} for i, (h, t) in enumerate(x for x in out if x[1])]
 
 
-def toc_parts(body: str | None, list_class: str, part_class: str) -> list[dict]:
+def toc_parts_of(found: list[dict], list_class: str, part_class: str) -> list[dict]:
     """Chapter links under lists of a class, with the title of the latest item of the part class."""
     part, out = None, []
-    for n in elements(body, "a", "li"):
+    for n in _of(found, "a", "li"):
         classes = n["attrs"].get("class", "").split()
         if n["tag"] == "li" and part_class in classes:
             part = squeeze("".join(n["text"]))
         elif n["tag"] == "a" and "href" in n["attrs"] and any(list_class in (p["attrs"].get("class") or "").split() for p in n["parents"]):
-            out.append(
-                {
-                    "pos": len(out), "href": n["attrs"]["href"], "text": re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", squeeze("".join(n["text"]))),
-                    "part": part
-                }
-            )
+            text = re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", squeeze("".join(n["text"])))
+            out.append({"pos": len(out), "href": n["attrs"]["href"], "text": text, "part": part})
     return out
 
 
+#: Of each job the tags that it looks at, of its parameters, and what it makes of their elements.
+JOBS = {
+    "links": (lambda: ("a",), links_of),
+    "headings": (lambda: tuple(_LEVELS), headings_of),
+    "clauses": (lambda tags: (*tags, *_LEVELS), clauses_of),
+    "table_rows": (lambda min_cells: ("tr", "td", "a", "span"), table_rows_of),
+    "subtree_links": (lambda marker: ("a", "li"), subtree_links_of),
+    "toc_parts": (lambda list_class, part_class: ("a", "li"), toc_parts_of),
+}
+
+
+def run(body: str | None, jobs: dict[str, tuple[str, dict]]) -> dict[str, list[dict]]:
+    """The rows of several jobs (name: kind and parameters), from one pass over the body."""
+    found = elements(body, *{tag for kind, options in jobs.values() for tag in JOBS[kind][0](**options)})
+    return {name: JOBS[kind][1](found, **options) for name, (kind, options) in jobs.items()}
+
+
+def one(body: str | None, kind: str, **options) -> list[dict]:
+    return run(body, {kind: (kind, options)})[kind]
+
+
 def plain(body: str | None) -> str | None:
     if body is None:
         return None

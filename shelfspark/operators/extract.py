@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
+from pyspark.sql.types import StructType
 
 from ..functions import html as h
 from ..functions import outline
@@ -36,11 +37,16 @@ STAGE_HEADING = r"(?i)^###\s+Stage\s+([0-9.]+)"
 DEFINITION = r"^\s*\[([^\]]+)\]:\s*(\S+)"
 
 
+def _columns(schema: str) -> list[str]:
+    """The columns of a schema text, each with its type."""
+    return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields]
+
+
 def _mapped(df: DataFrame, run: Callable[[str | None], list[dict]], schema: str, columns: Iterable[str] = ("doc_id", "url")) -> DataFrame:
     """One row for each item that ``run`` finds in a body, with the document's columns. Rows leave for some documents at a
     time, so memory holds one batch of bodies and the rows of these."""
     keep = [c for c in columns if c in df.columns]
-    fields = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+    fields = [c.split(" ")[0] for c in _columns(schema)]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -53,18 +59,53 @@ def _mapped(df: DataFrame, run: Callable[[str | None], list[dict]], schema: str,
                     for f in fields:
                         out[f] += [x.get(f) for x in found]
                 if out[fields[0]]:
-                    yield pd.DataFrame(out)
+                    yield pd.DataFrame(out, dtype=object)  # numbers may be missing
 
     held = df.select(*keep, "body")
     return held.mapInPandas(batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1]), schema]))
 
 
+#: Columns of the jobs that read HTML.
+COLUMNS = {
+    "links": _LINK, "subtree_links": _LINK, "toc_parts": _LINK + ", part string",
+    "headings": "pos int, level int, id string, text string, section string", "clauses": "pos int, id string, text string",
+    "table_rows": "pos int, cells array<struct<text:string,href:string,spans:array<string>>>",
+}
+
+
+def _job(df: DataFrame, kind: str, **options) -> DataFrame:
+    return _mapped(df, lambda body: h.one(body, kind, **options), COLUMNS[kind])
+
+
+def _anchored(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
+
+
+def extract_all(df: DataFrame, jobs: dict[str, tuple[str, dict]]) -> DataFrame:
+    """The rows of several HTML jobs (name: kind and parameters), each body read once: doc_id, url, job, and the columns of all
+    kinds. ``job_rows`` gives those of one, as the job alone would."""
+    every = dict.fromkeys(c for kind, _ in jobs.values() for c in _columns(COLUMNS[kind]))
+
+    def run(body: str | None) -> list[dict]:
+        return [{"job": name, **row} for name, rows in h.run(body, jobs).items() for row in rows]
+
+    return _mapped(df, run, "job string, " + ", ".join(every))
+
+
+def job_rows(rows: DataFrame, name: str, kind: str) -> DataFrame:
+    """The rows of one job of ``extract_all``, as its own function returns them."""
+    fields = [c.split(" ")[0] for c in _columns(COLUMNS[kind])]
+    keep = [c for c in ("doc_id", "url") if c in rows.columns]
+    out = rows.where(F.col("job") == name).select(*keep, *fields)
+    return _anchored(out) if kind in ("headings", "clauses") else out
+
+
 # Links -----------------------------------------------------------------------------------------------------------
 
 
 def extract_html_links(df: DataFrame) -> DataFrame:
     """(doc_id, url, pos, href, text) of every link with text."""
-    return _mapped(df, h.links, _LINK)
+    return _job(df, "links")
 
 
 def first_per_url(links: DataFrame, keys: Iterable[str] = ("doc_id",), prefer_last: bool = False) -> DataFrame:
@@ -118,40 +159,28 @@ def discover_script(df: DataFrame, name: str, scope: str | None = None) -> DataF
 
 
 def subtree_links(df: DataFrame, marker: str) -> DataFrame:
-    return _mapped(df, lambda body: h.subtree_links(body, marker), _LINK)
+    return _job(df, "subtree_links", marker=marker)
 
 
 def toc_parts(df: DataFrame, list_class: str, part_class: str) -> DataFrame:
-    return _mapped(df, lambda body: h.toc_parts(body, list_class, part_class), _LINK + ", part string")
+    return _job(df, "toc_parts", list_class=list_class, part_class=part_class)
 
 
 # Headings, clauses, tables ---------------------------------------------------------------------------------------
 
 
-def _headings_with_section(body: str | None) -> list[dict]:
-    section, out = None, []
-    for x in h.headings(body):
-        section = x["text"] if x["level"] == 1 else section
-        out.append({**x, "section": section})
-    return out
-
-
 def extract_html_headings(df: DataFrame) -> DataFrame:
     """(doc_id, url, pos, level, id, text, section, link): headings with an id; section is the latest level-1 text up to it."""
-    rows = _mapped(df, _headings_with_section, "pos int, level int, id string, text string, section string")
-    return rows.withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
+    return _anchored(_job(df, "headings"))
 
 
 def extract_clauses(df: DataFrame, tags: tuple[str, ...] = ("emu-intro", "emu-clause", "emu-annex")) -> DataFrame:
-    rows = _mapped(df, lambda body: h.clauses(body, tags), "pos int, id string, text string").where("text <> ''")
-    return rows.withColumn("link", F.concat("url", F.lit("#"), fragment_encoded(F.col("id"))))
+    return _anchored(_job(df, "clauses", tags=tags))
 
 
 def extract_table_rows(df: DataFrame, min_cells: int = 8) -> DataFrame:
     """(doc_id, url, pos, cells) of table rows with so many data cells."""
-    return _mapped(
-        df, lambda body: h.table_rows(body, min_cells), "pos int, cells array<struct<text:string,href:string,spans:array<string>>>"
-    )
+    return _job(df, "table_rows", min_cells=min_cells)
 
 
 def paper_rows(rows: DataFrame, identifier: str = PAPER_IDENTIFIER) -> DataFrame:

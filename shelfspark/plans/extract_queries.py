@@ -247,6 +247,19 @@ HEADINGS = f"""WITH {_ITEMS} SELECT page_id AS doc_id, 2 AS level, 'n' || i AS i
   'top', h1, h1, url || '#top' FROM pg WHERE contains(html, '<h1>')"""
 
 
+def several(spark, d):
+    """Headings and clauses of pages, from one pass over each."""
+    jobs = {"h": ("headings", {}), "c": ("clauses", {"tags": ("emu-clause",)}), "a": ("links", {})}
+    rows = x.extract_all(_page_html(spark, d), jobs)
+    headings, sections = x.job_rows(rows, "h", "headings"), x.job_rows(rows, "c", "clauses")
+    columns = ["doc_id", "id", "text", "link"]
+    return headings.select(F.lit("h").alias("job"), *columns).unionByName(sections.select(F.lit("c").alias("job"), *columns))
+
+
+SEVERAL = f"""WITH {_ITEMS} SELECT 'h' AS job, page_id AS doc_id, 'n' || i AS id, item AS text, url || '#n' || i AS link FROM items UNION ALL SELECT 'h', page_id, 'top', h1,
+  url || '#top' FROM pg WHERE contains(html, '<h1>') UNION ALL SELECT 'c', page_id, 'c' || i, 'Clause ' || item, url || '#c' || i FROM items"""
+
+
 def clauses(spark, d):
     return x.extract_clauses(_page_html(spark, d)).select("doc_id", "id", "text")
 
@@ -675,6 +688,7 @@ QUERIES = {
     "plain_texts": (plain_texts, PLAIN),
     "extract_sitemap": (sitemap, SITEMAP),
     "extract_rss": (feed, FEED),
+    "extract_all": (several, SEVERAL),
     "extract_html_headings": (html_headings, HEADINGS),
     "extract_clauses": (clauses, f"WITH {_ITEMS} SELECT page_id AS doc_id, 'c' || i AS id, 'Clause ' || item AS text FROM items"),
     "extract_paper_tables": (papers, PAPERS),

@@ -276,3 +276,18 @@ def test_unreadable_outlines(spark):
     got = x.flatten_toc(df, "items", "name", "href", form="yaml").orderBy("pos").collect()
     assert [(r.doc_id, r.title, r.path) for r in got] == [(1, "F #1 guide", "a"), (1, "B", "b"), (1, "C d", "c")]
     assert [(r.doc_id, r.reason) for r in x.unreadable_toc(df, "yaml").collect()] == [(2, "line 1: values that start with & are not read")]
+
+
+def test_one_pass_equals_single_jobs(spark):
+    body = """<h1 id=t>Top</h1><ul class=toc><li class=part>Part<li><a href=/m>1.2 M</a><ul><li><a href=/n>N</a></ul></ul>
+    <emu-clause id=c1><h2 id=x>One</h2><table><tr><td><a href=/p>P</a><td>b<span>s</span></table></emu-clause><emu-annex id=c2><h3></h3></emu-annex><script><a href=/no>no</a></script>"""
+    df = spark.createDataFrame([(1, "https://u/", body), (2, "https://v/", None)], "doc_id int, url string, body string")
+    jobs = {
+        "a": ("links", {}), "b": ("headings", {}), "c": ("clauses", {"tags": ("emu-clause", "emu-annex")}), "d": ("table_rows", {"min_cells": 2}),
+        "e": ("subtree_links", {"marker": "/m"}), "f": ("toc_parts", {"list_class": "toc", "part_class": "part"}),
+    }
+    alone = {"a": x.extract_html_links(df), "b": x.extract_html_headings(df), "c": x.extract_clauses(df, ("emu-clause", "emu-annex")), "d": x.extract_table_rows(df, 2), "e": x.subtree_links(df, "/m"), "f": x.toc_parts(df, "toc", "part")}
+    rows = x.extract_all(df, jobs)
+    for name, (kind, _) in jobs.items():
+        own = x.job_rows(rows, name, kind)
+        assert own.columns == alone[name].columns and [*map(str, own.collect())] == [*map(str, alone[name].collect())] != [], kind

@@ -84,11 +84,11 @@ def test_doc_urls(spark):
 
 def test_html():
     body = "<ul><li><a href=/a>A<b>b</b></a><li><a href='/c?x&amp;y'> C &amp;\n d </a><li><a href=/e></a></ul><script>'<a href=q>q</a>'</script><table><tr><td>1<td><a href=z>2</a><tr><td>3</table>"
-    assert h.links(body) == [{"pos": 0, "href": "/a", "text": "Ab"}, {"pos": 1, "href": "/c?x&y", "text": "C & d"}, {"pos": 2, "href": "z", "text": "2"}]
-    assert [[c["text"] for c in r["cells"]] for r in h.table_rows(body, 1)] == [["1", "2"], ["3"]] and h.table_rows(body, 2)[0]["cells"][1]["href"] == "z"
-    assert h.plain("a --- <b>b</b><style>p{}</style>&copy;") == "a — b©" and h.links(None) == [] and h.plain(None) is None
-    assert h.headings("<h1 id=a>A<br>b</h1><h2>no</h2><h3 id=c>C</h3>") == [{"pos": 0, "level": 1, "id": "a", "text": "A b"}, {"pos": 2, "level": 3, "id": "c", "text": "C"}]
-    assert [x["id"] for x in h.clauses("<emu-clause id=x><h1>X</h1><emu-clause id=y><p><h1>no</h1></p><emu-annex id=z><h2>Z</h2></emu-annex></emu-clause></emu-clause>", ("emu-clause", "emu-annex"))] == ["x", "z"]
+    assert h.one(body, "links") == [{"pos": 0, "href": "/a", "text": "Ab"}, {"pos": 1, "href": "/c?x&y", "text": "C & d"}, {"pos": 2, "href": "z", "text": "2"}]
+    assert [[c["text"] for c in r["cells"]] for r in h.one(body, "table_rows", min_cells=1)] == [["1", "2"], ["3"]] and h.one(body, "table_rows", min_cells=2)[0]["cells"][1]["href"] == "z"
+    assert h.plain("a --- <b>b</b><style>p{}</style>&copy;") == "a — b©" and h.one(None, "links") == [] and h.plain(None) is None
+    assert h.one("<h1 id=a>A<br>b</h1><h2>no</h2><h3 id=c>C</h3>", "headings") == [{"pos": 0, "level": 1, "id": "a", "text": "A b", "section": "A b"}, {"pos": 2, "level": 3, "id": "c", "text": "C", "section": "A b"}]
+    assert [x["id"] for x in h.one("<emu-clause id=x><h1>X</h1><emu-clause id=y><p><h1>no</h1></p><emu-annex id=z><h2>Z</h2></emu-annex></emu-clause></emu-clause>", "clauses", tags=("emu-clause", "emu-annex"))] == ["x", "z"]
 
 
 # Query strings ---------------------------------------------------------------------------------------------------
