@@ -169,6 +169,27 @@ def _bundle_manifest(packed):
     )
 
 
+def pack_in_parts(spark, d):
+    """Records of every page in parts of 50, read back from the parts' JSON, with what a validation finds."""
+    records = b.page_records(spark, d).where("url like 'https://%'")
+    jobs = records.select("source_id", "docs_locale", F.lit("https://").alias("url_prefix")).distinct()
+    parts = cut(bun.pack_parts(records, jobs, 50))
+    faults = bun.validate_parts(parts, parts.groupBy("source_id", "docs_locale").agg(F.sum("record_count").alias("record_count"), F.min("output_sha256").alias("output_sha256")))
+    read = parts.select("source_id", "docs_locale", "url_prefix", "first", "part", "parts", F.from_json("body", bun.BUNDLE)["records"].alias("records"))
+    rows = bun.explode_records(read).select("source_id", "docs_locale", "pos", F.concat("url_prefix", "url_suffix").alias("url"), "title")
+    numbers = parts.select("source_id", "docs_locale", F.col("part") * 50, "parts", F.lit("part"))
+    return rows.withColumn("kind", F.lit("record")).unionByName(
+        numbers.toDF("source_id", "docs_locale", "pos", "url", "kind").select("source_id", "docs_locale", "pos", F.col("url").cast("string").alias("url"), F.lit(None).cast("string").alias("title"), "kind")
+    ).join(faults.select("source_id", "docs_locale"), ["source_id", "docs_locale"], "left_anti")
+
+
+IN_PARTS = (
+    f"WITH {b.PAGE_RECORDS}, r AS (SELECT source_id, docs_locale, row_number() OVER (PARTITION BY source_id, docs_locale ORDER BY pos) - 1 AS pos, url, title FROM "
+    f"records WHERE starts_with(url, 'https://')) SELECT *, 'record' AS kind FROM r UNION ALL SELECT source_id, docs_locale, pos, (count(*) OVER (PARTITION BY "
+    f"source_id, docs_locale))::VARCHAR, NULL, 'part' FROM r WHERE pos % 50 = 0"
+)
+
+
 def publish(spark, d):
     """Bundles and their manifest published after a build of half of the records, read back, validated and expanded."""
     records = b.page_records(spark, d).where("url like 'https://%'")
@@ -675,6 +696,7 @@ QUERIES = {
     ),
     "projection_equivalence": (equivalence, EQUIVALENCE),
     "header_diff": (headers, HEADERS),
+    "pack_in_parts": (pack_in_parts, IN_PARTS),
     "publish_and_read_back": (publish, PUBLISHED),
     "combine_records": (combined, COMBINED),
     "select_jobs": (

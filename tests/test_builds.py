@@ -291,3 +291,28 @@ def test_one_pass_equals_single_jobs(spark):
     for name, (kind, _) in jobs.items():
         own = x.job_rows(rows, name, kind)
         assert own.columns == alone[name].columns and [*map(str, own.collect())] == [*map(str, alone[name].collect())] != [], kind
+
+
+def test_bundles_in_parts(spark):
+    """Parts of bounded rows, in order; one part is the bundle of old; each fault is found."""
+    rows = [("en", src, f"T{i}", f"https://x/{i}", "S" if i % 2 else None, None, 7 * i % 100_003) for src, n in (("a", 95), ("b", 10), ("c", 1)) for i in range(n)]
+    records = spark.createDataFrame(rows, "docs_locale string, source_id string, title string, url string, section string, proposal_status string, pos long").repartition(5)
+    jobs = spark.createDataFrame([(x, "en", "https://x/") for x in "abc"], "source_id string, docs_locale string, url_prefix string")
+    parts = bun.cut(bun.pack_parts(records, jobs, 10))
+    got = {(r.source_id, r.part): r for r in parts.collect()}
+    assert [got["a", i].record_count for i in range(10)] == [10] * 9 + [5] and got["a", 3]["first"] == 30 and got["a", 3].parts == 10
+    whole = {r.source_id: r for r in bun.pack_bundles(records, jobs).collect()}
+    for x in "bc":
+        assert (got[x, 0].body, got[x, 0].path, got[x, 0].output_sha256) == (whole[x].body, whole[x].path, whole[x].output_sha256)
+    read = parts.select("source_id", "docs_locale", "url_prefix", "first", F.from_json("body", bun.BUNDLE)["records"].alias("records"))
+    back = bun.explode_records(read).where("source_id = 'a'").orderBy("pos").collect()
+    assert [(r.pos, r.title) for r in back] == [(i, t) for i, (_, t) in enumerate(sorted((r[6], r[2]) for r in rows if r[1] == "a"))]
+    manifest = parts.groupBy("source_id", "docs_locale").agg(F.sum("record_count").alias("record_count"), F.min("output_sha256").alias("output_sha256"))
+    assert bun.validate_parts(parts, manifest).count() == 0
+    faulty = {
+        "hash": (parts.withColumn("body", F.when(F.col("part") == 2, F.replace("body", F.lit('"T'), F.lit('"U'))).otherwise(F.col("body"))), manifest),
+        "order": (parts.where("part <> 2"), manifest), "count": (parts.where("part <> 9"), manifest), "unknown": (parts, manifest.where("source_id <> 'a'")),
+        "missing": (parts.where("source_id <> 'a'"), manifest), "record": (parts.withColumn("body", F.when(F.col("part") == 1, F.lit("{}")).otherwise(F.col("body"))), manifest),
+    }
+    for reason, (some, of) in faulty.items():
+        assert [(r.source_id, r.reason) for r in bun.validate_parts(some, of).collect()] == [("a", reason)], reason
