@@ -198,11 +198,25 @@ def golay_keys(classes: DataFrame, probing: bool) -> DataFrame:
     return classes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def _across(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of rows of (key, root_a, ...) and (key, root_b, ...) that share a key and differ in root. Roots meet first, so rows
-    of one root, however many, are not paired."""
-    roots = left.select("key", "root_a").distinct().join(right.select("key", "root_b").distinct(), "key").where("root_a <> root_b")
-    return roots.join(left, ["key", "root_a"]).join(right, ["key", "root_b"])
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on (key, part): rows of ``left`` under a key of over ``DEALT`` are dealt to several parts, and the right
+    rows of the key go to each."""
+    parts = cut(left.groupBy("key").agg((1 + F.floor(F.count("*") / DEALT)).cast("int").alias("parts")).where("parts > 1"))
+    of = sized(parts, parts.count())
+    known = lambda df: df.join(of, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return (
+        known(left).withColumn("part", F.pmod(F.xxhash64("root_a"), F.col("parts")).cast("int")).drop("parts"),
+        known(right).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"),
+    )
+
+
+def _across(left: DataFrame, right: DataFrame, near: Column) -> DataFrame:
+    """Pairs of rows of (key, root_a, a) and (key, root_b, b) that share a key, differ in root and are ``near``. Roots meet first,
+    so rows of one root, however many, are not paired; a root of a single row under a key has to be near to meet others."""
+    group = lambda df, c: df.groupBy("key", "root_" + c).agg(F.when(F.count("*") == 1, F.min(c)).alias(c))
+    roots, others = _dealt(cut(group(left, "a")), cut(group(right, "b")))
+    met = roots.join(others, ["key", "part"]).where((F.col("root_a") != F.col("root_b")) & F.coalesce(near, F.lit(True)))
+    return met.select("key", "root_a", "root_b").join(left, ["key", "root_a"]).join(right, ["key", "root_b"]).where(near)
 
 
 def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -227,7 +241,7 @@ def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
         ) for m,
         c in zip(members, "ab")
     ]
-    return first.unionByName(_across(*map(cut, rooted)).where(near).select("a", "b"))
+    return first.unionByName(_across(*map(cut, rooted), near).select("a", "b"))
 
 
 # Components ------------------------------------------------------------------------------------------------------
@@ -380,14 +394,10 @@ def _apart(members: DataFrame, similarity: float) -> DataFrame:
         F.max("n_a").alias("n_a"), *(F.when(one, F.min(m + "_a")).alias(m + "_a") for m in MAPS)
     )
     groups = cut(groups)
-    parts = groups.groupBy("key").agg((1 + F.floor(F.count("*") / DEALT)).cast("int").alias("parts")).where("parts > 1")
-    parts = cut(parts)
-    dealt = groups.join(sized(parts, parts.count()), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = dealt.withColumn("part", F.pmod(F.xxhash64("root_a"), F.col("parts")).cast("int"))
-    right = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = _dealt(groups.drop("members"), groups.drop("members"))
     swapped = lambda df: df.withColumnsRenamed({c: c[:-1] + "b" for c in df.columns if c.endswith("_a")} | {"a": "b"})
     may = _alike(similarity, "low", "high") & _places_fit(similarity, "low", "high") & _bitmaps_fit(similarity)
-    met = left.drop("members", "parts").join(swapped(right.drop("members", "parts")), ["key", "part"]).where((F.col("root_a") < F.col("root_b")) & may)
+    met = left.join(swapped(right), ["key", "part"]).where((F.col("root_a") < F.col("root_b")) & may)
     pairs = met.select("key", "root_a", "root_b").join(own, ["key", "root_a"]).join(swapped(own), ["key", "root_b"])
     return pairs.where(_alike(similarity) & _places_fit(similarity) & _bitmaps_fit(similarity))
 

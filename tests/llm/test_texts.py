@@ -218,15 +218,44 @@ def test_least_determinant_against_all_subsets(spark, tmp_path):
     assert len(lacks) == 24 and min(lacks) > -1e-6 and sum(x < 1e-6 for x in lacks) >= 18 and max(lacks) < 1.5
 
 
-def test_verdicts_against_plain_distances(spark):
-    """Every row's distance from the written estimates, its shrinkage included, by numpy."""
+def test_verdicts_against_plain_distances(spark, tmp_path):
+    """Every row's statistics, and from the concentrated centres on re-weighting, shrinkage, distance and verdict, by numpy."""
     rng = random.Random(12)
     data = [(i, ordinary(rng, rng.randint(55, 300)), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(300)]
+    data += [(700 + i, " ".join(w + "#$%|" * (i % 3) for w in ordinary(rng, 120).split()), "en", "a") for i in range(12)]
     data += [(900, ordinary(rng, 100), "fr", "alone"), (901, "x # " * 10, "fr", "short"), (902, None, "it", None)]
     got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(3)).collect()}
     assert len(got) == len(data) and all((r.distance is None) == r.base_failed for r in got.values())
-    limit = Q.chi_square_quantile(1 - Q.ALPHA, 5)
-    assert all(r.kept == (not r.base_failed and r.distance <= limit) for r in got.values())
+
+    def vector(r):
+        share = lambda a, b: np.arcsin(np.sqrt(a / max(b, 1)))
+        return [np.log(r.n_words), np.log(r.word_chars / r.n_words), np.log1p(1000 * r.n_symbols / r.word_chars), share(r.n_dup_lines, r.n_lines), share(r.n_repeat_words, r.n_words)]
+
+    passed = {i: np.array(vector(r)) for i, r in got.items() if not r.base_failed}
+    groups = {}
+    for i, _, lang, source in data:
+        for g in ((0,), (1, lang), (2, lang, source)) if i in passed else ():
+            groups.setdefault(g, []).append(i)
+    names = list(groups)
+    rows = [(k, *map(float, passed[i])) for k, g in enumerate(names) for i in groups[g]]
+    centres = {names[r.g]: r for r in Q.concentrated(frame_of_statistics(spark, tmp_path, rows), len(names)).collect()}
+    cutoff = Q.chi_square_quantile(0.975, 5)
+    factor, estimates = 0.975 / Q.chi_square(cutoff, 7), {}
+    for g, ids in groups.items():
+        e, x = centres[g], np.array([passed[i] for i in ids])
+        white = np.array([[e[f"w_{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        near = x[(((x - [e[f"m_{i}"] for i in range(5)]) @ white.T) ** 2).sum(1) <= cutoff]
+        mean, cov = near.mean(0), factor * np.cov(near.T, bias=True)
+        if len(g) > 1:
+            above, n = estimates[(0,) if len(g) == 2 else (1, g[1])], len(ids)
+            mean, cov = ((n * own + Q.PRIOR * other) / (n + Q.PRIOR) for own, other in zip((mean, cov), above))
+        estimates[g] = mean, cov
+    limit, spread = Q.chi_square_quantile(1 - Q.ALPHA, 5), np.diag([s**2 for s in Q.SPREAD.values()])
+    for i, _, lang, source in data:
+        if i in passed:
+            mean, cov = estimates[2, lang, source]
+            distance = (passed[i] - mean) @ np.linalg.solve(cov + spread, passed[i] - mean)
+            assert got[i].distance == pytest.approx(distance, rel=1e-6) and got[i].kept == (distance <= limit), i
     assert got[900].kept and got[900].distance < 60 and not got[901].kept and not got[902].kept
 
 
@@ -269,6 +298,10 @@ def test_toxicity(spark):
     assert all(0 <= r.severity <= 2 and r.p_above == sorted(r.p_above, reverse=True) for r in got.values())
     nothing = T.train(docs, graded.limit(0))
     assert {r.severity for r in T.score(docs, nothing).collect()} == {0.0}
+    plain = T.train(docs, graded, penalty=1e3)  # no feature tells
+    shares = [np.mean([g > k for g in (r.grade for r in graded.collect())]) for k in range(len(plain.thresholds))]
+    assert not plain.weights and plain.thresholds and sum(1 / (1 + np.exp(t)) for t in plain.thresholds) == pytest.approx(sum(shares), abs=0.05)
+    assert len({r.severity for r in T.score(docs, plain).collect()}) == 1
     assert T.score(docs.limit(0), model).count() == 0
 
 
