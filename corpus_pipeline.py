@@ -5,7 +5,7 @@ of each group of near duplicates; the sources are mixed to target weights, whole
 epoch repeats; and the texts are encoded with byte-level BPE and decoded again. Stages 1 to 4 return the columns of ``documents``.
 
 ``run`` writes each stage's rows to the shared checkpoint folder and reads them again, as a lost executor must not cost the
-stages before; a stage's rows are removed once the next one's are written. Extra columns pass through the first four stages,
+stages before; what a stage wrote on the way goes with its end, and its rows once the next one's are written. Extra columns pass through the first four stages,
 and empty tables through all.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import byte_bpe, exact_dedup, simhash_dedup, source_mix, toxicity
-from shelfspark.llm.common import columns_free_of, cut, quoted, remove, sized, table, write_once
+from shelfspark.llm.common import columns_free_of, cut, quoted, remove, settled_at, sized, table
 from shelfspark.shared import small_batches
 
 #: Near copies: Jaccard similarity of the sets of runs of so many words.
@@ -104,7 +104,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, path = write_once(stage(spark, docs, sf_dir))
+        docs, path = settled_at(spark, lambda stage=stage, docs=docs: (stage(spark, docs, sf_dir),))[0]
         if before:
             remove(spark, before)
         before = path

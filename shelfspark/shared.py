@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,21 +52,36 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def settled_all(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
-    """What ``make`` returns, each written once; all that was written on the way is deleted, also if it fails."""
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """What is written within is deleted at the end, also after a failure."""
     mine: list[str] = []
     token = _written.set(mine)
     try:
-        try:
-            rows = make()
-        finally:
-            _written.reset(token)
-        return tuple(cut(df) for df in rows)
+        yield
     finally:
+        _written.reset(token)
         for path in mine:
             remove(spark, path)
 
 
+def settled_at(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]]) -> list[tuple[DataFrame, str]]:
+    """What ``make`` returns, each written once, and where; all that was written on the way is deleted, also if it fails."""
+    outer = _written.get()
+    with discarded(spark):
+        rows = make()
+        inner = _written.set(outer)  # the results outlast it
+        try:
+            return [write_once(df) for df in rows]
+        finally:
+            _written.reset(inner)
+
+
+def settled_all(spark: SparkSession, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """As settled_at(), without the places."""
+    return tuple(df for df, _ in settled_at(spark, make))
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """As settled_all(), of one DataFrame."""
     return settled_all(spark, lambda: (make(),))[0]
