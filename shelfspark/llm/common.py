@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..shared import cut, remove, settled, write_once  # noqa: F401
+from ..shared import cut, discarded, remove, settled, settled_at, write_once  # noqa: F401
 
 #: ASCII white space, as a regular-expression class body, and its complement: a word.
 WORD = r"[^\x20\x09-\x0D]+"

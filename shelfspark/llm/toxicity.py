@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import all_but, cut, hash_sample, map_batches, parts_of, quoted, sized, table
+from .common import all_but, cut, discarded, hash_sample, map_batches, parts_of, quoted, sized, table
 
 SAMPLE, STEPS, PENALTY = 6000, 300, 1e-3
 
@@ -164,6 +164,12 @@ def train(
     docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE, together: int = ROUND,
     penalty: float = PENALTY
 ) -> Model:
+    """The model of the labelled rows (id, grade); what the fit writes on the way is deleted."""
+    with discarded(docs.sparkSession):
+        return _trained(docs, graded, id_col, text, sample, together, penalty)
+
+
+def _trained(docs: DataFrame, graded: DataFrame, id_col: str, text: str, sample: int, together: int, penalty: float) -> Model:
     spark = docs.sparkSession
     found = sampled(docs, graded, id_col, text, sample)
     by_row = sorted((r.row, r.grade) for r in found.where("feature = ''").select("row", "grade").toLocalIterator())
