@@ -441,7 +441,7 @@ def similar_sets(
         df, roots.toDF(c, "root_" + c), c, n_roots, most
     ).withColumn("root_" + c, F.coalesce("root_" + c, c))
     size_of = lambda df, c: look_up(
-        df, classes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), *(F.col(m).alias(f"{m}_{c}") for m in MAPS)), c, n_classes, most
+        df, classes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), *(F.col(m).alias(f"{m}_{c}") for m in MAPS)), c, n_classes, most // 8
     )
     apart = _apart(cut(size_of(cut(root_of(members.select("key", "i", F.col("node").alias("a")), "a")), "a")), similarity).select(
         *ordered(F.col("a"), F.col("b")), (F.col("i_a") + F.col("i_b")).alias("places")
