@@ -224,6 +224,7 @@ def links(classes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     near = (a != b) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
     left, right = cut(golay_keys(classes, False).withColumnRenamed("fp", "a")), golay_keys(classes, True).withColumnRenamed("fp", "b")
+    right = right.hint("merge")  # probes are many times the file that their size is guessed from, so they must not be broadcast
     crowded = cut(left.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("least")).where(F.col("n") > CROWD))
     n_crowded = crowded.count()
     if not n_crowded:
