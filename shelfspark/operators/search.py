@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from ..functions.text import DRAFT_LIKE, NOT_CURRENT, normalize_text, tokens_of, words_of
-from ..shared import cut, settled_all
+from ..shared import cut, settled_all, sized
 
 # Weights of the score, and limits.
 BASE, EQUAL, STARTS, CONTAINS = 40.0, 100.0, 75.0, 55.0
@@ -37,6 +37,9 @@ RUNTIME_LIMIT, LIBRARY_LIMIT, SUGGEST_LIMIT, SUGGESTIONS, SUGGEST_CHARS = 60, 50
 
 MOST_BROADCAST, MOST_COMPARED, GRAM = 2_000, 10**10, 3
 
+#: Keys of tokens that are broadcast to the words.
+MOST_KEYS = 500_000
+
 #: Columns that a scope may name, which postings carry.
 SCOPE = ("source_id", "docs_locale")
 
@@ -212,9 +215,12 @@ def close_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     )
     parts = []
     for most in (1, 2):
-        left = t.where(F.col("most") == most).select("token", "most", F.explode(_deletions(F.col("token"), most)).alias("key"))
-        right = v.where(F.length("word") >= (4 if most == 1 else 6)).select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
-        pairs = left.join(right, "key").where(lengths).select("token", "word").distinct()
+        own = cut(t.where(F.col("most") == most))
+        # Only words of a length that some token may reach have their deletions made.
+        reached = sorted({r[0] + d for r in own.select(F.length("token")).distinct().collect() for d in range(-most, most + 1)})
+        left = cut(own.select("token", "most", F.explode(_deletions(F.col("token"), most)).alias("key")))
+        right = v.where(F.length("word").isin(reached)).select("word", F.explode(_deletions(F.col("word"), most)).alias("key"))
+        pairs = right.join(sized(left, left.count(), MOST_KEYS), "key").where(lengths).select("token", "word").distinct()
         parts.append(pairs.withColumn("distance", osa_distance(F.col("token"), F.col("word"), most)))
     return parts[0].unionByName(parts[1]).where("distance is not null")
 
