@@ -50,7 +50,16 @@ def nfkc_changes() -> str:
     marked[0x1161:0x1176] = b"\1" * 21  # vowels and final consonants that Hangul syllables are composed of
     marked[0x11A8:0x11C3] = b"\1" * 27
     edges = [i for i in range(len(marked)) if marked[i] != marked[i - 1]]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b - 1:X}}}" for a, b in zip(edges[::2], edges[1::2])) + "]"
+    return f"[{_halved([(a, b - 1) for a, b in zip(edges[::2], edges[1::2])])}]"
+
+
+def _halved(ranges: list[tuple[int, int]]) -> str:
+    """The inside of a character class of sorted ranges. Each half stands behind its outer bounds, so that a character is held
+    against some ranges of thousands, and an ASCII one against one."""
+    if len(ranges) <= 4:
+        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    middle = len(ranges) // 2
+    return "".join(f"[\\x{{{part[0][0]:X}}}-\\x{{{part[-1][1]:X}}}&&[{_halved(part)}]]" for part in (ranges[:middle], ranges[middle:]))
 
 
 def normalize_text(c: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from ..functions.text import DRAFT_LIKE, NOT_CURRENT, normalize_text, tokens_of, words_of
-from ..shared import cut, settled_all, sized
+from ..shared import cut, settled_all, sized, spread
 
 # Weights of the score, and limits.
 BASE, EQUAL, STARTS, CONTAINS = 40.0, 100.0, 75.0, 55.0
@@ -35,7 +35,7 @@ PER_DISTANCE, OFFICIAL, PROPOSAL, DEAD, DRAFT, LENGTH, MOST_LENGTH = 18.0, 5.0,
 LEAST_EXACT, ROUNDS = 12, 3
 RUNTIME_LIMIT, LIBRARY_LIMIT, SUGGEST_LIMIT, SUGGESTIONS, SUGGEST_CHARS = 60, 50, 12, 8, 3
 
-MOST_BROADCAST, MOST_COMPARED, GRAM = 2_000, 10**10, 3
+MOST_BROADCAST, MOST_COMPARED, GRAM = 2_000, 10**7, 3
 
 #: Keys of tokens that are broadcast to the words.
 MOST_KEYS = 500_000
@@ -51,8 +51,8 @@ def prepared_columns(records: DataFrame) -> DataFrame:
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """The prepared columns, written once."""
-    return cut(prepared_columns(records))
+    """The prepared columns, written once, in as many files as there are cores at least: each later step reads them again."""
+    return cut(prepared_columns(spread(records)))
 
 
 def tokenized(requests: DataFrame, limit: int = RUNTIME_LIMIT) -> DataFrame:
@@ -63,10 +63,9 @@ def tokenized(requests: DataFrame, limit: int = RUNTIME_LIMIT) -> DataFrame:
 
 
 def _grams(c: Column, size: Column | int) -> Column:
-    """Distinct runs of so many characters."""
+    """Distinct runs of so many characters, in one pass over texts of any length."""
     size = F.lit(size) if isinstance(size, int) else size
-    runs = F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
-    return F.when(F.length(c) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(c, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))."))))
 
 
 class Scanned:

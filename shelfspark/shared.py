@@ -101,3 +101,10 @@ def small_batches(spark: SparkSession) -> None:
 def sized(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound."""
     return F.broadcast(df) if rows <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as the application has cores. Inputs of more parts stay as they are, without a shuffle: it is small
+    ones in few row groups that would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
