@@ -422,19 +422,20 @@ def json_path_lists(df: DataFrame, pattern: str = r"^[A-Za-z0-9._/-]+$") -> Data
 # A document is one row, so what its lines say about later lines is found in the array of its lines, without a shuffle.
 
 
-def _marked_lines(df: DataFrame, row: Callable[[Column], Column], **marks: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, pos, line, and of each mark the latest value up to the line, or null) of the lines that ``row`` accepts. A mark
-    gives a line's value, or null."""
-    lines = F.transform(F.split("body", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+def _marked_lines(df: DataFrame, row: Callable[[Column], Column], name: str, mark: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, pos, line, ``name``) of the lines that ``row`` accepts; ``name`` is the latest value of the mark up to the line, or
+    null. A mark gives a line's value, or null. A document is cut into the stretches that its marked lines begin, so each line
+    is looked at once and carries one value, not all of the document's."""
+    lines = F.transform(F.split("body", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), mark(x).alias("value")))
     rows = df.select("doc_id", lines.alias("lines"))
-    at = lambda mark: F.filter(
-        F.transform("lines", lambda x: F.struct(x["pos"].alias("pos"), mark(x["line"]).alias("value"))), lambda x: x["value"].isNotNull()
-    )
-    found = rows.select(
-        "doc_id", *(at(mark).alias(name) for name, mark in marks.items()), F.explode(F.filter("lines", lambda x: row(x["line"]))).alias("x")
-    )
-    latest = [F.try_element_at(F.filter(name, lambda m: m["pos"] <= F.col("x.pos")), F.lit(-1))["value"].alias(name) for name in marks]
-    return found.select("doc_id", "x.pos", "x.line", *latest)
+    marked = F.transform(F.filter("lines", lambda x: x["value"].isNotNull()), lambda x: x["pos"])
+    rows = rows.select("doc_id", "lines", F.concat(F.array(F.lit(0)), marked, F.array(F.size("lines"))).alias("edges"))
+    # Each stretch carries its own lines only.
+    part = lambda k: F.slice("lines", F.get("edges", k) + 1, F.get("edges", k + 1) - F.get("edges", k))
+    parts = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("edges") - 2), part)).alias("part"))
+    parts = parts.select("doc_id", F.get("part", F.lit(0))["value"].alias(name), F.filter("part", lambda x: row(x["line"])).alias("part"))
+    found = parts.select("doc_id", name, F.explode("part").alias("x"))
+    return found.select("doc_id", "x.pos", "x.line", name)
 
 
 def _title_of(pattern: str, group: int = 1) -> Callable[[Column], Column]:
@@ -446,7 +447,7 @@ def markdown_links(df: DataFrame) -> DataFrame:
     section is the latest ``#`` heading."""
     link = r"\[([^\]]+)\]\(([^)\s]+)[^)]*\)"
     item, alone = rf"^(\s*)[-*+]\s+{link}", rf"^(\s*){link}\s*$"
-    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(item)) | F.rlike(x, F.lit(alone)), section=_title_of(r"^#{1,6}\s+(.*?)\s*#*\s*$"))
+    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(item)) | F.rlike(x, F.lit(alone)), "section", _title_of(r"^#{1,6}\s+(.*?)\s*#*\s*$"))
     of = lambda i: F.when(
         F.rlike("line", F.lit(item)), F.regexp_extract("line", item, i)
     ).otherwise(F.regexp_extract("line", alone, i))
@@ -470,7 +471,7 @@ def markdown_inline_links(df: DataFrame, pattern: str = "") -> DataFrame:
 def markdown_anchored_headings(df: DataFrame) -> DataFrame:
     """(doc_id, pos, level, title, anchor, section): ``# <a name=...></a> title`` lines; section is the latest level-1 title."""
     pattern = r"""^(#{1,6})\s*<a\s+(?:name|id)=["']?([^"'>\s]+)["']?\s*>\s*</a>\s*(.*?)\s*#*\s*$"""
-    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(pattern)), section=_title_of(pattern.replace("{1,6}", "{1}(?!#)"), 3))
+    rows = _marked_lines(df, lambda x: F.rlike(x, F.lit(pattern)), "section", _title_of(pattern.replace("{1,6}", "{1}(?!#)"), 3))
     level = F.length(F.regexp_extract("line", pattern, 1))
     return rows.select(
         "doc_id", "pos", level.alias("level"), plain_markdown(F.regexp_extract("line", pattern, 3)).alias("title"),
@@ -504,7 +505,7 @@ def markdown_status_tables(df: DataFrame, default_status: str = "") -> DataFrame
     stage = lambda x: F.when(
         F.rlike(x, F.lit(STAGE_HEADING)), F.concat(F.lit("stage-"), F.regexp_extract(x, STAGE_HEADING, 1))
     )
-    rows = _marked_lines(df.select(F.struct("doc_id", defined.alias("defined")).alias("doc_id"), "body"), table, status=stage)
+    rows = _marked_lines(df.select(F.struct("doc_id", defined.alias("defined")).alias("doc_id"), "body"), table, "status", stage)
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
     rows = rows.select(
         "doc_id.doc_id", "doc_id.defined", "pos", F.coalesce("status", F.lit(default_status)).alias("status"), cells.alias("cells")
