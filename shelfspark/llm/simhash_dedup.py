@@ -16,10 +16,11 @@ contraction over the links between classes; each round is cut, so lost executors
 Where a Jaccard similarity is asked for, fingerprints only propose. Links are then pairs of shingle sets of at least that
 similarity, all of them: two such sets share one of their first shingles in any common order, so that the sets that share
 one are compared. Shingles that a sample of texts shows to be common come last in the order. Two sets alone in a shingle are
-a pair; of more, each is first held against the least one, and then only sets that are still in different components against
-each other: within a shingle, components meet first, by the bounds of their members. Three exact bounds drop pairs where they
-meet: sizes; what can still be shared after the place of the first common shingle; and bitmaps of the sets' hashes, which
-can't differ in more bits than the sets in shingles. A pair whose first shingles already differ too much is dropped next, and
+a pair; of more, each is first held against one of them, and then only sets that are still in different components against
+each other: within a shingle, components meet first, by the bounds of their members. That one is the least or, of more than
+``CROWD``, the set whose own crowded shingles have the most sets: of many near copies the one with the fewest changes, which
+links most of them. Three exact bounds drop pairs where they meet: sizes; what can still be shared after the place of the first
+common shingle; and bitmaps of the sets' hashes, which can't differ in more bits than the sets in shingles. A pair whose first shingles already differ too much is dropped next, and
 only the rest have their whole sets compared. Shingles of many sets are dealt to several tasks.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero, linked like any other. Repeated
@@ -305,10 +306,10 @@ def first_shingles(found: np.ndarray, common: np.ndarray, similarity: float) ->
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """One bit for each shingle of a set; shingles may share bits."""
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[((found >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view("<u8")
+    """A bit for each shingle of a set; it is set if an odd number of them shares it. What two sets have in common changes both
+    bitmaps alike, so that these differ in the bits that an odd number of the other shingles has, however large the sets are."""
+    counts = np.bincount(((found >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text: str, size: int, similarity: float) -> DataFrame:
@@ -366,6 +367,15 @@ def _plausible(pairs: DataFrame, prints: DataFrame, similarity: float, most: int
     return met.where(apart <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-9).select("a", "b")
 
 
+def _centres(members: DataFrame, most: int) -> DataFrame:
+    """(key, centre) of the keys of more than ``CROWD`` rows: of ``members`` (key, node, rows) the one whose such keys have the most rows."""
+    crowd = cut(members.where(F.col("rows") > CROWD).select("key", "node", "rows").distinct())
+    weights = cut(crowd.groupBy("node").agg(F.sum("rows").alias("weight")))
+    return look_up(crowd, weights, "node", weights.count(), most).groupBy("key").agg(F.max(F.struct("weight", "node")).alias("of")).select(
+        "key", F.col("of.node").alias("centre")
+    )
+
+
 def _alike(similarity: float, low: str = "n", high: str = "n") -> Column:
     """Whether sizes may have the similarity: n_a and n_b, or the least and greatest of some."""
     c = F.col
@@ -430,9 +440,13 @@ def similar_sets(
         F.count("*").alias("rows"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum("i").alias("places")
     )
     by_key = cut(by_key.where("a <> b"))
-    crowded = by_key.where("rows > 2").select("key", F.col("a").alias("least"))
+    crowded = by_key.where("rows > 2").select("key", F.col("a").alias("least"), "rows")
     members = cut(keys.join(sized(crowded, crowded.count(), most), "key").distinct())
-    star = members.where("node <> least").select(*ordered(F.col("node"), F.col("least")))
+    centres = cut(_centres(members, most))
+    middle = F.coalesce("centre", "least")
+    star = members.join(sized(centres, centres.count(), most), "key", "left").where(F.col("node") != middle).select(
+        *ordered(F.col("node"), middle)
+    )
     near = verified(_plausible(golay.unionByName(equal).unionByName(star).distinct(), prints, similarity, most))
 
     # Pairs that are not in one component yet.

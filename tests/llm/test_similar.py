@@ -71,3 +71,38 @@ def test_stage_drops_all_similar(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/docs")
     kept = P.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_changed_copies_of_one_text_are_not_all_proposed(spark, monkeypatch):
+    """Of many changed copies of one text, most meet the text itself, and few each other."""
+    rng, proposed, plausible = random.Random(3), [], S._plausible
+
+    def counted(pairs, *rest):
+        pairs = S.cut(pairs)
+        proposed.append(pairs.count())
+        return plausible(pairs, *rest)
+
+    monkeypatch.setattr(S, "_plausible", counted)
+    monkeypatch.setattr(S, "SAMPLED", 1)
+    base, texts = [f"w{i}" for i in range(150)], [[f"w{i}" for i in range(150)]]
+    for i in range(300):
+        t = list(base)
+        for at in rng.sample(range(5, 145), i % 5 + 1):
+            t[at] = f"x{rng.randrange(10**9)}"
+        texts.append(t)
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    want, _ = least_ids(rows)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), size=5, similarity=0.8).collect()}
+    assert got == {r[0]: w for r, w in zip(rows, want)}
+    assert sum(proposed) < 5 * len(rows), proposed
+
+
+def test_bitmaps_of_large_sets_differ():
+    """Bitmaps differ in no more bits than the sets in shingles, and in most of these however large the sets are."""
+    rng = random.Random(4)
+    both = [rng.getrandbits(64) for _ in range(3000)]
+    for n in (0, 1, 40, 100):
+        a, b = ([*both, *(rng.getrandbits(64) for _ in range(n))] for _ in range(2))
+        maps = [S.bitmap(S.np.unique(S.np.array(x, S.np.uint64))) for x in (a, b)]
+        differ = sum(int(x).bit_count() for x in maps[0] ^ maps[1])
+        assert 1.3 * n <= differ <= 2 * n
