@@ -268,3 +268,18 @@ def test_searches_leave_only_results(spark):
     with pytest.raises(ZeroDivisionError):
         settled_all(spark, lambda: (s.cut(asked), 1 / 0))
     assert set(listed(spark, shared_folder(spark))) == after
+
+
+def test_few_queries_make_no_grams_of_many_records(spark):
+    """However many the records are, a few queries are looked for in them without postings; the rows are those of the trigrams."""
+    texts = ["straße im wald", "wald", "im wald straße wald", "", None, "wa", "ld wald", "日本語の文書", "語の", "a b c"]
+    records = spark.createDataFrame([(i, texts[i % 10]) for i in range(60_000)], "pos long, t string").selectExpr("pos", "t", "t as hay", "pos as _row")
+    asked = [(1, ["wald"]), (2, ["wald", "straße"]), (3, ["語の"]), (4, ["b c"]), (5, ["ldwald"]), (6, ["a"]), (None, ["wald", "im"])]
+    asked += [(i, [f"x{i}"]) for i in range(7, 400)]
+    needles = spark.createDataFrame(asked, "query_id long, tokens array<string>")
+    found = s.contained(needles, records, "query_id", "tokens")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "hashpartitioning" not in plan
+    want = sorted((q or 0, i) for i in range(60_000) for q, parts in asked if texts[i % 10] is not None and all(p in texts[i % 10] for p in parts))
+    assert sorted((r.query_id or 0, r.pos) for r in found.select("query_id", "pos").collect()) == want
+    assert s.contained(needles.where("false"), records, "query_id", "tokens").count() == 0
