@@ -283,3 +283,16 @@ def test_few_queries_make_no_grams_of_many_records(spark):
     want = sorted((q or 0, i) for i in range(60_000) for q, parts in asked if texts[i % 10] is not None and all(p in texts[i % 10] for p in parts))
     assert sorted((r.query_id or 0, r.pos) for r in found.select("query_id", "pos").collect()) == want
     assert s.contained(needles.where("false"), records, "query_id", "tokens").count() == 0
+
+
+def test_few_queries_with_typos_make_no_grams_of_many_records(spark, monkeypatch):
+    def grams(*_):
+        raise AssertionError("grams")
+
+    monkeypatch.setattr(s.Scanned, "grams", grams)
+    text = F.concat(F.lit("ordered mapping "), (F.col("id") % 300).cast("string"))
+    rows = s.cut(spark.range(60_000).select(F.col("id").alias("_row"), text.alias("t"), F.lit("").alias("s"), text.alias("hay")))
+    asked = [(i, ["orderde", str(i)]) for i in range(100, 300)]
+    found = s.match_fuzzy(spark.createDataFrame(asked, "query_id long, tokens array<string>"), rows)
+    got = found.select("query_id", "_row", F.col("distances")["orderde"].alias("d")).collect()
+    assert sorted((r.query_id, r._row, r.d) for r in got) == sorted((i % 300, i, 1) for i in range(60_000) if i % 300 >= 100)
