@@ -296,3 +296,50 @@ def test_few_queries_with_typos_make_no_grams_of_many_records(spark, monkeypatch
     found = s.match_fuzzy(spark.createDataFrame(asked, "query_id long, tokens array<string>"), rows)
     got = found.select("query_id", "_row", F.col("distances")["orderde"].alias("d")).collect()
     assert sorted((r.query_id, r._row, r.d) for r in got) == sorted((i % 300, i, 1) for i in range(60_000) if i % 300 >= 100)
+
+
+def test_few_queries_with_typos_need_no_postings(spark, monkeypatch):
+    """One pass over the texts finds all tokens and the words close to them; no words of records, no deletions of words are made."""
+    def made(*_):
+        raise AssertionError("made")
+
+    monkeypatch.setattr(s.Scanned, "words", made)
+    monkeypatch.setattr(s, "_deletions", made)
+    records = library(10, 60)
+    rows = s.cut(s.prepared_columns(spark.createDataFrame(records, SCHEMA)))
+    asked = [(1, ["srot"]), (2, ["vetcor", "map"]), (3, ["partitoin"]), (4, ["hsah", "sort"]), (5, ["sort"])]
+    got = s.match_fuzzy(spark.createDataFrame(asked, "query_id long, tokens array<string>"), rows).select("query_id", "pos", "distances").collect()
+    want = []
+    for q, tokens in asked:
+        for rec in records:
+            found = {t: distance(t, f"{normal(rec[0])} {normal(rec[2])}".strip()) for t in tokens}
+            if None not in found.values():
+                want.append((q, rec[11], found))
+    by = lambda x: x[:2]
+    assert sorted(((x.query_id, x.pos, x.distances) for x in got), key=by) == sorted(want, key=by) and len(want) > 20
+
+
+def test_parts_equal_brute_force():
+    import pyarrow as pa
+
+    from shelfspark.functions import parts
+
+    rng = random.Random(12)
+    some = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    for _ in range(60):
+        texts, wanted = [some("abß ", 14) for _ in range(20)], list({some("abß ", 4) for _ in range(8)})
+        found = parts.distances(pa.array(texts, pa.string()), wanted) == 0
+        assert found.tolist() == [[p in t for t in texts] for p in wanted]
+        words, token = [some("abcß", 9) for _ in range(20)], some("abcß", 9)
+        for most in (1, 2):
+            assert parts.Words(pa.array(words, pa.string())).near(token, most).tolist() == [i for i, x in enumerate(words) if osa(token, x) <= most]
+
+
+def test_matches_are_kept_once_for_a_url_and_source(spark, monkeypatch):
+    """Of many matches of a query at one URL, a search writes the first."""
+    sizes, write = {}, s.cut
+    monkeypatch.setattr(s, "cut", lambda df, *a: sizes.setdefault(tuple(df.columns), write(df, *a)))
+    records = [(f"map {i}", f"https://x.example/{i % 3}", None, "go", "en", "go-0", "N", "official", "reference", None, 0, i) for i in range(300)]
+    s._search(spark.createDataFrame([(1, "map", 3)], "query_id int, query string, limit int"), spark.createDataFrame(records, SCHEMA), 60, None, False, "broadcast", (), None)
+    matches = next(df for columns, df in sizes.items() if "score" in columns and "lang_rank" not in columns)
+    assert sorted(x.pos for x in matches.collect()) == [0, 1, 2]
