@@ -1,7 +1,7 @@
 """A search index that is kept: postings of grams and words beside the prepared records.
 
-An index is a folder of segments. A segment has the prepared records by source and locale, their postings (gram, row and word,
-row) in buckets by hash, sorted, and the number of rows of each gram and word. ``append`` adds a segment of new records,
+An index is a folder of segments. A segment has the prepared records by source and locale, their postings (lists of the rows of
+a gram or word, of a batch of records each) in buckets by hash, sorted, and the number of rows of each gram and word. ``append`` adds a segment of new records,
 ``merge`` makes one of all; both commit by a pointer (``sources.versions``), so a search reads one state throughout. A search
 reads the buckets of the grams and words that its queries ask for, by partition, and within them the asked values by the sort.
 
@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parts as looked
 from ..functions.text import words_of
 from ..shared import cut, remove, write_once
 from ..sources import versions
@@ -48,15 +49,22 @@ def _numbered(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
     return numbered.drop("_part", "_start"), at
 
 
+def _write_lists(lists: DataFrame, column: str, path: str) -> None:
+    """Lists of rows by bucket, sorted; those of a frequent value are dealt to several tasks by their first rows."""
+    dealt = lists.repartition("bucket", F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", column).write.partitionBy("bucket").parquet(path)
+
+
 def _write_postings(rows: DataFrame, folder: str, segment: str) -> None:
     scope = [c for c in s.SCOPE if c in rows.columns]
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in scope) + ", n int, rows array<long>"
     # Grams of one and two characters serve queries that have no longer part.
-    every = F.concat(*(s._grams(F.col("hay"), n) for n in range(1, s.GRAM + 1)))
-    for name, column, values in (("grams", "gram", every), ("words", "word", words_of(F.col("hay")))):
-        found = rows.select("_row", *scope, F.explode(values).alias(column)).withColumn("bucket", _bucket(column))
-        path = f"{folder}/{name}/segment={segment}"
-        found.repartition("bucket", F.pmod("_row", F.lit(8))).sortWithinPartitions("bucket", column, "_row").write.partitionBy("bucket").parquet(path)
-        counts = rows.sparkSession.read.parquet(path).groupBy(column).agg(F.count("*").alias("n"))
+    grams = rows.select("_row", "hay", *scope).mapInArrow(lambda batches: looked.grams(batches, s.GRAM, scope), f"gram string{kept}")
+    words = rows.select("_row", words_of(F.col("hay")).alias("words"), *scope).mapInArrow(lambda batches: looked.words(batches, scope), f"word string{kept}")
+    for column, lists in (("gram", grams), ("word", words)):
+        path = f"{folder}/{column}s/segment={segment}"
+        _write_lists(lists.withColumn("bucket", _bucket(column)), column, path)
+        counts = rows.sparkSession.read.parquet(path).groupBy(column).agg(F.sum("n").alias("n"))
         counts.write.parquet(f"{folder}/{column}_counts/segment={segment}")
 
 
@@ -87,8 +95,7 @@ def merge(spark: SparkSession, folder: str) -> int:
             column = name.removesuffix("_counts")
             rows.groupBy(column).agg(F.sum("n").alias("n")).write.parquet(to)
         else:
-            column = name.removesuffix("s")
-            rows.repartition("bucket", F.pmod("_row", F.lit(8))).sortWithinPartitions("bucket", column, "_row").write.partitionBy("bucket").parquet(to)
+            _write_lists(rows, name.removesuffix("s"), to)
     done = versions.commit(spark, folder, {**state, "segments": [segment]}, number)
     live = {x for state in versions.forget(spark, folder) for x in state["segments"]}
     for name in PARTS:
@@ -126,14 +133,18 @@ class Stored(s.Scanned):
             return rows.where(F.col(column).isin(named))
         return rows.join(wanted, column, "left_semi")
 
+    def _rows(self, name: str, column: str, wanted: DataFrame, *kept: str) -> DataFrame:
+        """A row for each of the rows in the lists of the asked values."""
+        return self._asked(name, column, wanted).select(column, *kept, F.posexplode("rows").alias("_at", "_row")).drop("_at")
+
     def grams(self, wanted: DataFrame) -> DataFrame:
-        return self._asked("grams", "gram", wanted)
+        return self._rows("grams", "gram", wanted, *self._scope())
 
     def gram_counts(self, wanted: DataFrame) -> DataFrame:
         return self._asked("gram_counts", "gram", wanted).groupBy("gram").agg(F.sum("n").alias("n"))
 
     def words(self, wanted: DataFrame) -> DataFrame:
-        return self._asked("words", "word", wanted).select("word", "_row")
+        return self._rows("words", "word", wanted)
 
     def vocabulary(self) -> DataFrame:
         return self._of("word_counts").select("word").distinct()
